@@ -23,8 +23,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import pieces
+from .common import pieces, ship
 from .hashing import Rolling, mix
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -215,6 +216,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
 
     The vocabulary is broadcast: its size is fixed by its file, whatever the table's.
     """
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     keep = [c for c in df.columns if c not in (ids, decoded)]
     fields = [(ids, pa.list_(pa.int32()))] + ([(decoded, pa.large_binary())] if decoded else [])
@@ -233,12 +235,13 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
                 rest = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(rest + out, names=keep + [f for f, _ in fields])
 
-    schema = source.drop("_text").schema.add(ids, "array<int>")
+    schema = source.drop("_text").schema.add(ids, T.ArrayType(T.IntegerType()))
     return source.mapInArrow(run, schema.add(decoded, "binary") if decoded else schema)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """`df` with the bytes of each row's ids; null ids give no bytes. The ids must be the vocabulary's."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     keep = [c for c in df.columns if c != decoded]
     source = df.select(*keep, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("_ids"))
