@@ -7,7 +7,7 @@ from functools import lru_cache
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lines, mixing, quality, toxicity
+from . import bpe, langid, lines, mixing, quality, topk, toxicity
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -46,11 +50,13 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
+    "op8_bit_sliced_top_k": op8_bit_sliced_top_k,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": lines.ORACLE,
     "op6_quality_rules": quality.ORACLE,
+    "op8_bit_sliced_top_k": topk.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
