@@ -7,7 +7,7 @@ from functools import lru_cache
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lines, mixing, quality, topk, toxicity
+from . import bpe, langid, licenses, lines, mixing, quality, shingles, topk, toxicity
 from .common import table
 
 
@@ -16,10 +16,18 @@ def vocabulary(path: str | None = None) -> bpe.Vocabulary:
     return bpe.Vocabulary.read(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.join(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.pages(table(spark, sf_dir, "pages"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,7 +53,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
