@@ -7,7 +7,7 @@ from functools import lru_cache
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, lines, mixing, quality, shingles, topk, toxicity
+from . import bpe, langid, licenses, lines, mixing, quality, shingles, substrings, topk, toxicity
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op8_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
     "op8_bit_sliced_top_k": op8_bit_sliced_top_k,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_mixing": op10_mixing,
 }
 
