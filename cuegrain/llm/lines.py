@@ -80,9 +80,10 @@ def dedup(df: DataFrame, host: Column, text: Column, ratio: float = RATIO, least
 
 def pages(df: DataFrame) -> DataFrame:
     """Per page its host, line counts and the text left."""
-    found = dedup(df.select("page_id", "url", "html"), host_of(F.col("url")), page_text(F.col("html")), to="kept_text")
-    lines = F.filter(F.transform(F.split("kept_text", "\n"), trimmed), lambda x: F.length(x) > 0)
-    return found.select("page_id", host_of(F.col("url")).alias("host"), "n_lines", "n_dropped", F.array_join(lines, "\n").alias("kept_text"))
+    lines = F.filter(F.transform(F.split(page_text(F.col("html")), "\n"), trimmed), lambda x: F.length(x) > 0)
+    read = staged(df.select("page_id", host_of(F.col("url")).alias("site"), F.array_join(lines, "\n").alias("body")), "page-lines")
+    found = dedup(read, F.col("site"), F.col("body"), to="kept_text")
+    return found.select("page_id", F.col("site").alias("host"), "n_lines", "n_dropped", "kept_text")
 
 
 def documents(df: DataFrame) -> DataFrame:
