@@ -1 +1 @@
-"""plans of the timed-text engine."""
+"""Registered plans: one for each operator and composite pipeline."""
