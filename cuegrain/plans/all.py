@@ -1,6 +1,6 @@
 """Importing this module registers every plan."""
 
-from . import cue_plans  # noqa: F401
+from . import align_plans, cue_plans  # noqa: F401
 from .registry import ORACLES, PLANS
 
 __all__ = ["ORACLES", "PLANS"]

@@ -113,12 +113,11 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The twins in DuckDB's dialect, each with the views it needs.
 TWINS: dict[str, tuple[str, str]] = {
-    "paragraphs": ("", "select doc_id video_id, (i - 1)::int para_idx, trim(p[i]) as text from (select doc_id, string_split(text, chr(10)) p from documents), lateral (select unnest(generate_series(1, len(p))) i) where trim(p[i]) <> ''"),
+    "paragraphs": ("", "select doc_id video_id, (i - 1)::int para_idx, trim(p) as text from (select doc_id, unnest(string_split(text, chr(10))) p, generate_subscripts(string_split(text, chr(10)), 1) i from documents) where trim(p) <> ''"),
     "sentences": (
         "paragraphs",
-        r"""select video_id, para_idx, i s_idx, trim(replace(s[i], chr(2), '.')) as text from (select video_id, para_idx, string_split(
-        regexp_replace(regexp_replace(text, '(Mr|Mrs|Dr)[.]', '\1' || chr(2), 'g'), '([.!?][»”"\)\]]{0,3})[ \t]+([A-ZÀ-ÞА-Я«„“"])', '\1' || chr(1) || '\2', 'g'), chr(1)) s from paragraphs),
-        lateral (select unnest(generate_series(1, len(s))) i) where trim(s[i]) <> ''""",
+        r"""select video_id, para_idx, i s_idx, trim(replace(x, chr(2), '.')) as text from (select video_id, para_idx, unnest(s) x, generate_subscripts(s, 1) i from (select video_id, para_idx, string_split(
+        regexp_replace(regexp_replace(text, '(Mr|Mrs|Dr)[.]', '\1' || chr(2), 'g'), '([.!?][»”"\)\]]{0,3})[ \t]+([A-ZÀ-ÞА-Я«„“"])', '\1' || chr(1) || '\2', 'g'), chr(1)) s from paragraphs)) where trim(x) <> ''""",
     ),
     "cues": (
         "sentences",
@@ -128,9 +127,9 @@ TWINS: dict[str, tuple[str, str]] = {
     ),
     "words": (
         "cues",
-        """select video_id, idx cue_idx, (p - 1)::int w_pos, w[p] word, start_ms + ((p - 1) * (end_ms - start_ms)) // len(w) start_ms,
-        start_ms + (p * (end_ms - start_ms)) // len(w) - ((idx + p - 1) % 4) * 10 end_ms
-        from (select *, string_split(text, ' ') w from cues), lateral (select unnest(generate_series(1, len(w))) p) where (idx + p - 1) % 13 <> 0""",
+        """select video_id, idx cue_idx, (p - 1)::int w_pos, word, start_ms + ((p - 1) * (end_ms - start_ms)) // n start_ms,
+        start_ms + (p * (end_ms - start_ms)) // n - ((idx + p - 1) % 4) * 10 end_ms
+        from (select *, len(string_split(text, ' ')) n, unnest(string_split(text, ' ')) word, generate_subscripts(string_split(text, ' '), 1) p from cues) where (idx + p - 1) % 13 <> 0""",
     ),
     "segments": (
         "cues",
