@@ -199,7 +199,7 @@ def longest_silence(spans: DataFrame, words: DataFrame) -> DataFrame:
 def pauses(words: DataFrame, least: int = 120) -> DataFrame:
     """Silences between words of a video of at least `least` ms."""
     order = Window.partitionBy("video_id").orderBy("cue_idx", "w_pos")
-    p = words.select("video_id", "cue_idx", "w_pos", F.col("end_ms").alias("at"), (F.lead("start_ms").over(order) - F.col("end_ms")).alias("pause_ms"))
+    p = words.select("video_id", "cue_idx", "w_pos", F.col("end_ms").alias("ends"), (F.lead("start_ms").over(order) - F.col("end_ms")).alias("pause_ms"))
     return p.where(F.col("pause_ms") >= least)
 
 

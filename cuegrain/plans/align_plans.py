@@ -24,8 +24,9 @@ def trigrams(t: str) -> str:
     return f"(select video_id, idx, t, w || ' ' || lead(w, 1) over o || ' ' || lead(w, 2) over o g from {stream(t)} window o as (partition by video_id order by idx, p) qualify g is not null)"
 
 
-ANCHORS = f"""select video_id, p, s from (select *, max(s) over (partition by video_id order by p, s rows between unbounded preceding and 1 preceding) m from (select video_id, p, min(s) s from
-    (select video_id, g, min(t) p from {trigrams('cues')} group by all having count(*) = 1) join (select video_id, g, min(t) s from {trigrams('cues_b')} group by all having count(*) = 1) using (video_id, g) group by all)) where m is null or s >= m"""
+ANCHORS = f"""with ga as materialized (select video_id, g, min(t) p, count(*) c from {trigrams('cues')} group by 1, 2), gb as materialized (select video_id, g, min(t) s, count(*) c from {trigrams('cues_b')} group by 1, 2),
+    ab as materialized (select ga.video_id, p, min(s) s from ga join gb on ga.video_id = gb.video_id and ga.g = gb.g where ga.c = 1 and gb.c = 1 group by 1, 2)
+    select video_id, p, s from (select *, max(s) over (partition by video_id order by p, s rows between unbounded preceding and 1 preceding) m from ab) where m is null or s >= m"""
 
 plan("j1_assemble_cues", "cues timecodes", "select c.video_id, c.idx, t.start_ms, t.end_ms, text from cues c join timecodes t on t.video_id = c.video_id and t.id = c.idx where t.start_ms < t.end_ms")(
     lambda s, d: A.assemble(V.cues(s, d).select("video_id", "idx", "text"), V.timecodes(V.cues(s, d)))[0].select("video_id", "idx", "start_ms", "end_ms", "text")
@@ -78,7 +79,7 @@ plan("j7_text_preservation", "paragraphs edited_cues", f"""with a as ({WORDS.for
 plan("j8_block_lineage", "cues edited_cues", f"""with o as (select video_id, g, min(idx) o from {trigrams('cues')} group by all having count(*) = 1), n as (select video_id, g, min(idx) n from {trigrams('edited_cues')} group by all having count(*) = 1)
     select video_id, n idx, list_sort(list_distinct(list(o))) old_ids from o join n using (video_id, g) group by all""")(lambda s, d: A.block_lineage(V.cues(s, d), V.edited_cues(V.cues(s, d))))
 plan("j15_active_cue_at", "cues", """with p as (select doc_id video_id, unnest(range(0, 60000, 777)) t from documents) select p.video_id, t, min(idx) idx from p join cues c on c.video_id = p.video_id and c.start_ms <= t and t < c.end_ms group by all""")(
-    lambda s, d: A.active_cue(V.cues(s, d), V.table(s, d, "documents").select(F.col("doc_id").alias("video_id"), F.explode(F.sequence(F.lit(0), F.lit(59999), F.lit(777))).cast("long").alias("t")))
+    lambda s, d: A.active_cue(V.cues(s, d), V.table(s, d, "documents").select(F.col("doc_id").alias("video_id"), F.explode(F.expr("sequence(0L, 59999L, 777L)")).alias("t")))
 )
 plan("w16_speech_gap", "cues words", """with s as (select c.video_id, c.idx, any_value(c.start_ms) start_ms, any_value(c.end_ms) end_ms, min(w.start_ms) ws, max(w.end_ms) we from cues c left join words w on w.video_id = c.video_id and c.start_ms < w.end_ms and c.end_ms > w.start_ms group by 1, 2),
     g as (select video_id, idx, lead(start_ms) over v - end_ms gap, lead(ws) over v - we pause from s window v as (partition by video_id order by idx)) select video_id, idx, case when pause is null then gap else greatest(gap, pause) end gap_ms from g where gap is not null""")(
@@ -89,11 +90,11 @@ plan("w17_longest_silence", "segments words", """with i as (select g.video_id, g
     m as (select video_id, idx, greatest(0, max(hole), any_value(end_ms) - max(z)) silence_ms from h group by all) select g.video_id, seg_id idx, coalesce(silence_ms, 0) silence_ms from segments g left join m on m.video_id = g.video_id and m.idx = g.seg_id""")(
     lambda s, d: A.longest_silence(V.segments(V.cues(s, d)).withColumnRenamed("seg_id", "idx").select("video_id", "idx", "start_ms", "end_ms"), V.words(V.cues(s, d)))
 )
-PAUSES = "select video_id, cue_idx, w_pos, end_ms at, lead(start_ms) over (partition by video_id order by cue_idx, w_pos) - end_ms pause_ms from words"
+PAUSES = "select video_id, cue_idx, w_pos, end_ms ends, lead(start_ms) over (partition by video_id order by cue_idx, w_pos) - end_ms pause_ms from words"
 plan("a23_pause_stats", "words", f"select video_id, count(*) pauses, sum(pause_ms)::bigint total_ms, max(pause_ms) longest_ms from ({PAUSES}) where pause_ms >= 120 group by 1")(
     lambda s, d: A.pauses(V.words(V.cues(s, d))).groupBy("video_id").agg(F.count("*").alias("pauses"), F.sum("pause_ms").alias("total_ms"), F.max("pause_ms").alias("longest_ms"))
 )
-plan("t4_top_pauses", "words", f"select video_id, cue_idx, w_pos, at, pause_ms, rank from (select *, (row_number() over (partition by video_id order by pause_ms desc, cue_idx, w_pos))::int rank from ({PAUSES}) where pause_ms >= 120) where rank <= 5")(
+plan("t4_top_pauses", "words", f"select video_id, cue_idx, w_pos, ends, pause_ms, rank from (select *, (row_number() over (partition by video_id order by pause_ms desc, cue_idx, w_pos))::int rank from ({PAUSES}) where pause_ms >= 120) where rank <= 5")(
     lambda s, d: A.pauses(V.words(V.cues(s, d))).withColumn("rank", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("pause_ms"), "cue_idx", "w_pos"))).where("rank <= 5")
 )
 plan("w12_largest_pause_groups", "segments", """with g as (select *, start_ms - lag(end_ms) over (partition by video_id order by seg_id) gap from segments), r as (select *, row_number() over (partition by video_id order by gap desc nulls last, seg_id desc) r from g)

@@ -9,7 +9,7 @@ import duckdb
 
 def connect(folder):
     con = duckdb.connect()
-    con.execute("set memory_limit='6GB'; set max_temp_directory_size='1GB'; set temp_directory='/tmp/duckdb-oracle'")
+    con.execute("set memory_limit='6GB'; set max_temp_directory_size='50MB'; set temp_directory='/tmp/duckdb-oracle'")
     for p in sorted(glob.glob(f"{folder}/*.parquet")):
         path = f"{p}/*.parquet" if os.path.isdir(p) else p
         con.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{path}'")
