@@ -217,7 +217,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     found = near.select("doc_id", "para", F.explode(grams(F.col("tokens"))).alias("gram")).join(F.broadcast(model.table(spark)), "gram")
     sums = [F.sum(F.get("w", F.lit(i))).alias(f"_{i}") for i in range(len(model.labels))]
     hits = F.array_sort(F.flatten(F.collect_list("templates")))
-    scored = found.groupBy("doc_id", "para").agg(*sums, hits.alias("hits"))
+    scored = staged(found.groupBy("doc_id", "para").agg(*sums, hits.alias("hits")), "licence-scores")
     judged = scored.select("doc_id", "para", "hits", model.verdict([F.col(f"_{i}") for i in range(len(model.labels))]).alias("_r"))
     judged = judged.select("doc_id", "para", "hits", F.col("_r.p").alias("probability"), F.col("_r.family").alias("family"))
     judged = judged.where(F.col("probability") > model.cutoff)
