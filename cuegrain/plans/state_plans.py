@@ -109,8 +109,8 @@ plan("u3_word_edges", "words", "select distinct video_id, t from (select video_i
 )
 KNOWN = "select distinct term from (select trim(lower(unnest(string_split(en, '/')))) term from glossary) where term <> ''"
 plan("s5_read_glossary", "glossary", KNOWN)(lambda s, d: G.known_terms(V.glossary(s, d)))
-plan("u5_known_terms", "glossary", f"with v as ({KNOWN.replace('from glossary', 'from (select en || chr(47) || upper(en) || chr(32) || en en from glossary)')}) select term from v union select unnest(string_split(term, ' ')) from v where contains(term, ' ')")(
-    lambda s, d: G.known_terms(V.glossary(s, d).select(F.concat("en", F.lit("/"), F.upper("en"), F.lit(" "), "en").alias("en")))
+plan("u5_known_terms", "glossary", f"with v as ({KNOWN.replace('from glossary', 'from (select en || chr(47) || en || chr(32) || en en from glossary)')}) select term from v union select unnest(string_split(term, ' ')) from v where contains(term, ' ')")(
+    lambda s, d: G.known_terms(V.glossary(s, d).select(F.concat("en", F.lit("/"), "en", F.lit(" "), "en").alias("en")))
 )
 STOP = ", ".join(f"'{w}'" for w in G.STOPWORDS)
 CANDIDATES = rf"""with k as ({KNOWN}), s as (select doc_id, unnest(t) sentence, generate_subscripts(t, 1) s from (select doc_id, regexp_split_to_array(text, '[.!?]+[ \t\n]+') t from documents)),
