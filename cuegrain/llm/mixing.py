@@ -101,7 +101,8 @@ def mix(docs: DataFrame) -> DataFrame:
     own = Window.partitionBy("doc_id").orderBy(F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)), source_key(F.col("source")))
     same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l._twin") == F.col("r._twin"))
     both = docs.withColumn("_twin", F.row_number().over(own)).alias("l").join(share.where("copies > 0").alias("r"), same)
-    return both.select(*[F.col(f"l.`{c}`") for c in docs.columns], "r.copies").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    rows = both.select(*[F.col(f"l.`{c}`") for c in docs.columns], F.col("r.copies").alias("_copies"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
 
 
 def report(docs: DataFrame) -> DataFrame:
