@@ -182,5 +182,8 @@ def twin(needs: str, body: str) -> str:
         add(name)
     if not order:
         return body
+    rest = body.lstrip()
+    recursive = "recursive " if rest.startswith("with recursive ") else ""
+    body = rest.replace("with recursive ", "with ", 1) if recursive else body
     # evaluated once each, where several readers share one
-    return "with " + ",\n".join(f"{n} as materialized ({TWINS[n][1]})" for n in order) + (",\n" + body.lstrip()[5:] if body.lstrip().startswith("with ") else "\n" + body)
+    return f"with {recursive}" + ",\n".join(f"{n} as materialized ({TWINS[n][1]})" for n in order) + (",\n" + body.lstrip()[5:] if body.lstrip().startswith("with ") else "\n" + body)
