@@ -114,7 +114,7 @@ class Vocabulary:
 class Coder:
     """Encodes and decodes in one worker; keeps the ids of pre-tokens seen, up to a bound."""
 
-    def __init__(self, vocabulary: Vocabulary, keep: int = 600_000):
+    def __init__(self, vocabulary: Vocabulary, keep: int = 300_000):
         self.v, self.keep = vocabulary, keep
         self.ranks = dict(zip(vocabulary.tokens, vocabulary.ids.tolist(), strict=True))
         self.find = regex.compile(vocabulary.pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
