@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, ship, staged
-from .hashing import Rolling
+from .hashing import Rolling, mix
 from .suffixes import suffix_array
 
 LENGTH, ANCHOR = 100, 32
@@ -98,19 +98,46 @@ def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), dtype=np.uint8), edges
 
 
+def _covered(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals as they are, with those that touch or overlap in a document made one."""
+    order = np.lexsort((start, doc))
+    doc, start, stop = doc[order], start[order], stop[order]
+    reach = np.maximum.accumulate(stop + doc * (1 << 40)) - doc * (1 << 40)
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > reach[:-1])))[: len(doc)]
+    at = np.flatnonzero(new)
+    return doc[at], start[at], np.maximum.reduceat(stop, at) if len(at) else stop
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """anchor, run, doc_id, place of every run; place holds start, windows and anchor offset and sorts by start."""
+    """anchor, run, doc_id, place, stop of every run that is its document's first of that text.
+
+    place holds start, windows and anchor offset and sorts by start; stop is 0. Later runs of a text
+    in one document, which periodic text has by the thousand, are removed for certain: they come as
+    rows with a stop, joined to intervals, whose place is their start and whose anchor is of no use.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in pieces(batch.column(1)):
                 doc, start, count, offset, anchor, text = runs(*_buffer(batch.column(1).slice(a, b - a)))
-                ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)[doc]
-                place = start << 16 | count << 8 | offset
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), text.view(np.int64), ids.astype(np.int64), place)], names=["anchor", "run", "doc_id", "place"])
+                order = np.lexsort((start, text, anchor, doc))
+                same = (doc[order][1:] == doc[order][:-1]) & (anchor[order][1:] == anchor[order][:-1]) & (text[order][1:] == text[order][:-1])
+                later = np.zeros(len(doc), dtype=bool)
+                later[order[1:][same]] = True
+                d, s, z = _covered(doc[later], start[later], start[later] + count[later] + LENGTH - 1)
+                first = ~later
+                ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64)
+                columns = (
+                    np.concatenate((anchor[first], mix(s.astype(np.uint64) + (d.astype(np.uint64) << np.uint64(32))))).view(np.int64),
+                    np.concatenate((text[first].view(np.int64), np.zeros(len(d), dtype=np.int64))),
+                    ids[np.concatenate((doc[first], d))],
+                    np.concatenate(((start << 16 | count << 8 | offset)[first], s)),
+                    np.concatenate((np.zeros(int(first.sum()), dtype=np.int64), z)),
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "run", "doc_id", "place", "stop"])
 
-    return docs.mapInArrow(run, "anchor long, run long, doc_id long, place long")
+    return docs.mapInArrow(run, "anchor long, run long, doc_id long, place long, stop long")
 
 
 def compare_runs(found: DataFrame) -> DataFrame:
@@ -119,8 +146,8 @@ def compare_runs(found: DataFrame) -> DataFrame:
     all_ = Window.partitionBy("anchor")
     first = F.first(F.struct("doc_id", "place")).over(same)
     marked = found.repartition("anchor").select("*", first.alias("_f"), (F.min("run").over(all_) != F.max("run").over(all_)).alias("_others"))
-    again = (F.col("doc_id") > F.col("_f.doc_id")) | (F.col("place") > F.col("_f.place"))
-    return marked.select("anchor", "doc_id", "place", again.alias("again"), "_others").where("again or _others").drop("_others")
+    again = (F.col("stop") == 0) & ((F.col("doc_id") > F.col("_f.doc_id")) | (F.col("place") > F.col("_f.place")))
+    return marked.select("doc_id", "place", "stop", again.alias("again"), "_others").where("again or _others or stop > 0").drop("_others")
 
 
 def halves(docs: DataFrame, varied: DataFrame) -> DataFrame:
@@ -217,7 +244,8 @@ def compare_halves(cut: DataFrame) -> DataFrame:
             rows = pa.concat_tables([rows, pa.table([pa.array(d[head]), pa.array(s[head]), pa.array(s[head] + LENGTH), marks], names=names)])
         return rows
 
-    keyed = dealt.withColumn("_bin", F.pmod(F.xxhash64("key", "part"), F.lit(bins)))
+    # sorting takes long for its bytes, so the number of tasks is set here, not by their size
+    keyed = dealt.withColumn("_bin", F.pmod(F.xxhash64("key", "part"), F.lit(bins))).repartition(min(-(-bins // 8), 50_000), "_bin")
     found = staged(keyed.groupBy("_bin").applyInArrow(sort, "doc_id long, start long, stop long, window binary"), "removed-windows")
     marked = found.where("window is not null")
     first = marked.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("_f"), F.count("*").alias("_c")).where("_c > 1")
@@ -235,8 +263,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     compared = staged(compare_runs(occurrences(others)), "runs")
     start, count = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255)
     again = compared.where("again").select("doc_id", start.alias("start"), (start + count + (LENGTH - 1)).alias("stop"))
-    varied = compared.where("not again").select("doc_id", "place")
-    return whole.unionByName(again).unionByName(compare_halves(staged(halves(others, varied), "cut-runs")))
+    own = compared.where("stop > 0").select("doc_id", F.col("place").alias("start"), "stop")
+    varied = compared.where("not again and stop = 0").select("doc_id", "place")
+    return whole.unionByName(again).unionByName(own).unionByName(compare_halves(staged(halves(others, varied), "cut-runs")))
 
 
 def cut(docs: DataFrame, intervals: DataFrame) -> DataFrame:
