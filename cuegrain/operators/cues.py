@@ -36,7 +36,7 @@ NO_TIME = 99900  # hundredths of characters a second of a cue that lasts no time
 
 
 def chars(text: str = "text") -> Column:
-    return F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    return F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))).cast("long")
 
 
 def duration() -> Column:
@@ -45,7 +45,7 @@ def duration() -> Column:
 
 def cps100() -> Column:
     """Hundredths of characters a second, as an integer."""
-    return F.when(duration() > 0, F.expr("length(replace(text, '\n', '')) * 100000 div (end_ms - start_ms)")).otherwise(NO_TIME)
+    return F.when(duration() > 0, F.expr("cast(length(replace(text, '\n', '')) as bigint) * 100000 div (end_ms - start_ms)")).otherwise(NO_TIME)
 
 
 def max_cpl() -> Column:
@@ -125,7 +125,7 @@ def chain_gaps(cues: DataFrame, limits: Limits = LIMITS) -> DataFrame:
 
 def cps_headroom(cues: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """Time a dense cue needs for the target speed, what is free on either side, and whether that is enough."""
-    wish = F.expr(f"length(replace(text, '\n', '')) * 1000 div {limits.target_cps}")
+    wish = F.expr(f"cast(length(replace(text, '\n', '')) as bigint) * 1000 div {limits.target_cps}")
     need = F.greatest(F.lit(0), F.least(wish, F.greatest(duration(), F.lit(limits.max_duration))) - duration())
     right = F.greatest(F.lit(0), F.coalesce(next_start() - F.col("end_ms") - limits.min_gap, F.lit(2000)))
     left = F.greatest(F.lit(0), F.coalesce(F.col("start_ms") - prev_end() - limits.min_gap, F.col("start_ms")))

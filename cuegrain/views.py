@@ -26,7 +26,7 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = paragraphs(spark, sf_dir).select("video_id", "para_idx", F.posexplode(sentences(F.col("text"))).alias("s_idx", "text"))
     by_video = Window.partitionBy("video_id").orderBy("para_idx", "s_idx")
     numbered = sent.withColumn("idx", F.row_number().over(by_video))
-    timed = numbered.withColumn("dur", 40 * F.length("text") + (F.col("idx") * 37) % 900).withColumn("gap", ((F.col("idx") * 53) % 11 - 2) * 60)
+    timed = numbered.withColumn("dur", 40 * F.length("text").cast("long") + (F.col("idx") * 37) % 900).withColumn("gap", ((F.col("idx") * 53) % 11 - 2) * 60)
     before = by_video.rowsBetween(Window.unboundedPreceding, -1)
     start = F.lit(1000) + F.coalesce(F.sum(F.col("dur") + F.col("gap")).over(before), F.lit(0))
     return timed.withColumn("start_ms", start).select("video_id", "idx", "para_idx", "text", F.col("start_ms").cast("long"), (F.col("start_ms") + F.col("dur")).cast("long").alias("end_ms"))
