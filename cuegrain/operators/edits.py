@@ -88,7 +88,8 @@ def split_spans(spans: DataFrame, pauses: DataFrame, parts: int = 3, margin: int
     rank = F.row_number().over(Window.partitionBy("video_id", "idx").orderBy(F.desc(F.col("r_end") - F.col("r_start")), "r_start"))
     chosen = inner.withColumn("r", rank).where(F.col("r") < parts).groupBy("video_id", "idx").agg(F.array_sort(F.collect_list(F.struct(F.col("r_start").alias("a"), F.col("r_end").alias("z")))).alias("cuts"))
     j = spans.join(chosen, ["video_id", "idx"], "left").withColumn("by_pause", F.coalesce(F.size("cuts") == parts - 1, F.lit(False)))
-    even = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.struct((F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) / parts) * i).alias("a"), (F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) / parts) * i).alias("z")))
+    step = F.expr(f"(end_ms - start_ms) div {parts}")
+    even = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.struct((F.col("start_ms") + step * i).alias("a"), (F.col("start_ms") + step * i).alias("z")))
     j = j.withColumn("cuts", F.when(F.col("by_pause"), F.col("cuts")).otherwise(even))
     p = j.select("video_id", "idx", "start_ms", "end_ms", "by_pause", "cuts", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     begin = F.when(F.col("part") == 0, F.col("start_ms")).otherwise(F.get("cuts", F.col("part") - 1)["z"])
