@@ -40,7 +40,7 @@ from .hashing import mix, shingle_hashes, word_hashes
 WIDTH = 5
 THRESHOLD = (4, 5)
 TREES, DEEPEST, RECALL = 24, 8, 0.9999999
-BLOCK_CLASSES, BLOCK_SHINGLES = 128, 200_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 400_000
 
 
 def prefix_depth(similarity: float, trees: int = TREES, recall: float = RECALL, deepest: int = DEEPEST) -> int:
