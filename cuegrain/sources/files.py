@@ -22,7 +22,7 @@ def parse_cues(files: DataFrame, text: str = "file") -> DataFrame:
     number first and a valid time line second; the rest is the text.
     """
     keys = [c for c in files.columns if c != text]
-    body = F.regexp_replace(F.regexp_replace(F.col(text), "^﻿", ""), "\r\n?", "\n")
+    body = F.regexp_replace(F.regexp_replace(F.col(text), "^\ufeff", ""), "\r\n?", "\n")
     chunks = files.select(*keys, F.explode(F.split(F.regexp_replace(body, "^\n+|\n+$", ""), "\n[ \t]*\n+")).alias("_c"))
     lines = chunks.select(*keys, F.split("_c", "\n").alias("_l")).where(F.size("_l") >= 3)
     idx, time = F.expr("try_cast(trim(_l[0]) as int)"), F.trim(F.col("_l")[1])

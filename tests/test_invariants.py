@@ -111,7 +111,7 @@ def test_typography_is_stable(spark):
 
 
 def test_hygiene_finds_nothing_after_fix(spark):
-    dirty = ["a\r\nb", "a b", "a​b", "x ... y", '"q" — it\'s', "﻿t", "a‍b", "क्‍ष"]
+    dirty = ["a\r\nb", "a b", "a\u200bb", "x ... y", '"q" — it\'s', "\ufefft", "a\u200db", "क्\u200dष"]
     df = spark.createDataFrame([(t,) for t in dirty], "t string")
     left = df.select(T.hygiene(T.fix_document(F.col("t"), F.lit(True)), F.lit(True)).alias("h")).where(F.size("h") > 0)
     assert left.count() == 0

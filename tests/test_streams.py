@@ -73,7 +73,7 @@ def test_files_round_trip(spark, small, tmp_path):
     for r in files:
         p = tmp_path / f"talks/t{r.video_id}/v/final/uk.srt"
         p.parent.mkdir(parents=True)
-        p.write_text("﻿" + r.file.replace("\n", "\r\n") + "\n\nbroken\nchunk\n", encoding="utf-8", newline="")
+        p.write_text("\ufeff" + r.file.replace("\n", "\r\n") + "\n\nbroken\nchunk\n", encoding="utf-8", newline="")
     (tmp_path / "talks/t0/v/source").mkdir()
     (tmp_path / "talks/t0/v/source/en.srt").write_bytes(b"\xff\xfea\x00")
     got = S.read_cues(spark, f"{tmp_path}/talks/*/*/final/*.srt")
