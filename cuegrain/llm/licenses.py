@@ -1,18 +1,24 @@
 """Licence scan: a trained paragraph classifier, confirmed by its templates; DataFrame and ML functions only.
 
-Paragraphs are the lines of a text. A multinomial logistic regression with an L1 penalty over
-word uni- and bigrams of the templates gives each paragraph a probability for each licence family
-and for `unknown`. It is fitted on a bounded sample: the templates whole, cut and set into other
+Paragraphs are the lines of a text; a notice is a run of lines, so hard-wrapped ones are whole. A
+multinomial logistic regression with an L1 penalty over word uni- and bigrams of the templates
+gives each run a probability for each licence family and for `unknown`. It is fitted on a bounded sample: the templates whole, cut and set into other
 text, against NEGATIVES paragraphs of the corpus. On a held-out part of that sample a temperature
 is fitted to the log loss, and the least probability that lets no more than MISSES of the unknown
-paragraphs pass becomes the cutoff: the calibrated unknown class. A prediction is confirmed if the
-paragraph holds at least CONTAINED of the n-grams of one of that family's templates.
-
-The vocabulary is that of the templates, so the tables joined to the paragraphs have a size fixed
-in this file and are broadcast. A paragraph that lacks every vocabulary word that matters scores
-the bias alone, which is `unknown`; such paragraphs are left out before n-grams are made, exactly.
-
-Defined cases: null and empty texts have no paragraphs; blank lines are none; a very long line is
+paragraphs pass becomes the cutoff: the calibrated unknown class. A prediction is confirmed if the run holds
+at least CONTAINED of the n-grams of one of that family's templates; titles and SPDX lines must be
+held whole. Of the runs around a line, each template takes the one with most of its n-grams, then
+the shortest. A run yields to a tighter one inside it that holds as great a share, and one that
+holds a template in part to an overlapping run of another family with more n-grams.
+
+The vocabulary is that of the templates, so the tables joined to the runs have a size fixed in
+this file and are broadcast. Runs are sought only around lines with one of the templates' rarest
+words, of which every run that holds enough has one: an exact cut. What lies between a
+run's first and last line has at most SPAN words, more than any template. A run's share of a
+template is never above that of all lines in reach, so templates below the bound there are left out.
+
+Defined cases: null and empty texts have no paragraphs; blank lines are none and lines without
+words do not part a run; a very long line is
 one paragraph; a corpus without paragraphs for the sample trains on the templates and fixed
 sentences alone; rows that share an id share one result; at a tie the family first by name wins;
 an empty table gives an empty one.
@@ -25,10 +31,11 @@ import string
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged
+from .quality import let
 
 NEGATIVES, MISSES, CONTAINED = 2_000, 0.001, 0.6
 #: An n-gram is a feature if one of its words is in no more than this share of the other paragraphs.
@@ -70,6 +77,42 @@ TEMPLATES = {
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Released under the Mozilla Public License 2.0."],
     "unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense."],
 }
+#: The same header in the three GNU families.
+for _family, _what, _name in (("agpl", "program", "Affero "), ("gpl", "program", ""), ("lgpl", "library", "Lesser ")):
+    TEMPLATES[_family] += [
+        f"it under the terms of the GNU {_name}General Public License as published by the Free Software Foundation",
+        f"This {_what} is free software: you can redistribute it and/or modify it under the terms of the GNU {_name}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ][1 if _name else 0 :]
+#: Titles and SPDX identifiers, which count only if they are held whole.
+TITLES = {
+    "agpl": ["GNU Affero General Public License"],
+    "apache-2.0": ["Apache License Version 2.0", "Apache License 2.0"],
+    "bsd": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License"],
+    "gpl": ["GNU General Public License"],
+    "isc": ["ISC License"],
+    "lgpl": ["GNU Lesser General Public License"],
+    "mit": ["MIT License"],
+    "mpl-2.0": ["Mozilla Public License Version 2.0", "Mozilla Public License 2.0"],
+    "unlicense": ["The Unlicense"],
+}
+SPDX = {
+    "agpl": ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "apache-2.0": ["Apache-2.0"],
+    "bsd": ["BSD-2-Clause", "BSD-3-Clause"],
+    "cc-by": ["CC-BY-4.0"],
+    "cc-by-nc": ["CC-BY-NC-4.0"],
+    "cc-by-sa": ["CC-BY-SA-4.0"],
+    "cc0": ["CC0-1.0"],
+    "gpl": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"],
+    "isc": ["ISC"],
+    "lgpl": ["LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "mit": ["MIT"],
+    "mpl-2.0": ["MPL-2.0"],
+    "unlicense": ["Unlicense"],
+}
+WHOLE = {f: TITLES.get(f, []) + [f"SPDX-License-Identifier: {x}" for x in SPDX[f]] for f in TEMPLATES}
+#: Words between a run's first and last line: half as many again as the longest template has.
+SPAN = 3 * max(len(t.split()) for ts in TEMPLATES.values() for t in ts) // 2
 #: Sentences in such notices' words that name no licence.
 OTHERS = [
     "The driver must hold a valid license to use this car.",
@@ -108,8 +151,8 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    rows = [(f, i, t) for f, ts in sorted(TEMPLATES.items()) for i, t in enumerate(ts)]
-    return spark.createDataFrame(rows, "family string, template int, line string")
+    rows = [(f, i, t, i >= len(ts)) for f, ts in sorted(TEMPLATES.items()) for i, t in enumerate(ts + WHOLE[f])]
+    return spark.createDataFrame(rows, "family string, template int, line string, whole boolean")
 
 
 def sample(docs: DataFrame) -> DataFrame:
@@ -118,7 +161,11 @@ def sample(docs: DataFrame) -> DataFrame:
     some = F.pmod(F.xxhash64("doc_id", F.lit("licence sample")), F.lit(1_000_003)) <= int(1_000_003 * min(1.0, NEGATIVES / max(docs.count(), 1)))
     chosen = paragraphs(docs.where(some)).where(~F.col("line").rlike("(?i)licen[cs]e|copyright|public domain"))
     chosen = chosen.select(F.substring("line", 1, 400).alias("line"), F.xxhash64("doc_id", "para", F.lit("licences")).alias("h"))
-    negatives = staged(chosen.orderBy("h").limit(NEGATIVES), "licence-negatives")
+    # a line of a wrapped notice is no example of other text: most of its n-grams are one template's
+    listed = F.array(*[F.array(*[F.lit(g) for g in t.grams]) for t in known(spark)])
+    own = chosen.orderBy("h").limit(NEGATIVES).withColumn("own", grams(words(F.col("line"))))
+    part = F.exists(listed, lambda t: F.size(F.array_intersect("own", t)) >= CONTAINED * F.size("own"))
+    negatives = staged(own.where((F.size("own") > 0) & ~part).drop("own"), "licence-negatives")
     others = spark.createDataFrame([(x,) for x in OTHERS], "line string").withColumn("h", F.xxhash64("line"))
     unknown = negatives.unionByName(others)
     around = negatives.select(F.slice(F.split("line", " "), 1, 12).alias("around"), F.pmod("h", F.lit(97)).alias("k")).groupBy("k").agg(F.min("around").alias("around"))
@@ -128,29 +175,21 @@ def sample(docs: DataFrame) -> DataFrame:
     thinned = F.filter(F.split("line", " "), lambda w, i: (F.pmod(F.xxhash64(w, i, "v"), F.lit(9)) != 0) | (F.col("v") % 4 != 3))
     extra = F.array_join(F.coalesce("around", F.array().cast("array<string>")), " ")
     text = F.when(F.col("v") % 4 == 1, F.concat_ws(" ", extra, F.col("line"))).when(F.col("v") % 4 == 2, F.concat_ws(" ", "line", extra)).otherwise(F.array_join(thinned, " "))
-    known = varied.select(F.col("family").alias("label"), text.alias("line"), F.xxhash64("line", "v").alias("h"))
-    rows = known.unionByName(unknown.select(F.lit(UNKNOWN).alias("label"), "line", "h"))
+    notices = varied.select(F.col("family").alias("label"), text.alias("line"), F.xxhash64("line", "v").alias("h"))
+    rows = notices.unionByName(unknown.select(F.lit(UNKNOWN).alias("label"), "line", "h"))
     return rows.select("label", "line", (F.pmod("h", F.lit(5)) == 0).alias("held"), grams(words(F.col("line"))).alias("grams"))
 
 
 class Model:
     """Weights of the n-grams that have any, the biases, the temperature and the cutoff."""
 
-    def __init__(self, labels: list[str], bias: list[float], weights: dict[str, list[float]], rarity: dict[str, int]):
-        self.labels, self.bias, self.weights = labels, bias, weights
+    def __init__(self, labels: list[str], bias: list[float], weights: dict[str, list[float]], anchors: list[str]):
+        self.labels, self.bias, self.weights, self.anchors = labels, bias, weights, anchors
         self.temperature, self.cutoff = 1.0, 0.5
-        #: every n-gram with a weight has one of these words: its rarest in the training rows
-        anchors = {min(g.split(" "), key=lambda w: (rarity.get(w, 0), w)) for g in weights}
-        #: of a word with punctuation inside, the longest part, the last at a tie: loose_words() has it wherever words() has the word
-        self.anchors = sorted({max(reversed(w.translate(_LOOSE).split()), key=len, default=w) for w in anchors})
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """gram, its weights (or none) and the templates that hold it."""
-        spec = "gram string, w array<double>"
-        weights = spark.createDataFrame(sorted(self.weights.items()), spec)
-        held = templates(spark).select("family", "template", F.explode(grams(words(F.col("line")))).alias("gram"))
-        held = held.groupBy("gram").agg(F.sort_array(F.collect_list(F.concat_ws("/", "family", "template"))).alias("templates"))
-        return weights.join(held, "gram", "full")
+        """gram and its weights."""
+        return spark.createDataFrame(sorted(self.weights.items()), "gram string, w array<double>")
 
     def verdict(self, sums: list[Column]) -> Column:
         """The likeliest family and its calibrated probability, from the sums of weights."""
@@ -166,6 +205,35 @@ class Model:
         return F.transform(F.array(z), choose)[0]
 
 
+def needed(template) -> int:
+    """How many of a template's n-grams confirm it."""
+    n = len(template.grams)
+    return n if template.whole else next(k for k in range(n + 1) if k / n >= CONTAINED)
+
+
+def known(spark: SparkSession) -> list:
+    return templates(spark).select("family", "whole", grams(words(F.col("line"))).alias("grams")).collect()
+
+
+def anchors(rows: DataFrame) -> list[str]:
+    """Words of which every run has one that holds enough of a template.
+
+    What holds `needed` of n n-grams has one of any n - needed + 1: here those whose rarest part is
+    rarest in other text. loose_words() has each part of a word wherever words() has the word.
+    """
+    found = known(rows.sparkSession)
+    parts = lambda g: g.translate(_LOOSE).split() or [g]
+    listed = rows.sparkSession.createDataFrame([(p,) for p in sorted({p for t in found for g in t.grams for p in parts(g)})], "p string")
+    plain = rows.where(F.col("label") == UNKNOWN).select(F.explode(F.array_distinct(loose_words(F.col("line")))).alias("p")).groupBy("p").count()
+    rarity = {r["p"]: r["count"] for r in plain.join(F.broadcast(listed), "p").collect()}
+    key = lambda p: (rarity.get(p, 0), -len(p), p)
+    chosen = set()
+    for t in found:
+        rarest = sorted(min(parts(g), key=key) for g in t.grams)
+        chosen.update(sorted(rarest, key=key)[: len(t.grams) - needed(t) + 1])
+    return sorted(chosen)
+
+
 def train(docs: DataFrame) -> Model:
     rows = staged(sample(docs), "licence-sample")
     plain = rows.where(F.col("label") == UNKNOWN).select(F.explode("grams").alias("g")).groupBy("g").count()
@@ -185,7 +253,7 @@ def train(docs: DataFrame) -> Model:
     bias = [0.0] * len(labels)
     bias[: len(fitted.interceptVector)] = [float(x) for x in fitted.interceptVector]
     used = {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(vocabulary) if abs(matrix[:, i]).max() > 0}
-    model = Model(labels, bias, used, rarity)
+    model = Model(labels, bias, used, anchors(rows))
     # calibration on the held-out rows: temperature by log loss, then the cutoff
     held = fitted.transform(ready.where("held")).select("label", "y", vector_to_array("rawPrediction").alias("z"))
     grid = [0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
@@ -208,33 +276,94 @@ def train(docs: DataFrame) -> Model:
     return model
 
 
+def _reach(tokens: Column) -> Column:
+    """How many of the lines, nearest first, a run may take in: those before them have at most SPAN words."""
+    start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
+    add = lambda a, x: F.when(a["words"] <= SPAN, F.struct((a["words"] + F.size(x)).alias("words"), (a["n"] + 1).alias("n"))).otherwise(a)
+    return F.aggregate(tokens, start, add, lambda a: a["n"])
+
+
+def around(docs: DataFrame, model: Model) -> DataFrame:
+    """Each line with an anchor and the lines in its reach: doc_id, first (their first line's number), at (its place), tokens."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    is_near = lambda x: F.exists(loose_words(x), lambda w: w.isin(*model.anchors))
+    limit = SPAN + 1
+
+    def reach(rows: Column) -> Column:
+        places = F.filter(F.transform(rows, lambda r, i: F.when(r["near"], i)), lambda i: i.isNotNull())
+
+        def one(i: Column) -> Column:
+            before = F.reverse(F.slice(rows["tokens"], F.greatest(i - limit, F.lit(0)) + 1, F.least(i, F.lit(limit))))
+            after = F.slice(rows["tokens"], i + 2, F.lit(limit))
+            return let(_reach(before), lambda n: F.struct((i - n).alias("first"), n.alias("at"), F.slice(rows["tokens"], i - n + 1, n + 1 + _reach(after)).alias("tokens")))
+
+        return F.transform(places, one)
+
+    texts = docs.where(F.exists(lines, is_near))
+    rows = F.filter(F.transform(lines, lambda x: F.struct(words(x).alias("tokens"), is_near(x).alias("near"))), lambda r: F.size(r["tokens"]) > 0)
+    # the outer form, as Spark computes the array twice for the plain one, to filter by its size
+    return texts.select("doc_id", F.explode_outer(let(rows, reach)).alias("_a")).where("_a is not null").select("doc_id", "_a.*")
+
+
+def line_grams(tokens: Column) -> Column:
+    """The n-grams of lines, each with the first and the last line it is on."""
+    own = lambda t, i: F.transform(grams(t), lambda g: F.struct(g.alias("g"), i.alias("a"), i.alias("b")))
+    across = lambda t, i: F.struct(F.concat_ws(" ", F.element_at(t, -1), F.get(F.get(tokens, i + 1), F.lit(0))).alias("g"), i.alias("a"), (i + 1).alias("b"))
+    return F.flatten(F.transform(tokens, lambda t, i: F.when(i + 1 < F.size(tokens), F.concat(own(t, i), F.array(across(t, i)))).otherwise(own(t, i))))
+
+
+def runs(docs: DataFrame, model: Model) -> DataFrame:
+    """Runs of lines that hold enough of a template: doc_id, first, last, tokens, family, held (n-grams), contained."""
+    spark = docs.sparkSession
+    all_templates = known(spark)
+    listed = F.array(*[F.struct(F.lit(t.family).alias("family"), F.lit(needed(t)).alias("need"), F.array(*[F.lit(g) for g in t.grams]).alias("grams")) for t in all_templates])
+    near = around(docs, model).withColumn("all", line_grams(F.col("tokens")))
+    vocabulary = F.array(*[F.lit(g) for g in sorted({g for t in all_templates for g in t.grams})])
+    fit = let(F.array_intersect(F.col("all")["g"], vocabulary), lambda some: F.filter(listed, lambda t: F.size(F.array_intersect(t["grams"], some)) >= t["need"]))
+    found = staged(near.withColumn("fit", fit), "licence-near").where(F.size("fit") > 0)
+    one = found.select("doc_id", "first", "at", "tokens", F.transform("tokens", F.size).alias("sizes"), "all", F.explode("fit").alias("t"))
+    hits = F.filter("all", lambda x: F.array_contains(F.col("t.grams"), x["g"]))
+    one = one.select("doc_id", "first", "at", "tokens", "sizes", "t.family", "t.need", F.size("t.grams").alias("size"), hits.alias("hits"))
+    inside = lambda i, k: F.aggregate(F.slice("sizes", i + 2, F.greatest(k - i - 1, F.lit(0))), F.lit(0), lambda a, x: a + x)
+    held = lambda i, k: F.size(F.array_distinct(F.filter("hits", lambda x: (x["a"] >= i) & (x["b"] <= k))["g"]))
+    place = lambda i, k: F.when(inside(i, k) <= SPAN, F.struct(held(i, k).alias("held"), (i - k).alias("short"), (-i).alias("i")))
+    ends = F.sequence("at", F.size("tokens") - 1)
+    best = F.array_max(F.flatten(F.transform(F.sequence(F.lit(0), F.col("at")), lambda i: F.transform(ends, lambda k: place(i, k)))))
+    one = staged(one.withColumn("b", best).where(F.col("b.held") >= F.col("need")), "licence-runs")
+    first, length = -F.col("b.i"), 1 - F.col("b.short")
+    return one.select(
+        "doc_id", (F.col("first") + first).alias("first"), (F.col("first") + first + length - 1).alias("last"),
+        F.flatten(F.slice("tokens", first + 1, length)).alias("tokens"), "family", F.col("b.held").alias("held"), (F.col("b.held") / F.col("size")).alias("contained"),
+    )
+
+
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """Paragraphs with a licence: doc_id, para, family, probability, contained, confirmed."""
+    """Notices: doc_id, first, last (lines with words, from 0), family, probability, held, contained."""
     spark = docs.sparkSession
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    rows = docs.select("doc_id", F.posexplode(lines).alias("para", "line"))
-    near = rows.where(F.exists(loose_words(F.col("line")), lambda w: w.isin(*model.anchors))).select("doc_id", "para", words(F.col("line")).alias("tokens"))
-    found = near.select("doc_id", "para", F.explode(grams(F.col("tokens"))).alias("gram")).join(F.broadcast(model.table(spark)), "gram")
+    found = runs(docs, model)
+    by_run = ["doc_id", "first", "last"]
+    texts = found.groupBy(*by_run).agg(F.max("tokens").alias("tokens"))
+    weighed = texts.select(*by_run, F.explode(grams(F.col("tokens"))).alias("gram")).join(F.broadcast(model.table(spark)), "gram")
     sums = [F.sum(F.get("w", F.lit(i))).alias(f"_{i}") for i in range(len(model.labels))]
-    hits = F.array_sort(F.flatten(F.collect_list("templates")))
-    scored = staged(found.groupBy("doc_id", "para").agg(*sums, hits.alias("hits")), "licence-scores")
-    judged = scored.select("doc_id", "para", "hits", model.verdict([F.col(f"_{i}") for i in range(len(model.labels))]).alias("_r"))
-    judged = judged.select("doc_id", "para", "hits", F.col("_r.p").alias("probability"), F.col("_r.family").alias("family"))
-    judged = judged.where(F.col("probability") > model.cutoff)
-    # template comparison: the share of a template's n-grams that the paragraph holds, best of the family
-    sizes = templates(spark).select(F.concat_ws("/", "family", "template").alias("t"), F.col("family").alias("f"), F.size(grams(words(F.col("line")))).alias("size"))
-    shares = judged.select("doc_id", "para", "family", F.explode("hits").alias("t")).join(F.broadcast(sizes), "t").where(F.col("f") == F.col("family"))
-    shares = shares.groupBy("doc_id", "para", "t", "size").agg((F.count("*") / F.col("size")).alias("share")).groupBy("doc_id", "para").agg(F.max("share").alias("contained"))
-    whole = judged.drop("hits").join(shares, ["doc_id", "para"], "left")
-    return whole.withColumn("confirmed", F.coalesce(F.col("contained") >= CONTAINED, F.lit(False)))
+    judged = weighed.groupBy(*by_run).agg(*sums).select(*by_run, model.verdict([F.col(f"_{i}") for i in range(len(model.labels))]).alias("_r"))
+    judged = judged.select(*by_run, F.col("_r.p").alias("probability"), F.col("_r.family").alias("family")).where(F.col("probability") > model.cutoff)
+    shares = found.groupBy(*by_run, "family").agg(F.max("held").alias("held"), F.max("contained").alias("contained"))
+    sure = staged(judged.join(shares, [*by_run, "family"]), "licence-sure")
+    o = sure.select("doc_id", *[F.col(c).alias(f"_{c}") for c in ("first", "last", "family", "held", "contained")])
+    tighter = (F.col("_first") >= F.col("first")) & (F.col("_last") <= F.col("last")) & (F.col("_last") - F.col("_first") < F.col("last") - F.col("first")) & (F.col("_contained") >= F.col("contained"))
+    stronger = (F.col("_first") <= F.col("last")) & (F.col("_last") >= F.col("first")) & (F.col("_family") != F.col("family")) & (F.col("contained") < 1) & (F.col("_held") > F.col("held"))
+    gone = sure.join(o, "doc_id").where(tighter | stronger).select(*by_run).distinct()
+    return sure.join(gone, by_run, "left_anti")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per document its paragraphs, how many are confirmed licences, and their families."""
+    """Per document its paragraphs, its confirmed licence notices (overlapping runs are one), and their families."""
     docs = docs.select("doc_id", "text")
-    found = scan(docs, train(docs)).where("confirmed")
+    found = scan(docs, train(docs))
+    above = F.max("last").over(Window.partitionBy("doc_id").orderBy("first", "last", "family").rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("new", (F.col("first") > F.coalesce(above, F.lit(-1))).cast("long"))
     by_doc = found.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.countDistinct("para").alias("_n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("probability").alias("_p")
+        F.sum("new").alias("_n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("probability").alias("_p")
     )
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
     own = docs.select("doc_id", F.size(lines).cast("long").alias("n_paragraphs"))

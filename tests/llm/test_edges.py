@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -143,6 +144,34 @@ def test_licence_edges(spark, docs):
     assert by[50].families == "mit" and by[50].n_licensed == 1 and by[1].families == "" and by[4].n_paragraphs == 0
 
 
+def test_licence_wrapped(spark):
+    """Hard-wrapped notices, titles and SPDX lines; prose in their words is none."""
+    bodies = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    }
+    want, rows = {}, []
+    for family, body in bodies.items():
+        for width in (20, 45, 70):
+            for mark in ("", " * ", "# "):
+                text = "import os\n\n" + "\n".join(mark + x for x in textwrap.wrap(body, width)) + "\n\nx = 1\n"
+                want[len(rows)] = (family, 1)
+                rows.append((len(rows), text))
+    for family, text in (("mit", "The MIT License\n\nmore"), ("mit", "MIT License"), ("mit", "// SPDX-License-Identifier: MIT"), ("gpl", "# SPDX-License-Identifier: GPL-2.0-or-later"), ("apache-2.0", "/* SPDX-License-Identifier: Apache-2.0 */")):
+        want[len(rows)] = (family, 1)
+        rows.append((len(rows), text))
+    want[len(rows)] = ("bsd,mit", 2)
+    rows.append((len(rows), "Released under the MIT License.\nReleased under the BSD 3-Clause License."))
+    for text in ("He went to MIT.\nThe license of the driver was old.", "The permission of the museum\nis granted to the public\nfor any purpose.", "word\n" * 300):
+        want[len(rows)] = ("", 0)
+        rows.append((len(rows), text))
+    got = {r.doc_id: (r.families, r.n_licensed) for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_topk_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [0.5, -0.25]), (100, [1.0, 1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, []), (5, [nan, 0.0]), (6, [inf, 0.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
