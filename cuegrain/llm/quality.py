@@ -135,23 +135,28 @@ def thresholds(measured: DataFrame, labels: DataFrame) -> DataFrame:
     return best.where("b.gain > 0").select("stratum", "rule", F.col("b.cutoff").alias("cutoff"))
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Measures, `base_failed` and `kept` of every row of `docs` (doc_id, text, lang)."""
-    measured = staged(measures(docs.select("doc_id", "lang", "text")), "quality-measures")
+def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """`docs` (doc_id, lang, text, others) without its text, with measures, `base_failed` and `kept`."""
+    measured = staged(measures(docs), "quality-measures")
     chosen = thresholds(measured, labels).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
     chosen = staged(chosen.select("stratum", *[F.col(r).alias(f"_{r}") for r in RULES]), "quality-cutoffs")
     rejected = F.lit(False)
     for r in RULES:
         rejected = rejected | F.coalesce(per_thousand(r) > F.col(f"_{r}"), F.lit(False))
     joined = measured.join(chosen, F.coalesce("lang", F.lit("und")) == F.col("stratum"), "left")
-    judged = joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)
+
+
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Measures, `base_failed` and `kept` of every row of `docs` (doc_id, text, lang)."""
+    judged = _judged(docs.select("doc_id", "lang", "text"), labels)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that the rules keep. An id that several rows share goes if one of them is rejected."""
-    gone = judge(docs, labels).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of `docs` that the rules keep, each judged on its own; the row goes with its measures."""
+    rows = docs.select("doc_id", "lang", "text", F.struct(*docs.columns).alias("_row"))
+    return _judged(rows, labels).where("kept").select("_row.*")
 
 
 ORACLE = rf"""

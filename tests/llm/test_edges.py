@@ -90,6 +90,15 @@ def test_quality_edges(docs, labels):
     assert quality.keep(docs, labels).columns == docs.columns
 
 
+def test_quality_keeps_each_row(spark, labels):
+    """Rows without an id, or that share one, stand for themselves."""
+    clean = " ".join(f"word{i}" for i in range(30))
+    rows = [(None, clean), (None, "short"), (1, clean), (1, "short")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = quality.keep(docs, labels)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, clean), (1, clean)]
+
+
 def test_quality_measures_by_brute_force(spark, docs):
     texts = {r.doc_id: r.text for r in docs.where("doc_id <> 10").collect()}
     for r in quality.judge(docs, spark.createDataFrame([], "doc_id long, quality int")).where("doc_id is not null and doc_id <> 10").collect():
