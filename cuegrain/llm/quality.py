@@ -3,7 +3,8 @@
 Base measures are counted on each whole text. The method adds rules, each a measure in parts per
 thousand with a grid of cutoffs. On the labelled rows, for each stratum (language), rule and
 cutoff, the exact binomial upper bound of the share of good documents rejected must stay within
-RISK, at confidence 1 - DELTA shared evenly over all tests (Bonferroni). Among the cutoffs that
+RISK (in keep(), RISK / rules, so that RISK bounds all rules together; judge() follows its SQL
+twin, where it bounds each rule), at confidence 1 - DELTA shared evenly over all tests (Bonferroni). Among the cutoffs that
 pass, each rule takes the one with most bad minus COST times good rejections, the looser at a
 tie; a rule that gains nothing, or a stratum with too few labels, rejects nothing.
 
@@ -115,9 +116,11 @@ def tail(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(steps, start, add, lambda acc: acc["s"])
 
 
-def thresholds(measured: DataFrame, labels: DataFrame) -> DataFrame:
+def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK) -> DataFrame:
     """One row for each stratum and rule that rejects: the cutoff. Labelled rows that pass the base rule count.
 
+    `risk` bounds each rule; what several rules reject together is bounded by their sum.
+
     One row per stratum, rule and cutoff remains after partial aggregation, whatever the labels.
     """
     labelled = measured.where(~base_failed()).join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id")
@@ -129,16 +132,16 @@ def thresholds(measured: DataFrame, labels: DataFrame) -> DataFrame:
     tested = wide.select("stratum", "rule", "n", tests.alias("_t")).select("stratum", "rule", "n", "_t.*")
     everything = Window.partitionBy(F.lit(1))
     tested = tested.withColumn("tests", F.count("*").over(everything))
-    passing = tested.where((F.col("n") > 0) & (F.col("good") <= RISK * F.col("n"))).where(tail(F.col("good"), F.col("n"), RISK) <= DELTA / F.col("tests"))
+    passing = tested.where((F.col("n") > 0) & (F.col("good") <= risk * F.col("n"))).where(tail(F.col("good"), F.col("n"), risk) <= DELTA / F.col("tests"))
     gain = (F.col("bad") - COST * F.col("good")).alias("gain")
     best = passing.groupBy("stratum", "rule").agg(F.max(F.struct(gain, "cutoff")).alias("b"))
     return best.where("b.gain > 0").select("stratum", "rule", F.col("b.cutoff").alias("cutoff"))
 
 
-def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def _judged(docs: DataFrame, labels: DataFrame, risk: float = RISK) -> DataFrame:
     """`docs` (doc_id, lang, text, others) without its text, with measures, `base_failed` and `kept`."""
     measured = staged(measures(docs), "quality-measures")
-    chosen = thresholds(measured, labels).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
+    chosen = thresholds(measured, labels, risk).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
     chosen = staged(chosen.select("stratum", *[F.col(r).alias(f"_{r}") for r in RULES]), "quality-cutoffs")
     rejected = F.lit(False)
     for r in RULES:
@@ -154,9 +157,12 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that the rules keep, each judged on its own; the row goes with its measures."""
+    """The rows of `docs` that the rules keep, each judged on its own; the row goes with its measures.
+
+    Each rule has its part of RISK, so RISK bounds the good documents that all rules reject together.
+    """
     rows = docs.select("doc_id", "lang", "text", F.struct(*docs.columns).alias("_row"))
-    return _judged(rows, labels).where("kept").select("_row.*")
+    return _judged(rows, labels, RISK / len(RULES)).where("kept").select("_row.*")
 
 
 ORACLE = rf"""

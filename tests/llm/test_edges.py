@@ -99,6 +99,19 @@ def test_quality_keeps_each_row(spark, labels):
     assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, clean), (1, clean)]
 
 
+def test_quality_risk_is_for_all_rules(spark):
+    """2,000 good rows, 20 (1 %) beyond each of four rules' bounds: every rule is within 2 %, all four are not."""
+    clean = " ".join(f"word{i}" for i in range(30))
+    marks = {0: clean.replace("word", "##########"), 1: clean.replace("word", "WORDWORDWORD"), 2: clean.replace("word", "!!!!!!!!!!"), 3: "\n".join(["one two", "one two", *clean.split()[:8]])}
+    good = [marks[i // 20] if i < 80 else clean for i in range(2000)]
+    bad = [marks[i % 4] for i in range(4000)]
+    rows = [(i, t, "en") for i, t in enumerate(good + bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 2000)) for i in range(6000)], "doc_id long, quality int")
+    assert quality.keep(docs, labels).where("doc_id < 2000").count() >= 1960
+    assert quality.judge(docs, labels).where("kept and doc_id < 2000").count() < 1960  # as its SQL says
+
+
 def test_quality_measures_by_brute_force(spark, docs):
     texts = {r.doc_id: r.text for r in docs.where("doc_id <> 10").collect()}
     for r in quality.judge(docs, spark.createDataFrame([], "doc_id long, quality int")).where("doc_id is not null and doc_id <> 10").collect():
