@@ -1,11 +1,12 @@
-"""N-gram Jaccard join by a MinHash LSH forest, every match verified exactly.
+"""N-gram Jaccard join by MinHash LSH at the depth of a forest that meets the recall, every match verified exactly.
 
 Texts are sets of hashed runs of five words. Texts with one set are one class; its least id stands
-for it. Of each class a signature of TREES x DEEPEST minima is taken; a tree's label is its minima
-in order, and labels that share a prefix lie under one node of the tree's sorted trie. The prefix
-starts at the deepest level and is shortened until a pair of the threshold's similarity meets in
-some tree with at least the target recall: the largest depth k with 1 - (1 - s**k)**TREES >= RECALL
-(3 minima in 24 trees at 0.8: all but 4 in 10**8 pairs; pairs above the threshold meet more surely still).
+for it. Of each class a signature of TREES x k minima is taken, where k is the depth at which a
+forest's prefixes, shortened from DEEPEST, first let a pair of the threshold's similarity meet in
+some tree with at least the target recall: the largest k with 1 - (1 - s**k)**TREES >= RECALL (3
+minima in 24 trees at 0.8: all but 4 in 10**8 pairs; pairs above the threshold meet more surely
+still). The threshold is fixed, so k is too: deeper labels and tries are not built, and a tree is
+a band of k minima, its node the classes with one key.
 
 A node's classes are compared in units of two blocks, each block bounded in classes and shingles,
 so a node of any size is many tasks of bounded memory; each unit counts links and gives a row for
