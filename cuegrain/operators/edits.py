@@ -131,11 +131,17 @@ def split_once(text: Column, width: int = WIDTH) -> Column:
 
 
 def split_to_width(text: Column, width: int = WIDTH, rounds: int = 12) -> Column:
-    """Parts of a text within width, in order; each round cuts what is still too wide, so n widths need about log2(n)."""
+    """Parts of a text within width, in order; each round cuts what is still too wide, so n widths need about log2(n).
+
+    What the rounds leave too wide is cut on, once for each of its spaces at most.
+    """
     parts = F.array(text)
+    again = lambda p: F.flatten(F.transform(p, lambda t: split_once(t, width)))
     for _ in range(rounds):
-        parts = F.flatten(F.transform(parts, lambda t: split_once(t, width)))
-    return parts
+        parts = again(parts)
+    spaces = lambda t: F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
+    rest = lambda t: F.aggregate(F.sequence(F.lit(1), spaces(t)), F.array(t), lambda p, _: again(p))
+    return F.flatten(F.transform(parts, lambda t: F.when((F.length(t) > width) & (spaces(t) > 0), rest(t)).otherwise(F.array(t))))
 
 
 def blocks(paragraphs: DataFrame, width: int = WIDTH) -> DataFrame:
