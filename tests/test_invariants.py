@@ -121,11 +121,3 @@ def test_merge_of_one_sided_changes(spark):
     e = [("base", 1, 1, "a"), ("local", 1, 1, "b"), ("remote", 1, 1, "a"), ("base", 1, 2, "a"), ("local", 1, 2, "a"), ("base", 1, 3, "x"), ("local", 1, 3, "y"), ("remote", 1, 3, "z")]
     got = {r.turn: (r.v, r.deleted) for r in M.three_way_merge(spark.createDataFrame(e, "snapshot string, conv_id long, turn long, v string")).collect()}
     assert got == {1: ("b", False), 2: (None, True), 3: ("y", False)}
-
-
-def test_split_to_width_leaves_no_rest(spark):
-    from cuegrain.operators.edits import split_to_width
-
-    text = " ".join(f"w{i}" for i in range(60))
-    parts = spark.createDataFrame([(text,)], "t string").select(split_to_width(F.col("t"), 10, 1).alias("p")).first().p
-    assert " ".join(parts) == text and max(map(len, parts)) <= 10
