@@ -5,12 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word, as the contracts define it: a run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,10 +25,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str) -> Column:
+    """The column of that very name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(name: str, taken: Iterable[str]) -> str:
+    """`name` with as many underscores before it as no taken name bears, in any case of letters."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns of `df` but those named, in any case of letters."""
+    lower = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in lower]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one where none is set, as in tests."""
+    """The folder that the driver and all executors share.
+
+    Where none is set a temporary one serves a local master, as in tests; on a cluster that folder
+    would lie on single machines, so it is an error there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-cuegrain-")
         spark.sparkContext.setCheckpointDir(f"file://{found}")
         found = spark.sparkContext.getCheckpointDir()
@@ -59,6 +85,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, most: int = 1000) -> DataFrame:
+    """`left` with the row of `right` (one for each `key`) that has its key, if any; a key may be on any share of `left`.
+
+    `rows` counts a key's rows in `left`. Keys with a `most`-th part of all rows or more are at most
+    `most`, so their rows of `right` are broadcast; the other keys are joined by shuffle. A null key
+    finds nothing and is not shuffled.
+    """
+    total = left.count()
+    bound = max(2.0, total / most)
+    hot = F.broadcast(right.where(F.col(rows) >= bound).withColumn("_hot", F.lit(True)))
+    first = left.join(hot, key, "left")
+    rest = first.where(F.col("_hot").isNull() & F.col(key).isNotNull()).select(*left.columns).join(right.where(F.col(rows) < bound), key, "left")
+    done = first.where(F.col("_hot").isNotNull() | F.col(key).isNull()).drop("_hot")
+    return done.unionByName(rest)
+
+
 def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` bytes each; a longer text is a range of its own."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()

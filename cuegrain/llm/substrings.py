@@ -20,10 +20,15 @@ hold the corpus, so:
 
 Whole copies of an earlier text are told first, by SHA-256, and need no runs.
 
+Rows are told by their id and a hash of their text (`mark`), never by the id alone. Anchors on
+many rows of a sample are dealt over SALTS tasks: of the rows with one run each task keeps the
+earliest, and only those are compared over all tasks.
+
 Defined cases: a null text is empty; texts under LENGTH bytes keep all; rows that share an id
-and text are equally early and do not remove each other; a null id comes before all others; a
-text of any size is cut in segments with LENGTH - 1 bytes in common; other columns are not
-needed; an empty table gives an empty one.
+are in the order of their marks, and if they share the text too they are equally early, do not
+remove each other and keep the same; a null id comes before all others and is shared by all rows
+without one; a text of any size is cut in segments with LENGTH - 1 bytes in common; other columns
+are not needed; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,10 +38,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, ship, staged
+from .common import join_hot, pieces, ship, staged
 from .hashing import Rolling, mix
 from .suffixes import suffix_array
 
@@ -46,6 +51,8 @@ HALF = (LENGTH - ANCHOR) // 2
 TEXT, GROUP = 48_000, 256
 SEGMENT = 1 << 23
 NO_ID = -(1 << 63)
+#: Share of the rows sampled for anchors on many rows, the most rows of that sample, the share of its runs that is many, and tasks for each.
+SAMPLED, MOST_SAMPLED, MANY, SALTS = 0.01, 1_000_000, 1 / 2000, 256
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -109,7 +116,7 @@ def _covered(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.n
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """anchor, run, doc_id, place, stop of every run that is its document's first of that text.
+    """anchor, run, doc_id, mark, place, stop of every run that is its document's first of that text.
 
     place holds start, windows and anchor offset and sorts by start; stop is 0. Later runs of a text
     in one document, which periodic text has by the thousand, are removed for certain: they come as
@@ -119,47 +126,77 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in pieces(batch.column(1)):
-                doc, start, count, offset, anchor, text = runs(*_buffer(batch.column(1).slice(a, b - a)))
+            for a, b in pieces(batch.column(2)):
+                doc, start, count, offset, anchor, text = runs(*_buffer(batch.column(2).slice(a, b - a)))
                 order = np.lexsort((start, text, anchor, doc))
                 same = (doc[order][1:] == doc[order][:-1]) & (anchor[order][1:] == anchor[order][:-1]) & (text[order][1:] == text[order][:-1])
                 later = np.zeros(len(doc), dtype=bool)
                 later[order[1:][same]] = True
                 d, s, z = _covered(doc[later], start[later], start[later] + count[later] + LENGTH - 1)
                 first = ~later
-                ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64)
+                of = np.concatenate((doc[first], d))
                 columns = (
                     np.concatenate((anchor[first], mix(s.astype(np.uint64) + (d.astype(np.uint64) << np.uint64(32))))).view(np.int64),
                     np.concatenate((text[first].view(np.int64), np.zeros(len(d), dtype=np.int64))),
-                    ids[np.concatenate((doc[first], d))],
+                    *(batch.column(c).slice(a, b - a).to_numpy()[of] for c in (0, 1)),
                     np.concatenate(((start << 16 | count << 8 | offset)[first], s)),
                     np.concatenate((np.zeros(int(first.sum()), dtype=np.int64), z)),
                 )
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "run", "doc_id", "place", "stop"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "run", "doc_id", "mark", "place", "stop"])
+
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, "anchor long, run long, doc_id long, mark long, place long, stop long")
+
+
+def frequent_anchors(docs: DataFrame) -> DataFrame:
+    """Anchors of at least a share MANY of the runs of a sample: no more than 1 / MANY of them, whatever the table."""
+    share = min(SAMPLED, MOST_SAMPLED / max(docs.count(), 1))
+    some = occurrences(docs.where(F.pmod(F.xxhash64("doc_id", "mark", F.lit("anchors")), F.lit(1_000_003)) < int(1_000_003 * share) + 1))
+    counts = staged(some.where("stop = 0").groupBy("anchor").agg(F.count("*").alias("c")), "anchor-sample")
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    return counts.where(F.col("c") >= max(8.0, MANY * total)).select("anchor", F.lit(True).alias("frequent"))
+
 
-    return docs.mapInArrow(run, "anchor long, run long, doc_id long, place long, stop long")
+def _place_of(run: Column) -> tuple[Column, Column, Column]:
+    return run["doc_id"], run["mark"], run["place"]
 
 
-def compare_runs(found: DataFrame) -> DataFrame:
+def _is_later(first: Column) -> Column:
+    """Whether this run begins after `first`; windows give the rows that are equally early one first."""
+    (d, m, p), (fd, fm, fp) = (F.col("doc_id"), F.col("mark"), F.col("place")), _place_of(first)
+    return (d > fd) | (m > fm) & (d == fd) | (p > fp) & (m == fm) & (d == fd)
+
+
+def compare_runs(found: DataFrame, frequent: DataFrame) -> DataFrame:
     """Runs that an earlier equal one removes (`again`), and earliest ones whose anchor has other runs too."""
-    same = Window.partitionBy("anchor", "run").orderBy("doc_id", "place")
-    all_ = Window.partitionBy("anchor")
-    first = F.first(F.struct("doc_id", "place")).over(same)
-    marked = found.repartition("anchor").select("*", first.alias("_f"), (F.min("run").over(all_) != F.max("run").over(all_)).alias("_others"))
-    again = (F.col("stop") == 0) & ((F.col("doc_id") > F.col("_f.doc_id")) | (F.col("place") > F.col("_f.place")))
-    return marked.select("doc_id", "place", "stop", again.alias("again"), "_others").where("again or _others or stop > 0").drop("_others")
+    kept = ("doc_id", "mark", "place", "stop", "again")
+    salted = found.join(F.broadcast(frequent), "anchor", "left").withColumn("frequent", F.coalesce("frequent", F.lit(False)))
+    salted = salted.withColumn("salt", F.when(F.col("frequent"), F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SALTS))).otherwise(0))
+    same = Window.partitionBy("anchor", "salt", "run").orderBy("doc_id", "mark", "place")
+    all_ = Window.partitionBy("anchor", "salt")
+    first = F.first(F.struct("doc_id", "mark", "place")).over(same)
+    marked = salted.repartition("anchor", "salt").select("*", first.alias("_f"), (F.min("run").over(all_) != F.max("run").over(all_)).alias("others"))
+    marked = marked.withColumn("again", (F.col("stop") == 0) & _is_later(F.col("_f")))
+    some = marked.where("again or others or frequent or stop > 0").select("anchor", "run", *kept, (F.col("frequent") & ~F.col("again") & (F.col("stop") == 0)).alias("open"))
+    some = staged(some, "compared")
+    # what the tasks of a frequent anchor left: equal runs are few now, and which anchors have other runs is a small table
+    open_ = some.where("open")
+    others = open_.groupBy("anchor").agg((F.min("run") != F.max("run")).alias("others"))
+    over_all = Window.partitionBy("anchor", "run").orderBy("doc_id", "mark", "place")
+    rest = open_.withColumn("_f", F.first(F.struct("doc_id", "mark", "place")).over(over_all)).withColumn("again", _is_later(F.col("_f")))
+    rest = rest.join(F.broadcast(others), "anchor").where("again or others").select(*kept)
+    return some.where("not open").select(*kept).unionByName(rest)
 
 
 def halves(docs: DataFrame, varied: DataFrame) -> DataFrame:
-    """key, doc_id, start, piece: both halves of each varied run, keyed by anchor and half the bytes around it."""
-    by_doc = varied.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    joined = docs.join(by_doc, "doc_id").select("doc_id", "text", "places")
+    """key, doc_id, mark, start, piece: both halves of each varied run, keyed by anchor and half the bytes around it."""
+    by_doc = varied.groupBy("doc_id", "mark").agg(F.collect_set("place").alias("places"))
+    joined = docs.join(by_doc, ["doc_id", "mark"]).select("doc_id", "mark", "text", "places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in pieces(batch.column(1)):
-                buf, edges = _buffer(batch.column(1).slice(a, b - a))
-                lists = batch.column(2).slice(a, b - a)
+            for a, b in pieces(batch.column(2)):
+                buf, edges = _buffer(batch.column(2).slice(a, b - a))
+                lists = batch.column(3).slice(a, b - a)
                 sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
                 place = lists.flatten().to_numpy(zero_copy_only=False)
                 doc = np.repeat(np.arange(b - a), sizes)
@@ -169,7 +206,7 @@ def halves(docs: DataFrame, varied: DataFrame) -> DataFrame:
                 # windows that begin HALF or more bytes before the anchor, and the others
                 early = np.clip(offset - HALF + 1, 0, count)
                 rolling = Rolling(buf)
-                ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)[doc]
+                ids, marks = (batch.column(c).slice(a, b - a).to_numpy()[doc] for c in (0, 1))
                 for side, (some, first, number, left, right) in enumerate((
                     (early > 0, begin, early, anchor - HALF, anchor + ANCHOR),
                     (early < count, begin + early, count - early, anchor, anchor + ANCHOR + HALF),
@@ -180,10 +217,11 @@ def halves(docs: DataFrame, varied: DataFrame) -> DataFrame:
                     key = rolling.ranges(left[at], right[at]) ^ np.uint64(side)
                     raw = [buf[f : f + c + LENGTH - 1].tobytes() for f, c in zip(first[at].tolist(), number[at].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(ids[at].astype(np.int64)), pa.array((first - edges[doc])[at]), pa.array(raw, pa.binary())], names=["key", "doc_id", "start", "piece"]
+                        [pa.array(key.view(np.int64)), pa.array(ids[at]), pa.array(marks[at]), pa.array((first - edges[doc])[at]), pa.array(raw, pa.binary())],
+                        names=["key", "doc_id", "mark", "start", "piece"],
                     )
 
-    return joined.mapInArrow(cut, "key long, doc_id long, start long, piece binary")
+    return joined.mapInArrow(cut, "key long, doc_id long, mark long, start long, piece binary")
 
 
 def _merged(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,7 +234,7 @@ def _merged(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def sort_windows(pieces_: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Windows of the pieces in suffix order: document, start, class of equal windows, whether earliest, the text of earliest ones."""
+    """Windows of the pieces in suffix order: document (a number in their order), start, class of equal windows, whether earliest, the text of earliest ones."""
     size = np.array([len(p) for p in pieces_], dtype=np.int64)
     edges = np.concatenate(([0], np.cumsum(size + 1)))
     text = np.zeros(int(edges[-1]), dtype=np.int64)
@@ -224,55 +262,66 @@ def sort_windows(pieces_: list[bytes], doc: np.ndarray, start: np.ndarray) -> tu
 
 
 def compare_halves(cut: DataFrame) -> DataFrame:
-    """doc_id, start, stop: the windows of `cut` that an earlier equal one removes, as intervals."""
-    sizes = cut.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    """doc_id, mark, start, stop: the windows of `cut` that an earlier equal one removes, as intervals."""
+    sizes = staged(cut.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "half-sizes")
     parts = F.when(F.col("c") > GROUP, F.ceil(F.col("c") / GROUP)).otherwise(1)
-    dealt = cut.join(sizes, "key").withColumn("dealt", F.col("c") > GROUP).withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), parts))
-    dealt = staged(dealt.select("key", "part", "dealt", "doc_id", "start", "piece"), "halves")
+    dealt = join_hot(cut, sizes, "key", "c").where("c is not null").withColumn("dealt", F.col("c") > GROUP).withColumn("part", F.pmod(F.xxhash64("doc_id", "mark", "start"), parts))
+    dealt = staged(dealt.select("key", "part", "dealt", "doc_id", "mark", "start", "piece"), "halves")
     total = dealt.agg(F.sum(F.length("piece"))).first()[0] or 0
     bins = max(1, -(-total // TEXT))
 
     def sort(key: tuple, table: pa.Table) -> pa.Table:
-        doc, start = table["doc_id"].to_numpy(), table["start"].to_numpy()
+        ids, marks, start = (table[c].to_numpy() for c in ("doc_id", "mark", "start"))
+        by = np.lexsort((marks, ids))
+        new = np.concatenate(([True], (ids[by][1:] != ids[by][:-1]) | (marks[by][1:] != marks[by][:-1])))
+        doc = np.empty(len(ids), dtype=np.int64)
+        doc[by] = np.cumsum(new) - 1
+        ids, marks = ids[by][new], marks[by][new]
         split = table["dealt"].to_numpy(zero_copy_only=False)
         d, s, later, head, texts = sort_windows(table["piece"].to_pylist(), doc, start)
         out_doc, out_start, out_stop = _merged(d[later], s[later]) if later.any() else (d[:0], s[:0], s[:0])
-        names = ["doc_id", "start", "stop", "window"]
-        rows = pa.table([pa.array(out_doc), pa.array(out_start), pa.array(out_stop), pa.nulls(len(out_doc), pa.binary())], names=names)
+        names = ["doc_id", "mark", "start", "stop", "window"]
+        rows = pa.table([pa.array(ids[out_doc]), pa.array(marks[out_doc]), pa.array(out_start), pa.array(out_stop), pa.nulls(len(out_doc), pa.binary())], names=names)
         if split.any():
-            marks = pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary())
-            rows = pa.concat_tables([rows, pa.table([pa.array(d[head]), pa.array(s[head]), pa.array(s[head] + LENGTH), marks], names=names)])
+            texts_ = pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary())
+            rows = pa.concat_tables([rows, pa.table([pa.array(ids[d[head]]), pa.array(marks[d[head]]), pa.array(s[head]), pa.array(s[head] + LENGTH), texts_], names=names)])
         return rows
 
     # sorting takes long for its bytes, so the number of tasks is set here, not by their size
     keyed = dealt.withColumn("_bin", F.pmod(F.xxhash64("key", "part"), F.lit(bins))).repartition(min(-(-bins // 8), 50_000), "_bin")
-    found = staged(keyed.groupBy("_bin").applyInArrow(sort, "doc_id long, start long, stop long, window binary"), "removed-windows")
+    found = staged(keyed.groupBy("_bin").applyInArrow(sort, "doc_id long, mark long, start long, stop long, window binary"), "removed-windows")
     marked = found.where("window is not null")
-    first = marked.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("_f"), F.count("*").alias("_c")).where("_c > 1")
-    later = marked.join(first, "window").where("doc_id > _f.doc_id or start > _f.start")
-    return found.where("window is null").drop("window").unionByName(later.select("doc_id", "start", "stop"))
+    first = marked.groupBy("window").agg(F.min(F.struct("doc_id", "mark", "start")).alias("_f"), F.count("*").alias("_c")).where("_c > 1")
+    later = marked.join(first, "window").where(F.struct("doc_id", "mark", "start") > F.col("_f"))
+    return found.where("window is null").drop("window").unionByName(later.select("doc_id", "mark", "start", "stop"))
+
+
+def row_key() -> tuple[Column, Column]:
+    """What tells rows apart: the id, and a hash of the text among rows that share it."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, start, stop (bytes) of what an earlier equal string removes; intervals may overlap."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    named = staged(docs.where(F.octet_length("text") >= LENGTH).select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n")), "texts")
-    first = named.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("sha", "first")
-    whole = staged(named.join(first, "sha").where("doc_id > first").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")), "whole-copies")
-    others = docs.join(whole.select("doc_id").distinct(), "doc_id", "left_anti")
-    compared = staged(compare_runs(occurrences(others)), "runs")
+    """doc_id, mark, start, stop (bytes) of what an earlier equal string removes; intervals may overlap."""
+    docs = docs.select(*row_key(), F.coalesce("text", F.lit("")).alias("text"))
+    named = staged(docs.where(F.octet_length("text") >= LENGTH).select("doc_id", "mark", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n")), "texts")
+    first = staged(named.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1"), "first-copies")
+    whole = join_hot(named, first, "sha", "c").where("doc_id > first")  # copies with one id have one mark: equally early
+    whole = staged(whole.select("doc_id", "mark", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")), "whole-copies")
+    others = docs.join(whole.select("doc_id", "mark").distinct(), ["doc_id", "mark"], "left_anti")
+    compared = compare_runs(occurrences(others), frequent_anchors(docs))
     start, count = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255)
-    again = compared.where("again").select("doc_id", start.alias("start"), (start + count + (LENGTH - 1)).alias("stop"))
-    own = compared.where("stop > 0").select("doc_id", F.col("place").alias("start"), "stop")
-    varied = compared.where("not again and stop = 0").select("doc_id", "place")
+    again = compared.where("again").select("doc_id", "mark", start.alias("start"), (start + count + (LENGTH - 1)).alias("stop"))
+    own = compared.where("stop > 0").select("doc_id", "mark", F.col("place").alias("start"), "stop")
+    varied = compared.where("not again and stop = 0").select("doc_id", "mark", "place")
     return whole.unionByName(again).unionByName(own).unionByName(compare_halves(staged(halves(others, varied), "cut-runs")))
 
 
 def cut(docs: DataFrame, intervals: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes kept of each document."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    by_doc = intervals.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "stop")).alias("_s"))
-    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("_key")).join(by_doc, F.col("_key") == F.col("_id"), "left")
+    by_doc = intervals.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set(F.struct("start", "stop")).alias("_s"))
+    key, mark = row_key()
+    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("_id"), mark.alias("_mark")).join(by_doc, ["_id", "_mark"], "left")
     joined = joined.select("doc_id", "text", F.transform("_s", lambda x: x["start"]).alias("_a"), F.transform("_s", lambda x: x["stop"]).alias("_z"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -147,6 +147,23 @@ def test_substrings_of_a_common_passage(spark, monkeypatch):
     check_removed(spark, rows)
 
 
+def test_substrings_of_shared_ids(spark):
+    """Rows that share an id, or have none, stand each for themselves, in the order of the hashes of their texts."""
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    p, unique, other = text(90), text(90), text(60)
+    period = text(30) * 4
+    rows = [(1, p), (5, p), (5, "short"), (5, unique), (5, p + other), (None, period), (None, "tiny"), (None, period), (None, p[:200] + other), (7, period), (7, period)]
+    for i in range(60):  # a passage on many rows, so that its anchors are dealt over several tasks
+        rows.append((100 + i // 2, text(20) + unique + text(15)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = df.select("doc_id", "text", F.xxhash64("text").alias("mark")).collect()
+    order = sorted({(r.doc_id if r.doc_id is not None else substrings.NO_ID, r.mark, r.text) for r in marked})
+    brute = brute_removed([(n, t) for n, (_, _, t) in enumerate(order)])
+    want = sorted((i if i != substrings.NO_ID else -1, *brute[n]) for n, (i, m, t) in enumerate(order) for _ in range(sum(r.text == t and (r.doc_id if r.doc_id is not None else substrings.NO_ID) == i for r in marked)))
+    assert want == sorted((r.doc_id if r.doc_id is not None else -1, r.n_removed, bytes(r.kept)) for r in substrings.dedup(df).collect())
+
+
 def test_segments_join(monkeypatch):
     rng = np.random.default_rng(3)
     buf = rng.integers(97, 100, 5000).astype(np.uint8)
