@@ -1,17 +1,20 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Base measures are counted on each whole text. The method adds rules, each a measure in parts per
-thousand with a grid of cutoffs. On the labelled rows, for each stratum (language), rule and
+thousand with a grid of cutoffs. On the labelled texts, for each stratum (language), rule and
 cutoff, the exact binomial upper bound of the share of good documents rejected must stay within
-RISK (in keep(), RISK / rules, so that RISK bounds all rules together; judge() follows its SQL
-twin, where it bounds each rule), at confidence 1 - DELTA shared evenly over all tests (Bonferroni). Among the cutoffs that
-pass, each rule takes the one with most bad minus COST times good rejections, the looser at a
-tie; a rule that gains nothing, or a stratum with too few labels, rejects nothing.
+RISK / rules, at confidence 1 - DELTA shared evenly over all tests (Bonferroni). A document goes if
+any rule rejects it, so the shares of the rules add up: RISK bounds what a stratum loses to all of
+them. Among the cutoffs that pass, each rule takes the one with most bad minus COST times good
+rejections, the looser at a tie; a rule that gains nothing, or a stratum with too few labels (under
+about 2,000 good ones), rejects nothing. Copies of a text are one label, good if one of them is
+called so, since repeats are no independent evidence.
 
 Defined cases: a null text has no words and, like an empty one, fails the base rule; a null
-language is the stratum `und`; a null id, or labels for absent or repeated ids, count as they
-join; rows are judged each on their own; an empty table gives an empty one. A text's windows
-live in its row's memory; equal windows are told by 64-bit hashes.
+language is the stratum `und`; a null id has no label; labels for absent ids count nowhere, several
+for one text as one; rows are judged each on their own; columns of any name stay in keep(); an
+empty table gives an empty one. A text's windows live in its row's memory; equal windows are told
+by 64-bit hashes, copies of a text by one too.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, staged
+from .common import SPACE, col, staged
 
 RISK, DELTA, COST = 0.02, 0.05, 10
 WIDTH = 5
@@ -62,7 +65,8 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     blanks = " \t\n\x0b\f\r"
     solid = F.translate(t, blanks, "")
-    words = F.split(F.regexp_replace(t, f"^{SPACE}|{SPACE}$", ""), SPACE)
+    # \z and not $, which Java also finds before a last U+0085, U+2028 or U+2029: those are no white space here
+    words = F.split(F.regexp_replace(t, rf"\A{SPACE}|{SPACE}\z", ""), SPACE)
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, blanks, "")) > 0)
     spread = F.transform(F.array(F.struct(words.alias("w"), lines.alias("l"))), lambda s: F.struct(
         F.when(F.length(solid) > 0, F.size(s["w"])).otherwise(0).alias("n_words"),
@@ -117,13 +121,17 @@ def tail(k: Column, n: Column, p: float) -> Column:
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK) -> DataFrame:
-    """One row for each stratum and rule that rejects: the cutoff. Labelled rows that pass the base rule count.
+    """One row for each stratum and rule that rejects: the cutoff. Labelled texts that pass the base rule count.
 
-    `risk` bounds each rule; what several rules reject together is bounded by their sum.
+    `risk` bounds all rules together: each has an even part of it. `measured` has the columns of
+    measures(), doc_id, lang and copy, which copies of a text share.
 
     One row per stratum, rule and cutoff remains after partial aggregation, whatever the labels.
     """
+    risk = risk / len(RULES)
     labelled = measured.where(~base_failed()).join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id")
+    counted = ("n_words", "n_lines", "n_dup_lines", "n_repeat_words", "word_chars", "n_symbols", "n_capitals", "n_exclamations")
+    labelled = labelled.groupBy("copy", "lang", *counted).agg(F.max("quality").alias("quality"))  # copies have all of these alike
     scores = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), per_thousand(r).alias("score")) for r in RULES]))
     long = labelled.select(F.coalesce("lang", F.lit("und")).alias("stratum"), "quality", scores.alias("_s")).select("stratum", "quality", "_s.*")
     counts = [F.count_if((F.col("quality") == q) & (F.col("score") > c)).alias(f"{name}_{c}") for c in CUTOFFS for name, q in (("good", 1), ("bad", 0))]
@@ -138,10 +146,10 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk: float = RISK) -> Da
     return best.where("b.gain > 0").select("stratum", "rule", F.col("b.cutoff").alias("cutoff"))
 
 
-def _judged(docs: DataFrame, labels: DataFrame, risk: float = RISK) -> DataFrame:
+def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` (doc_id, lang, text, others) without its text, with measures, `base_failed` and `kept`."""
-    measured = staged(measures(docs), "quality-measures")
-    chosen = thresholds(measured, labels, risk).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
+    measured = staged(measures(docs.withColumn("copy", F.xxhash64("text"))), "quality-measures")
+    chosen = thresholds(measured, labels).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
     chosen = staged(chosen.select("stratum", *[F.col(r).alias(f"_{r}") for r in RULES]), "quality-cutoffs")
     rejected = F.lit(False)
     for r in RULES:
@@ -157,12 +165,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that the rules keep, each judged on its own; the row goes with its measures.
-
-    Each rule has its part of RISK, so RISK bounds the good documents that all rules reject together.
-    """
-    rows = docs.select("doc_id", "lang", "text", F.struct(*docs.columns).alias("_row"))
-    return _judged(rows, labels, RISK / len(RULES)).where("kept").select("_row.*")
+    """The rows of `docs` that the rules keep, each judged on its own; the row goes with its measures."""
+    rows = docs.select("doc_id", "lang", "text", F.struct(*map(col, docs.columns)).alias("_row"))
+    return _judged(rows, labels).where("kept").select("_row.*")
 
 
 ORACLE = rf"""
@@ -172,13 +177,13 @@ w as (select rid, doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w,
 win as (select rid, i, w[i:i + 4] g from (select rid, w, unnest(range(1, greatest(len(w) - 3, 1))) i from w)),
 dup as (select rid, i from (select *, count(*) over (partition by rid, g) c from win) where c > 1),
 cov as (select rid, count(distinct i + j)::bigint n from dup, (select unnest(range(0, 5)) j) group by rid),
-m as (select w.rid, doc_id, lang, len(w)::bigint n_words, len(l)::bigint n_lines, (len(l) - len(list_distinct(l)))::bigint n_dup_lines,
+m as (select w.rid, doc_id, lang, t, len(w)::bigint n_words, len(l)::bigint n_lines, (len(l) - len(list_distinct(l)))::bigint n_dup_lines,
     coalesce(cov.n, 0) n_repeat_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::bigint word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint n_symbols,
     (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::bigint n_capitals,
     (length(t) - length(regexp_replace(t, '!', '', 'g')))::bigint n_exclamations from w left join cov using (rid)),
-b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed, coalesce(lang, 'und') stratum from m),
-s as (select rid, doc_id, stratum, base_failed, unnest([
+b as (select *, dense_rank() over (order by t) text_no, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed, coalesce(lang, 'und') stratum from m),
+s as (select rid, doc_id, stratum, base_failed, text_no, unnest([
     {{'rule': 'symbols', 'score': coalesce(1000 * n_symbols // nullif(word_chars, 0), 0)}},
     {{'rule': 'duplicate_lines', 'score': coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0)}},
     {{'rule': 'repeats', 'score': coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0)}},
@@ -187,10 +192,11 @@ s as (select rid, doc_id, stratum, base_failed, unnest([
 c as (select unnest({list(CUTOFFS)}) cutoff),
 k as (select stratum, rule, cutoff, count(*) filter (quality = 1) n, count(*) filter (quality = 1 and score > cutoff) good,
     count(*) filter (quality = 0 and score > cutoff) bad
-    from s join labels using (doc_id), c where not base_failed and quality is not null group by all),
+    from (select text_no, stratum, rule, score, max(quality) quality from s join labels using (doc_id)
+        where not base_failed and quality is not null group by all), c group by all),
 t as (select *, count(*) over () tests from k),
-p as (select * from t where n > 0 and good <= {RISK} * n and
-    (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))
+p as (select * from t where n > 0 and good <= {RISK / len(RULES)} * n and
+    (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK / len(RULES)}) + (n - i) * ln(1 - {RISK / len(RULES)})))
      from (select unnest(range(0, good + 1)) i)) <= {DELTA} / tests),
 o as (select stratum, rule, max({{'gain': bad - {COST} * good, 'cutoff': cutoff}}) m from p group by all),
 x as (select distinct rid from s join o using (stratum, rule) where m.gain > 0 and score > m.cutoff)
