@@ -1,9 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Each task counts its training texts' n-grams by language and bucket; Spark adds the counts; the
-matrix of log-probabilities (BUCKETS x languages, at most MOST_LANGS) is broadcast, so its size
-has a fixed bound. Texts are scored in numpy, a batch at a time: each n-gram picks a row of the
-matrix, and rows are summed by text.
+matrix of log-probabilities (buckets x languages) is broadcast. It has at most MOST_CELLS cells:
+up to 512 languages have BUCKETS rows, beyond that each doubling of the languages halves the
+buckets, and no language is left out. Texts are scored in numpy, a batch at a time: each n-gram
+picks a row of the matrix, and rows are summed by text, PIECE n-grams at a time.
 
 Training reads a bounded sample: at most about MOST_TRAIN rows, chosen by a hash of their id from
 all rows that may be learned from. Every row is scored, on its whole text.
@@ -23,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, ship
+from .common import col, pieces, ship, unused, without
 from .hashing import mix
 
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3)
 SMOOTHING = 0.1
-MOST_TRAIN, MOST_LANGS = 20_000, 256
+MOST_TRAIN, MOST_CELLS, PIECE = 20_000, 1 << 25, 1 << 18
 
 _letters: list[np.ndarray] = []
 
@@ -61,6 +62,14 @@ def buckets(points: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (mix(key[at]) & np.uint64(BUCKETS - 1)).astype(np.int64), at + size - 1
 
 
+def buckets_for(langs: int) -> int:
+    """The most buckets, a power of two up to BUCKETS, whose matrix has no more than MOST_CELLS cells."""
+    size = BUCKETS
+    while size > 1 and size * langs > MOST_CELLS:
+        size //= 2
+    return size
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
@@ -96,12 +105,14 @@ def train(docs: DataFrame, most: int = MOST_TRAIN) -> tuple[list[str], np.ndarra
     counts = source.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counts.toArrow()
     names, lang = np.unique(np.array(found["lang"].to_pylist(), dtype=object), return_inverse=True) if found.num_rows else (np.array([]), np.array([], dtype=int))
-    table = np.zeros((BUCKETS + 1, len(names)))
-    table[found["bucket"].to_numpy(), lang] = found["n"].to_numpy()
-    best = np.sort(np.argsort(-table[BUCKETS], kind="stable")[:MOST_LANGS])
-    names, table = names[best], table[:, best]
-    prior = np.log(table[BUCKETS] / max(1.0, table[BUCKETS].sum()))
-    grams = np.log((table[:BUCKETS] + SMOOTHING) / (table[:BUCKETS].sum(axis=0) + SMOOTHING * BUCKETS))
+    size = buckets_for(len(names))
+    bucket, n = (found[c].to_numpy() for c in ("bucket", "n"))
+    rows = bucket == BUCKETS
+    documents = np.bincount(lang[rows], n[rows], minlength=len(names))
+    table = np.zeros((size, len(names)))
+    np.add.at(table, (bucket[~rows] & (size - 1), lang[~rows]), n[~rows])
+    prior = np.log(documents / max(1.0, documents.sum()))
+    grams = np.log((table + SMOOTHING) / (table.sum(axis=0) + SMOOTHING * size))
     return names.tolist(), np.vstack([grams, prior[None, :]]).astype(np.float32)
 
 
@@ -111,25 +122,27 @@ def score(texts: list[str | None], names: list[str], matrix: np.ndarray) -> tupl
     seen = np.zeros(len(texts), dtype=np.int64)
     for size in SIZES:
         found, at = buckets(points, size)
-        cuts = np.searchsorted(at, edges)
-        full = np.flatnonzero(np.diff(cuts))
-        if len(full):
-            total[full] += np.add.reduceat(matrix[found], cuts[full], axis=0, dtype=np.float64)
-        seen += np.diff(cuts)
+        found &= len(matrix) - 2
+        seen += np.diff(np.searchsorted(at, edges))
+        for i in range(0, len(found), PIECE):
+            cuts = np.searchsorted(at[i : i + PIECE], edges)
+            full = np.flatnonzero(np.diff(cuts))
+            total[full] += np.add.reduceat(matrix[found[i : i + PIECE]], cuts[full], axis=0, dtype=np.float64)
     if not names:
         return ["und"] * len(texts), np.zeros(len(texts))
-    total += matrix[BUCKETS]
+    total += matrix[-1]
     best = total.argmax(axis=1)
     share = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
     return [names[b] if n else "und" for b, n in zip(best, seen, strict=True)], np.where(seen > 0, share, 0.0)
 
 
 def predict(df: DataFrame, names: list[str], matrix: np.ndarray, text: str = "text") -> DataFrame:
-    """`df` without its text, with lang_pred and score."""
+    """`df` without its text, with lang_pred and score, which take the place of columns of that name."""
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((names, matrix))
-    rest = [c for c in df.columns if c not in (text, "lang_pred", "score")]
-    source = df.select(*rest, F.col(text).alias("_text"))
+    rest = without(df, text, "lang_pred", "score")
+    own = unused("_text", rest)
+    source = df.select(*map(col, rest), col(text).alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +152,7 @@ def predict(df: DataFrame, names: list[str], matrix: np.ndarray, text: str = "te
                 kept = [batch.column(i).slice(a, b - a) for i in range(len(rest))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, type=pa.string()), pa.array(scores)], names=[*rest, "lang_pred", "score"])
 
-    return source.mapInArrow(run, source.drop("_text").schema.add("lang_pred", "string").add("score", "double"))
+    return source.mapInArrow(run, df.select(*map(col, rest)).schema.add("lang_pred", "string").add("score", "double"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
