@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, ship
+from .common import col, pieces, ship, unused, without
 from .hashing import Rolling, mix
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -218,9 +218,9 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
     """
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-    keep = [c for c in df.columns if c not in (ids, decoded)]
+    keep = without(df, ids, *([decoded] if decoded else []))
     fields = [(ids, pa.list_(pa.int32()))] + ([(decoded, pa.large_binary())] if decoded else [])
-    source = df.select(*keep, F.col(text).alias("_text"))
+    source = df.select(*map(col, keep), col(text).alias(unused("_text", keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared)
@@ -235,7 +235,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
                 rest = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays(rest + out, names=keep + [f for f, _ in fields])
 
-    schema = source.drop("_text").schema.add(ids, T.ArrayType(T.IntegerType()))
+    schema = df.select(*map(col, keep)).schema.add(ids, T.ArrayType(T.IntegerType()))
     return source.mapInArrow(run, schema.add(decoded, "binary") if decoded else schema)
 
 
@@ -243,8 +243,8 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str
     """`df` with the bytes of each row's ids; null ids give no bytes. The ids must be the vocabulary's."""
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-    keep = [c for c in df.columns if c != decoded]
-    source = df.select(*keep, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("_ids"))
+    keep = without(df, decoded)
+    source = df.select(*map(col, keep), F.coalesce(col(ids), F.array().cast("array<int>")).alias(unused("_ids", keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared)
@@ -255,7 +255,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str
             out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns - 1)] + [out], names=[*keep, decoded])
 
-    return source.mapInArrow(run, source.drop("_ids").schema.add(decoded, "binary"))
+    return source.mapInArrow(run, df.select(*map(col, keep)).schema.add(decoded, "binary"))
 
 
 def digests(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
