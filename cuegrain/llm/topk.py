@@ -8,12 +8,14 @@ that gives every row's quantised score as slices again. The k-th largest is foun
 significant slice downward; rows whose score could still reach it once the bits left out are
 added back, the boundary, are selected by a second walk from the top and resolved exactly.
 
-Every pair of a query block and a candidate block is one row of work; each gives at most k rows
-a query, and Spark ranks those. Nothing grows with rows times queries but the bitmap work.
+The index stays where its blocks are dealt: it is shuffled once, and each block gets all packs of
+QUERIES_A_PACK queries, kept in as few bytes as the values need. A block gives at most k rows a
+query, and Spark ranks those. Nothing grows with rows times queries but the bitmap work.
 
 Defined cases: vectors that are null or empty, or hold a null or non-finite component, take no part as
 query or candidate, nor do those with a null id; only vectors of the query's length compare; rows
-that share the query's id are its own and are left out; equal rows beyond the first count once;
+that share the query's id are its own and are left out; repeated rows are candidates each; rows
+that share a query id and vector are one query, those that share only the id are queries each;
 ties go to the smaller id; fewer candidates than k give fewer rows; an empty table gives none.
 Scores must fit 64 bits.
 """
@@ -21,6 +23,7 @@ Scores must fit 64 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import ship, staged
 
-BLOCK, BITS, QUERIES_A_BLOCK = 8192, 8, 256
+BLOCK, BITS, QUERIES_A_PACK = 8192, 8, 2048
+MOST_TASKS = 20_000
 
 
 def integers(vector: Column, scale: int = 1024) -> Column:
@@ -39,10 +43,11 @@ def integers(vector: Column, scale: int = 1024) -> Column:
 
 
 class Slices:
-    """The index of one block: ids, whole values (rows x components) and bit slices of the leading bits."""
+    """The index of one block: ids, how often each row is there, whole values (rows x components) and bit slices of the leading bits."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
+    def __init__(self, ids: np.ndarray, values: np.ndarray, times: np.ndarray | None = None):
         self.ids, self.values = ids, values
+        self.times = np.ones(len(ids), dtype=np.int64) if times is None else times
         n, d = values.shape
         self.low = values.min(axis=0)
         above = values - self.low
@@ -115,21 +120,23 @@ class Slices:
                 equal &= ~sums[j]
         return np.flatnonzero(np.unpackbits((above | equal).view(np.uint8), bitorder="little"))
 
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best different rows: ids, scores, how often each is there."""
         rows = self.boundary(query, k + 1)  # one more: the query's own row may be among them
         rows = rows[self.ids[rows] != query_id]
         scores = self.values[rows] @ query
         best = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows][best], scores[best]
+        return self.ids[rows][best], scores[best], self.times[rows][best]
 
     def pack(self) -> dict[str, bytes]:
-        return {"ids": self.ids.tobytes(), "values": self.values.tobytes(), "slices": self.slices.tobytes(), "head": np.array([self.shift, *self.low], dtype=np.int64).tobytes()}
+        return {"ids": self.ids.tobytes(), "times": narrow(self.times), "values": narrow(self.values), "slices": self.slices.tobytes(), "head": np.array([self.shift, *self.low], dtype=np.int64).tobytes()}
 
     @classmethod
-    def unpack(cls, dim: int, ids: bytes, values: bytes, slices: bytes, head: bytes) -> Slices:
+    def unpack(cls, dim: int, ids: bytes, times: bytes, values: bytes, slices: bytes, head: bytes) -> Slices:
         self = cls.__new__(cls)
         self.ids = np.frombuffer(ids, dtype=np.int64)
-        self.values = np.frombuffer(values, dtype=np.int64).reshape(-1, dim)
+        self.times = widen(times, len(self.ids))
+        self.values = widen(values, len(self.ids) * dim).reshape(-1, dim)
         self.slices = np.frombuffer(slices, dtype=np.uint64).reshape(dim, BITS, -1)
         numbers = np.frombuffer(head, dtype=np.int64)
         self.shift, self.low = int(numbers[0]), numbers[1:]
@@ -139,6 +146,17 @@ class Slices:
         return self
 
 
+def narrow(values: np.ndarray) -> bytes:
+    """The values in the fewest bytes each that hold all of them."""
+    top = max(int(values.max(initial=0)), -int(values.min(initial=0)) - 1)
+    return values.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if top <= np.iinfo(t).max)).tobytes()
+
+
+def widen(raw: bytes, n: int) -> np.ndarray:
+    """The `n` values that narrow() packed."""
+    return np.frombuffer(raw, dtype=f"i{len(raw) // n}" if n else np.int64).astype(np.int64)
+
+
 def _matrix(table: pa.Table) -> np.ndarray:
     column = table["v"].combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), -1)
@@ -151,53 +169,72 @@ def build(vectors: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int]:
 
     def index(key: tuple, table: pa.Table) -> pa.Table:
         order = np.argsort(table["vec_id"].to_numpy(), kind="stable")
-        made = Slices(table["vec_id"].to_numpy()[order].astype(np.int64), _matrix(table)[order]).pack()
+        made = Slices(table["vec_id"].to_numpy()[order].astype(np.int64), _matrix(table)[order], table["times"].to_numpy()[order]).pack()
         return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32())} | {k: pa.array([v], pa.binary()) for k, v in made.items()})
 
-    keyed = vectors.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
-    return keyed.groupBy("dim", "block").applyInArrow(index, "dim int, block int, ids binary, values binary, slices binary, head binary"), blocks
+    # repeats of a row are one row with their number, so that no block is filled by them
+    counted = vectors.groupBy("vec_id", "v").agg(F.count("*").alias("times"))
+    keyed = counted.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
+    return keyed.groupBy("dim", "block").applyInArrow(index, "dim int, block int, ids binary, times binary, values binary, slices binary, head binary"), blocks
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The k best of `vectors` for each of `queries` (both vec_id, v of integers, distinct rows)."""
+    """The k best of `vectors` for each distinct row of `queries` (both vec_id and v, of integers)."""
     index, blocks = build(vectors)
     index = staged(index, "bit-slices")
-    asked = staged(queries, "bit-slice-queries")
-    groups = max(1, -(-asked.count() // QUERIES_A_BLOCK))
-    keyed = asked.withColumn("dim", F.size("v")).withColumn("_g", F.pmod(F.xxhash64("vec_id", "v", F.lit("q")), F.lit(groups)))
-    packed = keyed.groupBy("dim", "_g").agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
-    work = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index, ["dim", "block"])
-    work = work.repartition(max(1, min(groups * blocks, 100_000))).select("dim", "queries", "ids", "values", "slices", "head")
+    asked = staged(queries.distinct().withColumn("dim", F.size("v")), "bit-slice-queries")
+    n = asked.count()
+    # small tables are cut finer, so that there are some tens of tasks; a pack never exceeds its bound
+    packs = max(1, -(-n // QUERIES_A_PACK), min(-(-n // 32), -(-48 // blocks)))
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        row = {"dim": pa.array([key[0].as_py()], pa.int32()), "pack": pa.array([key[1].as_py()], pa.int32())}
+        made = (table["vec_id"].to_numpy().astype(np.int64).tobytes(), narrow(_matrix(table)))
+        return pa.table(row | {k: pa.array([v], pa.binary()) for k, v in zip(("queries", "asked"), made, strict=True)})
+
+    keyed = asked.withColumn("pack", F.pmod(F.xxhash64("vec_id", "v"), F.lit(packs)).cast("int"))
+    packed = staged(keyed.groupBy("dim", "pack").applyInArrow(pack, "dim int, pack int, queries binary, asked binary"), "bit-slice-packs")
+    # one task takes a block with some of its packs; each side is shuffled once, and the index is copied only where blocks are few
+    copies = max(1, min(packs, -(-48 // blocks)))
+    tasks = min(blocks * copies, MOST_TASKS)
+    left = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod("pack", F.lit(copies)))
+    right = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    keys = ["dim", "block", "part"]
+    work = left.repartition(tasks, *keys).hint("merge").join(right.repartition(tasks, *keys), keys)
+    work = work.select("dim", "queries", "asked", "ids", "times", "values", "slices", "head")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                dim, asked, *rest = (batch.column(c)[i].as_py() for c in range(6))
+                dim, queries, asked, *rest = (batch.column(c)[i].as_py() for c in range(8))
                 block = Slices.unpack(dim, *rest)
-                out: list[list] = [[], [], []]
-                for q in asked:
-                    ids, scores = block.top(q["vec_id"], np.array(q["v"], dtype=np.int64), k)
-                    out[0] += [q["vec_id"]] * len(ids)
-                    out[1] += ids.tolist()
-                    out[2] += scores.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
-
-    found = work.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                ids = np.frombuffer(queries, dtype=np.int64)
+                vectors = widen(asked, len(ids) * dim).reshape(-1, dim)
+                out: list[list[np.ndarray]] = [[] for _ in range(5)]
+                for q, v in zip(ids.tolist(), vectors, strict=True):
+                    found, scores, times = block.top(q, v, k)
+                    mark = int.from_bytes(blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True)
+                    for column, x in zip(out, (np.full(len(found), q), np.full(len(found), mark), found, scores, times), strict=True):
+                        column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vector", "vec_id", "score", "times"])
+
+    found = work.mapInArrow(run, "query_id long, vector long, vec_id long, score long, times long")
+    found = found.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.least("times", F.lit(k)))))  # no more than k of a row can count
+    order = Window.partitionBy("query_id", "vector").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """Queries: the rows whose id is divisible by `every`; candidates: every row."""
-    vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding")).alias("v")).where("v is not null and vec_id is not null").distinct()
+    vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding")).alias("v")).where("v is not null and vec_id is not null")
     return search(vectors, vectors.where(F.col("vec_id") % every == 0), k)
 
 
 ORACLE = """
-with v as (select distinct vec_id, list_transform(embedding, lambda x: floor(x::double * 1024)) v from embeddings
+with v as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 1024)) v from embeddings
     where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint score
-    from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(c.v) = len(q.v)),
-r as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::int rank from s)
+s as (select q.vec_id query_id, q.v, c.vec_id, list_inner_product(q.v, c.v)::bigint score
+    from (select distinct vec_id, v from v) q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(c.v) = len(q.v)),
+r as (select *, (row_number() over (partition by query_id, v order by score desc, vec_id))::int rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10
 """
