@@ -7,12 +7,14 @@ the words taken follow the target closely, since each class gives its share.
 
 The prefix sums are hierarchical: rows are counted per (source, size class, salt), a window over
 those counts gives where each such group begins, and a rank within the group gives the rest. The
-salt count follows the row count, so a source that holds most rows is ranked in many tasks.
+salt count follows the row count, so a source that holds most rows is ranked in many tasks. The
+salt is taken from the id, from the text where that is null, so rows without ids are dealt too.
 
 Defined cases: a null text has size 0; a null source is a source of its own, after all others;
 documents of size 0 and copies of a document are sampled like any other; a source whose sizes
-sum to 0 has target 0 and no copies; equal rows may swap places, which no output shows; other
-columns stay; an empty table gives an empty one.
+sum to 0 has target 0 and no copies; rows that share an id go by a hash of their texts, each with
+its own copies; equal rows may swap places, which no output shows; columns of any name stay; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, col, staged
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SEED = "mix-1"
@@ -58,17 +60,17 @@ def offset(src: Column) -> Column:
 
 
 def copies(df: DataFrame, id_col: str = "doc_id", most: float = 2.0) -> DataFrame:
-    """`df` (with src, size) with source_size, target and copies."""
+    """`df` (with src, size, mark, a hash of the text) with source_size, target and copies."""
     sized = df.withColumn("_class", size_class(F.col("size")))
     rows = sized.count()
     salts = max(1, min(MOST_SALTS, -(-rows // ROWS_A_SALT)))
-    sized = sized.withColumn("_salt", F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(salts)))
+    sized = sized.withColumn("_salt", F.pmod(F.coalesce(F.col(id_col).cast("long"), "mark"), F.lit(salts)))
     groups = sized.groupBy("src", "_class", "_salt").agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
     groups = staged(groups, "mix-groups")
     sources = targets(groups.groupBy("src").agg(F.sum("_size").alias("source_size"))).select("src", "source_size", "target")
     before = Window.partitionBy("src").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n", "_size").join(sources, "src")
-    order = Window.partitionBy("src", "_class", "_salt").orderBy("size", id_col)
+    order = Window.partitionBy("src", "_class", "_salt").orderBy("size", id_col, "mark")
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = lambda i: F.floor(offset(F.col("src")) + step * i)
     ranked = sized.join(starts, ["src", "_class", "_salt"]).withColumn("_i", F.col("_before") + F.row_number().over(order))
@@ -87,22 +89,25 @@ def plan(docs: DataFrame) -> DataFrame:
         "doc_id",
         source_key(F.col("source")).alias("src"),
         F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64("text").alias("mark"),
     )
     return copies(staged(small, "mix-sizes"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """`docs` mixed: each row as often as its copies; rows of documents without copies go.
+    """`docs` mixed: each row as often as its copies; rows without copies go.
 
-    The plan is joined back by id; ids that several rows share take their copies one by one.
+    Whole rows are ranked in their salted groups, so they are shuffled once and need no join by id.
     """
-    twin = Window.partitionBy("doc_id").orderBy("size", "src", "copies")
-    share = plan(docs).withColumn("_twin", F.row_number().over(twin)).select("doc_id", "_twin", "copies")
-    own = Window.partitionBy("doc_id").orderBy(F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)), source_key(F.col("source")))
-    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l._twin") == F.col("r._twin"))
-    both = docs.withColumn("_twin", F.row_number().over(own)).alias("l").join(share.where("copies > 0").alias("r"), same)
-    rows = both.select(*[F.col(f"l.`{c}`") for c in docs.columns], F.col("r.copies").alias("_copies"))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    sized = docs.select(
+        "doc_id",
+        source_key(F.col("source")).alias("src"),
+        F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64("text").alias("mark"),
+        F.struct(*map(col, docs.columns)).alias("_row"),
+    )
+    chosen = copies(sized).where("copies > 0")
+    return chosen.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
