@@ -9,17 +9,30 @@ from ..functions.text import norm_word
 from .cues import cps100, duration
 
 
+#: The most buckets that a row is dealt into, and the buckets of longer rows.
+MOST_BUCKETS = 1000
+LONG_LEFT, LONG_RIGHT = -(1 << 62), -(1 << 62) + 1
+
+
 def interval_join(left: DataFrame, right: DataFrame, closed: bool = False, bucket_ms: int = 10_000, how: str = "inner") -> DataFrame:
     """Rows of one video whose [start_ms, end_ms] overlap; `right` has r_start, r_end and its own columns.
 
     Both sides are dealt into time buckets, so the range join is an equi join on (video, bucket); a
-    pair that shares several buckets is kept in the first of them only.
+    pair that shares several buckets is kept in the first of them only. Rows over MOST_BUCKETS long,
+    such as one corrupt end time makes, are not dealt: they meet every row of their video in a
+    bucket of its own kind, the left ones in LONG_LEFT, the right ones also in LONG_RIGHT.
     """
-    buckets = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / bucket_ms), F.floor(F.greatest(F.col(a), F.col(z)) / bucket_ms)))
-    a = left.withColumn("_b", buckets("start_ms", "end_ms"))
-    b = right.withColumn("_b", buckets("r_start", "r_end"))
+    first, last = lambda a: F.floor(F.col(a) / bucket_ms), lambda a, z: F.floor(F.greatest(F.col(a), F.col(z)) / bucket_ms)
+    long_ = lambda a, z: last(a, z) - first(a) >= MOST_BUCKETS
+
+    def buckets(a: str, z: str, short: int, long: list[int]) -> Column:
+        dealt = F.concat(F.sequence(first(a), last(a, z)), F.array(F.lit(short).cast("long")))
+        return F.explode(F.when(long_(a, z), F.array(*[F.lit(x).cast("long") for x in long])).otherwise(dealt))
+
+    a = left.withColumn("_b", buckets("start_ms", "end_ms", LONG_RIGHT, [LONG_LEFT]))
+    b = right.withColumn("_b", buckets("r_start", "r_end", LONG_LEFT, [LONG_LEFT, LONG_RIGHT]))
     meet = (F.col("r_end") >= F.col("start_ms")) & (F.col("r_start") <= F.col("end_ms")) if closed else (F.col("start_ms") < F.col("r_end")) & (F.col("end_ms") > F.col("r_start"))
-    pairs = a.join(b, ["video_id", "_b"]).where(meet & (F.col("_b") == F.floor(F.greatest("start_ms", "r_start") / bucket_ms)))
+    pairs = a.join(b, ["video_id", "_b"]).where(meet & ((F.col("_b") <= LONG_RIGHT) | (F.col("_b") == F.floor(F.greatest("start_ms", "r_start") / bucket_ms))))
     if how == "inner":
         return pairs.drop("_b")
     keys = ["video_id", "idx"]
@@ -113,7 +126,9 @@ def remap(points: DataFrame, anchors: DataFrame, reach: int = 2000) -> DataFrame
     )
     order = Window.partitionBy("video_id").orderBy("t", "k")
     lo = F.last("a", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first("a", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # from the end backwards, so that the frame only grows
+    back = Window.partitionBy("video_id").orderBy(F.desc("t"), F.desc("k"))
+    hi = F.last("a", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     placed = both.withColumn("lo", lo).withColumn("hi", hi).where("k = 0").join(edges, "video_id")
     trunc = lambda x: x.cast("bigint")
     ratio = lambda a, b: (b["s"] - a["s"]) / (b["p"] - a["p"])

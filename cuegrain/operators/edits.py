@@ -77,23 +77,26 @@ def similar_blocks(old: DataFrame, new: DataFrame, share: int = 50) -> DataFrame
     return scored.withColumn("a", best("old", "new")).withColumn("b", best("new", "old")).where("a = 1 and b = 1").select("video_id", "old", "new", "score")
 
 
-def split_spans(spans: DataFrame, pauses: DataFrame, parts: int = 3, margin: int = 200) -> DataFrame:
+def split_spans(spans: DataFrame, pauses: DataFrame, parts: int | None = 3, margin: int = 200) -> DataFrame:
     """Each span cut into `parts` at its longest inner pauses, evenly where there are too few.
 
-    spans: video_id, idx, start_ms, end_ms; pauses: video_id, r_start, r_end. One row a part.
+    spans: video_id, idx, start_ms, end_ms, and their own `parts` if none are given; pauses:
+    video_id, r_start, r_end. One row a part.
     """
     from .align import interval_join
 
+    if parts is not None:
+        spans = spans.withColumn("parts", F.lit(parts))
     inner = interval_join(spans, pauses).where((F.col("start_ms") + margin <= F.col("r_start")) & (F.col("r_end") <= F.col("end_ms") - margin))
     rank = F.row_number().over(Window.partitionBy("video_id", "idx").orderBy(F.desc(F.col("r_end") - F.col("r_start")), "r_start"))
-    chosen = inner.withColumn("r", rank).where(F.col("r") < parts).groupBy("video_id", "idx").agg(F.array_sort(F.collect_list(F.struct(F.col("r_start").alias("a"), F.col("r_end").alias("z")))).alias("cuts"))
-    j = spans.join(chosen, ["video_id", "idx"], "left").withColumn("by_pause", F.coalesce(F.size("cuts") == parts - 1, F.lit(False)))
-    step = F.expr(f"(end_ms - start_ms) div {parts}")
-    even = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.struct((F.col("start_ms") + step * i).alias("a"), (F.col("start_ms") + step * i).alias("z")))
-    j = j.withColumn("cuts", F.when(F.col("by_pause"), F.col("cuts")).otherwise(even))
-    p = j.select("video_id", "idx", "start_ms", "end_ms", "by_pause", "cuts", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    chosen = inner.withColumn("r", rank).where(F.col("r") < F.col("parts")).groupBy("video_id", "idx").agg(F.array_sort(F.collect_list(F.struct(F.col("r_start").alias("a"), F.col("r_end").alias("z")))).alias("cuts"))
+    j = spans.join(chosen, ["video_id", "idx"], "left").withColumn("by_pause", (F.col("parts") == 1) | F.coalesce(F.size("cuts") == F.col("parts") - 1, F.lit(False)))
+    step = F.expr("(end_ms - start_ms) div parts")
+    even = F.transform(F.slice(F.sequence(F.lit(1), F.col("parts")), 1, F.col("parts") - 1), lambda i: F.struct((F.col("start_ms") + step * i).alias("a"), (F.col("start_ms") + step * i).alias("z")))
+    j = j.withColumn("cuts", F.when(F.col("by_pause") & F.col("cuts").isNotNull(), F.col("cuts")).otherwise(even))
+    p = j.select("video_id", "idx", "start_ms", "end_ms", "by_pause", "parts", "cuts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     begin = F.when(F.col("part") == 0, F.col("start_ms")).otherwise(F.get("cuts", F.col("part") - 1)["z"])
-    end = F.when(F.col("part") == parts - 1, F.col("end_ms")).otherwise(F.get("cuts", F.col("part"))["a"])
+    end = F.when(F.col("part") == F.col("parts") - 1, F.col("end_ms")).otherwise(F.get("cuts", F.col("part"))["a"])
     return p.select("video_id", "idx", "part", begin.alias("a_ms"), end.alias("z_ms"), "by_pause")
 
 
@@ -130,12 +133,21 @@ def split_once(text: Column, width: int = WIDTH) -> Column:
     return F.when((F.length(text) <= width) | (F.instr(text, " ") == 0), F.array(text)).otherwise(let(F.split(text, " "), choose))
 
 
-def split_to_width(text: Column, width: int = WIDTH, rounds: int = 12) -> Column:
-    """Parts of a text within width, in order; each round cuts what is still too wide, so n widths need about log2(n)."""
-    parts = F.array(text)
-    for _ in range(rounds):
-        parts = F.flatten(F.transform(parts, lambda t: split_once(t, width)))
-    return parts
+def split_to_width(text: Column, width: int = WIDTH) -> Column:
+    """Parts of a text within width, in order; single words stay whole.
+
+    Each round cuts all that is still too wide, so n widths take about log2(n) rounds; the rounds
+    stop when nothing is left to cut, at the latest after as many as there are spaces.
+    """
+    wide = lambda t: (F.length(t) > width) & (F.instr(t, " ") > 0)
+    state = lambda parts: F.struct(parts.alias("parts"), (~F.exists(parts, wide)).alias("done"))
+    spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+
+    def cut(now: Column, _: Column) -> Column:
+        return F.when(now["done"], now).otherwise(let(F.flatten(F.transform(now["parts"], lambda t: split_once(t, width))), state))
+
+    rounds = F.when(wide(text), F.sequence(F.lit(1), F.greatest(spaces, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(rounds, state(F.array(text)), cut, lambda now: now["parts"])
 
 
 def blocks(paragraphs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Common words that are no terms.
@@ -17,16 +17,24 @@ def known_terms(glossary: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, known: DataFrame, least: int = 2) -> DataFrame:
-    """Capitalised words inside sentences, and pairs of them, that a document uses at least twice and the glossary lacks."""
-    sent = docs.select("doc_id", F.posexplode(F.split("text", r"[.!?]+[ \t\n]+")).alias("s", "sentence"))
+    """Capitalised words inside sentences, and pairs of them, that a document uses at least twice and the glossary lacks.
+
+    A word and its neighbour are seen in their sentence's array, so only candidates become rows.
+    """
+    # what a term cannot hold becomes a mark, so that words keep their places until it is taken out
+    sent = docs.select("doc_id", F.explode(F.split(F.regexp_replace("text", "[^a-zA-Z'.!? \t\n-]", "\u0001"), r"[.!?]+[ \t\n]+")).alias("sentence"))
+    sent = sent.where(F.col("sentence").rlike("[A-Z]"))
     words = F.filter(F.split("sentence", r"[ \t\n]+"), lambda w: w != "")
-    w = sent.select("doc_id", "s", F.size(words).alias("n"), F.posexplode(words).alias("i", "w")).withColumn("c", F.regexp_replace("w", "[^a-zA-Z'-]", ""))
-    w = w.withColumn("next", F.lead("c").over(Window.partitionBy("doc_id", "s").orderBy("i")))
-    cap = lambda c: F.col(c).rlike("^[A-Z]")
-    inside = w.where((F.length("c") >= 3) & (F.col("i") > 0) & cap("c"))
-    single = inside.where(~F.lower("c").isin(*STOPWORDS)).select("doc_id", F.col("c").alias("term"))
-    pairs = inside.where((F.col("i") < F.col("n") - 1) & cap("next")).select("doc_id", F.concat_ws(" ", "c", "next").alias("term"))
-    found = single.unionByName(pairs).withColumn("key", F.lower("term"))
+    clean = sent.select("doc_id", F.transform(words, lambda w: F.translate(w, "\u0001.!?", "")).alias("c"))
+    capital = lambda w: F.coalesce(F.substring(w, 1, 1).between("A", "Z"), F.lit(False))
+
+    def terms(c: Column, i: Column) -> Column:
+        after = F.get("c", i + 1)
+        single = F.when(~F.lower(c).isin(*STOPWORDS), c)
+        pair = F.when(capital(after), F.concat_ws(" ", c, after))
+        return F.when((i > 0) & (F.length(c) >= 3) & capital(c), F.array(single, pair))
+
+    found = clean.select("doc_id", F.explode(F.array_compact(F.flatten(F.array_compact(F.transform("c", terms))))).alias("term")).withColumn("key", F.lower("term"))
     fresh = found.join(known.withColumnRenamed("term", "key"), "key", "left_anti")
     return fresh.groupBy("doc_id", "term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 

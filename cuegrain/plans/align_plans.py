@@ -9,6 +9,7 @@ from .. import views as V
 from ..operators import align as A
 from ..operators import cues as C
 from ..operators import quality as Q
+from ..staging import staged
 from .cue_plans import LAG, STATS
 from .registry import plan
 
@@ -57,12 +58,13 @@ REMAP = f"""with a as ({ANCHORS}), e as (select video_id, list(p order by p) ps,
       when t = ps[1] then ss[1] else trunc(ls + (t - lp) / (hp - lp) * (hs - ls))::bigint end mapped from hi join e on e.video_id = hi.video_id)"""
 plan("j5_remap_timeline", "cues cues_b", REMAP + """ select video_id, idx, start_ms, case when z <= start_ms then start_ms + 1 else z end end_ms from
     (select video_id, idx, max(mapped) filter (k = 'a') start_ms, max(mapped) filter (k = 'z') z from m group by all) where start_ms is not null and z is not null""")(
-    lambda s, d: A.remap_cues(V.cues(s, d), A.anchor_map(V.cues(s, d), V.second_recording(V.cues(s, d))))
+    lambda s, d: remapped(s, d).select("video_id", "idx", "start_ms", "end_ms")
 )
 
 
 def remapped(s, d):
-    return A.remap_cues(V.cues(s, d), A.anchor_map(V.cues(s, d), V.second_recording(V.cues(s, d)))).join(V.cues(s, d).select("video_id", "idx", "text"), ["video_id", "idx"])
+    cues = staged(V.cues(s, d), "cues")
+    return A.remap_cues(cues, A.anchor_map(cues, V.second_recording(cues))).join(cues.select("video_id", "idx", "text"), ["video_id", "idx"])
 
 
 plan("c3_remap_recording", "cues cues_b", REMAP + f""", r as (select video_id, idx, text, a start_ms, case when z <= a then a + 1 else z end end_ms from

@@ -12,8 +12,10 @@ from ..operators import cues as C
 from ..operators import edits as E
 from ..operators import quality as Q
 from ..operators import validate as K
+from ..staging import staged
 from .cue_plans import LEAD, STATS, V_
 from .registry import plan
+from .state_plans import FIELD, dirty, typo
 
 plan("j13_strip_phrases", "cues", """select video_id, idx, cut <> text touched, case when cut <> text then trim(regexp_replace(cut, ' {2,}', ' ', 'g')) else text end as text from (select *, regexp_replace(text, '(?i)the thin|thand|er', '', 'g') cut from cues)""")(
     lambda s, d: E.strip_phrases(V.cues(s, d).select("video_id", "idx", "text"), ["er", "the thin", "Thand"])
@@ -46,14 +48,16 @@ def fragments(s, d):
     return changed.select("video_id", "para_idx", E.minimal_fragment(F.col("old"), F.col("new")).alias("f")).select("video_id", "para_idx", "f.*")
 
 
-plan("j26_block_run_in_cues", "cues", """with b as (select video_id, idx // 50 list_id, (row_number() over (partition by video_id, idx // 50 order by idx))::int id, text from cues where idx % 50 between 10 and 12), n as (select list_id, video_id, count(*) n from b group by all),
+plan("j26_block_run_in_cues", "cues", """with b as (select video_id, idx // 3 list_id, (row_number() over (partition by video_id, idx // 3 order by idx))::int id, text from (select * replace (case when idx % 50 = 29 then text || ' -' else text end as text) from cues)), n as (select list_id, video_id, count(*) n from b group by all),
     h as (select list_id, b.video_id, idx - id shift, count(*) c, min(idx) first_idx from b join cues c on c.video_id = b.video_id and c.text = b.text group by all) select list_id, video_id, min(first_idx) first_idx from h join n using (list_id, video_id) where c = n group by all""")(
     lambda s, d: E.block_runs(some_blocks(s, d), V.cues(s, d))
 )
 
 
 def some_blocks(s, d):
-    c = V.cues(s, d).where("idx % 50 between 10 and 12").withColumn("list_id", F.expr("idx div 50"))
+    """Lists of three neighbouring cues, all of them; one cue in fifty is edited, so its list is found nowhere."""
+    text = F.when(F.col("idx") % 50 == 29, F.concat("text", F.lit(" -"))).otherwise(F.col("text"))
+    c = V.cues(s, d).withColumn("list_id", F.expr("idx div 3")).withColumn("text", text)
     return c.select("video_id", "list_id", F.row_number().over(Window.partitionBy("video_id", "list_id").orderBy("idx")).alias("id"), "text")
 
 
@@ -91,7 +95,7 @@ BLOCKS = f"""recursive cut as (select video_id, para_idx, s_idx::bigint s_idx, [
 
 
 plan("w31_blocks_from_paragraphs", "sentences", "with " + BLOCKS + " select * from bl")(lambda s, d: E.blocks(V.paragraphs(s, d)))
-plan("f9_split_to_width")(lambda s, d: V.paragraphs(s, d).select("video_id", "para_idx", F.posexplode(E.split_to_width(F.col("text"))).alias("i", "part")))
+plan("f9_split_to_width", "paragraphs", "with " + BLOCKS.replace("select video_id, para_idx, s_idx::bigint s_idx, [0] path, text from sentences", "select video_id, para_idx, 0::bigint s_idx, [0] path, text from paragraphs") + " select video_id, para_idx, (row_number() over (partition by video_id, para_idx order by id) - 1)::int i, text part from bl")(lambda s, d: V.paragraphs(s, d).select("video_id", "para_idx", F.posexplode(E.split_to_width(F.col("text"))).alias("i", "part")))
 
 
 def built(s, d):
@@ -117,7 +121,8 @@ plan("a11_changed_talks", "cues edited_cues paragraphs", f"""with {EDITED}, c as
 
 def changed(s, d):
     """Videos with edited cues, edited transcripts or both: a union of the two change sets."""
-    c = V.cues(s, d).select("video_id", "idx", "text").exceptAll(V.edited_cues(V.cues(s, d)).select("video_id", "idx", "text")).select("video_id", F.lit(True).alias("c"), F.lit(False).alias("t"))
+    cues = staged(V.cues(s, d), "cues")
+    c = cues.select("video_id", "idx", "text").exceptAll(V.edited_cues(cues).select("video_id", "idx", "text")).select("video_id", F.lit(True).alias("c"), F.lit(False).alias("t"))
     t = E.paragraph_diff(V.paragraphs(s, d), edited_paragraphs(s, d)).select("video_id", F.lit(False).alias("c"), F.lit(True).alias("t"))
     return c.unionByName(t).groupBy("video_id").agg(F.bool_or("c").alias("cues_edited"), F.bool_or("t").alias("transcript_edited"))
 
@@ -197,8 +202,8 @@ def marker_tables(s, d):
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "l"))), lambda x: x["l"]), "\n").alias("file"))
 
 
-plan("k4_export_timing")(lambda s, d: V.words(V.cues(s, d)).groupBy("video_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("cue_idx", "w_pos", F.col("word").alias("w"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e")))), lambda x: F.struct(x["w"].alias("w"), x["s"].alias("s"), x["e"].alias("e")))).alias("timing")))
-plan("f14_clean_edited", "", "select doc_id, trim(regexp_replace(regexp_replace(text, '[\t\n\r]+', ' ', 'g'), ' {2,}', ' ', 'g')) as text from documents")(lambda s, d: V.table(s, d, "documents").select("doc_id", T.clean_edited(F.col("text"), F.lit(False)).alias("text")))
+plan("k4_export_timing", "words", "select video_id, '[' || string_agg('{' || chr(34) || 'w' || chr(34) || ':' || to_json(word)::varchar || ',' || chr(34) || 's' || chr(34) || ':' || start_ms || ',' || chr(34) || 'e' || chr(34) || ':' || end_ms || '}', ',' order by cue_idx, w_pos) || ']' timing from words group by 1")(lambda s, d: V.words(V.cues(s, d)).groupBy("video_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("cue_idx", "w_pos", F.col("word").alias("w"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e")))), lambda x: F.struct(x["w"].alias("w"), x["s"].alias("s"), x["e"].alias("e")))).alias("timing")))
+plan("f14_clean_edited", "", f"select doc_id, case when lang = 'en' then {typo(FIELD)} else {FIELD} end as text from documents")(lambda s, d: dirty(s, d).select("doc_id", T.clean_edited(F.col("text"), F.col("lang") == "en").alias("text")))
 plan("f16_validate_ids", "", r"select page_id, regexp_matches(url, '^https?://[a-z0-9.-]+/') good_url, regexp_matches(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]+)/?$', 1), '^[A-Za-z0-9][A-Za-z0-9-]*$') good_slug from pages")(
     lambda s, d: V.table(s, d, "pages").select("page_id", F.col("url").rlike("^https?://[a-z0-9.-]+/").alias("good_url"), F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "([^/]+)/?$", 1).rlike("^[A-Za-z0-9][A-Za-z0-9-]*$").alias("good_slug"))
 )

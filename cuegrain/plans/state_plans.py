@@ -13,6 +13,7 @@ from ..operators import pages as P
 from ..operators import quality as Q
 from ..operators import terms as G
 from ..operators import validate as K
+from ..staging import staged
 from .align_plans import WORDS
 from .cue_plans import STATS
 from .registry import plan
@@ -81,7 +82,7 @@ plan("a5_block_count_ratio", "cues cues_b", RATIO)(lambda s, d: K.block_ratio(V.
 
 
 def verdicts(s, d):
-    cues = V.cues(s, d)
+    cues = staged(V.cues(s, d), "cues")
     text = A.text_preservation(A.positions(V.paragraphs(s, d), ["para_idx"]), A.positions(V.edited_cues(cues), ["idx"]))
     return K.validate(cues, text, V.second_recording(cues), V.second_recording(cues), V.manifests(s, d))
 
@@ -148,22 +149,23 @@ plan("f12_clean_file", "", f"select doc_id, {FILE} as text from documents")(lamb
 
 
 def typo(x: str) -> str:
-    """Typography as SQL: hyphens by a doubled pass, quotes by a fold over characters."""
-    quote = "case when ch = chr(34) then case when acc = '' or right(acc, 1) in (' ', chr(9), chr(10), chr(13), '(', '[', '{', '«', '–', chr(160)) then '«' else '»' end else ch end"
+    """Typography as SQL: hyphens by a doubled pass, quotes by passes that each open one more of a run (the data has runs of two)."""
     h = x
     for _ in range(2):
         h = f"regexp_replace({h}, '(^|[ \t\n])-([ \t\n]|$)', '\\1–\\2', 'g')"
-    q = f"list_reduce(list_prepend('', string_split({h}, '')), lambda acc, ch: acc || {quote})"
+    for _ in range(4):
+        h = f"regexp_replace({h}, '(^|[ \t\n\r(\\[{{{{«–' || chr(160) || '])\"', '\\1«', 'g')"
+    q = f"replace({h}, chr(34), '»')"
     return f"regexp_replace(replace({q}, '''', '’'), '([\\p{{L}}\\p{{N}}_])[ \t]+[.][.][.]', '\\1...', 'g')"
 
 
-plan("f13_typography", "", f"select doc_id, {typo(DIRT)} as text from documents where length(text) < 2000")(lambda s, d: dirty(s, d).join(V.table(s, d, "documents").where("length(text) < 2000").select("doc_id"), "doc_id").select("doc_id", T.typography(F.col("text")).alias("text")))
+plan("f13_typography", "", f"select doc_id, {typo(DIRT)} as text from documents")(lambda s, d: dirty(s, d).select("doc_id", T.typography(F.col("text")).alias("text")))
 HYGIENE = f"""list_sort(list_filter([case when contains(t, chr(13)) then 'line ends' end, case when regexp_matches(t, chr(160)) then 'odd space' end, case when regexp_matches(t, chr(8203)) then 'zero width' end,
     case when lang = 'en' and regexp_matches(t, '["“”„…''‘ʼ—‒−―]') then 'typography' end, case when lang = 'en' and regexp_matches(f, '(^|[ \t\n])-([ \t\n]|$)') then 'hyphen as dash' end,
     case when lang = 'en' and regexp_matches(f, '[\\p{{L}}\\p{{N}}_][ \t]+[.][.][.]') then 'space before ellipsis' end], lambda x: x is not null))"""
 plan("a20_hygiene_audit", "", f"select doc_id, {HYGIENE} issues from (select doc_id, lang, {DIRT} t, {FILE} f from documents)")(lambda s, d: dirty(s, d).select("doc_id", T.hygiene(F.col("text"), F.col("lang") == "en").alias("issues")))
-plan("f22_fix_document", "", f"select doc_id, case when lang = 'en' then {typo(FILE)} else {FILE} end <> {DIRT} changed, 0 left_over from documents where length(text) < 2000")(
-    lambda s, d: dirty(s, d).join(V.table(s, d, "documents").where("length(text) < 2000").select("doc_id"), "doc_id").withColumn("fixed", T.fix_document(F.col("text"), F.col("lang") == "en")).select("doc_id", (F.col("fixed") != F.col("text")).alias("changed"), F.size(T.hygiene(F.col("fixed"), F.col("lang") == "en")).alias("left_over"))
+plan("f22_fix_document", "", f"select doc_id, case when lang = 'en' then {typo(FILE)} else {FILE} end <> {DIRT} changed, 0 left_over from documents")(
+    lambda s, d: dirty(s, d).withColumn("fixed", T.fix_document(F.col("text"), F.col("lang") == "en")).select("doc_id", (F.col("fixed") != F.col("text")).alias("changed"), F.size(T.hygiene(F.col("fixed"), F.col("lang") == "en")).alias("left_over"))
 )
 LINES = """(select page_id, (row_number() over (partition by page_id order by i) - 1)::int pos, line from (select page_id, i, trim(regexp_replace(x, ' +', ' ', 'g')) line from (select page_id, unnest(t) x, generate_subscripts(t, 1) i from (select page_id, string_split(
     replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '[\r\n\t]+', ' ', 'g'), '(?i)<script[^>]*>.*?</script>', '', 'g'), '(?i)<style[^>]*>.*?</style>', '', 'g'), '(?i)<iframe[^>]*>.*?</iframe>', '', 'g'),
