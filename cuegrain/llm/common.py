@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..staging import shared_dir, staged
+
+__all__ = ["SPACE", "WORD", "col", "join_hot", "mapped", "pieces", "row_of", "shared_dir", "ship", "staged", "table", "without"]
 
 #: A word, as the contracts define it: a run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,36 +35,12 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def unused(name: str, taken: Iterable[str]) -> str:
-    """`name` with as many underscores before it as no taken name bears, in any case of letters."""
-    lower = {t.lower() for t in taken}
-    while name.lower() in lower:
-        name = "_" + name
-    return name
-
-
 def without(df: DataFrame, *names: str) -> list[str]:
     """The columns of `df` but those named, in any case of letters."""
     lower = {n.lower() for n in names}
     return [c for c in df.columns if c.lower() not in lower]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    Where none is set a temporary one serves a local master, as in tests; on a cluster that folder
-    would lie on single machines, so it is an error there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spark-cuegrain-")
-        spark.sparkContext.setCheckpointDir(f"file://{found}")
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
 _shipped: set[str] = set()
 
 
@@ -77,15 +58,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def row_of(df: DataFrame, names: list[str]) -> Column:
+    """The named columns as one struct, `_row`, so that names of any kind pass through Arrow; `_row.*` gives them back."""
+    return F.struct(*map(col, names), *([] if names else [F.lit(0).alias("none")])).alias("_row")
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, most: int = 1000) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], rows: str, most: int = 1000) -> DataFrame:
     """`left` with the row of `right` (one for each `key`) that has its key, if any; a key may be on any share of `left`.
 
     `rows` counts a key's rows in `left`. Keys with a `most`-th part of all rows or more are at most
@@ -94,11 +72,25 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, most: int =
     """
     total = left.count()
     bound = max(2.0, total / most)
+    on = [key] if isinstance(key, str) else key
+    no_key = reduce(Column.__or__, [F.col(k).isNull() for k in on])
     hot = F.broadcast(right.where(F.col(rows) >= bound).withColumn("_hot", F.lit(True)))
-    first = left.join(hot, key, "left")
-    rest = first.where(F.col("_hot").isNull() & F.col(key).isNotNull()).select(*left.columns).join(right.where(F.col(rows) < bound), key, "left")
-    done = first.where(F.col("_hot").isNotNull() | F.col(key).isNull()).drop("_hot")
-    return done.unionByName(rest)
+    first = left.join(hot, on, "left")
+    rest = first.where(F.col("_hot").isNull() & ~no_key).select(*left.columns).join(right.where(F.col(rows) < bound), on, "left")
+    return first.where(F.col("_hot").isNotNull() | no_key).drop("_hot").unionByName(rest)
+
+
+def mapped(df: DataFrame, keep: list[str], value: Column, run, made: list[tuple[str, T.DataType]]) -> DataFrame:
+    """The columns `keep` of `df` and those that `run` makes of `value`, an Arrow batch at a time.
+
+    `run` takes batches of two columns, the kept ones as a struct and the value, and gives batches
+    of that struct and the columns in `made`.
+    """
+    source = df.select(row_of(df, keep), value.alias("_value"))
+    schema = source.select("_row").schema
+    for name, kind in made:
+        schema = schema.add(name, kind)
+    return source.mapInArrow(run, schema).select(*(["_row.*"] if keep else []), *[name for name, _ in made])
 
 
 def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
