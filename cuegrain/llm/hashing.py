@@ -40,11 +40,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any byte range of one buffer."""
+    """Hashes of any range of one buffer of bytes, or of code points."""
 
     def __init__(self, buf: np.ndarray):
+        values = _TABLE[buf] if buf.dtype == np.uint8 else mix(buf.astype(np.uint64) + np.uint64(1))
         self.sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(_TABLE[buf] * _powers(_BASE, len(buf)), out=self.sums[1:])
+        np.cumsum(values * _powers(_BASE, len(buf)), out=self.sums[1:])
         self.back = _powers(_INVERSE, len(buf) + 1)
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

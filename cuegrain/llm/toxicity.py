@@ -1,20 +1,22 @@
 """Toxicity by a classifier chain of linear models over hashed words.
 
-Categories are predicted in CHAIN's order; each model also takes the probabilities of the
-categories before it. In training those are out-of-fold: each fold's come from models fitted on
-the other folds, so later models see earlier ones as they will be, not as they fit.
-
-The last category is the label itself. The ones before it have no labels of their own: a row is
-positive if it is labelled toxic and holds a word of the category's list.
+The categories are label columns, predicted in the chain's order; each model also takes the
+probabilities of the categories before it. In training those are out-of-fold: each fold's come
+from models fitted on the other folds, so later models see earlier ones as they will be, not as
+they fit. The labels table has two categories, CHAIN; any other columns can be given.
 
 Features are whole words and word beginnings, as 64-bit hashes, present or not. Training reads a
-bounded sample: at most about MOST_TRAIN labelled rows, chosen by a hash of their id. From it the
-FEATURES hashes that tell toxic from clean best are kept, so the model has a fixed size and is
-broadcast. Every row is scored, on its whole text.
+bounded sample: at most MOST_TRAIN labelled rows, those with the least hashes of id and text. Spark
+counts the sample's features; for each category the FEATURES that tell it best are kept for its
+model, so the chain has a fixed size and is broadcast, and the driver gets at most MOST_TRAIN rows
+of FEATURES small numbers a category. Every row is scored, on its whole text.
 
 Defined cases: a null or empty text has no features and gets the base rates; rows without a label
-are scored alike; a null id or null label is not trained on; if the sample lacks toxic or clean
-rows every probability is 0; repeated rows are scored alike; an empty table gives an empty one.
+are scored alike; a null id is not trained on, nor a null label for its category; several labels
+of one id count as the greatest; rows that share an id are trained on each, equal ones once; a
+category whose sample lacks one of its labels has probability 0 everywhere; repeated rows are
+scored alike; columns of any name stay but the text and the outputs; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -23,23 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import pieces, ship
-from .hashing import mix
+from .common import col, mapped, pieces, ship, staged, without
+from .hashing import Rolling, mix
 from .langid import code_points
 
-#: Words of the categories that have no labels of their own.
-CATEGORY_WORDS = {
-    "insult": ("idiot", "moron", "clown", "loser", "stupid"),
-    "degradation": ("trash", "scum", "worthless", "pathetic", "disgusting"),
-}
-CHAIN = ("insult", "degradation", "toxic")
+CHAIN = ("quality", "toxic")
 BEGINNINGS = (5, 7)
 MOST_TRAIN, FEATURES, FOLDS = 6_000, 2_048, 3
+#: A feature is on this many rows of the sample or more.
+SUPPORT = 3
 CUTOFF = 0.5
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -48,31 +47,16 @@ def word_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     inside = points != 32
     starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
     ends = np.flatnonzero(inside & ~np.concatenate((inside[1:], [False]))) + 1
-    length = ends - starts
-    found, rows = [], []
+    rolling = Rolling(points)
     row = np.searchsorted(edges, starts, side="right") - 1
-    key = np.zeros(len(starts), dtype=np.uint64)
-    alive = np.arange(len(starts))
-    step = 0
-    while len(alive):  # one step a character of the longest word
-        key[alive] = (key[alive] ^ points[starts[alive] + step].astype(np.uint64)) * _BASE
-        key[alive] ^= key[alive] >> np.uint64(29)
-        step += 1
-        if step in BEGINNINGS:
-            longer = alive[length[alive] > step]
-            found.append(mix(key[longer] + np.uint64(step)))
-            rows.append(row[longer])
-        alive = alive[length[alive] > step]
-    found.append(mix(key))
-    rows.append(row)
+    found, rows = [rolling.ranges(starts, ends)], [row]
+    for size in BEGINNINGS:
+        longer = np.flatnonzero(ends - starts > size)
+        found.append(mix(rolling.ranges(starts[longer], starts[longer] + size) + np.uint64(size)))
+        rows.append(row[longer])
     return np.concatenate(found), np.concatenate(rows)
 
 
-def word_hash(word: str) -> int:
-    found, _ = word_features([word])
-    return int(found[-1])
-
-
 class Linear:
     """L2-regularised logistic regression on rows of present features, by accelerated gradient steps."""
 
@@ -102,10 +86,10 @@ class Linear:
 
 
 class Chain:
-    """The kept hashes in order, and one linear model for each category."""
+    """The kept hashes in order, and for each category its name and its linear model (None without both labels)."""
 
-    def __init__(self, kept: np.ndarray, models: list[Linear]):
-        self.kept, self.models = kept, models
+    def __init__(self, names: tuple[str, ...], kept: np.ndarray, models: list[Linear | None]):
+        self.names, self.kept, self.models = names, kept, models
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[(kept & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -124,46 +108,31 @@ class Chain:
         rows, cols = self.columns(*word_features(texts))
         out = np.zeros((len(texts), len(self.models)))
         for c, model in enumerate(self.models):
-            out[:, c] = model.probability(rows, cols, len(texts), out[:, :c])
+            if model is not None:
+                out[:, c] = model.probability(rows, cols, len(texts), out[:, :c])
         return out
 
 
-def fit(features: list[np.ndarray], toxic: np.ndarray) -> Chain:
-    """A chain from each training row's distinct hashes and its label."""
-    n = len(features)
-    if not 0 < toxic.sum() < n:
-        return Chain(np.empty(0, dtype=np.uint64), [])
-    rows = np.repeat(np.arange(n), [len(f) for f in features])
-    values, cols = np.unique(np.concatenate(features), return_inverse=True)
-    pos = np.bincount(cols, toxic[rows].astype(float), minlength=len(values))
-    all_ = np.bincount(cols, minlength=len(values)).astype(float)
-    expected = all_ * toxic.mean()
-    chi = (pos - expected) ** 2 / (expected * (1 - toxic.mean()) + 1e-9)
-    chi[all_ < 3] = 0
-    best = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
-    place = np.full(len(values), -1)
-    place[best] = np.arange(len(best))
-    used = place[cols] >= 0
-    rows, cols, kept = rows[used], place[cols[used]], values[best]
-    labels = []
-    for name in CHAIN[:-1]:
-        listed = np.isin(kept, np.array([word_hash(w) for w in CATEGORY_WORDS[name]], dtype=np.uint64))
-        has = np.bincount(rows, listed[cols].astype(float), minlength=n) > 0
-        labels.append((has & (toxic > 0)).astype(float))
-    labels.append(toxic.astype(float))
+def fit(names: tuple[str, ...], kept: np.ndarray, own: list[np.ndarray], all_rows: np.ndarray, all_cols: np.ndarray, labels: np.ndarray) -> Chain:
+    """A chain from the pairs (row, kept feature), the features of each category, and the labels (rows x categories, NaN where unknown)."""
+    n = len(labels)
     fold = np.arange(n) % FOLDS
     earlier = np.zeros((n, 0))
-    models = []
-    for y in labels:
-        models.append(Linear(rows, cols, n, len(kept), earlier, y))
+    models: list[Linear | None] = []
+    for y, used in zip(labels.T, own, strict=True):
+        rows, cols = all_rows[used[all_cols]], all_cols[used[all_cols]]
+        known = ~np.isnan(y)
         unseen = np.zeros(n)
-        for k in range(FOLDS):
-            ins, outs = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            part = [_subset(rows, cols, s, n) for s in (ins, outs)]
-            model = Linear(*part[0], len(ins), len(kept), earlier[ins], y[ins])
-            unseen[outs] = model.probability(*part[1], len(outs), earlier[outs])
+        if not 0 < y[known].sum() < known.sum():
+            models.append(None)
+        else:
+            model = lambda chosen, rows=rows, cols=cols, y=y, earlier=earlier: Linear(*_subset(rows, cols, chosen, n), len(chosen), len(kept), earlier[chosen], y[chosen])
+            models.append(model(np.flatnonzero(known)))
+            for k in range(FOLDS):
+                outs = np.flatnonzero(fold == k)
+                unseen[outs] = model(np.flatnonzero(known & (fold != k))).probability(*_subset(rows, cols, outs, n), len(outs), earlier[outs])
         earlier = np.column_stack([earlier, unseen])
-    return Chain(kept, models)
+    return Chain(names, kept, models)
 
 
 def _subset(rows: np.ndarray, cols: np.ndarray, chosen: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,46 +142,78 @@ def _subset(rows: np.ndarray, cols: np.ndarray, chosen: np.ndarray, n: int) -> t
     return new[rows[inside]], cols[inside]
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN) -> Chain:
-    ship(docs.sparkSession)
-    labelled = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    total = labels.where("toxic is not null").count()
-    keep = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1_000_003)) < int(1_000_003 * min(1.0, most / max(total, 1))) + 1
-    sample = docs.where(keep).join(labelled.where(keep), "doc_id").select("doc_id", "toxic", "text")
+def sample(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], most: int) -> DataFrame:
+    """At most `most` labelled rows: doc_id, mark, the categories and the text's features."""
+    marked = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    given = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.max(col(c)).cast("double").alias(f"label{i}") for i, c in enumerate(names)])
+    given = given.where(F.coalesce(*[f"label{i}" for i in range(len(names))]).isNotNull())
+    rows = marked.select("doc_id", "mark").join(given, "doc_id").distinct()
+    chosen = rows.orderBy(F.xxhash64("doc_id", "mark", F.lit("toxicity")), "doc_id", "mark").limit(most)
+    full = marked.join(F.broadcast(staged(chosen, "toxicity-rows")), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    given_names = [f"label{i}" for i in range(len(names))]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in pieces(batch.column(2)):
-                found, rows = word_features(batch.column(2).slice(a, b - a).to_pylist())
-                packed = [np.unique(found[rows == i]).tobytes() for i in range(b - a)]
-                kept = [batch.column(i).slice(a, b - a) for i in range(2)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(packed, type=pa.binary())], names=["doc_id", "toxic", "features"])
+            last = batch.num_columns - 1
+            for a, b in pieces(batch.column(last)):
+                found, at = word_features(batch.column(last).slice(a, b - a).to_pylist())
+                own = pa.array([np.unique(found[at == i]).view(np.int64) for i in range(b - a)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(last)], own], names=["doc_id", "mark", *given_names, "features"])
 
-    found = sample.mapInArrow(extract, "doc_id long, toxic int, features binary").toArrow().sort_by("doc_id")
-    return fit([np.frombuffer(x, dtype=np.uint64) for x in found["features"].to_pylist()], np.array(found["toxic"].to_pylist(), dtype=np.int64))
+    source = full.select(F.col("doc_id").cast("long").alias("doc_id"), "mark", *given_names, "text")
+    return source.mapInArrow(extract, ", ".join(["doc_id long", "mark long", *[f"{c} double" for c in given_names], "features array<bigint>"]))
+
+
+def informative(rows: DataFrame, category: int) -> np.ndarray:
+    """The FEATURES hashes that tell a category best by chi-square, in order."""
+    y = F.col(f"label{category}")
+    n, positive = rows.agg(F.count(y), F.coalesce(F.sum(y), F.lit(0.0))).first()
+    share = positive / max(n, 1)
+    counts = rows.where(y.isNotNull()).select(y, F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.sum(y).alias("p"))
+    expected = F.col("n") * share
+    chi = (F.col("p") - expected) ** 2 / (expected * (1 - share) + 1e-9)
+    chosen = counts.where(F.col("n") >= SUPPORT).orderBy(chi.desc(), "feature").limit(FEATURES).select("feature").collect()
+    return np.sort(np.array([r[0] for r in chosen], dtype=np.int64).view(np.uint64))
+
+
+def train(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = CHAIN, most: int = MOST_TRAIN) -> Chain:
+    ship(docs.sparkSession)
+    rows = staged(sample(docs.select("doc_id", "text"), labels, names, most), "toxicity-sample")
+    told = [informative(rows, i) for i in range(len(names))]
+    kept = np.unique(np.concatenate(told))
+    given_names = [f"label{i}" for i in range(len(names))]
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = batch.num_columns - 1
+            own = [np.flatnonzero(np.isin(kept, x.values.to_numpy().view(np.uint64))).astype(np.int16).tobytes() for x in batch.column(last)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(last)], pa.array(own, pa.binary())], names=["doc_id", "mark", *given_names, "features"])
+
+    schema = ", ".join(["doc_id long", "mark long", *[f"{c} double" for c in given_names], "features binary"])
+    found = rows.mapInArrow(narrow, schema).toArrow().sort_by([("doc_id", "ascending"), ("mark", "ascending")])
+    columns = [np.frombuffer(x, dtype=np.int16).astype(np.int64) for x in found["features"].to_pylist()]
+    y = np.column_stack([np.array([np.nan if v is None else v for v in found[c].to_pylist()], dtype=float) for c in given_names])
+    at = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
+    return fit(names, kept, [np.isin(kept, t) for t in told], at, np.concatenate(columns) if columns else np.empty(0, dtype=np.int64), y)
 
 
 def predict(df: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
-    """`df` without its text, with p_<category> for each category and the verdict `toxic`."""
+    """`df` without its text, with p_<category> for each category and `toxic`, the verdict on the last one."""
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(chain)
-    added = [f"p_{c}" for c in CHAIN]
-    rest = [c for c in df.columns if c not in (text, "toxic", *added)]
-    source = df.select(*rest, F.col(text).alias("_text"))
+    added = [f"p_{c}" for c in chain.names]
+    rest = without(df, text, "toxic", *added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(1)
             for a, b in pieces(texts):
-                p = model.scores(texts.slice(a, b - a).to_pylist()) if model.models else np.zeros((b - a, len(CHAIN)))
-                kept = [batch.column(i).slice(a, b - a) for i in range(len(rest))]
-                yield pa.RecordBatch.from_arrays([*kept, *[pa.array(np.round(p[:, c], 6)) for c in range(len(CHAIN))], pa.array(p[:, -1] >= CUTOFF)], names=[*rest, *added, "toxic"])
-
-    schema = source.drop("_text").schema
-    for name in added:
-        schema = schema.add(name, "double")
-    return source.mapInArrow(run, schema.add("toxic", "boolean"))
+                p = model.scores(texts.slice(a, b - a).to_pylist())
+                made = [pa.array(np.round(p[:, c], 6)) for c in range(len(added))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *made, pa.array(p[:, -1] >= CUTOFF)], names=["_row", *added, "toxic"])
+
+    return mapped(df, rest, col(text), run, [*[(name, T.DoubleType()) for name in added], ("toxic", T.BooleanType())])
 
 
 def scan(docs: DataFrame, labels: DataFrame) -> DataFrame:
