@@ -2,12 +2,15 @@
 
 Paragraphs are the lines of a text; a notice is a run of lines, so hard-wrapped ones are whole. A
 multinomial logistic regression with an L1 penalty over word uni- and bigrams of the templates
-gives each run a probability for each licence family and for `unknown`. It is fitted on a bounded sample: the templates whole, cut and set into other
-text, against NEGATIVES paragraphs of the corpus. On a held-out part of that sample a temperature
-is fitted to the log loss, and the least probability that lets no more than MISSES of the unknown
-paragraphs pass becomes the cutoff: the calibrated unknown class. A prediction is confirmed if the run holds
-at least CONTAINED of the n-grams of one of that family's templates; titles and SPDX lines must be
-held whole. Of the runs around a line, each template takes the one with most of its n-grams, then
+gives each run a probability for each licence family and for `unknown`. It is fitted on a bounded
+sample: the templates whole, cut and set into other text, against NEGATIVES paragraphs of the
+corpus and up to HARD more that speak of licences and are no notice. Calibration uses a first model,
+fitted without a fifth of the templates (whole templates, with all their variations) and of the
+paragraphs: on that fifth a temperature is fitted to the log loss, and the least probability that
+lets no more than MISSES of the unknown paragraphs pass becomes the cutoff, so the unknown class is
+calibrated on notices and near misses that the model has not seen. The model in use is fitted on
+all. A prediction is confirmed if the run holds at least CONTAINED of the n-grams of one of that
+family's templates; titles and SPDX lines must be held whole. Of the runs around a line, each template takes the one with most of its n-grams, then
 the shortest. A run yields to a tighter one inside it that holds as great a share, and one that
 holds a template in part to an overlapping run of another family with more n-grams.
 
@@ -18,10 +21,10 @@ run's first and last line has at most SPAN words, more than any template. A run'
 template is never above that of all lines in reach, so templates below the bound there are left out.
 
 Defined cases: null and empty texts have no paragraphs; blank lines are none and lines without
-words do not part a run; a very long line is
-one paragraph; a corpus without paragraphs for the sample trains on the templates and fixed
-sentences alone; rows that share an id share one result; at a tie the family first by name wins;
-an empty table gives an empty one.
+words do not part a run; a very long line is one paragraph; a corpus without paragraphs for the
+sample trains on the templates and fixed sentences alone; rows are told by id and text, so those
+that share an id, or have none, stand each for themselves and equal ones get the same result; at a
+tie the family first by name wins; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -37,9 +40,13 @@ from pyspark.sql import functions as F
 from .common import staged
 from .quality import let
 
-NEGATIVES, MISSES, CONTAINED = 2_000, 0.001, 0.6
-#: An n-gram is a feature if one of its words is in no more than this share of the other paragraphs.
-COMMON = 0.01
+NEGATIVES, HARD, MISSES, CONTAINED = 2_000, 500, 0.001, 0.6
+#: For each paragraph of other text, this many rows are searched for lines that speak of licences.
+SEARCHED = 10
+#: An n-gram is a feature if one of its words is in no more than this share of the other paragraphs, or in FEW.
+COMMON, FEW = 0.01, 3
+#: What lines that speak of licences hold.
+SPEAKS = "(?i)licen[cs]e|copyright|public domain"
 UNKNOWN = "unknown"
 
 #: Notices by which works name their licence, by family.
@@ -141,8 +148,12 @@ def loose_words(text: Column) -> Column:
 
 
 def grams(tokens: Column) -> Column:
-    pairs = F.transform(tokens, lambda w, i: F.concat_ws(" ", w, F.get(tokens, i + 1)))
-    return F.array_distinct(F.concat(tokens, F.slice(pairs, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))))
+    """Words and pairs of neighbours, each once. The words are made once, not again for each pair."""
+    def both(t: Column) -> Column:
+        pairs = F.transform(t, lambda w, i: F.concat_ws(" ", w, F.get(t, i + 1)))
+        return F.array_distinct(F.concat(t, F.slice(pairs, 1, F.greatest(F.size(t) - 1, F.lit(0)))))
+
+    return let(tokens, both)
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -158,14 +169,25 @@ def templates(spark: SparkSession) -> DataFrame:
 def sample(docs: DataFrame) -> DataFrame:
     """Training rows (label, line, held): templates in variations, and other paragraphs."""
     spark = docs.sparkSession
-    some = F.pmod(F.xxhash64("doc_id", F.lit("licence sample")), F.lit(1_000_003)) <= int(1_000_003 * min(1.0, NEGATIVES / max(docs.count(), 1)))
-    chosen = paragraphs(docs.where(some)).where(~F.col("line").rlike("(?i)licen[cs]e|copyright|public domain"))
-    chosen = chosen.select(F.substring("line", 1, 400).alias("line"), F.xxhash64("doc_id", "para", F.lit("licences")).alias("h"))
-    # a line of a wrapped notice is no example of other text: most of its n-grams are one template's
-    listed = F.array(*[F.array(*[F.lit(g) for g in t.grams]) for t in known(spark)])
-    own = chosen.orderBy("h").limit(NEGATIVES).withColumn("own", grams(words(F.col("line"))))
-    part = F.exists(listed, lambda t: F.size(F.array_intersect("own", t)) >= CONTAINED * F.size("own"))
-    negatives = staged(own.where((F.size("own") > 0) & ~part).drop("own"), "licence-negatives")
+    rows = docs.count()
+    some = lambda n: F.pmod(F.xxhash64("doc_id", F.lit("licence sample")), F.lit(1_000_003)) <= int(1_000_003 * min(1.0, n / max(rows, 1)))
+    lines = lambda n, of: paragraphs(docs.where(some(n))).where(of).select("line", F.xxhash64("doc_id", "para", F.lit("licences")).alias("h")).orderBy("h")
+    speaks = F.col("line").rlike(SPEAKS)
+    # a line of a wrapped notice is no example of other text: most of its n-grams are one template's; nor is one that holds a template
+    found = known(spark)
+    listed = F.array(*[F.struct(F.lit(needed(t)).alias("need"), F.array(*[F.lit(g) for g in t.grams]).alias("grams")) for t in found])
+    vocabulary = F.array(*[F.lit(g) for g in sorted({g for t in found for g in t.grams})])
+
+    def plain_text(own: Column) -> Column:
+        in_both = lambda some, t: F.size(F.array_intersect(some, t["grams"]))
+        notice = lambda some: F.exists(listed, lambda t: let(in_both(some, t), lambda n: (n >= CONTAINED * F.size(own)) | (n >= t["need"])))
+        return (F.size(own) > 0) & ~let(F.array_intersect(own, vocabulary), notice)
+
+    plain = lines(NEGATIVES, ~speaks).limit(NEGATIVES)
+    hard = lines(NEGATIVES * SEARCHED, speaks).limit(4 * HARD)
+    both = plain.withColumn("hard", F.lit(False)).unionByName(hard.withColumn("hard", F.lit(True))).where(let(grams(words(F.col("line"))), plain_text))
+    place = F.row_number().over(Window.partitionBy("hard").orderBy("h"))  # no more than NEGATIVES + 4 * HARD rows
+    negatives = staged(both.withColumn("_place", place).where(~F.col("hard") | (F.col("_place") <= HARD)).select("line", "h"), "licence-negatives")
     others = spark.createDataFrame([(x,) for x in OTHERS], "line string").withColumn("h", F.xxhash64("line"))
     unknown = negatives.unionByName(others)
     around = negatives.select(F.slice(F.split("line", " "), 1, 12).alias("around"), F.pmod("h", F.lit(97)).alias("k")).groupBy("k").agg(F.min("around").alias("around"))
@@ -175,7 +197,8 @@ def sample(docs: DataFrame) -> DataFrame:
     thinned = F.filter(F.split("line", " "), lambda w, i: (F.pmod(F.xxhash64(w, i, "v"), F.lit(9)) != 0) | (F.col("v") % 4 != 3))
     extra = F.array_join(F.coalesce("around", F.array().cast("array<string>")), " ")
     text = F.when(F.col("v") % 4 == 1, F.concat_ws(" ", extra, F.col("line"))).when(F.col("v") % 4 == 2, F.concat_ws(" ", "line", extra)).otherwise(F.array_join(thinned, " "))
-    notices = varied.select(F.col("family").alias("label"), text.alias("line"), F.xxhash64("line", "v").alias("h"))
+    # all variations of a template are on one side of the split
+    notices = varied.select(F.col("family").alias("label"), text.alias("line"), F.xxhash64("line").alias("h"))
     rows = notices.unionByName(unknown.select(F.lit(UNKNOWN).alias("label"), "line", "h"))
     return rows.select("label", "line", (F.pmod("h", F.lit(5)) == 0).alias("held"), grams(words(F.col("line"))).alias("grams"))
 
@@ -239,7 +262,7 @@ def train(docs: DataFrame) -> Model:
     plain = rows.where(F.col("label") == UNKNOWN).select(F.explode("grams").alias("g")).groupBy("g").count()
     listed = templates(docs.sparkSession).select(F.explode(words(F.col("line"))).alias("g")).distinct()
     rarity = {r["g"]: r["count"] for r in plain.join(F.broadcast(listed), "g").collect()}
-    common = COMMON * rows.where(F.col("label") == UNKNOWN).count()
+    common = max(COMMON * rows.where(F.col("label") == UNKNOWN).count(), FEW)
     vocabulary = sorted(r.gram for r in templates(docs.sparkSession).select(F.explode(grams(words(F.col("line")))).alias("gram")).distinct().collect())
     vocabulary = [g for g in vocabulary if min(rarity.get(w, 0) for w in g.split(" ")) <= common]
     labels = [UNKNOWN, *sorted(TEMPLATES)]
@@ -248,14 +271,14 @@ def train(docs: DataFrame) -> Model:
     number = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")).cast("double") - 1.0
     ready = counter.transform(rows.withColumn("y", number)).coalesce(1)
     learner = LogisticRegression(featuresCol="features", labelCol="y", family="multinomial", elasticNetParam=1.0, regParam=5e-4, maxIter=80, standardization=False, aggregationDepth=2)
-    fitted = learner.fit(ready.where(~F.col("held")))
+    fitted = learner.fit(ready)
     matrix = fitted.coefficientMatrix.toArray()
     bias = [0.0] * len(labels)
     bias[: len(fitted.interceptVector)] = [float(x) for x in fitted.interceptVector]
     used = {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(vocabulary) if abs(matrix[:, i]).max() > 0}
     model = Model(labels, bias, used, anchors(rows))
     # calibration on the held-out rows: temperature by log loss, then the cutoff
-    held = fitted.transform(ready.where("held")).select("label", "y", vector_to_array("rawPrediction").alias("z"))
+    held = learner.fit(ready.where(~F.col("held"))).transform(ready.where("held")).select("label", "y", vector_to_array("rawPrediction").alias("z"))
     grid = [0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
 
     def loss(t: float) -> Column:
@@ -271,8 +294,6 @@ def train(docs: DataFrame) -> Model:
     known = F.array_max(F.slice("z", 2, len(labels) - 1))
     passed = held.where(F.col("label") == UNKNOWN).select((F.exp((known - top) / t) / total).alias("p")).agg(F.percentile("p", F.lit(1 - MISSES))).first()[0]
     model.cutoff = min(0.9, max(0.5, passed or 0.0))
-    if max(range(len(labels)), key=lambda i: bias[i]) != 0:
-        raise ValueError("the classifier's bias does not say unknown")
     return model
 
 
@@ -358,7 +379,9 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document its paragraphs, its confirmed licence notices (overlapping runs are one), and their families."""
-    docs = docs.select("doc_id", "text")
+    row = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+    ids = docs.select(F.col("doc_id").alias("id"), row.alias("doc_id"), "text")
+    docs = ids.select("doc_id", "text")
     found = scan(docs, train(docs))
     above = F.max("last").over(Window.partitionBy("doc_id").orderBy("first", "last", "family").rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("new", (F.col("first") > F.coalesce(above, F.lit(-1))).cast("long"))
@@ -366,6 +389,6 @@ def report(docs: DataFrame) -> DataFrame:
         F.sum("new").alias("_n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("probability").alias("_p")
     )
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    own = docs.select("doc_id", F.size(lines).cast("long").alias("n_paragraphs"))
+    own = ids.select("id", "doc_id", F.size(lines).cast("long").alias("n_paragraphs"))
     joined = own.join(by_doc, F.col("doc_id") == F.col("_id"), "left")
-    return joined.select("doc_id", "n_paragraphs", F.coalesce("_n", F.lit(0)).alias("n_licensed"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce(F.round("_p", 6), F.lit(0.0)).alias("probability"))
+    return joined.select(F.col("id").alias("doc_id"), "n_paragraphs", F.coalesce("_n", F.lit(0)).alias("n_licensed"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce(F.round("_p", 6), F.lit(0.0)).alias("probability"))
