@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, pieces, ship, unused, without
+from .common import col, mapped, pieces, ship, without
 from .hashing import Rolling, mix
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -219,24 +219,21 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     keep = without(df, ids, *([decoded] if decoded else []))
-    fields = [(ids, pa.list_(pa.int32()))] + ([(decoded, pa.large_binary())] if decoded else [])
-    source = df.select(*map(col, keep), col(text).alias(unused("_text", keep)))
+    made = [(ids, T.ArrayType(T.IntegerType()))] + ([(decoded, T.BinaryType())] if decoded else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(1)
             for a, b in pieces(texts):
                 found, offsets = coder.encode(texts.slice(a, b - a).to_pylist())
                 out = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found, type=pa.int32()))]
                 if decoded:
                     raw, at = coder.decode(found, offsets)
                     out.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary()))
-                rest = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays(rest + out, names=keep + [f for f, _ in fields])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *out], names=["_row", *[f for f, _ in made]])
 
-    schema = df.select(*map(col, keep)).schema.add(ids, T.ArrayType(T.IntegerType()))
-    return source.mapInArrow(run, schema.add(decoded, "binary") if decoded else schema)
+    return mapped(df, keep, col(text), run, made)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -244,18 +241,17 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
     keep = without(df, decoded)
-    source = df.select(*map(col, keep), F.coalesce(col(ids), F.array().cast("array<int>")).alias(unused("_ids", keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared)
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
+            column = batch.column(1)
             offsets = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
             raw, at = coder.decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), offsets)
             out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns - 1)] + [out], names=[*keep, decoded])
+            yield pa.RecordBatch.from_arrays([batch.column(0), out], names=["_row", decoded])
 
-    return source.mapInArrow(run, df.select(*map(col, keep)).schema.add(decoded, "binary"))
+    return mapped(df, keep, F.coalesce(col(ids), F.array().cast("array<int>")), run, [(decoded, T.BinaryType())])
 
 
 def digests(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import col, pieces, ship, unused, without
+from .common import col, mapped, pieces, ship, without
 from .hashing import mix
 
 BUCKETS = 1 << 16
@@ -141,18 +142,15 @@ def predict(df: DataFrame, names: list[str], matrix: np.ndarray, text: str = "te
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((names, matrix))
     rest = without(df, text, "lang_pred", "score")
-    own = unused("_text", rest)
-    source = df.select(*map(col, rest), col(text).alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(1)
             for a, b in pieces(texts):
                 langs, scores = score(texts.slice(a, b - a).to_pylist(), *shared.value)
-                kept = [batch.column(i).slice(a, b - a) for i in range(len(rest))]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, type=pa.string()), pa.array(scores)], names=[*rest, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(langs, type=pa.string()), pa.array(scores)], names=["_row", "lang_pred", "score"])
 
-    return source.mapInArrow(run, df.select(*map(col, rest)).schema.add("lang_pred", "string").add("score", "double"))
+    return mapped(df, rest, col(text), run, [("lang_pred", T.StringType()), ("score", T.DoubleType())])
 
 
 def identify(docs: DataFrame) -> DataFrame:
