@@ -55,7 +55,20 @@ def test_shingles_edges(docs):
     assert by[None].class_id is None and by[None].n_links == 0
     assert by[7].n_links == 0 and by[9].n_links == 0 and by[10].n_copies == 2
     kept = shingles.dedup(docs).select("doc_id", "kept").collect()
-    assert {2, 3} & {r.doc_id for r in kept} == set() and len(kept) == len(rows) - 2
+    # the copy, the near copy and the repeated row go
+    assert {2, 3} & {r.doc_id for r in kept} == set() and len(kept) == len(rows) - 3
+
+
+def test_shingles_shared_ids(spark):
+    """Rows that share an id, or have none, are documents each; the class is named by the least id there is."""
+    text = lambda n: " ".join(f"{n}w{i}" for i in range(60))
+    near = lambda n: text(n) + " more"
+    rows = [(1, text("a")), (1, near("a")), (2, text("b")), (None, text("c")), (None, near("c")), (7, text("c")), (None, text("d")), (None, text("d")), (1, text("e"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id, r.n_copies, r.n_links) for r in shingles.join(df).collect()), key=repr)
+    assert got == sorted([(1, 1, 1, 1), (1, 1, 1, 1), (2, 2, 1, 0), (None, 7, 2, 2), (None, 7, 1, 2), (7, 7, 2, 2), (None, None, 2, 1), (None, None, 2, 1), (1, 1, 1, 0)], key=repr)
+    kept = sorted(((r.doc_id, r.text.split("w")[0]) for r in shingles.dedup(df).collect()), key=repr)
+    assert kept == sorted([(1, "a"), (2, "b"), (7, "c"), (None, "d"), (1, "e")], key=repr)
 
 
 def test_substrings_edges(docs):

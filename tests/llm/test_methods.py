@@ -73,14 +73,22 @@ def brute_links(texts):
     return links
 
 
-def test_jaccard_join_by_brute_force(spark, small):
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+def test_jaccard_join_by_brute_force(spark):
+    """No link is missed or invented among 1,000 documents, and classes are the components of the links."""
+    d = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     links = brute_links(texts)
-    for r in QUERIES["op1_ngram_jaccard_join"](spark, small).collect():
-        assert r.n_links == len(links[r.doc_id])
+    least = {i: i for i in texts}
+    while True:
+        now = {i: min([least[i], *(least[j] for j in links[i])]) for i in texts}
+        if now == least:
+            break
+        least = now
+    for r in QUERIES["op1_ngram_jaccard_join"](spark, d).collect():
+        assert (r.n_links, r.class_id) == (len(links[r.doc_id]), least[r.doc_id])
 
 
-def test_jaccard_join_of_a_large_group(spark):
+def test_jaccard_join_of_a_large_group(spark, monkeypatch):
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
     rows = []
@@ -90,12 +98,38 @@ def test_jaccard_join_of_a_large_group(spark):
             w[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
     links = brute_links(dict(rows))
+    monkeypatch.setattr(shingles, "BLOCK_CLASSES", 64)  # several blocks, so units of two
     got = shingles.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r.n_links == len(links[r.doc_id]) for r in got)
 
 
 def test_depth_meets_recall():
     assert shingles.prefix_depth(0.8) == 3 and shingles.prefix_depth(0.5) < 3 < shingles.prefix_depth(0.95)
+    # links found right at the threshold need short prefixes, near copies are all met by long ones
+    assert shingles.next_depth({40: 1000}, 8, 3) == 3
+    assert shingles.next_depth({49: 10**9}, 8, 3) == 8
+    assert 3 < shingles.next_depth({45: 10**6}, 8, 3, recall=0.9999) <= 8
+    assert shingles.next_depth({}, 3, 3) == 3
+
+
+def test_prefixes_are_shortened_to_the_recall(spark):
+    """Pairs at 0.8 to 0.85: the deepest prefixes miss some, a lower target stops there, the full one finds all."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(150):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        other = list(base)
+        for k in rng.sample(range(0, 200, 10), rng.choice((3, 4))):
+            other[k] = f"e{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sum(len(x) for x in brute_links(dict(rows)).values())
+    signed = shingles.signatures(df, shingles.prefix_depth(0.8))
+    reps = shingles.classes(signed)
+    full = shingles.links(df, reps).agg(F.sum("links")).first()[0]
+    tries = shingles.forest(df, reps, 3)
+    deep, _ = shingles.level(tries, shingles.DEEPEST, None, 3, None)
+    assert full == want and 0.9 * want < deep.agg(F.sum("links")).first()[0] <= want
 
 
 def test_components(spark):
@@ -193,12 +227,104 @@ def test_toxicity_on_labels(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     from cuegrain.llm import toxicity
 
-    train = labels.where("doc_id % 5 <> 0").withColumnRenamed("label", "toxic")
+    train = spark.read.parquet(f"{d}/labels.parquet").where("doc_id % 5 <> 0")
     got = toxicity.scan(docs, train).join(labels.where("doc_id % 5 = 0"), "doc_id").groupBy("label").agg(F.avg(F.col("toxic").cast("int")).alias("share"))
     share = {r.label: r.share for r in got.collect()}
     assert share[1] > 0.8 and share[0] < 0.02
 
 
+def test_toxicity_by_brute_force(spark):
+    """The fitted chain applied word by word, and a sample that lacks one of the labels."""
+    import regex as re2
+
+    from cuegrain.llm import toxicity
+
+    bad, good = "you idiot moron go away worthless".split(), "a pleasant walk by the river today".split()
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(bad if i % 3 == 0 else good, k=8)) + (" extraordinarily" if i % 2 else "")) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2), int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels)
+    texts = ["You IDIOT! a moron", "a walk, extraordinarily", "", "zzz"]
+    got = chain.scores(texts)
+    for t, p in zip(texts, got, strict=True):
+        present = set()
+        for w in re2.findall(r"\p{L}+", t.lower()):
+            for part in (w, *(w[:n] + "*" for n in toxicity.BEGINNINGS if len(w) > n)):
+                found, _ = toxicity.word_features([w])
+                pieces = [w, *[w[:n] for n in toxicity.BEGINNINGS if len(w) > n]]
+                present.add(int(found[pieces.index(part.rstrip("*"))]))
+        own = [0.0, 0.0]
+        for c, model in enumerate(chain.models):
+            z = model.b + sum(w for h, w in zip(chain.kept.tolist(), model.w, strict=True) if h in present) + sum(v * own[k] for k, v in enumerate(model.v))
+            own[c] = 1 / (1 + np.exp(-z))
+        assert p == pytest.approx(own, abs=1e-9)
+    assert got[0][1] > 0.5 > got[1][1]
+    none = toxicity.train(docs, labels.withColumn("toxic", F.lit(1)))
+    assert none.models[1] is None and none.scores(["you idiot"])[0][1] == 0
+    one = toxicity.train(docs, labels, names=("toxic",))
+    assert toxicity.predict(docs, one).columns == ["doc_id", "p_toxic", "toxic"]
+
+
+def test_long_words_are_quick():
+    from cuegrain.llm import toxicity
+
+    found, rows = toxicity.word_features(["x" * 2_000_000, "ab"])
+    assert len(found) == 2 + len(toxicity.BEGINNINGS) and rows.tolist().count(1) == 1
+
+
+def test_licences_by_brute_force(spark, small):
+    """Every run of lines against every template, and the fitted weights applied by hand."""
+    import math
+    import string
+
+    from cuegrain.llm import licenses
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").where("length(text) < 4000")
+    extra = [(9001, "x\nReleased under the MIT License.\ny"), (9002, "\n".join(licenses.TEMPLATES["isc"][1].split())), (9003, "MIT\n\nLicense"), (9004, "Permission is hereby granted,\nfree of charge, to any person")]  # the last holds too little
+    docs = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    model = licenses.train(docs)
+    strip = lambda w: w.strip(string.punctuation)
+    tokens = lambda line: [x for x in map(strip, line.lower().split()) if x]
+    grams = lambda w: set(w) | {f"{a} {b}" for a, b in zip(w, w[1:])}
+    known = [(f, i >= len(ts), grams(tokens(t))) for f, ts in sorted(licenses.TEMPLATES.items()) for i, t in enumerate(ts + licenses.WHOLE[f])]
+    want = set()
+    for r in docs.collect():
+        lines = [x for x in map(tokens, r.text.split("\n")) if x]
+        for i in range(len(lines)):
+            for k in range(i, len(lines)):
+                if sum(map(len, lines[i + 1 : k])) > licenses.SPAN:
+                    break
+                held = grams([w for x in lines[i : k + 1] for w in x])
+                for f, whole, g in known:
+                    if len(g & held) >= (len(g) if whole else licenses.CONTAINED * len(g)):
+                        want.add((r.doc_id, f))
+    found = licenses.runs(docs, model).collect()
+    assert {(r.doc_id, r.family) for r in found} == want and {9001, 9002, 9003} <= {d for d, _ in want} and 9004 not in {d for d, _ in want}
+    judged = {(r.doc_id, r["first"], r["last"]): r for r in licenses.scan(docs, model).collect()}
+    runs = {(r.doc_id, r["first"], r["last"]): r.tokens for r in found}
+    for at, r in judged.items():
+        z = list(model.bias)
+        for g in grams(runs[at]):
+            for i, w in enumerate(model.weights.get(g, [])):
+                z[i] += w
+        e = [math.exp(x / model.temperature) for x in z]
+        best = max(range(1, len(e)), key=lambda i: e[i])
+        assert r.family == model.labels[best] and r.probability == pytest.approx(e[best] / sum(e)) and r.probability > model.cutoff
+
+
+def test_licences_of_shared_ids(spark):
+    """Rows are told by id and text: a null id and a shared one count like others, repeats change nothing."""
+    from cuegrain.llm import licenses
+
+    half = "To the extent possible under law, the author has waived"
+    rows = [(None, "Released under the MIT License."), (None, "plain words"), (1, half), (1, half), (2, half), (3, "Released under the MIT License."), (3, "more plain words")]
+    got = sorted(((r.doc_id, r.n_licensed, r.families) for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    one = next(x[1:] for x in got if x[0] == 2)
+    assert [x[1:] for x in got if x[0] == 1] == [one, one]
+    assert [x[1:] for x in got if x[0] is None] == [(0, ""), (1, "mit")] and [x[1:] for x in got if x[0] == 3] == [(0, ""), (1, "mit")]
+
+
 def test_pipeline(spark, small, library):
     """Each stage by brute force on what its predecessor kept, then the tokens by the library."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
