@@ -115,8 +115,9 @@ plan("c2_build_cues", "cues timecodes", f"""with b as (select c.video_id, c.idx,
 plan("t3_first_n_violations", "timecodes", """with t as (select *, lag(id) over (partition by video_id order by id) pi from timecodes), b as (select video_id, id idx from t where id - pi > 1) select video_id, idx, total from (select *, row_number() over (partition by video_id order by idx) n, count(*) over (partition by video_id) total from b) where n <= 3""")(
     lambda s, d: Q.first_violations(K.timecode_contract(V.timecodes(V.cues(s, d))).where("violation = 'hole'").select("video_id", F.col("id").alias("idx")), 3)
 )
-plan("a11_changed_talks", "cues edited_cues paragraphs", f"""with {EDITED}, c as (select distinct video_id from (select video_id, idx, text from cues except select video_id, idx, text from edited_cues))
-    select coalesce(c.video_id, p.video_id) video_id, c.video_id is not null cues_edited, p.video_id is not null transcript_edited from c full join (select distinct video_id from (select video_id from df union all select video_id from ct where a <> b)) p using (video_id)""")(lambda s, d: changed(s, d))
+CHANGED = f"""with {EDITED}, c as (select distinct video_id from (select video_id, idx, text from cues except select video_id, idx, text from edited_cues))
+    select coalesce(c.video_id, p.video_id) video_id, c.video_id is not null cues_edited, p.video_id is not null transcript_edited from c full join (select distinct video_id from (select video_id from df union all select video_id from ct where a <> b)) p using (video_id)"""
+plan("a11_changed_talks", "cues edited_cues paragraphs", CHANGED)(lambda s, d: changed(s, d))
 
 
 def changed(s, d):

@@ -51,9 +51,6 @@ def with_asides(s, d):
     return V.table(s, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("file"))
 
 
-plan("s6_read_manifests", "manifests", "select doc_id video_id, coalesce(role, 'strict') role, coalesce(mode, 'strict') as mode from documents left join manifests on video_id = doc_id")(
-    lambda s, d: V.table(s, d, "documents").select(F.col("doc_id").alias("video_id")).join(V.manifests(s, d), "video_id", "left").fillna("strict", ["role", "mode"])
-)
 plan("s10_read_timecodes", "timecodes", "select video_id, id, start_ms, end_ms from timecodes")(lambda s, d: S.parse_timecodes(timecode_files(s, d)))
 
 

@@ -93,7 +93,7 @@ def encoding(content: Column) -> Column:
 
 def path_parts(path: Column) -> dict[str, Column]:
     """Talk, video and kind of file, from talks/<talk>/<video>/<folder>/<name>."""
-    part = lambda i: F.regexp_extract(path, r"/([^/]+)/([^/]+)/(source|final)/([^/]+)$", i)
+    part = lambda i: F.regexp_extract(path, r"/([^/]+)/([^/]+)/(?:folder=)?(source|final)/([^/]+)$", i)
     return {"talk_id": part(1), "video_slug": part(2), "kind": F.concat_ws("/", part(3), part(4))}
 
 
