@@ -63,15 +63,14 @@ def row_of(df: DataFrame, names: list[str]) -> Column:
     return F.struct(*map(col, names), *([] if names else [F.lit(0).alias("none")])).alias("_row")
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], rows: str, most: int = 1000) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], rows: str, most: int = 1000, total: int | None = None) -> DataFrame:
     """`left` with the row of `right` (one for each `key`) that has its key, if any; a key may be on any share of `left`.
 
     `rows` counts a key's rows in `left`. Keys with a `most`-th part of all rows or more are at most
     `most`, so their rows of `right` are broadcast; the other keys are joined by shuffle. A null key
-    finds nothing and is not shuffled.
+    finds nothing and is not shuffled. `total` saves counting the rows of `left`, if they are known.
     """
-    total = left.count()
-    bound = max(2.0, total / most)
+    bound = max(2.0, (left.count() if total is None else total) / most)
     on = [key] if isinstance(key, str) else key
     no_key = reduce(Column.__or__, [F.col(k).isNull() for k in on])
     hot = F.broadcast(right.where(F.col(rows) >= bound).withColumn("_hot", F.lit(True)))

@@ -181,7 +181,7 @@ class Block:
         self.digest = table["digest"].to_pylist()
         self.copies = table["copies"].to_numpy().astype(np.int64)
         self.here, self.deeper = matrix("here"), matrix("deeper")
-        self.packed = table["shingles"]
+        self.packed = table["shingles"] if "shingles" in table.column_names else None
 
     def sets(self) -> list[np.ndarray]:
         return [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in self.packed]
@@ -278,6 +278,13 @@ def _links(tree: int, left: Block, right: Block) -> pa.Table:
     return pa.table(rows)
 
 
+def _needed(key: tuple, table: pa.Table) -> pa.Table:
+    """The classes of a node that are in a pair to verify, by their prefixes alone."""
+    block = Block(table)
+    wanted = _wanted(key[0].as_py(), block, block)
+    return table.select(["digest", "tree", "key"]).take(pa.array(np.flatnonzero(wanted.any(axis=0) | wanted.any(axis=1))))
+
+
 def _node(key: tuple, table: pa.Table) -> pa.Table:
     """Links among the classes of one node."""
     block = Block(table)
@@ -314,11 +321,13 @@ def level(tries: DataFrame, depth: int, deeper: int | None, shortest: int, known
     nodes = staged(nodes.select("tree", "key", *same, blocks.alias("blocks")), "forest-nodes")
     members = join_hot(placed.select("digest", "tree", "key"), nodes.select("tree", "key", "c", "blocks"), ["tree", "key"], "c").where("c is not null")
     full = tries.select("digest", "copies", "shingles", slice_(depth).alias("here"), (slice_(deeper) if deeper else F.array().cast("array<bigint>")).alias("deeper"))
-    units = members.join(full, "digest")
-    found = units.where("blocks = 1").groupBy("tree", "key").applyInArrow(_node, LINKS)
+    # sets are sent only to nodes, and only of classes, that have a pair to verify
+    small = members.where("blocks = 1").select("digest", "tree", "key").join(full.drop("shingles"), "digest")
+    needed = staged(small.groupBy("tree", "key").applyInArrow(_needed, "digest binary, tree int, key long"), "forest-needed")
+    found = needed.join(full, "digest").groupBy("tree", "key").applyInArrow(_node, LINKS)
     if (nodes.agg(F.max("blocks")).first()[0] or 0) > 1:
         own = F.pmod(F.xxhash64("digest", "key"), F.col("blocks")).cast("int")
-        packed = units.where("blocks > 1").withColumn("block", own).groupBy("tree", "key", "block").applyInArrow(_pack, "tree int, key long, block int, blocks int, packed binary")
+        packed = members.where("blocks > 1").join(full, "digest").withColumn("block", own).groupBy("tree", "key", "block").applyInArrow(_pack, "tree int, key long, block int, blocks int, packed binary")
         pairs = staged(packed, "forest-blocks").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pairs = pairs.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
         found = found.unionByName(pairs.groupBy("tree", "key", "lo", "hi").applyInArrow(_two_blocks, LINKS))
