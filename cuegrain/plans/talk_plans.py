@@ -131,16 +131,16 @@ plan("f20_flatten_json_doc", "", f"""with c as (select conv_id, turn, turn::varc
 
 
 def talk_files(s, d) -> str:
-    """A tree of cue files in the shared folder, talks/<talk>/<video>/<source or final>/<name>; some videos lack one of the two."""
-    files = Q.cue_files(V.cues(s, d)).withColumn("talk", F.col("video_id") % 10)
+    """A tree of cue files in the shared folder, talks/<talk>/<video>/<source or final>/<name>; some of its 30 videos lack one of the two."""
+    files = staged(Q.cue_files(V.cues(s, d)).select((F.col("video_id") % 10).alias("talk"), (F.col("video_id") % 30).alias("video"), F.col("file").alias("value")), "talk-files")
     root = f"{shared_dir(s)}/talk-files/{uuid.uuid4().hex}"
     for folder, lacking in (("final", 3), ("source", 4)):
-        rows = files.where(F.col("video_id") % 5 != lacking)
-        rows.select(F.col("file").alias("value"), "talk", "video_id", F.lit(folder).alias("folder")).write.mode("append").partitionBy("talk", "video_id", "folder").text(f"{root}/talks", lineSep="\x00")
+        rows = files.where(F.col("video") % 5 != lacking).repartition("talk", "video")
+        rows.select("value", "talk", "video", F.lit(folder).alias("folder")).write.mode("append").partitionBy("talk", "video", "folder").text(f"{root}/talks", lineSep="\x00")
     return root
 
 
-plan("s11_discover_artifacts", "", "select 'talk=' || doc_id % 10 talk_id, 'video_id=' || doc_id video_slug from documents where doc_id % 5 not in (3, 4) and trim(text) <> ''")(
+plan("s11_discover_artifacts", "", "select distinct 'talk=' || doc_id % 10 talk_id, 'video=' || doc_id % 30 video_slug from documents where doc_id % 5 not in (3, 4) and trim(text) <> ''")(
     lambda s, d: S.discover(s, f"{talk_files(s, d)}/talks/*/*/*/*.txt")
 )
 

@@ -121,3 +121,85 @@ def test_merge_of_one_sided_changes(spark):
     e = [("base", 1, 1, "a"), ("local", 1, 1, "b"), ("remote", 1, 1, "a"), ("base", 1, 2, "a"), ("local", 1, 2, "a"), ("base", 1, 3, "x"), ("local", 1, 3, "y"), ("remote", 1, 3, "z")]
     got = {r.turn: (r.v, r.deleted) for r in M.three_way_merge(spark.createDataFrame(e, "snapshot string, conv_id long, turn long, v string")).collect()}
     assert got == {1: ("b", False), 2: (None, True), 3: ("y", False)}
+
+
+def test_long_intervals_are_not_dealt(spark):
+    """One corrupt end time of 10**12 ms meets what it overlaps, on either side, without a row for each bucket."""
+    from cuegrain.operators.align import interval_join
+
+    left = [(1, 1, 0, 5_000), (1, 2, 6_000, 10**12), (1, 3, 20_000, 30_000), (2, 1, 0, 10**12)]
+    right = [(1, 0, 4_000, "a"), (1, 7_000, 10**12, "b"), (1, 25_000, 26_000, "c"), (2, 5, 10**12, "d"), (3, 0, 1, "e")]
+    a = spark.createDataFrame(left, "video_id long, idx int, start_ms long, end_ms long")
+    b = spark.createDataFrame(right, "video_id long, r_start long, r_end long, name string")
+    got = sorted((r.video_id, r.idx, r.name) for r in interval_join(a, b).collect())
+    assert got == sorted((v, i, n) for v, i, s, e in left for w, x, y, n in right if v == w and s < y and e > x)
+
+
+def test_split_to_width_leaves_nothing_wide(spark):
+    from pyspark.sql import functions as F
+
+    from cuegrain.operators import edits
+
+    texts = [" ".join(["ab"] * 3000), "x" * 300 + " y", ("z" * 90 + " ") * 40 + "end", "short"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", edits.split_to_width(F.col("t")).alias("p")).collect()
+    for r in rows:
+        assert " ".join(r.p) == r.t.strip() and all(len(x) <= 84 or " " not in x for x in r.p)
+
+
+def test_quotes_after_many_marks_without_width(spark):
+    from pyspark.sql import functions as F
+
+    from cuegrain.functions import text as T
+
+    rows = [('a "' + "\u200b" * 50 + '"b"', "a «" + "\u200b" * 50 + "«b»"), ('"x" - y ...', "«x» – y..."), ('("q")', "(«q»)"), ("a - - b", "a – – b")]
+    got = spark.createDataFrame(rows, "t string, want string").select(T.typography(F.col("t")).alias("g"), "want").collect()
+    assert [r.g for r in got] == [r.want for r in got]
+    joiners = [("क\u200dx", "क\u200dx"), ("x\u200dy", "xy"), ("क\u200d\u200d\u200dx", "क\u200dx"), ("क\u200d\u200dक", "क\u200d\u200dक"), ("\u200dक", "\u200dक")]
+    got = spark.createDataFrame(joiners, "t string, want string").select(T.clean_invisible(F.col("t")).alias("g"), "want").collect()
+    assert [r.g for r in got] == [r.want for r in got]
+
+
+def test_split_points(spark):
+    """Block and line splits against a plain loop."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from cuegrain.operators import splits
+
+    def block(t):
+        mid = len(t) // 2
+        for mark in ("[.!?]", "[,;:—]"):
+            places = [m.end() for m in re.finditer(mark + r"\s", t)]
+            if places:
+                return min(places, key=lambda p: (abs(p - mid), p))
+        spaces = [i + 1 for i, c in enumerate(t) if c == " " and i + 1 >= mid]
+        return spaces[0] if spaces else None
+
+    texts = ["One. Two. Three", "a, b; c d", "no marks in here at all", "word", "", "x" * 50 + " " + "y" * 50, "Ends. ", "a. bbbbbbbbbb cc, dd", "One two three four, five six seven and eight nine ten eleven twelve thirteen fourteen fifteen"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", splits.block_split(F.col("t")).alias("b"), splits.line_split(F.col("t")).alias("l")).collect()
+    for r in rows:
+        assert r.b == block(r.t), r.t
+        assert (r.l is None) == (len(r.t) <= 84 or " " not in r.t) and (r.l is None or r.t[r.l] == " ")
+
+
+def test_edit_documents_round_trip(spark, small):
+    from cuegrain.operators import talks
+    from cuegrain.plans.talk_plans import edit_docs
+
+    leaves = talks.flatten_doc(edit_docs(spark, small))
+    again = talks.unflatten_doc(leaves)
+    entries = again.groupBy("conv_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "entry")))).alias("doc"))
+    twice = talks.flatten_doc(entries)
+    assert leaves.exceptAll(twice).count() == 0 and twice.exceptAll(leaves).count() == 0
+
+
+def test_manifests_are_read_back(spark, tmp_path):
+    from cuegrain.operators import talks
+
+    derived = spark.createDataFrame([(1, "secondary-offset", "Main"), (2, "secondary-resync", "Main")], "video_id long, mode string, primary_slug string")
+    files = talks.manifest_files(derived, "7")
+    talks.write_manifests(files, str(tmp_path / "m"))
+    back = spark.read.text(str(tmp_path / "m"), wholetext=True).withColumnRenamed("value", "file")
+    got = {r.video_id: (r.role, r.mode, r.primary_slug) for r in talks.parse_manifests(back.select("video_id", "file")).collect()}
+    assert got == {1: ("secondary", "secondary-offset", "Main"), 2: ("secondary", "secondary-resync", "Main")}
