@@ -8,9 +8,10 @@ that gives every row's quantised score as slices again. The k-th largest is foun
 significant slice downward; rows whose score could still reach it once the bits left out are
 added back, the boundary, are selected by a second walk from the top and resolved exactly.
 
-The index stays where its blocks are dealt: it is shuffled once, and each block gets all packs of
-QUERIES_A_PACK queries, kept in as few bytes as the values need. A block gives at most k rows a
-query, and Spark ranks those. Nothing grows with rows times queries but the bitmap work.
+Queries come in packs of QUERIES_A_PACK, in as few bytes as the values need. A block meets its packs
+in groups of PACKS_A_GROUP, so the index is shuffled once for some 65,000 queries and a group has a
+bounded size. A block gives at most k rows a query, and Spark ranks those. Nothing grows with rows
+times queries but the bitmap work.
 
 Defined cases: vectors that are null or empty, or hold a null or non-finite component, take no part as
 query or candidate, nor do those with a null id; only vectors of the query's length compare; rows
@@ -22,7 +23,6 @@ Scores must fit 64 bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import ship, staged
 
-BLOCK, BITS, QUERIES_A_PACK = 8192, 8, 2048
+BLOCK, BITS, QUERIES_A_PACK, PACKS_A_GROUP = 8192, 8, 2048, 32
 MOST_TASKS = 20_000
 
 
@@ -194,31 +194,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     keyed = asked.withColumn("pack", F.pmod(F.xxhash64("vec_id", "v"), F.lit(packs)).cast("int"))
     packed = staged(keyed.groupBy("dim", "pack").applyInArrow(pack, "dim int, pack int, queries binary, asked binary"), "bit-slice-packs")
-    # one task takes a block with some of its packs; each side is shuffled once, and the index is copied only where blocks are few
-    copies = max(1, min(packs, -(-48 // blocks)))
+    # a group is a block with some of its packs; where blocks are few there are more groups of fewer packs
+    copies = max(-(-packs // PACKS_A_GROUP), min(packs, -(-48 // blocks)))
     tasks = min(blocks * copies, MOST_TASKS)
     left = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod("pack", F.lit(copies)))
     right = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     keys = ["dim", "block", "part"]
     work = left.repartition(tasks, *keys).hint("merge").join(right.repartition(tasks, *keys), keys)
-    work = work.select("dim", "queries", "asked", "ids", "times", "values", "slices", "head")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim, queries, asked, *rest = (batch.column(c)[i].as_py() for c in range(8))
-                block = Slices.unpack(dim, *rest)
-                ids = np.frombuffer(queries, dtype=np.int64)
-                vectors = widen(asked, len(ids) * dim).reshape(-1, dim)
-                out: list[list[np.ndarray]] = [[] for _ in range(5)]
-                for q, v in zip(ids.tolist(), vectors, strict=True):
-                    found, scores, times = block.top(q, v, k)
-                    mark = int.from_bytes(blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True)
-                    for column, x in zip(out, (np.full(len(found), q), np.full(len(found), mark), found, scores, times), strict=True):
-                        column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vector", "vec_id", "score", "times"])
-
-    found = work.mapInArrow(run, "query_id long, vector long, vec_id long, score long, times long")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        dim = key[0].as_py()
+        block = Slices.unpack(dim, *(table[c][0].as_py() for c in ("ids", "times", "values", "slices", "head")))
+        out: list[list[np.ndarray]] = [[] for _ in range(5)]
+        for queries, asked in zip(table["queries"], table["asked"], strict=True):
+            ids = np.frombuffer(queries.as_py(), dtype=np.int64)
+            for q, v in zip(ids.tolist(), widen(asked.as_py(), len(ids) * dim).reshape(-1, dim), strict=True):
+                found, scores, times = block.top(q, v, k)
+                mark = int.from_bytes(blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True)
+                for column, x in zip(out, (np.full(len(found), q), np.full(len(found), mark), found, scores, times), strict=True):
+                    column.append(x)
+        return pa.table([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vector", "vec_id", "score", "times"])
+
+    found = work.groupBy(*keys).applyInArrow(run, "query_id long, vector long, vec_id long, score long, times long")
     found = found.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.least("times", F.lit(k)))))  # no more than k of a row can count
     order = Window.partitionBy("query_id", "vector").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
