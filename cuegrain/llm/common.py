@@ -75,7 +75,7 @@ def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], rows: str,
     no_key = reduce(Column.__or__, [F.col(k).isNull() for k in on])
     hot = F.broadcast(right.where(F.col(rows) >= bound).withColumn("_hot", F.lit(True)))
     first = left.join(hot, on, "left")
-    rest = first.where(F.col("_hot").isNull() & ~no_key).select(*left.columns).join(right.where(F.col(rows) < bound), on, "left")
+    rest = first.where(F.col("_hot").isNull() & ~no_key).select(*left.columns).join(right.where(F.col(rows) < bound).hint("shuffle_merge"), on, "left")
     return first.where(F.col("_hot").isNotNull() | no_key).drop("_hot").unionByName(rest)
 
 

@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = (now.count(), None)
-    while True:
+    while state[0]:
         now = staged(_small(_large(now, state[0]), state[0]), "edges")
         found = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if found == state:

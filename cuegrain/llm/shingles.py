@@ -170,7 +170,7 @@ def forest(docs: DataFrame, reps: DataFrame, shortest: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(2)] + made, names=["id0", "mark", "prefixes", "shingles"])
 
     made = texts.mapInArrow(run, "id0 long, mark long, prefixes array<bigint>, shingles binary")
-    return staged(wanted.join(made, ["id0", "mark"]).select("digest", "copies", "n", "prefixes", "shingles"), "forest")
+    return staged(wanted.join(made.hint("shuffle_merge"), ["id0", "mark"]).select("digest", "copies", "n", "prefixes", "shingles"), "forest")
 
 
 class Block:
@@ -321,13 +321,14 @@ def level(tries: DataFrame, depth: int, deeper: int | None, shortest: int, known
     nodes = staged(nodes.select("tree", "key", *same, blocks.alias("blocks")), "forest-nodes")
     members = join_hot(placed.select("digest", "tree", "key"), nodes.select("tree", "key", "c", "blocks"), ["tree", "key"], "c").where("c is not null")
     full = tries.select("digest", "copies", "shingles", slice_(depth).alias("here"), (slice_(deeper) if deeper else F.array().cast("array<bigint>")).alias("deeper"))
-    # sets are sent only to nodes, and only of classes, that have a pair to verify
-    small = members.where("blocks = 1").select("digest", "tree", "key").join(full.drop("shingles"), "digest")
+    # sets are sent only to nodes, and only of classes, that have a pair to verify; what grows with the
+    # corpus is joined by shuffle at every size, so that small runs show how large ones behave
+    small = members.where("blocks = 1").select("digest", "tree", "key").join(full.drop("shingles").hint("shuffle_merge"), "digest")
     needed = staged(small.groupBy("tree", "key").applyInArrow(_needed, "digest binary, tree int, key long"), "forest-needed")
-    found = needed.join(full, "digest").groupBy("tree", "key").applyInArrow(_node, LINKS)
+    found = needed.join(full.hint("shuffle_merge"), "digest").groupBy("tree", "key").applyInArrow(_node, LINKS)
     if (nodes.agg(F.max("blocks")).first()[0] or 0) > 1:
         own = F.pmod(F.xxhash64("digest", "key"), F.col("blocks")).cast("int")
-        packed = members.where("blocks > 1").join(full, "digest").withColumn("block", own).groupBy("tree", "key", "block").applyInArrow(_pack, "tree int, key long, block int, blocks int, packed binary")
+        packed = members.where("blocks > 1").join(full.hint("shuffle_merge"), "digest").withColumn("block", own).groupBy("tree", "key", "block").applyInArrow(_pack, "tree int, key long, block int, blocks int, packed binary")
         pairs = staged(packed, "forest-blocks").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pairs = pairs.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
         found = found.unionByName(pairs.groupBy("tree", "key", "lo", "hi").applyInArrow(_two_blocks, LINKS))
@@ -339,6 +340,8 @@ def links(docs: DataFrame, reps: DataFrame, recall: float = RECALL) -> DataFrame
     """digest, links, documents, root: rows of linked classes, from the deepest prefixes to those that give the recall."""
     shortest = prefix_depth(THRESHOLD[0] / THRESHOLD[1], recall=recall)
     tries = forest(docs, reps, shortest)
+    if tries.isEmpty():
+        return tries.select("digest", *[F.lit(0).cast("long").alias(n) for n in ("links", "documents")], F.col("digest").alias("root"))
     found, nodes, depth, deeper = None, None, DEEPEST, None
     while True:
         more, nodes = level(tries, depth, deeper, shortest, nodes)
