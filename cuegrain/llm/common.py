@@ -10,13 +10,13 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..staging import shared_dir, staged
 
-__all__ = ["SPACE", "WORD", "col", "join_hot", "mapped", "pieces", "row_of", "shared_dir", "ship", "staged", "table", "without"]
+__all__ = ["SPACE", "WORD", "col", "join_hot", "mapped", "numbered", "pieces", "row_of", "shared_dir", "ship", "staged", "table", "without"]
 
 #: A word, as the contracts define it: a run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,6 +79,24 @@ def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], rows: str,
     return first.where(F.col("_hot").isNotNull() | no_key).drop("_hot").unionByName(rest)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """`df` (tree, ...) with `idx`, the place of each row among its tree's rows in `order`, and `size`, their number.
+
+    The place in a sorted partition, plus the rows of the same tree in partitions before it: one row for each partition and tree.
+    """
+    ordered = df.repartitionByRange("tree", *order).sortWithinPartitions("tree", *order)
+    placed = staged(ordered.withColumn("_at", F.monotonically_increasing_id()), name)
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = placed.withColumn("_part", part).withColumn("_row", row).drop("_at")
+    runs = placed.groupBy("tree", "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    by_part = Window.partitionBy("tree").orderBy("_part")
+    before = F.sum("_n").over(by_part.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = runs.select("tree", "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(Window.partitionBy("tree")).alias("size"))
+    # small enough tables are broadcast; a join by shuffle meets no key with more rows than a sorted partition
+    found = placed.join(staged(offsets, f"{name}-offsets"), ["tree", "_part"])
+    return found.withColumn("idx", F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
+
+
 def mapped(df: DataFrame, keep: list[str], value: Column, run, made: list[tuple[str, T.DataType]]) -> DataFrame:
     """The columns `keep` of `df` and those that `run` makes of `value`, an Arrow batch at a time.
 

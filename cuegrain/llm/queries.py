@@ -7,7 +7,7 @@ from functools import lru_cache
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, lines, mixing, quality, shingles, substrings, topk, toxicity
+from . import bpe, fingerprints, langid, lexical, licenses, lines, manifest, mixing, quality, shingles, substrings, topk, toxicity
 from .common import table
 
 
@@ -56,6 +56,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.report(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
@@ -67,6 +79,9 @@ QUERIES = {
     "op8_bit_sliced_top_k": op8_bit_sliced_top_k,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_mixing": op10_mixing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_document_fingerprints": op13_document_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -74,4 +89,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": quality.ORACLE,
     "op8_bit_sliced_top_k": topk.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_merkle_manifest": manifest.ORACLE,
+    "op12_lexical_search": lexical.ORACLE,
+    "op13_document_fingerprints": fingerprints.ORACLE,
 }
