@@ -3,10 +3,10 @@ r"""Document fingerprints: Merkle trees over paragraphs and sections, in DataFra
 A text is cut at each \n into paragraphs, a paragraph into pieces (a sentence, or PIECE characters
 of one that is longer), and paragraphs are grouped into sections that end after a paragraph whose
 digest begins with one of ENDS, so that an edit moves no section but its own. A digest is SHA-256:
-of a piece's text, of the digests of the pieces of a paragraph, of the paragraphs of a section, of
-the sections: the root. Equal texts have equal fingerprints, and the 256-bit root tells others.
+of a piece's text, of the digests and lengths of a paragraph's pieces, of the digests of a section's
+paragraphs, of the sections' digests: the root. Equal texts have equal fingerprints, and the 256-bit root tells others.
 
-The fingerprint is a string: the root, then `/` and 8 digits for each section, `:` and 8 digits for
+The fingerprint is a string: the root and the number of characters of all pieces, then `/` and 8 digits for each section, `:` and 8 digits for
 each paragraph, `,` and 8 digits and the number of characters for each piece. It is all that
 `likeness` and `differing` need: the tree is walked from the root, branches of equal digest are
 left, and the pieces of the others locate the edit.
@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import numbered, staged
 
-PIECE = 40
+PIECE = 64
 PIECES = rf"[^.!?]{{1,{PIECE}}}[.!?]* *|[.!?]+ *"
 ENDS = ("0", "1", "2", "3")
-SHORT = 8
+SHORT, DIGEST = 8, 64
 
 
 def let(value: Column, body) -> Column:
@@ -56,9 +56,9 @@ def short(d: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     def paragraph(p: Column) -> Column:
-        pieces = F.transform(F.regexp_extract_all(p, F.lit(PIECES), F.lit(0)), lambda x: F.struct(digest(x).alias("d"), F.char_length(x).alias("n")))
-        shown = lambda x: F.concat(F.lit(","), short(x["d"]), x["n"].cast("string"))
-        return let(pieces, lambda ps: let(joined(F.transform(ps, lambda x: x["d"])), lambda d: F.struct(d.alias("d"), F.concat(F.lit(":"), short(d), F.array_join(F.transform(ps, shown), "")).alias("shown"))))
+        nodes = F.transform(F.regexp_extract_all(p, F.lit(PIECES), F.lit(0)), lambda x: F.concat(digest(x), F.char_length(x).cast("string")))
+        shown = lambda x: F.concat(F.lit(","), short(x), F.substr(x, F.lit(DIGEST + 1)))
+        return let(nodes, lambda ns: F.struct(joined(ns).alias("d"), F.array_join(F.transform(ns, shown), "").alias("shown")))
 
     def sections(ps: Column) -> Column:
         last = F.size(ps) - 1
@@ -67,16 +67,22 @@ def fingerprint(text: Column) -> Column:
         def section(es: Column, e: Column, j: Column) -> Column:
             first = F.when(j == 0, 0).otherwise(F.get(es, j - 1) + 1)
             own = F.slice(ps, first + 1, e - first + 1)
-            return let(own, lambda o: let(joined(F.transform(o, lambda p: p["d"])), lambda d: F.struct(d.alias("d"), F.concat(F.lit("/"), short(d), F.array_join(F.transform(o, lambda p: p["shown"]), "")).alias("shown"))))
+            return let(own, lambda o: let(joined(F.transform(o, lambda p: p["d"])), lambda d: F.struct(d.alias("d"), F.concat(F.lit("/"), short(d), F.array_join(F.transform(o, lambda p: F.concat(F.lit(":"), short(p["d"]), p["shown"])), "")).alias("shown"))))
 
         return let(ends, lambda es: F.transform(es, lambda e, j: section(es, e, j)))
 
-    whole = lambda ss: F.concat(joined(F.transform(ss, lambda s: s["d"])), F.array_join(F.transform(ss, lambda s: s["shown"]), ""))
+    n_chars = F.length(F.translate(F.coalesce(text, F.lit("")), "\n", "")).cast("string")
+    whole = lambda ss: F.concat(joined(F.transform(ss, lambda s: s["d"])), n_chars, F.array_join(F.transform(ss, lambda s: s["shown"]), ""))
     return let(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), paragraph), lambda ps: let(sections(ps), whole))
 
 
 def root(print_: Column) -> Column:
-    return F.substring(print_, 1, 64)
+    return F.substring(print_, 1, DIGEST)
+
+
+def n_chars(print_: Column) -> Column:
+    """The characters of all pieces."""
+    return F.substr(F.substring_index(print_, "/", 1), F.lit(DIGEST + 1)).cast("long")
 
 
 def pieces(print_: Column) -> Column:
@@ -91,25 +97,30 @@ def _size(piece: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Characters in pieces that both fingerprints have, as often as both have them, over the mean of all: 0 to 1."""
 
-    def shared(tagged: Column) -> Column:
+    weight = lambda ps: F.aggregate(ps, F.lit(0).cast("long"), lambda n, p: n + _size(p))
+
+    def repeated(tagged: Column) -> Column:
+        """By runs in the sorted pieces of both, each piece with its side at the end."""
         here = lambda i: F.get(tagged, i)
+        piece = lambda x: F.substring(x, 1, F.length(x) - 1)
         starts = F.filter(F.sequence(F.lit(0), F.size(tagged) - 1), lambda i: (i == 0) | (here(i) != here(i - 1)))
 
         def common(st: Column) -> Column:
             def both(s: Column, j: Column) -> Column:
                 second = F.get(st, j + 1)
                 n = F.least(second - s, F.coalesce(F.get(st, j + 2), F.size(tagged)) - second)
-                return F.when(second.isNotNull() & (here(s)["p"] == here(second)["p"]), n * _size(here(s)["p"])).otherwise(F.lit(0).cast("long"))
+                return F.when(second.isNotNull() & (piece(here(s)) == piece(here(second))), n * _size(piece(here(s)))).otherwise(F.lit(0).cast("long"))
 
             return F.aggregate(F.transform(st, both), F.lit(0).cast("long"), lambda x, y: x + y)
 
         return let(starts, common)
 
     def of_pieces(x: Column, y: Column) -> Column:
-        tag = lambda side: lambda p: F.struct(p.alias("p"), F.lit(side).alias("side"))
-        total = lambda ps: F.aggregate(ps, F.lit(0).cast("long"), lambda acc, p: acc + _size(p))
-        both = let(F.sort_array(F.concat(F.transform(x, tag(0)), F.transform(y, tag(1)))), shared)
-        return F.when(F.size(x) + F.size(y) == 0, 1.0).otherwise(2.0 * both / (total(x) + total(y)))
+        tag = lambda side: lambda p: F.concat(p, F.lit(side))
+        once = (F.size(F.array_distinct(x)) == F.size(x)) | (F.size(F.array_distinct(y)) == F.size(y))  # then no piece is shared twice
+        merged = let(F.sort_array(F.concat(F.transform(x, tag("a")), F.transform(y, tag("b")))), repeated)
+        both = F.when(~F.arrays_overlap(x, y), F.lit(0).cast("long")).when(once, weight(F.array_intersect(x, y))).otherwise(merged)
+        return F.when(F.size(x) + F.size(y) == 0, 1.0).otherwise(2.0 * both / (n_chars(a) + n_chars(b)))
 
     pair = F.struct(pieces(a).alias("a"), pieces(b).alias("b"))
     return F.when(root(a) == root(b), 1.0).otherwise(let(pair, lambda p: of_pieces(p["a"], p["b"])))
@@ -235,11 +246,11 @@ e as (select n.*, left(n.t, n_chars - n_chars // 4) || left(m.t, n_chars // 4) e
 x as (select rid, 0 kind, t from e union all select rid, 1, ed from e),
 q as (select rid, kind, generate_subscripts(string_split(t, chr(10)), 1) i, unnest(string_split(t, chr(10))) p from x),
 r as (select *, regexp_extract_all(p, '{PIECES}') ps from q),
-p as (select rid, kind, i, p, ps, sha256(coalesce(array_to_string(list_transform(ps, lambda z: sha256(z)), ''), '')) d,
+p as (select rid, kind, i, p, ps, sha256(coalesce(array_to_string(list_transform(ps, lambda z: sha256(z) || length(z)), ''), '')) d,
     coalesce(array_to_string(list_transform(ps, lambda z: ',' || left(sha256(z), {SHORT}) || length(z)), ''), '') own from r),
 g as (select *, left(d, {SHORT}) || own shown, coalesce(sum((left(d, 1) in {ENDS})::int) over (partition by rid, kind order by i rows between unbounded preceding and 1 preceding), 0) sec from p),
 s as (select rid, kind, sec, sha256(string_agg(d, '' order by i)) d, left(sha256(string_agg(d, '' order by i)), {SHORT}) || string_agg(':' || shown, '' order by i) shown from g group by all),
-f as (select rid, kind, sha256(string_agg(d, '' order by sec)) || string_agg('/' || shown, '' order by sec) fp from s group by all),
+f as (select rid, kind, sha256(string_agg(d, '' order by sec)) || any_value(length(replace(t, chr(10), ''))) || string_agg('/' || shown, '' order by sec) fp from s join x using (rid, kind) group by all),
 u as (select rid, kind, i, generate_subscripts(ps, 1) j, unnest(ps) z from p),
 h as (select rid, kind, left(sha256(z), {SHORT}) || length(z) tok, length(z) len, count(*) c from u group by all),
 w as (select rid, kind, sum(c * len) w from h group by all),
