@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_word
 from .cues import cps100, duration
+from .sequences import longest_rising
 
 
-#: The most buckets that a row is dealt into, and the buckets of longer rows.
+#: The most buckets that a row is dealt into.
 MOST_BUCKETS = 1000
-LONG_LEFT, LONG_RIGHT = -(1 << 62), -(1 << 62) + 1
 
 
 def interval_join(left: DataFrame, right: DataFrame, closed: bool = False, bucket_ms: int = 10_000, how: str = "inner") -> DataFrame:
@@ -19,22 +19,21 @@ def interval_join(left: DataFrame, right: DataFrame, closed: bool = False, bucke
 
     Both sides are dealt into time buckets, so the range join is an equi join on (video, bucket); a
     pair that shares several buckets is kept in the first of them only. Rows over MOST_BUCKETS long,
-    such as one corrupt end time makes, are not dealt: they meet every row of their video in a
-    bucket of its own kind, the left ones in LONG_LEFT, the right ones also in LONG_RIGHT.
+    such as one corrupt end time makes, are split off and not dealt: they meet the rows of their
+    video by an equi join on the video alone, which the short rows of other videos do not enter.
     """
     first, last = lambda a: F.floor(F.col(a) / bucket_ms), lambda a, z: F.floor(F.greatest(F.col(a), F.col(z)) / bucket_ms)
-    long_ = lambda a, z: last(a, z) - first(a) >= MOST_BUCKETS
-
-    def buckets(a: str, z: str, short: int, long: list[int]) -> Column:
-        dealt = F.concat(F.sequence(first(a), last(a, z)), F.array(F.lit(short).cast("long")))
-        return F.explode(F.when(long_(a, z), F.array(*[F.lit(x).cast("long") for x in long])).otherwise(dealt))
-
-    a = left.withColumn("_b", buckets("start_ms", "end_ms", LONG_RIGHT, [LONG_LEFT]))
-    b = right.withColumn("_b", buckets("r_start", "r_end", LONG_LEFT, [LONG_LEFT, LONG_RIGHT]))
+    long_ = lambda a, z: F.coalesce(last(a, z) - first(a) >= MOST_BUCKETS, F.lit(False))
     meet = (F.col("r_end") >= F.col("start_ms")) & (F.col("r_start") <= F.col("end_ms")) if closed else (F.col("start_ms") < F.col("r_end")) & (F.col("end_ms") > F.col("r_start"))
-    pairs = a.join(b, ["video_id", "_b"]).where(meet & ((F.col("_b") <= LONG_RIGHT) | (F.col("_b") == F.floor(F.greatest("start_ms", "r_start") / bucket_ms))))
+    long_left, long_right = long_("start_ms", "end_ms"), long_("r_start", "r_end")
+    a = left.where(~long_left).withColumn("_b", F.explode(F.sequence(first("start_ms"), last("start_ms", "end_ms"))))
+    b = right.where(~long_right).withColumn("_b", F.explode(F.sequence(first("r_start"), last("r_start", "r_end"))))
+    short = a.join(b, ["video_id", "_b"]).where(meet & (F.col("_b") == F.floor(F.greatest("start_ms", "r_start") / bucket_ms))).drop("_b")
+    # few rows if any: the other side is only read for their videos
+    apart = left.where(long_left).join(right, "video_id").unionByName(left.where(~long_left).join(right.where(long_right), "video_id"))
+    pairs = short.unionByName(apart.where(meet))
     if how == "inner":
-        return pairs.drop("_b")
+        return pairs
     keys = ["video_id", "idx"]
     return left.join(pairs.select(*keys, *[c for c in right.columns if c != "video_id"]), keys, "left")
 
@@ -107,9 +106,9 @@ def monotone(anchors: DataFrame) -> DataFrame:
 
 
 def anchor_map(primary: DataFrame, secondary: DataFrame) -> DataFrame:
-    """Times at which two recordings say the same three words that each says once; increasing in both."""
+    """Times at which two recordings say the same three words that each says once: the longest run of them that rises in both."""
     pairs = unique_trigrams(primary, "p").join(unique_trigrams(secondary, "s"), ["video_id", "g"])
-    return monotone(pairs.groupBy("video_id", "p").agg(F.min("s").alias("s")))
+    return longest_rising(pairs.groupBy("video_id", "p").agg(F.min("s").alias("s")), "p", "s", strict=False)
 
 
 def remap(points: DataFrame, anchors: DataFrame, reach: int = 2000) -> DataFrame:

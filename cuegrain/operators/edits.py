@@ -62,17 +62,22 @@ def block_runs(blocks: DataFrame, cues: DataFrame) -> DataFrame:
     return hits.join(n, ["list_id", "video_id"]).where("c = n").groupBy("list_id", "video_id").agg(F.min("first_idx").alias("first_idx"))
 
 
-def similar_blocks(old: DataFrame, new: DataFrame, share: int = 50) -> DataFrame:
-    """Old and new blocks of a video that are each other's most similar, by word trigrams shared over all (in percent)."""
+def alike_blocks(old: DataFrame, new: DataFrame, share: int = 50, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
+    """Pairs of old and new blocks of a video (or other `keys`) that share over `share` percent of their word trigrams: old, new, score."""
     def grams(b: DataFrame, name: str) -> DataFrame:
         def triples(w: Column) -> Column:
             return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
 
         g = let(F.transform(F.split("text", " "), norm_word), triples)
-        return b.select("video_id", F.col("idx").alias(name), F.size(g).alias(f"n_{name}"), F.explode(g).alias("g"))
+        return b.select(*keys, F.col("idx").alias(name), F.size(g).alias(f"n_{name}"), F.explode(g).alias("g"))
+
+    pairs = grams(old, "old").join(grams(new, "new"), [*keys, "g"]).groupBy(*keys, "old", "new", "n_old", "n_new").agg(F.count("*").alias("c"))
+    return pairs.select(*keys, "old", "new", F.expr("c * 100 div (n_old + n_new - c)").alias("score")).where(F.col("score") > share)
 
-    pairs = grams(old, "old").join(grams(new, "new"), ["video_id", "g"]).groupBy("video_id", "old", "new", "n_old", "n_new").agg(F.count("*").alias("c"))
-    scored = pairs.withColumn("score", F.expr("c * 100 div (n_old + n_new - c)")).where(F.col("score") > share)
+
+def similar_blocks(old: DataFrame, new: DataFrame, share: int = 50) -> DataFrame:
+    """Old and new blocks of a video that are each other's most similar, by word trigrams shared over all (in percent)."""
+    scored = alike_blocks(old, new, share)
     best = lambda side, other: F.row_number().over(Window.partitionBy("video_id", side).orderBy(F.desc("score"), other))
     return scored.withColumn("a", best("old", "new")).withColumn("b", best("new", "old")).where("a = 1 and b = 1").select("video_id", "old", "new", "score")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_word
 from .align import interval_join, pauses, word_stream
 from .cues import LIMITS, Limits, measures, next_start, prev_end, snap_trim, video
+from .sequences import longest_rising
 
 
 def heard_words(words: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def written_words(cues: DataFrame) -> DataFrame:
 
 
 def word_anchors(written: DataFrame, heard: DataFrame) -> DataFrame:
-    """Written words (j) that are certainly heard ones (i): those of word triples that each side has once, rising in both."""
+    """Written words (j) that are certainly heard ones (i): those of word triples that each side has once, the longest run of them that rises in both."""
     def once(df: DataFrame, n: str) -> DataFrame:
         order = Window.partitionBy("video_id").orderBy(n)
         triple = df.select("video_id", n, F.concat_ws(" ", "w", F.lead("w", 1).over(order), F.lead("w", 2).over(order)).alias("g"), F.lead("w", 2).over(order).alias("last"))
@@ -32,8 +33,7 @@ def word_anchors(written: DataFrame, heard: DataFrame) -> DataFrame:
 
     pairs = once(written, "j").join(once(heard, "i"), ["video_id", "g"]).select("video_id", "j", "i", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("k"))
     first = pairs.groupBy("video_id", (F.col("j") + F.col("k")).alias("j")).agg(F.min(F.col("i") + F.col("k")).alias("i"))
-    earlier = Window.partitionBy("video_id").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
-    return first.withColumn("_m", F.max("i").over(earlier)).where("_m is null or i > _m").drop("_m")
+    return longest_rising(first, "j", "i")
 
 
 def word_times(written: DataFrame, heard: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .align import interval_join
-from .edits import WIDTH, let, similar_blocks
+from .edits import WIDTH, alike_blocks, let
+from .sequences import best_pairing, longest_rising
 
 SOLID, BLANKS = r"[^ \t\n\x0B\f\r]+", r"[ \t\n\x0B\f\r]+"
 
@@ -57,6 +58,25 @@ def locate_fragments(paragraphs: DataFrame, fragments: DataFrame, cues: DataFram
     return fragments.join(found, ["video_id", "para_idx"], "left")
 
 
+def holding(fragments: DataFrame, cues: DataFrame) -> DataFrame:
+    """`fragments` (video_id, para_idx, old_part, ...) with each cue (idx, cue) of their video that may hold them.
+
+    An inverted index of the cues' q-grams, three characters or as many as a shorter fragment has:
+    each fragment is looked up by the rarest of its grams, so the cues that it meets are few, and
+    one with a gram that no cue has meets none.
+    """
+    grams = lambda text, q: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substr(text, i, q)))
+    q = F.least(F.length("old_part"), F.lit(3))
+    asked = fragments.where("old_part <> ''").select("video_id", "para_idx", F.explode(grams(F.col("old_part"), q)).alias("g"))
+    sizes = fragments.where("old_part <> ''").select("video_id", q.alias("q")).distinct()
+    long_enough = cues.join(sizes, "video_id").where(F.length("cue") >= F.col("q"))
+    postings = long_enough.select("video_id", "idx", F.explode(grams(F.col("cue"), F.col("q"))).alias("g")).join(asked.select("video_id", "g").distinct(), ["video_id", "g"])
+    often = postings.groupBy("video_id", "g").agg(F.count("*").alias("n"))
+    rarest = asked.join(often, ["video_id", "g"], "left").groupBy("video_id", "para_idx").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r"))
+    met = rarest.where("r.n > 0").select("video_id", "para_idx", "r.g").join(postings, ["video_id", "g"]).select("video_id", "para_idx", "idx")
+    return fragments.join(met, ["video_id", "para_idx"]).join(cues, ["video_id", "idx"])
+
+
 def apply_edits(located: DataFrame, cues: DataFrame, width: int = WIDTH) -> DataFrame:
     """What each edit makes of its cue: video_id, para_idx, result, idx, text, over_width.
 
@@ -74,7 +94,7 @@ def apply_edits(located: DataFrame, cues: DataFrame, width: int = WIDTH) -> Data
     j = j.withColumn("result", result)
     done = j.where("result is not null").withColumn("text", F.when(F.col("result") == "located", placed).when(F.col("result") == "right cue", first(F.col("cue"))))
     open_ = j.where("result is null").select("video_id", "para_idx", "old_part", "new_part")
-    hits = open_.join(c, "video_id").where(F.instr("cue", old) > 0).groupBy("video_id", "para_idx").agg(F.count("*").alias("hits"), F.min(F.struct("idx", "cue")).alias("hit"))
+    hits = holding(open_, c).where(F.instr("cue", old) > 0).groupBy("video_id", "para_idx").agg(F.count("*").alias("hits"), F.min(F.struct("idx", "cue")).alias("hit"))
     searched = open_.join(hits, ["video_id", "para_idx"], "left").withColumn("result", F.when(F.col("hits").isNull(), "not found").when(F.col("hits") > 1, "ambiguous").otherwise("only one"))
     one = F.col("result") == "only one"
     searched = searched.withColumn("idx", F.when(one, F.col("hit.idx"))).withColumn("text", F.when(one, first(F.col("hit.cue"))))
@@ -85,7 +105,7 @@ def apply_edits(located: DataFrame, cues: DataFrame, width: int = WIDTH) -> Data
 def cue_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Regions between unchanged cues: video_id, region, side (old, new), n, idx, text, and `kept` for the unchanged ones.
 
-    Unchanged are equal texts, the k-th use of a text with the k-th, that rise in both versions.
+    Unchanged are equal texts, the k-th use of a text with the k-th: the longest run that rises in both versions.
     """
     def numbered(c: DataFrame, n: str) -> DataFrame:
         in_order, uses = Window.partitionBy("video_id").orderBy("idx"), Window.partitionBy("video_id", "text").orderBy("idx")
@@ -93,8 +113,7 @@ def cue_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
     a, b = numbered(old, "a"), numbered(new, "b")
     pairs = a.join(b.drop("idx"), ["video_id", "text", "use"]).select("video_id", "a", "b")
-    earlier = Window.partitionBy("video_id").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
-    kept = pairs.withColumn("_m", F.max("b").over(earlier)).where("_m is null or b > _m").drop("_m")
+    kept = longest_rising(pairs, "a", "b")
 
     def regions(c: DataFrame, n: str, side: str) -> DataFrame:
         j = c.join(kept.select("video_id", n, F.lit(1).alias("k")), ["video_id", n], "left")
@@ -104,14 +123,43 @@ def cue_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return regions(a, "a", "old").unionByName(regions(b, "b", "new"))
 
 
+def standing(phrases: DataFrame, texts: DataFrame, order: str = "para_idx") -> DataFrame:
+    """The distinct phrases (video_id, text) whose words stand in a row in the video's texts, read in `order`.
+
+    A positional index of the runs of up to three words of the texts: each phrase is looked up by its
+    rarest run, and where that stands, the phrase's other words are held against those around it.
+    An empty phrase stands everywhere.
+    """
+    size = 3
+    wanted = phrases.distinct().withColumn("words", F.filter(F.split("text", BLANKS), lambda w: w != ""))
+    heard = texts.select("video_id", order, F.posexplode(F.split("text", BLANKS)).alias("p", "w")).where("w <> ''")
+    in_order = Window.partitionBy("video_id").orderBy(order, "p")
+    ahead = [F.lead("w", i).over(in_order) for i in range(1, size)]
+    placed = heard.select("video_id", (F.row_number().over(in_order) - 1).alias("at"), "w", *[x.alias(f"w{i}") for i, x in enumerate(ahead, 1)])
+    runs = [F.array("w", *[f"w{j}" for j in range(1, i)]) for i in range(1, size + 1)]
+    index = placed.select("video_id", "at", F.explode(F.array(*runs)).alias("run")).where("not exists(run, x -> x is null)")
+    own = F.transform(F.sequence(F.lit(0), F.size("words") - F.least(F.size("words"), F.lit(size))), lambda i: F.struct(i.alias("i"), F.slice("words", i + 1, F.least(F.size("words"), F.lit(size))).alias("run")))
+    asked = wanted.where("size(words) > 0").select("video_id", "text", F.explode(own).alias("x")).select("video_id", "text", "x.*")
+    asked_once = asked.select("video_id", "run").distinct()
+    found = index.join(asked_once, ["video_id", "run"])
+    often = found.groupBy("video_id", "run").agg(F.count("*").alias("n"))
+    # a run that is nowhere makes the phrase stand nowhere: its least count is missing
+    rarest = asked.join(often, ["video_id", "run"], "left").groupBy("video_id", "text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "i", "run")).alias("r"))
+    starts = rarest.where("r.n > 0").select("video_id", "text", "r.i", "r.run").join(found, ["video_id", "run"]).select("video_id", "text", (F.col("at") - F.col("i")).alias("start"))
+    spelled = starts.join(wanted, ["video_id", "text"]).select("video_id", "text", "start", F.size("words").alias("n"), F.posexplode("words").alias("j", "w"))
+    equal = spelled.withColumn("at", F.col("start") + F.col("j")).join(placed.select("video_id", "at", "w"), ["video_id", "at", "w"])
+    whole = equal.groupBy("video_id", "text", "start", "n").agg(F.count("*").alias("m")).where("m = n")
+    return whole.select("video_id", "text").distinct().unionByName(wanted.where("size(words) = 0").select("video_id", "text"))
+
+
 def propagate(old: DataFrame, new: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Per video what an edit of its cues asks of the transcript: changed, removed, skipped (removed, but not in it), drifted (unchanged, but not in it), reblocked, inserted (which it cannot take).
 
-    In a region with as many old cues as new each is paired with its counterpart; with fewer new
-    ones the most similar pair up and the other old ones are removed.
+    In a region with as many old cues as new each is paired with its counterpart. In others cues that
+    are over half alike pair up, by the pairing of greatest likeness that keeps both orders; old cues
+    that are left are removed, new ones inserted.
     """
     rows = cue_changes(old, new)
-    text = whole_text(paragraphs, "para_idx", "transcript")
     open_ = rows.where("not kept")
     is_old = F.col("side") == "old"
     joined = lambda side: folded(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("n", "text")))), lambda x: x["text"]), " "))
@@ -119,12 +167,14 @@ def propagate(old: DataFrame, new: DataFrame, paragraphs: DataFrame) -> DataFram
     kind = F.when(F.col("x") == F.col("y"), "reblocked").when(F.col("no") == F.col("nn"), "paired").when(F.col("nn") == 0, "deleted").when(F.col("no") == 0, "inserted").otherwise("mixed")
     sizes = sizes.select("video_id", "region", "no", "nn", kind.alias("kind"))
     mixed = open_.join(sizes.where("kind = 'mixed'").select("video_id", "region"), ["video_id", "region"], "left_semi")
-    keyed = mixed.select(F.struct("video_id", "region").alias("video_id"), "side", F.col("n").alias("idx"), "text")
-    alike = similar_blocks(keyed.where("side = 'old'"), keyed.where("side = 'new'")).select("video_id.video_id", "video_id.region", F.col("old").alias("n"), F.lit(True).alias("paired"))
-    olds = open_.where(is_old).join(sizes, ["video_id", "region"]).join(alike, ["video_id", "region", "n"], "left").join(text, "video_id", "left")
+    keyed = mixed.select("video_id", "region", "side", F.col("n").alias("idx"), "text")
+    cells = alike_blocks(keyed.where("side = 'old'"), keyed.where("side = 'new'"), keys=("video_id", "region"))
+    alike = best_pairing(cells, ["video_id", "region"], "old", "new").select("video_id", "region", F.col("old").alias("n"), F.lit(True).alias("paired"))
+    olds = open_.where(is_old).join(sizes, ["video_id", "region"]).join(alike, ["video_id", "region", "n"], "left")
     gone = (F.col("kind") == "deleted") | ((F.col("kind") == "mixed") & F.col("paired").isNull())
-    there = F.coalesce(F.contains("transcript", folded(F.col("text"))), F.lit(False))
-    counts = olds.groupBy("video_id").agg(
+    stands = standing(olds.where(gone).select("video_id", "text"), paragraphs).withColumn("stands", F.lit(True))
+    there = F.col("stands").isNotNull()
+    counts = olds.join(stands, ["video_id", "text"], "left").groupBy("video_id").agg(
         F.count_if((F.col("kind") == "paired") | F.col("paired").isNotNull()).alias("changed"), F.count_if(gone & there).alias("removed"), F.count_if(gone & ~there).alias("skipped"),
     )
     matched = alike.groupBy("video_id", "region").agg(F.count("*").alias("m"))
@@ -132,8 +182,9 @@ def propagate(old: DataFrame, new: DataFrame, paragraphs: DataFrame) -> DataFram
         F.count_if(F.col("kind") == "reblocked").alias("reblocked"),
         F.sum(F.when(F.col("kind") == "inserted", F.col("nn")).when(F.col("kind") == "mixed", F.col("nn") - F.coalesce("m", F.lit(0))).otherwise(0)).alias("inserted"),
     )
-    lower = F.contains(F.lower("transcript"), F.lower(folded(F.col("text"))))
-    drift = rows.where("kept and side = 'old'").join(text, "video_id", "left").groupBy("video_id").agg(F.count_if(~F.coalesce(lower, F.lit(False))).alias("drifted"))
+    unchanged = rows.where("kept and side = 'old'").select("video_id", F.lower("text").alias("text"))
+    lower = standing(unchanged, paragraphs.withColumn("text", F.lower("text")))
+    drift = unchanged.join(lower, ["video_id", "text"], "left_anti").groupBy("video_id").agg(F.count("*").alias("drifted"))
     videos = old.select("video_id").union(new.select("video_id")).distinct()
     out = videos.join(counts, "video_id", "left").join(extra, "video_id", "left").join(drift, "video_id", "left")
     names = ("changed", "removed", "skipped", "drifted", "reblocked", "inserted")

@@ -25,9 +25,18 @@ def trigrams(t: str) -> str:
     return f"(select video_id, idx, t, w || ' ' || lead(w, 1) over o || ' ' || lead(w, 2) over o g from {stream(t)} window o as (partition by video_id order by idx, p) qualify g is not null)"
 
 
+def rising(rows: str, order: str, value: str, strict: bool = True) -> str:
+    """Longest rising subsequence as SQL: chain lengths by a list of the lowest ends, then backwards the last row of each length."""
+    less = f"len(list_filter(st.t, lambda q: q {'<' if strict else '<='} e.t[1]))"
+    return f"""(select video_id, c[i].o "{order}", c[i].v "{value}" from (select video_id, c, unnest(list_reduce(list_prepend({{'w': list_max(l), 'k': []::bigint[], 'l': 0}},
+        list_transform(list_reverse(range(1, len(l) + 1)), lambda i: {{'w': 0, 'k': [i], 'l': l[i]}})), lambda st, e: case when e.l = st.w then {{'w': st.w - 1, 'k': st.k || e.k, 'l': 0}} else st end).k) i
+        from (select video_id, c, list_reduce(list_transform(c, lambda z: {{'t': [z.v], 'l': [1]::bigint[]}}), lambda st, e: {{'t': st.t[1:{less}] || e.t || st.t[{less} + 2:], 'l': st.l || [{less} + 1]}}).l l
+        from (select video_id, list({{'o': "{order}", 'v': "{value}"}} order by "{order}") c from {rows} group by 1))))"""
+
+
 ANCHORS = f"""with ga as materialized (select video_id, g, min(t) p, count(*) c from {trigrams('cues')} group by 1, 2), gb as materialized (select video_id, g, min(t) s, count(*) c from {trigrams('cues_b')} group by 1, 2),
     ab as materialized (select ga.video_id, p, min(s) s from ga join gb on ga.video_id = gb.video_id and ga.g = gb.g where ga.c = 1 and gb.c = 1 group by 1, 2)
-    select video_id, p, s from (select *, max(s) over (partition by video_id order by p, s rows between unbounded preceding and 1 preceding) m from ab) where m is null or s >= m"""
+    select video_id, p, s from {rising('ab', 'p', 's', strict=False)}"""
 
 plan("j1_assemble_cues", "cues timecodes", "select c.video_id, c.idx, t.start_ms, t.end_ms, text from cues c join timecodes t on t.video_id = c.video_id and t.id = c.idx where t.start_ms < t.end_ms")(
     lambda s, d: A.assemble(V.cues(s, d).select("video_id", "idx", "text"), V.timecodes(V.cues(s, d)))[0].select("video_id", "idx", "start_ms", "end_ms", "text")

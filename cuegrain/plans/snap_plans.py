@@ -9,7 +9,7 @@ from ..operators import edits as E
 from ..operators import snap as N
 from ..operators import splits as L
 from ..staging import staged
-from .align_plans import NORM, PAUSES, stream
+from .align_plans import NORM, PAUSES, rising, stream
 from .cue_plans import EXPR, V_
 from .edit_plans import LIST
 from .registry import plan
@@ -46,7 +46,7 @@ TIMED = f"""sp as (select video_id, idx, row_number() over (partition by video_i
     gj as materialized (select video_id, g, min(j) j from (select video_id, j, w || ' ' || lead(w, 1) over o || ' ' || lead(w, 2) over o g from sp window o as (partition by video_id order by j)) where g is not null group by 1, 2 having count(*) = 1),
     gi as materialized (select video_id, g, min(i) i from (select video_id, i, w || ' ' || lead(w, 1) over o || ' ' || lead(w, 2) over o g from hd window o as (partition by video_id order by i)) where g is not null group by 1, 2 having count(*) = 1),
     pr as (select video_id, jj j, min(ii) i from (select gj.video_id, j + k jj, i + k ii from gj join gi on gj.video_id = gi.video_id and gj.g = gi.g, (select unnest([0, 1, 2]) k)) group by 1, 2),
-    an as materialized (select video_id, j, i from (select *, max(i) over (partition by video_id order by j rows between unbounded preceding and 1 preceding) m from pr) where m is null or i > m),
+    an as materialized (select * from {rising('pr', 'j', 'i')}),
     mk as (select sp.*, an.j aj, an.i ai from sp left join an on sp.video_id = an.video_id and sp.j = an.j), bw as (select *, last_value(aj ignore nulls) over up lj, last_value(ai ignore nulls) over up li, last_value(aj ignore nulls) over dn hj, last_value(ai ignore nulls) over dn hi
     from mk window up as (partition by video_id order by j rows unbounded preceding), dn as (partition by video_id order by j desc rows unbounded preceding)),
     wi as (select *, case when li is null then hi when hi is null or lj = hj then li else round_even(li + (hi - li) * ((j - lj) / (hj - lj)), 0)::bigint end i from bw),

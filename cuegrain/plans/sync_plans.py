@@ -10,7 +10,7 @@ from ..operators import carry as R
 from ..operators import edits as E
 from ..operators import sync as Y
 from ..staging import staged
-from .align_plans import trigrams
+from .align_plans import rising, trigrams
 from .edit_plans import BLOCKS, CHANGED, FRAGMENT, GRAMS, PAUSE, changed, edited_paragraphs
 from .registry import plan
 from .state_plans import VERDICT, verdicts
@@ -44,20 +44,25 @@ APPLY = f"""{LOCATE}, jc as (select lc.*, cue from lc left join (select video_id
     ap as (select video_id, para_idx, coalesce(r0, case when hits is null then 'not found' when hits > 1 then 'ambiguous' else 'only one' end) result, case when r0 is not null then idx when hits = 1 then hit.idx end idx,
     case when r0 = 'located' then substr(cue, 1, "offset") || new_part || substr(cue, "offset" + 1 + length(old_part)) when r0 = 'right cue' then {FIRST('cue')} when r0 is null and hits = 1 then {FIRST('hit.cue')} end as text from rs left join hc using (video_id, para_idx))"""
 plan("j20_apply_text_edit", "paragraphs cues", f"with {APPLY} select *, coalesce(length(text) > 84, false) over_width from ap")(lambda s, d: Y.apply_edits(*located(s, d)))
+# the best chain that ends at each cell, after the lowest of the best cells before it in both orders
+PRED = "list_max(list_transform(list_filter(range(1, e.k), lambda j: c[j].a < c[e.k].a and c[j].b < c[e.k].b), lambda j: {'v': st.best[j], 'n': -j}))"
+CHAIN = f"""list_reduce(list_transform(range(1, len(c) + 1), lambda k: {{'best': [c[k].s], 'path': [[k]], 'k': k}}), lambda st, e:
+    {{'best': st.best || [c[e.k].s + coalesce({PRED}.v, 0)], 'path': st.path || [coalesce(st.path[-({PRED}.n)], []) || [e.k]], 'k': e.k}})"""
 PROPAGATE = f"""oa as (select video_id, idx, text, row_number() over (partition by video_id order by idx) a, row_number() over (partition by video_id, text order by idx) use from cues), nb as (select video_id, idx, text, row_number() over (partition by video_id order by idx) b, row_number() over (partition by video_id, text order by idx) use from edited_cues),
-    kp as (select video_id, a, b, 1 k from (select *, max(b) over (partition by video_id order by a {BEFORE}) m from (select oa.video_id, a, b from oa join nb using (video_id, text, use))) where m is null or b > m),
+    kp as (select video_id, a, b, 1 k from {rising('(select oa.video_id, a, b from oa join nb using (video_id, text, use))', 'a', 'b')}),
     ro as (select oa.video_id, a, text, k is not null kept, coalesce(sum(k) over (partition by video_id order by a), 0) rg from oa left join kp using (video_id, a)), rn as (select nb.video_id, b, text, k is not null kept, coalesce(sum(k) over (partition by video_id order by b), 0) rg from nb left join kp using (video_id, b)),
     so as (select video_id, rg, count(*) no, {FOLD("string_agg(text, ' ' order by a)")} x from ro where not kept group by 1, 2), sn as (select video_id, rg, count(*) nn, {FOLD("string_agg(text, ' ' order by b)")} y from rn where not kept group by 1, 2),
     sz as (select video_id, rg, coalesce(no, 0) no, coalesce(nn, 0) nn, case when coalesce(x, '') = coalesce(y, '') then 'reblocked' when coalesce(no, 0) = coalesce(nn, 0) then 'paired' when nn is null then 'deleted' when no is null then 'inserted' else 'mixed' end kind from so full join sn using (video_id, rg)),
     mo as (select {{'v': video_id, 'r': rg}} video_id, a idx, text from ro join sz using (video_id, rg) where not kept and kind = 'mixed'), mn as (select {{'v': video_id, 'r': rg}} video_id, b idx, text from rn join sz using (video_id, rg) where not kept and kind = 'mixed'),
     ga as (select video_id, idx old, len(g) n_old, unnest(g) g from {GRAMS.replace('@@', 'mo')}), gb as (select video_id, idx "new", len(g) n_new, unnest(g) g from {GRAMS.replace('@@', 'mn')}),
     sc as (select ga.video_id, old, "new", count(*) * 100 // (any_value(n_old) + any_value(n_new) - count(*)) score from ga join gb on ga.video_id = gb.video_id and ga.g = gb.g group by 1, 2, 3 having score > 50),
-    al as (select video_id.v video_id, video_id.r rg, old a from (select *, row_number() over (partition by video_id, old order by score desc, "new") x, row_number() over (partition by video_id, "new" order by score desc, old) y from sc) where x = 1 and y = 1),
+    cl as (select video_id, list({{'a': old, 'b': "new", 's': score}} order by old, "new") c from sc group by 1), ck as (select video_id, c, {CHAIN} r from cl),
+    al as (select distinct video_id.v video_id, video_id.r rg, c[k].a a from (select video_id, c, unnest(r.path[list_position(r.best, list_max(r.best))]) k from ck)),
     tr as (select video_id, {FOLD("string_agg(text, ' ' order by para_idx)")} t from paragraphs group by 1),
-    ol as (select ro.video_id, kind, al.a is not null pd, coalesce(contains(t, {FOLD('ro.text')}), false) there from ro join sz using (video_id, rg) left join al on al.video_id = ro.video_id and al.rg = ro.rg and al.a = ro.a left join tr on tr.video_id = ro.video_id where not kept),
+    ol as (select ro.video_id, kind, al.a is not null pd, coalesce(contains(' ' || t || ' ', ' ' || {FOLD('ro.text')} || ' '), false) there from ro join sz using (video_id, rg) left join al on al.video_id = ro.video_id and al.rg = ro.rg and al.a = ro.a left join tr on tr.video_id = ro.video_id where not kept),
     ch as (select video_id, count(*) filter (kind = 'paired' or pd) changed, count(*) filter ((kind = 'deleted' or (kind = 'mixed' and not pd)) and there) removed, count(*) filter ((kind = 'deleted' or (kind = 'mixed' and not pd)) and not there) skipped from ol group by 1),
     ex as (select video_id, count(*) filter (kind = 'reblocked') reblocked, sum(case kind when 'inserted' then nn when 'mixed' then nn - coalesce(m, 0) else 0 end)::bigint inserted from sz left join (select video_id, rg, count(*) m from al group by 1, 2) using (video_id, rg) group by 1),
-    dr as (select ro.video_id, count(*) filter (not coalesce(contains(lower(t), lower({FOLD('text')})), false)) drifted from ro left join tr using (video_id) where kept group by 1),
+    dr as (select ro.video_id, count(*) filter (not coalesce(contains(' ' || lower(t) || ' ', ' ' || lower({FOLD('text')}) || ' '), false)) drifted from ro left join tr using (video_id) where kept group by 1),
     pg as (select video_id, coalesce(changed, 0) changed, coalesce(removed, 0) removed, coalesce(skipped, 0) skipped, coalesce(drifted, 0) drifted, coalesce(reblocked, 0) reblocked, coalesce(inserted, 0) inserted from (select distinct video_id from cues) left join ch using (video_id) left join ex using (video_id) left join dr using (video_id))"""
 plan("j21_propagate_block_edits", "paragraphs cues edited_cues", f"with {PROPAGATE} select * from pg")(lambda s, d: propagated(s, d))
 
