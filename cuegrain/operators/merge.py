@@ -88,13 +88,21 @@ def sessions(events: DataFrame, gap_s: int) -> DataFrame:
     return bursts.agg(F.count("*").alias("n"), F.max_by("v", F.struct("ts", "v")).alias("last")).select("user_id", F.col("w.start").alias("first_ts"), F.col("w.end").alias("flush_ts"), "n", "last")
 
 
-def stalls(progress: DataFrame, limit_s: int) -> DataFrame:
-    """Rows after which a user's greatest progress did not grow for `limit_s`, with how long it stood."""
-    order = Window.partitionBy("user_id").orderBy("ts", "out_time")
-    p = progress.withColumn("best", F.max("out_time").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    grown = p.where("best is null or out_time > best")
-    nxt = F.lead("ts").over(order)
-    last = progress.groupBy("user_id").agg(F.max("ts").alias("last_ts"))
-    g = grown.withColumn("next_ts", nxt).join(last, "user_id").withColumn("until", F.coalesce("next_ts", "last_ts"))
-    g = g.withColumn("us", F.unix_micros(F.col("until").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")))
-    return g.where(F.col("us") > limit_s * 1_000_000).select("user_id", "ts", F.expr("us div 1000000").alias("stalled_s"))
+def render_outcomes(progress: DataFrame, limit_s: int, whole: float = 0.98) -> DataFrame:
+    """What became of each render, from rows (render_id, ts, out_time, exit_code, total) up to its first exit.
+
+    `stalled` where the greatest out_time stood for over `limit_s` from `at`, for `stalled_s` till it
+    grew, the process ended or the rows do; at the exit `failed`, `truncated` (under `whole` of the
+    total, or no progress) or `finished`.
+    """
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    by_render, order = Window.partitionBy("render_id"), Window.partitionBy("render_id").orderBy("ts", F.col("exit_code").isNotNull(), "out_time")
+    p = progress.withColumn("exits", F.sum(F.col("exit_code").isNotNull().cast("int")).over(order)).where("exits = 0 or (exits = 1 and exit_code is not null)")
+    p = p.withColumn("best", F.max("out_time").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("first", F.row_number().over(order) == 1)
+    p = p.withColumn("last_ts", F.max("ts").over(by_render)).withColumn("exit", F.col("exit_code").isNotNull())
+    grown = p.where(~F.col("exit") & (F.col("first") | F.col("best").isNull() & F.col("out_time").isNotNull() | (F.col("out_time") > F.col("best"))))
+    g = grown.withColumn("until", F.coalesce(F.lead("ts").over(order), "last_ts")).withColumn("us", us("until") - us("ts")).where(F.col("us") > limit_s * 1_000_000)
+    stood = g.select("render_id", F.lit("stalled").alias("state"), F.col("ts").alias("at"), F.col("out_time").alias("best"), F.lit(None).cast("int").alias("exit_code"), F.expr("us div 1000000").alias("stalled_s"))
+    state = F.when(F.col("exit_code") != 0, "failed").when(F.col("best").isNull() | (F.col("best") < whole * F.col("total")), "truncated").otherwise("finished")
+    ended = p.where("exit").select("render_id", state.alias("state"), F.col("ts").alias("at"), "best", "exit_code", F.lit(None).cast("bigint").alias("stalled_s"))
+    return stood.unionByName(ended)

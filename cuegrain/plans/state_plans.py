@@ -57,9 +57,12 @@ plan("j22_known_items", "issues", f"select number, title, state, talk_id from {I
 )
 plan("x1_debounced_edits", "", """with g as (select user_id, ts, value, case when ts - lag(ts) over (partition by user_id order by ts, value) < interval 4 hour then 0 else 1 end n from events), h as (select *, sum(n) over (partition by user_id order by ts, value rows unbounded preceding) b from g)
     select user_id, min(ts) first_ts, max(ts) + interval 4 hour flush_ts, count(*) n, arg_max(value, {'t': ts, 'v': value}) last from h group by user_id, b""")(lambda s, d: M.sessions(V.table(s, d, "events").select("user_id", "ts", F.col("value").alias("v")), 4 * 3600))
-plan("x2_stalled_progress", "progress", """with p as (select *, max(out_time) over (partition by user_id order by ts, out_time rows between unbounded preceding and 1 preceding) best from progress), g as (select * from p where best is null or out_time > best),
-    n as (select *, coalesce(lead(ts) over (partition by user_id order by ts, out_time), l.t) until from g join (select user_id, max(ts) t from progress group by 1) l using (user_id)) select user_id, ts, (epoch_us(until) - epoch_us(ts)) // 1000000 stalled_s from n where epoch_us(until) - epoch_us(ts) > 21600 * 1000000::bigint""")(
-    lambda s, d: M.stalls(V.progress(s, d), 6 * 3600)
+plan("x2_stalled_progress", "renders", """with p as (select *, coalesce(sum((exit_code is not null)::int) over v, 0) exits from renders window v as (partition by render_id order by ts, exit_code is not null, out_time)), k as (select * from p where exits = 0 or (exits = 1 and exit_code is not null)),
+    q as (select *, max(out_time) over (v rows between unbounded preceding and 1 preceding) best, row_number() over v = 1 first_, max(ts) over (partition by render_id) last_ts from k window v as (partition by render_id order by ts, exit_code is not null, out_time)),
+    g as (select *, coalesce(lead(ts) over (partition by render_id order by ts, out_time), last_ts) until from q where exit_code is null and (first_ or out_time > coalesce(best, -1)))
+    select render_id, 'stalled' state, ts "at", out_time best, null::int exit_code, (epoch_us(until) - epoch_us(ts)) // 1000000 stalled_s from g where epoch_us(until) - epoch_us(ts) > 86400 * 1000000::bigint
+    union all select render_id, case when exit_code <> 0 then 'failed' when best is null or best < 0.98 * total then 'truncated' else 'finished' end, ts, best, exit_code, null from q where exit_code is not null""")(
+    lambda s, d: M.render_outcomes(V.renders(s, d), 24 * 3600)
 )
 plan("x3_live_review_status", "issues", f"select talk_id, number, status from ({LATEST})")(lambda s, d: M.latest(V.issues(s, d)).select("talk_id", "number", "status"))
 plan("x5_rewind_detector", "segments", """select video_id, seg_id, reached - s rewind_ms from (select *, start_ms - case when seg_id % 9 = 4 then 30000 else 0 end s, max(end_ms) over (partition by video_id order by seg_id rows between unbounded preceding and 1 preceding) reached from segments) where reached - s > 20000""")(
@@ -82,8 +85,12 @@ plan("a5_block_count_ratio", "cues cues_b", RATIO)(lambda s, d: K.block_ratio(V.
 
 
 def verdicts(s, d):
-    cues = staged(V.cues(s, d), "cues")
-    text = A.text_preservation(A.positions(V.paragraphs(s, d), ["para_idx"]), A.positions(V.edited_cues(cues), ["idx"]))
+    return checked(s, d, staged(V.cues(s, d), "cues"))
+
+
+def checked(s, d, cues, paragraphs=None):
+    """The verdicts on `cues`, against the paragraphs of all their videos or those given."""
+    text = A.text_preservation(A.positions(V.paragraphs(s, d) if paragraphs is None else paragraphs, ["para_idx"]), A.positions(V.edited_cues(cues), ["idx"]))
     return K.validate(cues, text, V.second_recording(cues), V.second_recording(cues), V.manifests(s, d))
 
 

@@ -13,9 +13,8 @@ from ..operators import validate as K
 from ..sources import files as S
 from ..staging import shared_dir, staged
 from ..streaming import jobs as J
-from .cue_plans import STATS
 from .registry import ORACLES, plan
-from .state_plans import LINES
+from .state_plans import LINES, VERDICT, checked
 
 HAS = lambda n: F.col("doc_id") % n == 0
 
@@ -146,13 +145,20 @@ plan("s11_discover_artifacts", "", "select distinct 'talk=' || doc_id % 10 talk_
 
 
 def incremental(s, d):
-    """Statistics of the videos whose cues arrive as changed files, one batch of what has arrived."""
+    """The newest verdicts of every third video: all come as changed files, half of them once more after a bad version, a few files a batch."""
     root = f"{shared_dir(s)}/changed/{uuid.uuid4().hex}"
     cues = V.cues(s, d).where("video_id % 3 = 0").select("video_id", "idx", "text", "start_ms", "end_ms")
-    cues.repartition(8, "video_id").write.parquet(f"{root}/in")
-    changes = s.readStream.schema(cues.schema).parquet(f"{root}/in")
-    J.on_changed(changes, lambda b: Q.video_stats(b).select("video_id", "blocks", "over_hard", "overlaps"), f"{root}/out", f"{root}/progress").awaitTermination()
-    return s.read.parquet(f"{root}/out")
+    bad = cues.withColumn("end_ms", F.when(F.col("video_id") % 6 == 0, F.col("end_ms") + 9000).otherwise(F.col("end_ms")))
 
+    def check(batch):
+        touched = staged(batch, "touched")
+        paragraphs = V.paragraphs(s, d).join(touched.select("video_id").distinct(), "video_id", "left_semi")
+        return checked(s, d, touched, paragraphs)
 
-plan("x4_incremental_validation", "cues", f"select video_id, blocks, over_hard, \"overlaps\", 0 batch from ({STATS.format(t='cues')}) where video_id % 3 = 0")(incremental)
+    for version in (bad, cues.where("video_id % 6 = 0")):
+        version.repartition(4, "video_id").write.mode("append").parquet(f"{root}/in")
+        J.on_changed(J.changed_files(s, f"{root}/in", cues.schema, 3), check, f"{root}/out", f"{root}/progress").awaitTermination()
+    return J.newest_verdicts(s, f"{root}/out")
+
+
+plan("x4_incremental_validation", "paragraphs cues edited_cues cues_b manifests", VERDICT + ' select *, "text" and overlap and "time" and numbering and cpl and gap and block_ratio and duration and cps passed from v where video_id % 3 = 0')(incremental)

@@ -107,8 +107,13 @@ def edited_cues(cues: DataFrame) -> DataFrame:
     return kept.withColumn("text", text)
 
 
-def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("user_id", "ts", F.expr("cast(value * 100 as bigint)").alias("out_time"))
+def renders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress of renders, one for each user and week, and their exits: one of three with code 1."""
+    out = F.col("event_type") == "purchase"
+    return table(spark, sf_dir, "events").select(
+        (F.col("user_id") * 10 + F.expr("dayofmonth(ts) div 7")).alias("render_id"), "ts", F.when(~out, F.expr("cast(value * 100 as bigint)")).alias("out_time"),
+        F.when(out, (F.col("event_id") % 3 == 0).cast("int")).alias("exit_code"), F.lit(9000).cast("long").alias("total"),
+    )
 
 
 #: The twins in DuckDB's dialect, each with the views it needs.
@@ -163,7 +168,11 @@ TWINS: dict[str, tuple[str, str]] = {
         """select video_id, idx, para_idx, case when idx % 23 = 5 and instr(text, ' ') > 0 then substr(text, 1, instr(text, ' ') - 1) || ' x ' || substr(text, instr(text, ' ') + 1) else text end as text, start_ms, end_ms
         from cues where idx % 29 <> 7""",
     ),
-    "progress": ("", "select user_id, ts, trunc(value * 100)::bigint out_time from events"),
+    "renders": (
+        "",
+        """select user_id * 10 + day(ts) // 7 render_id, ts, case when event_type <> 'purchase' then trunc(value * 100)::bigint end out_time,
+        case when event_type = 'purchase' then (event_id % 3 = 0)::int end exit_code, 9000::bigint total from events""",
+    ),
 }
 
 
