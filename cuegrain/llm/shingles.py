@@ -393,6 +393,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     id0, mark = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
     source = docs.select(id0.alias("id0"), mark.alias("mark"), F.struct(*map(col, docs.columns)).alias("_row"))
     others = source.join(judged.select("id0", "mark"), ["id0", "mark"], "left_anti")
+    if judged.where("stays").isEmpty():
+        return others.select("_row.*")
     # rows that are equal in all that tells rows apart: one of them stays
     one = source.join(judged.where("stays").select("id0", "mark"), ["id0", "mark"], "left_semi").dropDuplicates(["id0", "mark"])
     return others.unionByName(one).select("_row.*")
