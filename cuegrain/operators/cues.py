@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -170,9 +172,8 @@ def pause_paragraphs(cues: DataFrame, pause: int = 2000) -> DataFrame:
     return cues.withColumn("_new", new).withColumn("paragraph", F.sum("_new").over(video())).drop("_new")
 
 
-def merge_short_pairs(cues: DataFrame, limits: Limits = LIMITS, silence: int = 500) -> DataFrame:
-    """One pass of merging neighbours of which one is short or sparse: greedy from the left, so every
-    other pair of each unbroken run of eligible cues. Cues are numbered anew."""
+def _merge_pass(cues: DataFrame, limits: Limits, silence: int) -> DataFrame:
+    """One greedy pass over cues with `parts`; see merge_short_pairs."""
     m = measures(cues)
     nxt = lambda c: F.lead(c).over(video())
     weak = (F.col("dur_ms") < limits.min_duration) | (nxt("dur_ms") < limits.min_duration) | (F.col("chars") * 1000 < limits.sparse_cps * F.col("dur_ms")) | (nxt("chars") * 1000 < limits.sparse_cps * nxt("dur_ms"))
@@ -181,9 +182,33 @@ def merge_short_pairs(cues: DataFrame, limits: Limits = LIMITS, silence: int = 5
     m = m.withColumn("run", F.row_number().over(video()) - F.row_number().over(Window.partitionBy("video_id", "ok").orderBy("idx")))
     place = F.row_number().over(Window.partitionBy("video_id", "ok", "run").orderBy("idx"))
     m = m.withColumn("head", F.col("ok") & (place % 2 == 1)).withColumn("tail", F.coalesce(F.lag("head").over(video()), F.lit(False)))
-    end, text = F.when(F.col("head"), nxt("end_ms")).otherwise(F.col("end_ms")), F.when(F.col("head"), F.concat_ws(" ", "text", nxt("text"))).otherwise(F.col("text"))
-    merged = m.withColumn("_e", end).withColumn("_t", text).where(~F.col("tail"))
-    return merged.select("video_id", F.row_number().over(video()).alias("idx"), "start_ms", F.col("_e").alias("end_ms"), F.col("_t").alias("text"), F.col("head").alias("merged"))
+    joined = lambda c, made: F.when(F.col("head"), made).otherwise(F.col(c))
+    merged = m.select("video_id", "idx", "start_ms", joined("end_ms", nxt("end_ms")).alias("end_ms"), joined("text", F.concat_ws(" ", "text", nxt("text"))).alias("text"), joined("parts", F.col("parts") + nxt("parts")).alias("parts"), "head", "tail").where(~F.col("tail"))
+    return merged.select("video_id", F.row_number().over(video()).alias("idx"), "start_ms", "end_ms", "text", "parts", F.col("head").alias("merged"))
+
+
+def merge_short_pairs(cues: DataFrame, limits: Limits = LIMITS, silence: int = 500) -> DataFrame:
+    """One pass of merging neighbours of which one is short or sparse: greedy from the left, so every
+    other pair of each unbroken run of eligible cues. Cues are numbered anew."""
+    return _merge_pass(cues.withColumn("parts", F.lit(1)), limits, silence).drop("parts")
+
+
+def merge_short(cues: DataFrame, limits: Limits = LIMITS, silence: int = 500, passes: int = 5) -> DataFrame:
+    """Passes of merge_short_pairs until no pair is eligible, at most `passes`: video_id, idx, times, text and `parts`, the cues in each.
+
+    Each pass is written, so the next one starts from its rows. Only videos in which the last pass
+    merged something take part in the next.
+    """
+    open_ = cues.select("video_id", "idx", "start_ms", "end_ms", "text").withColumn("parts", F.lit(1).cast("long"))
+    done = None
+    for n in range(passes):
+        made = staged(_merge_pass(open_, limits, silence).withColumn("_on", F.max("merged").over(Window.partitionBy("video_id"))), f"merged-{n}")
+        rest = made.where("not _on").drop("merged", "_on")
+        done = rest if done is None else done.unionByName(rest)
+        open_ = made.where("_on").drop("merged", "_on")
+        if open_.isEmpty():
+            return done
+    return done.unionByName(open_)
 
 
 def sparse_merge_forward(cues: DataFrame, limits: Limits = LIMITS) -> DataFrame:

@@ -5,22 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Elements that end a line, elements that go with their content, and character references.
-LINE_ELEMENTS = "p|div|li|ul|ol|h[1-6]|br|nav|article|section|footer|header|title|head|body|html|table|tr"
-REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&"))
+from .html import page_lines
 
 
 def text_lines(pages: DataFrame) -> DataFrame:
-    """Ordered text lines of each page: scripts, styles and frames go, inline tags unwrap, white space folds."""
-    t = F.regexp_replace("html", "[\r\n\t]+", " ")
-    for name in ("script", "style", "iframe"):
-        t = F.regexp_replace(t, f"(?i)<{name}[^>]*>.*?</{name}>", "")
-    t = F.regexp_replace(F.regexp_replace(t, "<!--.*?-->", ""), f"(?i)</?(?:{LINE_ELEMENTS})(?:[ /][^>]*)?>", "\n")
-    t = F.regexp_replace(t, "<[^>]*>", "")
-    for name, char in REFERENCES:
-        t = F.replace(t, F.lit(name), F.lit(char))
-    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " "))), lambda x: x != "")
-    return pages.select("page_id", F.posexplode(lines).alias("pos", "line"))
+    """Ordered text lines of each page."""
+    return page_lines(pages)
 
 
 def title(pages: DataFrame) -> DataFrame:

@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify
+from .html import players
 from .pages import text_lines, title
 from .terms import duplicate_runs
 
 META = "struct<title:string,date:string,location:string,language:string,other_languages:array<string>,subtitle_omit:array<string>,videos:array<struct<slug:string,title:string,video_ref:string,vimeo_url:string>>>"
-# Languages that a talk may have, the shapes of slugs and dates, and names of languages in a page's header.
+# Languages that a talk may have, the shapes of slugs, talk ids, refs, links and dates, and names of languages in a page's header.
 LANGUAGES = ("de", "en", "es", "fr", "hi", "it", "mr", "pt", "ru")
 SLUG = "^[A-Za-z0-9_][A-Za-z0-9_.-]{0,63}$"
+TALK_ID = "^[0-9]{4}-[0-9]{2}-[0-9]{2}_[A-Za-z0-9_.-]{1,80}$"
+GIT_REF = "^[A-Za-z0-9_][A-Za-z0-9._/-]{0,254}$"
+VIDEO_LINK = "^https://(www[.])?(vimeo[.]com|player[.]vimeo[.]com/video)/[0-9]+(/[0-9a-f]+)?/?$"
 DATE = "^....-..-..$"
 LANGUAGE_NAMES = {"english": "en", "french": "fr", "german": "de", "hindi": "hi", "italian": "it", "marathi": "mr", "russian": "ru", "spanish": "es"}
 
@@ -58,6 +62,29 @@ def parse_manifests(files: DataFrame, text: str = "file") -> DataFrame:
     return files.select(*keys, *[value(n).alias(n) for n in ("role", "mode", "primary_slug")])
 
 
+def whole(value: Column, shape: str) -> Column:
+    """Whether all of a value has a shape; a line end after it is part of the value. Null is not valid."""
+    return F.coalesce(value.rlike(shape[:-1] + r"\z"), F.lit(False))
+
+
+def valid_talk_id(value: Column) -> Column:
+    return whole(value, TALK_ID)
+
+
+def valid_slug(value: Column) -> Column:
+    return whole(value, SLUG)
+
+
+def valid_link(value: Column) -> Column:
+    """A video's link or player link, with or without its key."""
+    return whole(value, VIDEO_LINK)
+
+
+def valid_ref(value: Column) -> Column:
+    """A branch or tag that may be checked out: no path steps, nothing that reads as an option."""
+    return whole(value, GIT_REF) & ~value.contains("..") & ~value.contains("//") & ~value.endswith("/")
+
+
 def build_modes(videos: DataFrame, manifests: DataFrame, key: str = "video_id") -> DataFrame:
     """role and mode of every video; strict without a manifest."""
     j = videos.select(key).join(manifests.select(key, "role", "mode"), key, "left")
@@ -85,26 +112,20 @@ def declared_languages(header: Column) -> Column:
     return F.when(F.size(codes) > 0, codes).otherwise(F.array(F.lit("en")))
 
 
-FRAME = r'<iframe[^>]*src="https?://player\.vimeo\.com/video/([0-9]+)'
-
-
 def page_videos(pages: DataFrame) -> DataFrame:
     """Embedded players of each page in order: pos (from 0), title, slug (unique in the page) and link.
 
     The title is the part of the player box's info line between date and first comma; on pages
-    without such boxes it is the heading or bold line right before the frame; else `Video N`.
+    without such boxes it is the heading or bold line right before the frame; else `Video N`, where
+    boxes without a player count too.
     """
-    boxes = F.filter(F.regexp_extract_all("html", F.lit('(?is)<div class="embedded-video-wrapper">.*?</iframe>'), 0), lambda b: b.rlike("(?i)" + FRAME))
-    frames = F.regexp_extract_all("html", F.lit(r"(?is)(?:<(?:h[1-6]|strong|b|p)>[^<]*</(?:h[1-6]|strong|b|p)>\s*)?" + FRAME), 0)
-    found = pages.select("page_id", F.when(F.size(boxes) > 0, boxes).otherwise(frames).alias("_f"), (F.size(boxes) > 0).alias("_boxed"))
-    rows = found.select("page_id", "_boxed", F.posexplode("_f").alias("pos", "f"))
-    info = F.regexp_replace(F.trim(F.regexp_extract("f", '(?is)<div class="video-meta-info">([^<]*)</div>', 1)), r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\s+", "")
-    label = F.when(F.col("_boxed"), F.trim(F.split(info, ",")[0])).otherwise(F.trim(F.regexp_extract("f", r"(?is)^<[^>]*>([^<]*)</", 1)))
-    number = F.concat(F.lit("Video "), (F.col("pos") + 1).cast("string"))
-    named = rows.withColumn("title", F.coalesce(F.nullif(label, F.lit("")), number)).withColumn("base", slugify(F.col("title")))
+    found = players(pages)
+    number = F.concat(F.lit("Video "), F.col("number").cast("string"))
+    rows = found.withColumn("pos", (F.row_number().over(Window.partitionBy("page_id").orderBy("number")) - 1).cast("int"))
+    named = rows.withColumn("title", F.coalesce(F.nullif("label", F.lit("")), number)).withColumn("base", slugify(F.col("title")))
     named = named.withColumn("n", F.row_number().over(Window.partitionBy("page_id", "base").orderBy("pos")))
     slug = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "n"))
-    return named.select("page_id", "pos", "title", slug.alias("slug"), F.concat(F.lit("https://vimeo.com/"), F.regexp_extract("f", "(?i)" + FRAME, 1)).alias("link"))
+    return named.select("page_id", "pos", "title", slug.alias("slug"), F.concat(F.lit("https://vimeo.com/"), "video").alias("link"))
 
 
 def ingest(pages: DataFrame) -> DataFrame:

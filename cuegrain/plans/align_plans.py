@@ -89,9 +89,19 @@ plan("j7_text_preservation", "paragraphs edited_cues", f"""with a as ({WORDS.for
 )
 plan("j8_block_lineage", "cues edited_cues", f"""with o as (select video_id, g, min(idx) o from {trigrams('cues')} group by all having count(*) = 1), n as (select video_id, g, min(idx) n from {trigrams('edited_cues')} group by all having count(*) = 1)
     select video_id, n idx, list_sort(list_distinct(list(o))) old_ids from o join n using (video_id, g) group by all""")(lambda s, d: A.block_lineage(V.cues(s, d), V.edited_cues(V.cues(s, d))))
-plan("j15_active_cue_at", "cues", """with p as (select doc_id video_id, unnest(range(0, 60000, 777)) t from documents) select p.video_id, t, min(idx) idx from p join cues c on c.video_id = p.video_id and c.start_ms <= t and t < c.end_ms group by all""")(
-    lambda s, d: A.active_cue(V.cues(s, d), V.table(s, d, "documents").select(F.col("doc_id").alias("video_id"), F.explode(F.expr("sequence(0L, 59999L, 777L)")).alias("t")))
+plan("j15_active_cue_at", "cues", """with p as (select video_id, unnest(range(0, e + 1, 777)) t from (select video_id, max(end_ms) e from cues group by 1)) select p.video_id, t, min(idx) idx from p join cues c on c.video_id = p.video_id and c.start_ms <= t and t < c.end_ms group by all""")(
+    lambda s, d: played(s, d)
 )
+
+
+def played(s, d):
+    """What stands on the screen every 777 ms of each video, from its start to its last cue's end."""
+    cues = staged(V.cues(s, d), "cues")
+    ends = cues.groupBy("video_id").agg(F.max("end_ms").alias("e"))
+    return A.active_cue(cues, ends.select("video_id", F.explode(F.expr("sequence(0L, e, 777L)")).alias("t")))
+
+
+
 plan("w16_speech_gap", "cues words", """with s as (select c.video_id, c.idx, any_value(c.start_ms) start_ms, any_value(c.end_ms) end_ms, min(w.start_ms) ws, max(w.end_ms) we from cues c left join words w on w.video_id = c.video_id and c.start_ms < w.end_ms and c.end_ms > w.start_ms group by 1, 2),
     g as (select video_id, idx, lead(start_ms) over v - end_ms gap, lead(ws) over v - we pause from s window v as (partition by video_id order by idx)) select video_id, idx, case when pause is null then gap else greatest(gap, pause) end gap_ms from g where gap is not null""")(
     lambda s, d: A.speech_gap(V.cues(s, d), V.words(V.cues(s, d)))

@@ -86,11 +86,19 @@ plan("w10_gap_budget", "cues", f"""with c as (select *, start_ms - {LAG} g from
 plan("w11_pause_paragraphs", "cues", f"select video_id, idx, sum(coalesce((g > 400)::int, 0)) over v paragraph from (select *, start_ms - {LAG} g from cues {V_}) {V_}".replace("sum(coalesce", "(sum(coalesce").replace(") over v paragraph", ") over v)::bigint paragraph"))(
     lambda s, d: C.pause_paragraphs(V.cues(s, d), 400).select("video_id", "idx", "paragraph")
 )
-plan("w23_merge_short_pairs", "cues", f"""with m as (select *, end_ms - start_ms dur, {EXPR['chars']} n from cues), o as (select *, lead(dur) over v dur2, lead(n) over v n2, lead(end_ms) over v e2, lead(start_ms) over v s2, lead(text) over v t2 from m {V_}),
-    k as (select *, coalesce((dur < 1200 or dur2 < 1200 or n * 1000 < 2 * dur or n2 * 1000 < 2 * dur2) and n + 1 + n2 <= 84 and e2 - start_ms <= 21000 and s2 - end_ms < 500, false) ok from o),
-    r as (select *, idx - row_number() over (partition by video_id, ok order by idx) run from k), p as (select *, row_number() over (partition by video_id, ok, run order by idx) pos from r),
-    h as (select *, ok and pos % 2 = 1 head from p), t as (select *, coalesce(lag(head) over v, false) tail from h {V_})
-    select video_id, (row_number() over v)::int idx, start_ms, case when head then e2 else end_ms end end_ms, case when head then text || ' ' || t2 else text end as text, head merged from t where not tail {V_}""")(lambda s, d: C.merge_short_pairs(V.cues(s, d)))
+def merge_passes(passes: int = 5) -> str:
+    """`passes` greedy passes, one after another, as SQL."""
+    chain = ["mp0 as (select video_id, idx, start_ms, end_ms, text, 1::bigint parts from cues)"]
+    for i in range(passes):
+        chain.append(f"""mm{i} as (select *, end_ms - start_ms dur, {EXPR['chars']} n from mp{i}), mo{i} as (select *, lead(dur) over v dur2, lead(n) over v n2, lead(end_ms) over v e2, lead(start_ms) over v s2, lead(text) over v t2, lead(parts) over v p2 from mm{i} {V_}),
+    mk{i} as (select *, coalesce((dur < 1200 or dur2 < 1200 or n * 1000 < 2 * dur or n2 * 1000 < 2 * dur2) and n + 1 + n2 <= 84 and e2 - start_ms <= 21000 and s2 - end_ms < 500, false) ok from mo{i}),
+    mr{i} as (select *, idx - row_number() over (partition by video_id, ok order by idx) run from mk{i}), ms{i} as (select *, row_number() over (partition by video_id, ok, run order by idx) pos from mr{i}),
+    mh{i} as (select *, ok and pos % 2 = 1 head from ms{i}), mt{i} as (select *, coalesce(lag(head) over v, false) tail from mh{i} {V_}),
+    mp{i + 1} as materialized (select video_id, (row_number() over v)::int idx, start_ms, case when head then e2 else end_ms end end_ms, case when head then text || ' ' || t2 else text end as text, case when head then parts + p2 else parts end parts from mt{i} where not tail {V_})""")
+    return "with " + ",\n".join(chain) + f" select * from mp{passes}"
+
+
+plan("w23_merge_short_pairs", "cues", merge_passes())(lambda s, d: C.merge_short(V.cues(s, d)))
 plan("w24_sparse_merge_forward", "cues", f"""with m as (select *, end_ms - start_ms + 4000 dur_ms, {EXPR['chars']} chars from cues), o as (select *, lead(chars) over v n2, lead(end_ms + 4000) over v e2, lead(start_ms) over v s2 from m {V_})
     select video_id, idx, chars, dur_ms, coalesce(s2 - (end_ms + 4000) <= 3000 and chars + 1 + n2 <= 84 and e2 - start_ms <= 21000, false) can from o where chars < 20 and dur_ms > 0 and chars * 1000 < 2 * dur_ms""")(
     lambda s, d: C.sparse_merge_forward(V.cues(s, d).withColumn("end_ms", F.col("end_ms") + 4000))

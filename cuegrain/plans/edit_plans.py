@@ -11,6 +11,7 @@ from ..operators import align as A
 from ..operators import cues as C
 from ..operators import edits as E
 from ..operators import quality as Q
+from ..operators import talks as Z
 from ..operators import validate as K
 from ..staging import staged
 from .cue_plans import LEAD, STATS, V_
@@ -205,6 +206,29 @@ def marker_tables(s, d):
 
 plan("k4_export_timing", "words", "select video_id, '[' || string_agg('{' || chr(34) || 'w' || chr(34) || ':' || to_json(word)::varchar || ',' || chr(34) || 's' || chr(34) || ':' || start_ms || ',' || chr(34) || 'e' || chr(34) || ':' || end_ms || '}', ',' order by cue_idx, w_pos) || ']' timing from words group by 1")(lambda s, d: V.words(V.cues(s, d)).groupBy("video_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("cue_idx", "w_pos", F.col("word").alias("w"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e")))), lambda x: F.struct(x["w"].alias("w"), x["s"].alias("s"), x["e"].alias("e")))).alias("timing")))
 plan("f14_clean_edited", "", f"select doc_id, case when lang = 'en' then {typo(FIELD)} else {FIELD} end as text from documents")(lambda s, d: dirty(s, d).select("doc_id", T.clean_edited(F.col("text"), F.col("lang") == "en").alias("text")))
-plan("f16_validate_ids", "", r"select page_id, regexp_matches(url, '^https?://[a-z0-9.-]+/') good_url, regexp_matches(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]+)/?$', 1), '^[A-Za-z0-9][A-Za-z0-9-]*$') good_slug from pages")(
-    lambda s, d: V.table(s, d, "pages").select("page_id", F.col("url").rlike("^https?://[a-z0-9.-]+/").alias("good_url"), F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "([^/]+)/?$", 1).rlike("^[A-Za-z0-9][A-Za-z0-9-]*$").alias("good_slug"))
+#: Values made of pages' addresses, right and wrong ones by what the address ends in.
+NAMES = r"""(select page_id, case page_id % 4 when 0 then '2001-02-03_' || slug when 1 then '2001-2-3_' || slug when 2 then '2001-02-03_' || slug || ' ' else '2001-02-03_' end talk, case page_id % 3 when 0 then slug when 1 then '-' || slug else slug || chr(10) end slug,
+    case page_id % 6 when 0 then 'sync/user/' || slug when 1 then 'sync//' || slug when 2 then slug || '/' when 3 then '../' || slug when 4 then 'v1.2-' || slug else '-' || slug end ref,
+    case page_id % 5 when 0 then 'https://vimeo.com/' || page_id when 1 then 'https://player.vimeo.com/video/' || page_id || '/0a1b' when 2 then 'http://vimeo.com/' || page_id when 3 then url else 'https://www.vimeo.com/' || page_id || '/' end link
+    from (select page_id, url, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]+)/?$', 1) slug from pages))"""
+
+
+def names(s, d):
+    """NAMES, as a DataFrame."""
+    slug = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "([^/]+)/?$", 1)
+    p = V.table(s, d, "pages").select("page_id", "url", slug.alias("slug"))
+    pick = lambda n, *made: F.element_at(F.array(*made), (F.col("page_id") % n).cast("int") + 1)
+    c, t = F.concat, F.lit
+    return p.select(
+        "page_id",
+        pick(4, c(t("2001-02-03_"), "slug"), c(t("2001-2-3_"), "slug"), c(t("2001-02-03_"), "slug", t(" ")), t("2001-02-03_")).alias("talk"),
+        pick(3, F.col("slug"), c(t("-"), "slug"), c("slug", t("\n"))).alias("slug"),
+        pick(6, c(t("sync/user/"), "slug"), c(t("sync//"), "slug"), c("slug", t("/")), c(t("../"), "slug"), c(t("v1.2-"), "slug"), c(t("-"), "slug")).alias("ref"),
+        pick(5, c(t("https://vimeo.com/"), "page_id"), c(t("https://player.vimeo.com/video/"), "page_id", t("/0a1b")), c(t("http://vimeo.com/"), "page_id"), F.col("url"), c(t("https://www.vimeo.com/"), "page_id", t("/"))).alias("link"),
+    )
+
+
+plan("f16_validate_ids", "", rf"""select page_id, regexp_full_match(talk, '\d\d\d\d-\d\d-\d\d_[\w.-]{{1,80}}') talk_id, regexp_full_match(slug, '\w[\w.-]{{0,63}}') slug,
+    regexp_full_match(ref, '\w[\w./-]{{0,254}}') and not regexp_matches(ref, '[.][.]|//|/$') ref, regexp_full_match(link, 'https://(www\.)?(vimeo\.com|player\.vimeo\.com/video)/\d+(/[0-9a-f]+)?/?') link from {NAMES}""")(
+    lambda s, d: names(s, d).select("page_id", Z.valid_talk_id(F.col("talk")).alias("talk_id"), Z.valid_slug(F.col("slug")).alias("slug"), Z.valid_ref(F.col("ref")).alias("ref"), Z.valid_link(F.col("link")).alias("link"))
 )

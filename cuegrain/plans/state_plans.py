@@ -8,6 +8,7 @@ from .. import views as V
 from ..functions import text as T
 from ..operators import align as A
 from ..operators import cues as C
+from ..operators import html as H
 from ..operators import merge as M
 from ..operators import pages as P
 from ..operators import quality as Q
@@ -174,10 +175,20 @@ plan("a20_hygiene_audit", "", f"select doc_id, {HYGIENE} issues from (select doc
 plan("f22_fix_document", "", f"select doc_id, case when lang = 'en' then {typo(FILE)} else {FILE} end <> {DIRT} changed, 0 left_over from documents")(
     lambda s, d: dirty(s, d).withColumn("fixed", T.fix_document(F.col("text"), F.col("lang") == "en")).select("doc_id", (F.col("fixed") != F.col("text")).alias("changed"), F.size(T.hygiene(F.col("fixed"), F.col("lang") == "en")).alias("left_over"))
 )
-LINES = """(select page_id, (row_number() over (partition by page_id order by i) - 1)::int pos, line from (select page_id, i, trim(regexp_replace(x, ' +', ' ', 'g')) line from (select page_id, unnest(t) x, generate_subscripts(t, 1) i from (select page_id, string_split(
-    replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '[\r\n\t]+', ' ', 'g'), '(?i)<script[^>]*>.*?</script>', '', 'g'), '(?i)<style[^>]*>.*?</style>', '', 'g'), '(?i)<iframe[^>]*>.*?</iframe>', '', 'g'),
-    '<!--.*?-->', '', 'g'), '(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|nav|article|section|footer|header|title|head|body|html|table|tr)(?:[ /][^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), chr(10)) t from pages))) where line <> '')"""
-plan("s7_html_to_paragraphs", "", f"select * from {LINES}")(lambda s, d: P.text_lines(V.table(s, d, "pages")))
+def tokens_of(pages: str) -> str:
+    """Pages' HTML as rows of tokens with the level of `div` tags, and the boxes for players, as SQL."""
+    return rf"""tk as materialized (select page_id, i ix, tok from (select page_id, unnest(t) tok, generate_subscripts(t, 1) i from (select page_id, regexp_extract_all(html, '{H.TOKEN}') t from {pages}))),
+    ts as (select *, regexp_matches(tok, '(?i)^<div[ />\t\r\n]') o, regexp_matches(tok, '(?i)^</div[ >\t\r\n]') c from tk), td as (select *, sum(case when o then 1 when c then -1 else 0 end) over (partition by page_id order by ix) depth from ts),
+    tl as (select page_id, ix, tok, lead(ix) over (partition by page_id, case when o then depth else depth + 1 end order by ix) till from td where o or c),
+    bx as materialized (select page_id, ix, coalesce(till, 1000000000) till, row_number() over (partition by page_id order by ix) number from tl where regexp_matches(tok, '{H.BOX}'))"""
+
+
+ENTITIES = "replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', ' '), '&amp;', '&')"
+IS_TEXT = f"(not regexp_matches(tok, '(?s)^<[^>]*>') and not regexp_matches(tok, '{H.RAW}'))"
+LINES = rf"""(select page_id, (row_number() over (partition by page_id order by i) - 1)::int pos, line from (select page_id, i, trim(regexp_replace({ENTITIES}, ' +', ' ', 'g')) line from (select page_id, unnest(t) x, generate_subscripts(t, 1) i from (select page_id, string_split(string_agg(
+    case when regexp_matches(tok, '{H.LINE_TAG}') then chr(10) when {IS_TEXT} then translate(tok, chr(13) || chr(10) || chr(9) || chr(65532), '    ') else '' end, '' order by ix), chr(10)) t
+    from tk where not exists (select 1 from bx where bx.page_id = tk.page_id and bx.ix <= tk.ix and tk.ix < bx.till) group by 1))) where line <> '')"""
+plan("s7_html_to_paragraphs", "", f"with {tokens_of('pages')} select * from {LINES}")(lambda s, d: P.text_lines(V.table(s, d, "pages")))
 plan("s8_page_title", "", "select page_id, trim(case when h <> '' then h else regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' *[|] *[^|]*$', '') end) title from (select *, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) h from pages)")(lambda s, d: P.title(V.table(s, d, "pages")))
 plan("s9_page_links", "", "select page_id, (i - 1)::int pos, href from (select page_id, unnest(l) href, generate_subscripts(l, 1) i from (select page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) l from pages))")(lambda s, d: P.links(V.table(s, d, "pages")))
 SLUG = "regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]+)/?$', 1)"

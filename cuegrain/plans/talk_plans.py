@@ -7,14 +7,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import views as V
+from ..operators import html as H
 from ..operators import quality as Q
 from ..operators import talks as T
 from ..operators import validate as K
+from ..operators.pages import text_lines
 from ..sources import files as S
 from ..staging import shared_dir, staged
 from ..streaming import jobs as J
 from .registry import ORACLES, plan
-from .state_plans import LINES, VERDICT, checked
+from .state_plans import IS_TEXT, LINES, VERDICT, checked, tokens_of
 
 HAS = lambda n: F.col("doc_id") % n == 0
 
@@ -69,27 +71,53 @@ plan("k6_write_manifest", "manifests", """select video_id, 'role: secondary' ||
 
 
 def pages_with_videos(s, d):
-    """Pages with player boxes, bare players or none, and a language header."""
-    k = lambda n: F.col("page_id") % 5 == n
+    """Pages with player boxes (labelled, nested, without a player, never closed), bare players, a script that is never closed, and a language header."""
+    k = lambda n: F.col("page_id") % 7 == n
     frame = lambda n: F.concat(F.lit('<iframe src="https://player.vimeo.com/video/'), F.col("page_id") * 10 + n, F.lit('?h=1"></iframe>'))
-    box = lambda info, n: F.concat(F.lit('<div class="embedded-video-wrapper">'), F.lit(info), frame(n), F.lit("</div>"))
+    box = lambda info, inner: F.concat(F.lit('<div class="embedded-video-wrapper">'), F.lit(info), inner, F.lit("</div>"))
     told = '<div class="video-meta-info">2001-02-03 Evening Talk, Rome, Italy</div>'
-    more = F.when(k(0), F.concat(box(told, 1), box(told, 2))).when(k(1), box("", 1)).when(k(2), F.concat(F.lit("<h3>Morning</h3>"), frame(1), frame(2))).otherwise(F.lit(""))
+    none = F.lit("<div>soon</div>")
+    more = (
+        F.when(k(0), F.concat(box(told, frame(1)), box(told, frame(2))))
+        .when(k(1), box("", frame(1)))
+        .when(k(2), F.concat(F.lit("<h3>Morning</h3>"), frame(1), frame(2)))
+        .when(k(3), F.concat(box(told, none), box("", F.concat(F.lit("<div><div>"), frame(1), F.lit("</div></div>"))), F.lit("<p>after</p>")))
+        .when(k(4), F.concat(F.lit('<div class="embedded-video-wrapper">'), box(told, frame(1)), frame(2)))
+        .when(k(5), F.concat(box(told, none), F.lit("<b>Evening</b> "), frame(1), F.lit("<script>var a = 1 < 2;"), frame(2)))
+        .otherwise(F.lit(""))
+    )
     header = F.when(F.col("page_id") % 3 == 0, "<p>Talk Language: English, Marathi | x</p>").when(F.col("page_id") % 3 == 1, "<p>Talk Language: Dutch</p>").otherwise("")
     return V.table(s, d, "pages").withColumn("html", F.concat("html", header, more))
 
 
-VIDEOS = """pv as (select page_id, (i - 1)::int pos, case page_id % 5 when 0 then 'Evening Talk' when 1 then 'Video 1' else case when i = 1 then 'Morning' else 'Video 2' end end title,
-    case page_id % 5 when 0 then case when i = 1 then 'Evening-Talk' else 'Evening-Talk-2' end when 1 then 'Video-1' else case when i = 1 then 'Morning' else 'Video-2' end end slug, 'https://vimeo.com/' || (page_id * 10 + i) link
-    from (select page_id, unnest(case page_id % 5 when 1 then [1] else [1, 2] end) i from pages where page_id % 5 < 3))"""
+def planted() -> str:
+    """The same pages as SQL; all else is read from their HTML."""
+    frame = lambda n: f"""'<iframe src="https://player.vimeo.com/video/' || (page_id * 10 + {n}) || '?h=1"></iframe>'"""
+    box = lambda *inner: """'<div class="embedded-video-wrapper">' || """ + " || ".join([*inner, "'</div>'"])
+    told, none = """'<div class="video-meta-info">2001-02-03 Evening Talk, Rome, Italy</div>'""", "'<div>soon</div>'"
+    return f"""pg as materialized (select page_id, url, html || case page_id % 3 when 0 then '<p>Talk Language: English, Marathi | x</p>' when 1 then '<p>Talk Language: Dutch</p>' else '' end || case page_id % 7
+    when 0 then {box(told, frame(1))} || {box(told, frame(2))} when 1 then {box(frame(1))} when 2 then '<h3>Morning</h3>' || {frame(1)} || {frame(2)} when 3 then {box(told, none)} || {box("'<div><div>'", frame(1), "'</div></div>'")} || '<p>after</p>'
+    when 4 then '<div class="embedded-video-wrapper">' || {box(told, frame(1))} || {frame(2)} when 5 then {box(told, none)} || '<b>Evening</b> ' || {frame(1)} || '<script>var a = 1 < 2;' || {frame(2)} else '' end html from pages), {tokens_of('pg')}"""
+
+
+VIDEOS = rf"""{planted()}, vt as (select *, nullif(regexp_extract(tok, '{H.FRAME}', 1), '') video, case when {IS_TEXT} then nullif(trim(translate(tok, chr(13) || chr(10) || chr(9), '   ')), '') end words, regexp_matches(tok, '{H.INFO}') info from tk),
+    vn as (select *, lead(words) over (partition by page_id order by ix) told from vt), vf as (select bx.page_id, number, arg_min(video, vt.ix) video from bx join vt on vt.page_id = bx.page_id and vt.ix > bx.ix and vt.ix < bx.till where video is not null group by 1, 2),
+    vi as (select bx.page_id, number, arg_min(coalesce(told, ''), vn.ix) told from bx join vn on vn.page_id = bx.page_id and vn.ix > bx.ix and vn.ix < bx.till where info group by 1, 2),
+    vb as (select page_id, number, video, trim(string_split(regexp_replace(told, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\s+', ''), ',')[1]) label from vf left join vi using (page_id, number)),
+    vs as (select *, lag(tok, 1) over o a, lag(words, 2) over o b, lag(tok, 3) over o c from vt where words is not null or trim(translate(tok, chr(13) || chr(10) || chr(9), '   ')) <> '' window o as (partition by page_id order by ix)),
+    vr as (select page_id, row_number() over (partition by page_id order by ix) number, video, case when regexp_full_match(c, '(?i)<(h[1-6]|strong|b|p)>') and lower(a) = '</' || lower(c[2:]) then b end label from vs where video is not null and page_id not in (select page_id from vf)),
+    va as (select *, coalesce(nullif(label, ''), 'Video ' || number) title from (select * from vb union all select * from vr)),
+    vz as (select *, row_number() over (partition by page_id, title order by number) again, (row_number() over (partition by page_id order by number) - 1)::int pos from va),
+    pv as (select page_id, pos, title, replace(title, ' ', '-') || case when again = 1 then '' else '-' || again end slug, 'https://vimeo.com/' || video link from vz),
+    la as (select page_id, coalesce(nullif(array_to_string(list_transform(list_filter(list_transform(string_split(regexp_extract(html, 'Talk Language:([^|<\r\n]*)', 1), ','), lambda x: trim(lower(x))), lambda x: x <> ''), lambda x: case x when 'english' then 'en' when 'marathi' then 'mr' else left(x, 2) end), ','), ''), 'en') languages from pg)"""
 plan("s14_page_videos", "", f"with {VIDEOS} select * from pv")(lambda s, d: T.page_videos(pages_with_videos(s, d)))
-plan("a21_declared_languages", "", "select page_id, case page_id % 3 when 0 then 'en,mr' when 1 then 'du' else 'en' end languages from pages")(
+plan("s7_lines_around_players", "", f"with {planted()} select * from {LINES}")(lambda s, d: text_lines(pages_with_videos(s, d)))
+plan("a21_declared_languages", "", f"with {VIDEOS} select * from la")(
     lambda s, d: pages_with_videos(s, d).select("page_id", F.array_join(T.declared_languages(F.regexp_replace("html", "<[^>]*>", "\n")), ",").alias("languages"))
 )
-PAGES = "(select page_id, url, html || case page_id % 3 when 0 then '<p>Talk Language: English, Marathi | x</p>' when 1 then '<p>Talk Language: Dutch</p>' else '' end || case page_id % 5 when 0 then '<div></div><div>2001-02-03 Evening Talk, Rome, Italy</div><div></div><div>2001-02-03 Evening Talk, Rome, Italy</div>' when 2 then '<h3>Morning</h3>' else '' end html from pages)"
-plan("c10_page_ingest", "", f"""with {VIDEOS}, l as (select page_id doc_id, pos, line from {LINES.replace('from pages)', 'from ' + PAGES + ')')}), a as (select *, min(pos) over (partition by doc_id, line) < pos again from l), r as (select *, row_number() over (partition by doc_id order by pos) - row_number() over (partition by doc_id, again order by pos) run from a),
+plan("c10_page_ingest", "", f"""with {VIDEOS}, l as (select page_id doc_id, pos, line from {LINES}), a as (select *, min(pos) over (partition by doc_id, line) < pos again from l), r as (select *, row_number() over (partition by doc_id order by pos) - row_number() over (partition by doc_id, again order by pos) run from a),
     n as (select doc_id, count(*) filter (not (again and size >= 3)) lines from (select *, count(*) over (partition by doc_id, again, run) size from r) group by 1)
-    select t.page_id, title, coalesce(lines, 0) lines, case t.page_id % 3 when 0 then 'en,mr' when 1 then 'du' else 'en' end languages, coalesce(v, '') videos from ({ORACLES['s8_page_title']}) t left join n on n.doc_id = t.page_id left join (select page_id, string_agg(slug, ',' order by slug) v from pv group by 1) using (page_id)""")(
+    select t.page_id, title, coalesce(lines, 0) lines, languages, coalesce(v, '') videos from ({ORACLES['s8_page_title']}) t left join n on n.doc_id = t.page_id left join la using (page_id) left join (select page_id, string_agg(slug, ',' order by slug) v from pv group by 1) using (page_id)""")(
     lambda s, d: T.ingest(pages_with_videos(s, d))
 )
 
