@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
 from .align import block_lineage, pause_groups, proportional_text, uniform_word_times
 from .edits import split_spans
 
 
 def _spans(old: DataFrame, timecodes: DataFrame, new: DataFrame, pauses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sources of each new block, the spans to split with how many share each, and their parts."""
-    sources = block_lineage(old, new.withColumnRenamed("id", "idx")).withColumnRenamed("idx", "id")
+    sources = staged(block_lineage(old, new.withColumnRenamed("id", "idx")).withColumnRenamed("idx", "id"), "sources")
     single = sources.where(F.size("old_ids") == 1).select("video_id", "id", F.col("old_ids")[0].alias("idx"))
     shared = single.groupBy("video_id", "idx").agg(F.count("*").cast("int").alias("parts")).where("parts > 1")
     spans = shared.join(timecodes.withColumnRenamed("id", "idx"), ["video_id", "idx"])
-    parts = split_spans(spans, pauses, parts=None)
+    # pauses only matter in the spans that are split: few videos have any
+    near = pauses.join(spans.select("video_id").distinct(), "video_id", "left_semi")
+    parts = staged(split_spans(spans, near, parts=None), "parts")
     number = F.row_number().over(Window.partitionBy("video_id", "idx").orderBy("id")) - 1
     mine = single.join(shared, ["video_id", "idx"], "left_semi").withColumn("part", number).join(parts, ["video_id", "idx", "part"])
     return sources, parts, mine.select("video_id", "id", F.col("a_ms").alias("_a"), F.col("z_ms").alias("_z"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_word
+from ..staging import staged
 from .align import interval_join, pauses, word_stream
 from .cues import LIMITS, Limits, measures, next_start, prev_end, snap_trim, video
 from .sequences import longest_rising
@@ -51,7 +52,7 @@ def word_times(written: DataFrame, heard: DataFrame, anchors: DataFrame) -> Data
 
 def cue_times(cues: DataFrame, words: DataFrame) -> DataFrame:
     """The span of each cue's words as heard; cues without one anchored word are left out."""
-    written, heard = written_words(cues), heard_words(words)
+    written, heard = staged(written_words(cues), "written"), staged(heard_words(words), "heard")
     timed = word_times(written, heard, word_anchors(written, heard))
     spans = timed.groupBy("video_id", "idx").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.bool_or("exact").alias("exact"))
     return spans.where("exact").drop("exact")
@@ -97,6 +98,7 @@ def snap_to_speech(cues: DataFrame, words: DataFrame, least: int = 1000, limits:
     left = F.lead(F.col("free") - F.col("early")).over(video())
     m = m.withColumn("late", F.when(left.isNull(), 0).otherwise(F.least(F.col("lack") - F.col("early"), left)))
     shared = m.select("video_id", "idx", "text", "matched", (F.col("start_ms") - F.col("early")).alias("start_ms"), (F.col("end_ms") + F.col("late")).alias("end_ms"))
+    shared = staged(shared, "shared-pauses")
     proposed = pair_boundaries(shared, words, F.col("matched"), limits=limits).select("video_id", "idx", "boundary_ms")
     short = least - (F.col("end_ms") - F.col("start_ms"))
     room = F.coalesce(next_start() - limits.min_gap - F.col("end_ms"), short)

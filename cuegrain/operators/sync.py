@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
 from .align import interval_join
 from .edits import WIDTH, alike_blocks, let
 from .sequences import best_pairing, longest_rising
@@ -135,7 +136,7 @@ def standing(phrases: DataFrame, texts: DataFrame, order: str = "para_idx") -> D
     heard = texts.select("video_id", order, F.posexplode(F.split("text", BLANKS)).alias("p", "w")).where("w <> ''")
     in_order = Window.partitionBy("video_id").orderBy(order, "p")
     ahead = [F.lead("w", i).over(in_order) for i in range(1, size)]
-    placed = heard.select("video_id", (F.row_number().over(in_order) - 1).alias("at"), "w", *[x.alias(f"w{i}") for i, x in enumerate(ahead, 1)])
+    placed = heard.join(wanted.select("video_id").distinct(), "video_id", "left_semi").select("video_id", (F.row_number().over(in_order) - 1).alias("at"), "w", *[x.alias(f"w{i}") for i, x in enumerate(ahead, 1)])
     runs = [F.array("w", *[f"w{j}" for j in range(1, i)]) for i in range(1, size + 1)]
     index = placed.select("video_id", "at", F.explode(F.array(*runs)).alias("run")).where("not exists(run, x -> x is null)")
     own = F.transform(F.sequence(F.lit(0), F.size("words") - F.least(F.size("words"), F.lit(size))), lambda i: F.struct(i.alias("i"), F.slice("words", i + 1, F.least(F.size("words"), F.lit(size))).alias("run")))
@@ -159,17 +160,18 @@ def propagate(old: DataFrame, new: DataFrame, paragraphs: DataFrame) -> DataFram
     are over half alike pair up, by the pairing of greatest likeness that keeps both orders; old cues
     that are left are removed, new ones inserted.
     """
-    rows = cue_changes(old, new)
+    rows = staged(cue_changes(old, new), "cue-changes")
     open_ = rows.where("not kept")
     is_old = F.col("side") == "old"
     joined = lambda side: folded(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("n", "text")))), lambda x: x["text"]), " "))
     sizes = open_.groupBy("video_id", "region").agg(F.count_if(is_old).alias("no"), F.count_if(~is_old).alias("nn"), joined("old").alias("x"), joined("new").alias("y"))
     kind = F.when(F.col("x") == F.col("y"), "reblocked").when(F.col("no") == F.col("nn"), "paired").when(F.col("nn") == 0, "deleted").when(F.col("no") == 0, "inserted").otherwise("mixed")
-    sizes = sizes.select("video_id", "region", "no", "nn", kind.alias("kind"))
+    sizes = staged(sizes.select("video_id", "region", "no", "nn", kind.alias("kind")), "regions")
     mixed = open_.join(sizes.where("kind = 'mixed'").select("video_id", "region"), ["video_id", "region"], "left_semi")
     keyed = mixed.select("video_id", "region", "side", F.col("n").alias("idx"), "text")
     cells = alike_blocks(keyed.where("side = 'old'"), keyed.where("side = 'new'"), keys=("video_id", "region"))
     alike = best_pairing(cells, ["video_id", "region"], "old", "new").select("video_id", "region", F.col("old").alias("n"), F.lit(True).alias("paired"))
+    alike = staged(alike, "paired-cues")
     olds = open_.where(is_old).join(sizes, ["video_id", "region"]).join(alike, ["video_id", "region", "n"], "left")
     gone = (F.col("kind") == "deleted") | ((F.col("kind") == "mixed") & F.col("paired").isNull())
     stands = standing(olds.where(gone).select("video_id", "text"), paragraphs).withColumn("stands", F.lit(True))

@@ -13,7 +13,7 @@ from ..staging import staged
 from .align_plans import rising, trigrams
 from .edit_plans import BLOCKS, CHANGED, FRAGMENT, GRAMS, PAUSE, changed, edited_paragraphs
 from .registry import plan
-from .state_plans import VERDICT, verdicts
+from .state_plans import VERDICT, checked
 
 SOLID = "[^ \t\n\r\f\v]+"
 CNT = lambda x: f"len(regexp_extract_all({x}, '{SOLID}'))"
@@ -30,8 +30,8 @@ LOCATE = f"""fr as materialized ({FRAGMENT}), pc as (select *, {CNT('text')} n,
 plan("j19_locate_fragment", "paragraphs cues", f"with {LOCATE} select * from lc")(lambda s, d: located(s, d)[0])
 
 
-def located(s, d):
-    cues, paragraphs = staged(V.cues(s, d), "cues"), V.paragraphs(s, d)
+def located(s, d, cues=None):
+    cues, paragraphs = staged(V.cues(s, d), "cues") if cues is None else cues, V.paragraphs(s, d)
     diffs = E.paragraph_diff(paragraphs, edited_paragraphs(s, d)).where("problem is null")
     fragments = staged(diffs.select("video_id", "para_idx", E.minimal_fragment(F.col("old"), F.col("new")).alias("f")).select("video_id", "para_idx", "f.*"), "fragments")
     return Y.locate_fragments(paragraphs, fragments, cues), cues
@@ -67,8 +67,8 @@ PROPAGATE = f"""oa as (select video_id, idx, text, row_number() over (partition
 plan("j21_propagate_block_edits", "paragraphs cues edited_cues", f"with {PROPAGATE} select * from pg")(lambda s, d: propagated(s, d))
 
 
-def propagated(s, d):
-    cues = staged(V.cues(s, d), "cues")
+def propagated(s, d, cues=None):
+    cues = staged(V.cues(s, d), "cues") if cues is None else cues
     return Y.propagate(cues, V.edited_cues(cues), V.paragraphs(s, d))
 
 
@@ -76,8 +76,16 @@ plan("c8_sync_review", "paragraphs cues edited_cues cues_b manifests", f"""with
     vd as ({VERDICT} select video_id, "text" and overlap and "time" and numbering and cpl and gap and block_ratio and duration and cps passed from v), pp as (with {PROPAGATE} select * from pg)
     select cg.video_id, cues_edited, transcript_edited, coalesce(applied, 0) applied, coalesce(refused, 0) refused, coalesce(changed, 0) changed, coalesce(removed, 0) removed, coalesce(inserted, 0) inserted,
     case when coalesce(refused, 0) + coalesce(inserted, 0) > 0 then 'rebuild' when coalesce(passed, false) then 'ready' else 'review' end state from cg left join ed using (video_id) left join pp using (video_id) left join vd using (video_id)""")(
-    lambda s, d: Y.review(changed(s, d), Y.apply_edits(*located(s, d)), propagated(s, d), verdicts(s, d))
+    lambda s, d: reviewed(s, d)
 )
+
+
+def reviewed(s, d):
+    cues = staged(V.cues(s, d), "cues")
+    return Y.review(changed(s, d, cues), Y.apply_edits(*located(s, d, cues)), propagated(s, d, cues), checked(s, d, cues))
+
+
+
 CARRY = f"""{BLOCKS}, bt as (select video_id, id idx, text, 0 start_ms, 0 end_ms from bl), ot as materialized (select video_id, g, min(idx) o from {trigrams('cues')} group by 1, 2 having count(*) = 1), nt as materialized (select video_id, g, min(idx) n from {trigrams('bt')} group by 1, 2 having count(*) = 1),
     src as (select ot.video_id, n id, list_distinct(list(o)) ids from ot join nt on ot.video_id = nt.video_id and ot.g = nt.g group by 1, 2), sg as (select video_id, id, ids[1] idx from src where len(ids) = 1), sh as (select video_id, idx, count(*) parts from sg group by 1, 2 having count(*) > 1),
     ss as (select sh.video_id, sh.idx, parts, t.start_ms s, t.end_ms e from sh join timecodes t on t.video_id = sh.video_id and t.id = sh.idx), {PAUSE},
