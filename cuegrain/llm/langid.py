@@ -80,7 +80,8 @@ def train(docs: DataFrame, most: int = MOST_TRAIN) -> tuple[list[str], np.ndarra
     ship(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     total = usable.select("doc_id").count()
-    keep = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1_000_003)) < int(1_000_003 * min(1.0, most / max(total, 1))) + 1
+    # by id and text: many rows may share an id or have none
+    keep = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("langid")), F.lit(1_000_003)) < int(1_000_003 * min(1.0, most / max(total, 1))) + 1
     source = usable.where(keep).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -113,24 +113,32 @@ class Chain:
         return out
 
 
-def fit(names: tuple[str, ...], kept: np.ndarray, own: list[np.ndarray], all_rows: np.ndarray, all_cols: np.ndarray, labels: np.ndarray) -> Chain:
-    """A chain from the pairs (row, kept feature), the features of each category, and the labels (rows x categories, NaN where unknown)."""
+def fit(names: tuple[str, ...], kept: np.ndarray, own: list[list[np.ndarray]], fold: np.ndarray, all_rows: np.ndarray, all_cols: np.ndarray, labels: np.ndarray) -> Chain:
+    """A chain from the pairs (row, kept feature), the rows' folds, and the labels (rows x categories, NaN where unknown).
+
+    `own` has for each category the features chosen on all rows, then those chosen without each fold: a
+    row's earlier probability comes from a model that saw it, and its copies, neither in its features
+    nor in its weights. Copies of a text are in one fold.
+    """
     n = len(labels)
-    fold = np.arange(n) % FOLDS
     earlier = np.zeros((n, 0))
     models: list[Linear | None] = []
     for y, used in zip(labels.T, own, strict=True):
-        rows, cols = all_rows[used[all_cols]], all_cols[used[all_cols]]
         known = ~np.isnan(y)
         unseen = np.zeros(n)
+
+        def model(chosen: np.ndarray, mask: np.ndarray, y=y, earlier=earlier) -> tuple[Linear, np.ndarray, np.ndarray]:
+            rows, cols = all_rows[mask[all_cols]], all_cols[mask[all_cols]]
+            return Linear(*_subset(rows, cols, chosen, n), len(chosen), len(kept), earlier[chosen], y[chosen]), rows, cols
+
         if not 0 < y[known].sum() < known.sum():
             models.append(None)
         else:
-            model = lambda chosen, rows=rows, cols=cols, y=y, earlier=earlier: Linear(*_subset(rows, cols, chosen, n), len(chosen), len(kept), earlier[chosen], y[chosen])
-            models.append(model(np.flatnonzero(known)))
-            for k in range(FOLDS):
+            models.append(model(np.flatnonzero(known), used[0])[0])
+            for k, mask in enumerate(used[1:]):
                 outs = np.flatnonzero(fold == k)
-                unseen[outs] = model(np.flatnonzero(known & (fold != k))).probability(*_subset(rows, cols, outs, n), len(outs), earlier[outs])
+                linear, rows, cols = model(np.flatnonzero(known & (fold != k)), mask)
+                unseen[outs] = linear.probability(*_subset(rows, cols, outs, n), len(outs), earlier[outs])
         earlier = np.column_stack([earlier, unseen])
     return Chain(names, kept, models)
 
@@ -164,37 +172,48 @@ def sample(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], most: int
     return source.mapInArrow(extract, ", ".join(["doc_id long", "mark long", *[f"{c} double" for c in given_names], "features array<bigint>"]))
 
 
-def informative(rows: DataFrame, category: int) -> np.ndarray:
-    """The FEATURES hashes that tell a category best by chi-square, in order."""
-    y = F.col(f"label{category}")
-    n, positive = rows.agg(F.count(y), F.coalesce(F.sum(y), F.lit(0.0))).first()
-    share = positive / max(n, 1)
-    counts = rows.where(y.isNotNull()).select(y, F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.sum(y).alias("p"))
-    expected = F.col("n") * share
-    chi = (F.col("p") - expected) ** 2 / (expected * (1 - share) + 1e-9)
-    chosen = counts.where(F.col("n") >= SUPPORT).orderBy(chi.desc(), "feature").limit(FEATURES).select("feature").collect()
-    return np.sort(np.array([r[0] for r in chosen], dtype=np.int64).view(np.uint64))
+def informative(rows: DataFrame, category: int, folds: bool) -> list[np.ndarray]:
+    """The FEATURES hashes that tell a category best by chi-square: on all rows, then, if `folds`, on all but those of each fold."""
+    y, fold = F.col(f"label{category}"), F.pmod("mark", F.lit(FOLDS))
+    parts = range(FOLDS) if folds else ()
+    known = rows.where(y.isNotNull()).select(y.alias("y"), fold.alias("fold"), "features")
+    in_fold = lambda k: F.sum(F.when(F.col("fold") == k, F.col("y")).otherwise(0.0)).alias(f"p{k}")
+    tallies = [F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("p"), *[x for k in parts for x in (F.count_if(F.col("fold") == k).alias(f"n{k}"), in_fold(k))]]
+    totals = known.agg(*tallies).first()
+    counts = known.select("y", "fold", F.explode("features").alias("feature")).groupBy("feature").agg(*tallies)
+    counts = staged(counts.where(F.col("n") >= SUPPORT), "toxicity-counts")
+    found = []
+    for k in (None, *parts):
+        n, p = (F.col("n"), F.col("p")) if k is None else (F.col("n") - F.col(f"n{k}"), F.col("p") - F.col(f"p{k}"))
+        size, positive = (totals.n, totals.p) if k is None else (totals.n - totals[f"n{k}"], totals.p - (totals[f"p{k}"] or 0.0))
+        share = positive / max(size, 1)
+        chi = (p - n * share) ** 2 / (n * share * (1 - share) + 1e-9)
+        chosen = counts.where(n >= SUPPORT).orderBy(chi.desc(), "feature").limit(FEATURES).select("feature").collect()
+        found.append(np.sort(np.array([r[0] for r in chosen], dtype=np.int64).view(np.uint64)))
+    return found
 
 
 def train(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = CHAIN, most: int = MOST_TRAIN) -> Chain:
     ship(docs.sparkSession)
     rows = staged(sample(docs.select("doc_id", "text"), labels, names, most), "toxicity-sample")
-    told = [informative(rows, i) for i in range(len(names))]
-    kept = np.unique(np.concatenate(told))
+    # the last category's probabilities feed no other, so it needs no folds
+    told = [informative(rows, i, i + 1 < len(names)) for i in range(len(names))]
+    kept = np.unique(np.concatenate([t for own in told for t in own]))
     given_names = [f"label{i}" for i in range(len(names))]
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             last = batch.num_columns - 1
-            own = [np.flatnonzero(np.isin(kept, x.values.to_numpy().view(np.uint64))).astype(np.int16).tobytes() for x in batch.column(last)]
+            own = [np.flatnonzero(np.isin(kept, x.values.to_numpy().view(np.uint64))).astype(np.int32).tobytes() for x in batch.column(last)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(last)], pa.array(own, pa.binary())], names=["doc_id", "mark", *given_names, "features"])
 
     schema = ", ".join(["doc_id long", "mark long", *[f"{c} double" for c in given_names], "features binary"])
     found = rows.mapInArrow(narrow, schema).toArrow().sort_by([("doc_id", "ascending"), ("mark", "ascending")])
-    columns = [np.frombuffer(x, dtype=np.int16).astype(np.int64) for x in found["features"].to_pylist()]
+    columns = [np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in found["features"].to_pylist()]
     y = np.column_stack([np.array([np.nan if v is None else v for v in found[c].to_pylist()], dtype=float) for c in given_names])
     at = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
-    return fit(names, kept, [np.isin(kept, t) for t in told], at, np.concatenate(columns) if columns else np.empty(0, dtype=np.int64), y)
+    fold = np.array(found["mark"].to_pylist(), dtype=np.int64) % FOLDS
+    return fit(names, kept, [[np.isin(kept, t) for t in own] for own in told], fold, at, np.concatenate(columns) if columns else np.empty(0, dtype=np.int64), y)
 
 
 def predict(df: DataFrame, chain: Chain, text: str = "text") -> DataFrame:

@@ -239,3 +239,44 @@ def test_fingerprint_edges(spark):
     assert fingerprints.report(edge_docs(spark).limit(0)).count() == 0
     one = fingerprints.report(spark.createDataFrame([(1, "a b c d. e f g h.")], "doc_id long, text string")).first()
     assert one.near_next == 1.0 and one.edited_sha256 == sha("a b c d. e f " + "a b ")
+
+
+def test_language_sample_of_rows_without_ids(spark):
+    """Many rows without an id are in the sample or out of it each on its own."""
+    from cuegrain.llm import langid
+
+    rows = [(None, f"wort{i} und der die das nummer{i}" if i % 2 else f"word{i} and the of it number{i}", "de" if i % 2 else "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, matrix = langid.train(docs, most=100)
+    assert names == ["de", "en"]
+    assert langid.score(["der die das", "and the of"], names, matrix)[0] == ["de", "en"]
+
+
+def test_earlier_probabilities_do_not_see_their_row(spark):
+    """Labels at random on texts of one own word each, twice: a link that saw a row or its copy would know it, one that did not cannot."""
+    import numpy as np
+
+    from cuegrain.llm import toxicity
+
+    rng = random.Random(16)
+    coin = [rng.randrange(2) for _ in range(300)]
+    rows = [(2 * i + j, f"word{i}x common text of all", coin[i], coin[i]) for i in range(300) for j in range(2)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels)
+    # so the second model gets nothing from the first one's probability
+    assert abs(float(chain.models[1].v[0])) < 2.0 and np.isfinite(chain.models[1].w).all()
+
+
+def test_forty_label_columns(spark):
+    from cuegrain.llm import toxicity
+
+    rng = random.Random(17)
+    words = [a + b + "word" for a in "abcdefgh" for b in "klmno"]
+    texts = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, *[int(w in t.split()) for w in words]) for i, t in enumerate(texts)], "doc_id long, " + ", ".join(f"{w} int" for w in words))
+    chain = toxicity.train(docs, labels, names=tuple(words))
+    got = {r.doc_id: r for r in toxicity.predict(docs, chain).collect()}
+    right = sum((got[i][f"p_{w}"] > 0.5) == (w in t.split()) for i, t in enumerate(texts) for w in (words[0], words[20], words[39]))
+    assert right > 0.95 * 3 * len(texts)
