@@ -33,7 +33,7 @@ def parse_talks(files: DataFrame, json: str = "json") -> tuple[DataFrame, DataFr
 def metadata_contract(talks: DataFrame, videos: DataFrame, key: str = "talk_id") -> DataFrame:
     """Violations of talk metadata (key, violation), each once a talk."""
     no = lambda c: F.coalesce(c, F.lit(True))
-    blank = lambda c: no(F.trim(c) == "")
+    blank = lambda c: no(~F.col(c).rlike("[^ \t\r\n]"))
     listed = lambda rules: F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in rules.items()]))).alias("violation")
     of_talk = {
         "no title": blank("title"), "bad date": no(~F.col("date").rlike(DATE)), "bad language": no(~F.col("language").isin(*LANGUAGES)),
@@ -41,7 +41,7 @@ def metadata_contract(talks: DataFrame, videos: DataFrame, key: str = "talk_id")
     }
     counted = videos.withColumn("n", F.count("*").over(Window.partitionBy(key, "slug")))
     of_video = {
-        "bad slug": no(~F.col("slug").rlike(SLUG)), "duplicate slug": F.col("slug").isNotNull() & (F.col("n") > 1),
+        "bad slug": ~valid_slug(F.col("slug")), "duplicate slug": F.col("slug").isNotNull() & (F.col("n") > 1),
         "no video title": F.col("title").isNull(), "plain link": F.col("vimeo_url").isNotNull(),
     }
     return talks.select(key, listed(of_talk)).unionByName(counted.select(key, listed(of_video))).distinct()
