@@ -392,7 +392,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     judged = staged(judged.where("not stays or times > 1").select("id0", "mark", "stays"), "class-copies")
     id0, mark = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
     source = docs.select(id0.alias("id0"), mark.alias("mark"), F.struct(*map(col, docs.columns)).alias("_row"))
-    others = source.join(judged.select("id0", "mark"), ["id0", "mark"], "left_anti")
+    # by shuffle at every size, as both sides grow with the corpus
+    others = source.join(judged.select("id0", "mark").hint("shuffle_merge"), ["id0", "mark"], "left_anti")
     if judged.where("stays").isEmpty():
         return others.select("_row.*")
     # rows that are equal in all that tells rows apart: one of them stays
