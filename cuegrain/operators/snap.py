@@ -7,57 +7,80 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_word
 from ..staging import staged
-from .align import interval_join, pauses, word_stream
+from . import packed as P
 from .cues import LIMITS, Limits, measures, next_start, prev_end, snap_trim, video
-from .sequences import longest_rising
 
 
-def heard_words(words: DataFrame) -> DataFrame:
-    """Normalised heard words of a video numbered from 0: i, w and times."""
-    named = words.withColumn("w", norm_word(F.col("word"))).where("w <> ''")
-    number = F.row_number().over(Window.partitionBy("video_id").orderBy("cue_idx", "w_pos")) - 1
-    return named.select("video_id", number.alias("i"), "w", "start_ms", "end_ms")
+def heard_rows(words: DataFrame) -> DataFrame:
+    """One row a video with `heard`, its words in order; words that come so, as from views.spoken, stay as they are."""
+    return words if "heard" in words.columns else P.in_rows(words, "heard", "cue_idx", "w_pos", "word", "start_ms", "end_ms")
 
 
-def written_words(cues: DataFrame) -> DataFrame:
-    """Normalised words of a video's cues numbered from 0: j, idx and w."""
-    number = F.row_number().over(Window.partitionBy("video_id").orderBy("idx", "p")) - 1
-    return word_stream(cues).select("video_id", "idx", number.alias("j"), "w")
+def _anchors(rows: DataFrame, written: Column, heard: Column) -> DataFrame:
+    """`rows` with `anchors`: places (a, b) of words in the arrays `written` and `heard` (w, v)."""
+    runs = F.flatten(F.transform(P.shared_triples(P.numbered(written), P.numbered(heard)), lambda x: F.array(*[F.struct((x["a"] + k).alias("a"), (x["b"] + k).alias("b")) for k in range(3)])))
+    return P.rising(rows.withColumn("anchors", P.first_of_each(runs)), "anchors")
 
 
 def word_anchors(written: DataFrame, heard: DataFrame) -> DataFrame:
-    """Written words (j) that are certainly heard ones (i): those of word triples that each side has once, the longest run of them that rises in both."""
-    def once(df: DataFrame, n: str) -> DataFrame:
-        order = Window.partitionBy("video_id").orderBy(n)
-        triple = df.select("video_id", n, F.concat_ws(" ", "w", F.lead("w", 1).over(order), F.lead("w", 2).over(order)).alias("g"), F.lead("w", 2).over(order).alias("last"))
-        return triple.where("last is not null").groupBy("video_id", "g").agg(F.min(n).alias(n), F.count("*").alias("c")).where("c = 1").drop("c")
+    """Written words (j) that are certainly heard ones (i): those of word triples that each side has once, the longest run of them that rises in both.
 
-    pairs = once(written, "j").join(once(heard, "i"), ["video_id", "g"]).select("video_id", "j", "i", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("k"))
-    first = pairs.groupBy("video_id", (F.col("j") + F.col("k")).alias("j")).agg(F.min(F.col("i") + F.col("k")).alias("i"))
-    return longest_rising(first, "j", "i")
+    Both sides number a video's words from 0.
+    """
+    both = P.in_rows(written, "written", "j", "w").join(P.in_rows(heard, "said", "i", "w"), "video_id")
+    found = _anchors(both, F.col("written"), F.col("said")).select("video_id", F.explode_outer("anchors").alias("x")).where("x is not null")
+    return found.select("video_id", F.col("x.a").alias("j"), F.col("x.b").alias("i"))
 
 
-def word_times(written: DataFrame, heard: DataFrame, anchors: DataFrame) -> DataFrame:
+def _word_times(written: Column, heard: Column, anchors: Column) -> Column:
     """Each written word's time: its own if anchored, of the word at its share between the anchors around it, or the edge of the outermost one."""
-    marked = written.join(anchors.withColumn("a", F.struct("j", "i")).select("video_id", "j", "a"), ["video_id", "j"], "left")
-    ahead, back = (Window.partitionBy("video_id").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("j"), F.desc("j")))
-    full = marked.withColumn("lo", F.last("a", ignorenulls=True).over(ahead)).withColumn("hi", F.last("a", ignorenulls=True).over(back))
-    share = (F.col("j") - F.col("lo.j")) / (F.col("hi.j") - F.col("lo.j"))
-    between = F.bround(F.col("lo.i") + (F.col("hi.i") - F.col("lo.i")) * share).cast("int")
-    at = F.when(F.col("a").isNotNull(), F.col("a.i")).when(F.col("lo").isNull(), F.col("hi.i")).when(F.col("hi").isNull(), F.col("lo.i")).otherwise(between)
-    timed = full.withColumn("i", at).join(heard.select("video_id", "i", "start_ms", "end_ms"), ["video_id", "i"])
-    start, end = F.when(F.col("hi").isNull(), F.col("end_ms")).otherwise(F.col("start_ms")), F.when(F.col("lo").isNull(), F.col("start_ms")).otherwise(F.col("end_ms"))
-    return timed.select("video_id", "idx", "j", F.col("a").isNotNull().alias("exact"), start.alias("start_ms"), end.alias("end_ms"))
+    def stretch(k: Column) -> Column:
+        return P.let(F.struct(F.get(anchors, k - 1).alias("lo"), F.get(anchors, k).alias("hi")), lambda s: between(s["lo"], s["hi"]))
+
+    def between(lo: Column, hi: Column) -> Column:
+        first, end = F.coalesce(lo["a"], F.lit(0)), F.coalesce(hi["a"], F.size(written).cast("long"))
+        return F.transform(F.filter(F.sequence(first, F.greatest(first, end - 1)), lambda j: j < end), lambda j: word(j, lo, hi))
+
+    def word(j: Column, lo: Column, hi: Column) -> Column:
+        exact = F.coalesce(j == lo["a"], F.lit(False))
+        shared = F.bround(lo["b"] + (hi["b"] - lo["b"]) * ((j - lo["a"]) / (hi["a"] - lo["a"]))).cast("int")
+        i = F.when(exact, lo["b"]).when(lo.isNull(), hi["b"]).when(hi.isNull(), lo["b"]).otherwise(shared)
+        start = lambda h: F.when(hi.isNull() & ~exact, h["end_ms"]).otherwise(h["start_ms"])
+        end = lambda h: F.when(lo.isNull() & ~exact, h["start_ms"]).otherwise(h["end_ms"])
+        return P.let(F.get(heard, i.cast("int")), lambda h: F.struct(F.get(written, j.cast("int"))["v"].alias("idx"), start(h).alias("start_ms"), end(h).alias("end_ms"), exact.alias("exact")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(anchors)), stretch))
 
 
 def cue_times(cues: DataFrame, words: DataFrame) -> DataFrame:
     """The span of each cue's words as heard; cues without one anchored word are left out."""
-    written, heard = staged(written_words(cues), "written"), staged(heard_words(words), "heard")
-    timed = word_times(written, heard, word_anchors(written, heard))
+    both = P.in_rows(cues, "cues", "idx", "text").join(heard_rows(words), "video_id")
+    written = P.stream(F.col("cues"), lambda c, p, n: c["idx"])
+    said = F.filter(F.transform("heard", lambda h: F.struct(norm_word(h["word"]).alias("w"), h["start_ms"].alias("start_ms"), h["end_ms"].alias("end_ms"))), lambda h: h["w"] != "")
+    rows = both.select("video_id", written.alias("written"), said.alias("said"))
+    found = _anchors(rows, F.col("written"), F.col("said"))
+    known = F.struct("written", "said", "anchors")
+    times = P.let(known, lambda r: F.when(F.size(r["anchors"]) > 0, _word_times(r["written"], r["said"], r["anchors"])))
+    timed = found.select("video_id", F.explode_outer(times).alias("x")).where("x is not null").select("video_id", F.col("x.idx").cast(cues.schema["idx"].dataType).alias("idx"), "x.start_ms", "x.end_ms", "x.exact")
     spans = timed.groupBy("video_id", "idx").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.bool_or("exact").alias("exact"))
     return spans.where("exact").drop("exact")
 
 
+def _edges(heard: Column, pause: int) -> Column:
+    """The times at which words begin and end, sorted, each once: t, and loud unless a pause of at least `pause` ms begins or ends there."""
+    edge = lambda t, loud: F.struct(t.alias("t"), F.lit(loud).alias("loud"))
+
+    def of(words: Column) -> Column:
+        def around(h: Column, i: Column) -> Column:
+            after = F.get(words, i + 1)["start_ms"]
+            own = F.array(edge(h["start_ms"], True), edge(h["end_ms"], True))
+            return F.when(after - h["end_ms"] >= pause, F.concat(own, F.array(edge(h["end_ms"], False), edge(after, False)))).otherwise(own)
+
+        return P.first_of_each(F.filter(F.flatten(F.transform(words, around)), lambda e: e["t"].isNotNull()), "t")
+
+    return P.let(heard, of)
+
+
 def pair_boundaries(cues: DataFrame, words: DataFrame, moves: Column | None = None, least: int = 700, pause: int = 150, limits: Limits = LIMITS) -> DataFrame:
     """For a cue over the target speed the word edge at which to hand over to the next one, if that slows the faster of the two by over 1 character a second.
 
@@ -71,13 +94,19 @@ def pair_boundaries(cues: DataFrame, words: DataFrame, moves: Column | None = No
     dense = m.where((F.col("speed") > limits.target_cps) & F.col("both") & (F.col("to") - F.col("from") >= 2 * least))
     target = F.col("from") + (F.col("to") - F.col("from")) * F.col("a") / (F.col("a") + F.col("b"))
     spans = dense.withColumn("target", target).withColumn("start_ms", F.col("from") + least).withColumn("end_ms", F.col("to") - least)
-    gaps = pauses(words, pause)
-    edges = words.select("video_id", F.explode(F.array("start_ms", "end_ms")).alias("t")).withColumn("at_pause", F.lit(False))
-    edges = edges.unionByName(gaps.select("video_id", F.explode(F.array("ends", F.col("ends") + F.col("pause_ms"))).alias("t")).withColumn("at_pause", F.lit(True)))
-    edges = edges.groupBy("video_id", "t").agg(F.bool_or("at_pause").alias("at_pause"))
-    hit = interval_join(spans, edges.select("video_id", F.col("t").alias("r_start"), F.col("t").alias("r_end"), "at_pause"), closed=True)
-    best = F.min(F.struct((~F.col("at_pause")).alias("loud"), F.abs(F.col("r_start") - F.col("target")).alias("off"), F.col("r_start").alias("t"))).alias("o")
-    found = hit.groupBy("video_id", "idx", "from", "to", "a", "b", "speed").agg(best)
+    both = P.in_rows(spans, "spans", "idx", "start_ms", "end_ms", "from", "to", "a", "b", "speed", "target").join(heard_rows(words), "video_id")
+    rows = both.select("video_id", "spans", _edges(F.col("heard"), pause).alias("edges"))
+    limits_ = F.flatten(F.transform("spans", lambda x: F.array(x["start_ms"], x["end_ms"] + 1)))
+    rows = rows.withColumn("places", P.places(limits_, F.transform("edges", lambda e: e["t"])))
+
+    def best(x: Column, i: Column, r: Column) -> Column:
+        begin, end = F.get(r["places"], i * 2), F.get(r["places"], i * 2 + 1)
+        inside = F.slice(r["edges"], begin + 1, F.greatest(end - begin, F.lit(0)))
+        least_ = F.array_min(F.transform(inside, lambda e: F.struct(e["loud"].alias("loud"), F.abs(e["t"] - x["target"]).alias("off"), e["t"].alias("t"))))
+        return F.struct(x["idx"].alias("idx"), x["from"].alias("from"), x["to"].alias("to"), x["a"].alias("a"), x["b"].alias("b"), x["speed"].alias("speed"), least_.alias("o"))
+
+    found = P.let(F.struct("spans", "edges", "places"), lambda r: F.transform(r["spans"], lambda x, i: best(x, i, r)))
+    found = rows.select("video_id", F.explode_outer(found).alias("x")).where("x is not null").select("video_id", "x.*").where("o is not null")
     t = F.col("o.t")
     slower = F.greatest(F.col("a") / ((t - F.col("from")) / 1000), F.col("b") / ((F.col("to") - t) / 1000)) < F.col("speed") - 1
     return found.where(slower).select("video_id", "idx", t.alias("boundary_ms"), (~F.col("o.loud")).alias("at_pause"))

@@ -56,8 +56,8 @@ plan("j16_word_times_for_cues", "edited_cues words", f"with {TIMED} select video
 
 
 def timed(s, d, made):
-    cues = staged(V.cues(s, d), "cues")
-    return made(V.edited_cues(cues), V.words(cues))
+    cues = V.cues(s, d)
+    return made(V.edited_cues(cues), V.spoken(cues))
 
 
 def boundary(rows: str, moves: str) -> str:

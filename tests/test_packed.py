@@ -1,6 +1,7 @@
 """Videos as one row each: the pairs of once-said triples by brute force, and plans that shuffle texts, not words."""
 
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -52,3 +53,19 @@ def test_places_and_first_of_each(spark):
     df = spark.sql("select array(5L, null, 1L, 9L) t, array(1L, 5L, 7L) m, array(struct(2L as a, 1L as b), struct(1L as a, 3L as b), struct(2L as a, 0L as b)) p")
     r = df.select(P.places(F.col("t"), F.col("m")).alias("k"), P.first_of_each(F.col("p")).alias("p")).head()
     assert r.k == [1, None, 0, 3] and [tuple(x) for x in r.p] == [(1, 3), (2, 0)]
+
+
+def test_words_in_rows_are_the_words(spark, small):
+    from cuegrain import views as V
+    from cuegrain.operators import snap as N
+
+    cues = V.cues(spark, small).where("video_id < 40")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    spoken, words = V.spoken(cues), V.words(cues)
+    assert rows(spoken.select("video_id", F.explode("heard").alias("h")).select("video_id", "h.*")) == rows(words)
+    assert rows(A.pauses(spoken).select("video_id", "cue_idx", "w_pos", "ends", "pause_ms")) == rows(A.pauses(words))
+    edited = V.edited_cues(cues)
+    for made in (N.cue_times, N.pair_boundaries):
+        assert rows(made(edited, spoken)) == rows(made(edited, words)) != []
+        plan = shuffles(made(edited, spoken))
+        assert len(plan) <= 4 and all(re.search(r"hashpartitioning\(video_id#\d+L(, idx#\d+)?, \d+\)", line) for line in plan), plan
