@@ -73,7 +73,7 @@ PAUSE = "pz as (select video_id, ends r_start, ends + pause_ms r_end from (selec
 
 
 def pause_spans(s, d):
-    return A.pauses(V.words(V.cues(s, d))).select("video_id", F.col("ends").alias("r_start"), (F.col("ends") + F.col("pause_ms")).alias("r_end"))
+    return A.pauses(V.spoken(V.cues(s, d))).select("video_id", F.col("ends").alias("r_start"), (F.col("ends") + F.col("pause_ms")).alias("r_end"))
 
 
 plan("w28_split_span_by_pauses", "segments words", f"""with {PAUSE}, i as (select g.video_id, seg_id idx, r_start, r_end, row_number() over (partition by g.video_id, seg_id order by r_end - r_start desc, r_start) r from segments g join pz on pz.video_id = g.video_id and g.start_ms + 200 <= r_start and r_end <= g.end_ms - 200 and r_end > g.start_ms and r_start < g.end_ms),

@@ -103,7 +103,7 @@ plan("c7_carry_counts", "sentences cues timecodes words", "with " + CARRY + """
 def carried(s, d):
     cues = staged(V.cues(s, d), "cues")
     new = staged(E.blocks(V.paragraphs(s, d)).select("video_id", "id", "text", F.lit(0).alias("start_ms"), F.lit(0).alias("end_ms")), "blocks")
-    gaps = A.pauses(V.words(cues)).select("video_id", F.col("ends").alias("r_start"), (F.col("ends") + F.col("pause_ms")).alias("r_end"))
+    gaps = A.pauses(V.spoken(cues)).select("video_id", F.col("ends").alias("r_start"), (F.col("ends") + F.col("pause_ms")).alias("r_end"))
     return cues, V.timecodes(cues), new, gaps
 
 
