@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import staged
+from . import packed as P
 from .align import interval_join
 from .edits import WIDTH, alike_blocks, let
-from .sequences import best_pairing, longest_rising
+from .sequences import best_pairing
 
 SOLID, BLANKS = r"[^ \t\n\x0B\f\r]+", r"[ \t\n\x0B\f\r]+"
 
@@ -103,54 +104,109 @@ def apply_edits(located: DataFrame, cues: DataFrame, width: int = WIDTH) -> Data
     return done.select(*columns).unionByName(searched.select(*columns)).withColumn("over_width", F.coalesce(F.length("text") > width, F.lit(False)))
 
 
-def cue_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Regions between unchanged cues: video_id, region, side (old, new), n, idx, text, and `kept` for the unchanged ones.
+def versions(old: DataFrame, new: DataFrame, texts: DataFrame, order: str = "para_idx") -> DataFrame:
+    """One row a video: its `old` and `new` cues (idx, text) in order and `said`, the words of its texts with single blanks; by one shuffle."""
+    part = lambda df, side, by: df.select("video_id", F.lit(side).alias("side"), F.col(by).cast("long").alias("idx"), "text")
+    rows = part(old, 0, "idx").unionByName(part(new, 1, "idx")).unionByName(part(texts, 2, order))
+    packed = P.in_rows(rows, "all", "side", "idx", "text")
+    of = lambda side: F.filter("all", lambda x: x["side"] == side)
+    return packed.select("video_id", of(0).alias("old"), of(1).alias("new"), folded(F.array_join(F.transform(of(2), lambda x: x["text"]), " ")).alias("said"))
+
+
+def regions(old: Column, new: Column) -> Column:
+    """Of two arrays of texts `old` and `new`: for each changed text how many unchanged ones come before it, null for an unchanged one.
 
     Unchanged are equal texts, the k-th use of a text with the k-th: the longest run that rises in both versions.
     """
-    def numbered(c: DataFrame, n: str) -> DataFrame:
-        in_order, uses = Window.partitionBy("video_id").orderBy("idx"), Window.partitionBy("video_id", "text").orderBy("idx")
-        return c.select("video_id", "idx", "text", F.row_number().over(in_order).alias(n), F.row_number().over(uses).alias("use"))
+    def found(old, new):
+        from bisect import bisect_left
+
+        uses = {}
+        for j in reversed(range(len(new))):
+            uses.setdefault(new[j], []).append(j)
+        uses.pop(None, None)
+        pairs = [(i, uses[t].pop()) for i, t in enumerate(old) if uses.get(t)]
+        tails, ends, links = [], [], []
+        for k, (_, j) in enumerate(pairs):
+            n = bisect_left(tails, j)
+            tails[n : n + 1] = [j]
+            ends[n : n + 1] = [k]
+            links.append(ends[n - 1] if n else -1)
+        kept, at = (set(), set()), ends[-1] if ends else -1
+        while at >= 0:
+            for side, place in zip(kept, pairs[at], strict=True):
+                side.add(place)
+            at = links[at]
+
+        def number(size, kept):
+            before = 0
+            for i in range(size):
+                yield None if i in kept else before
+                before += i in kept
+
+        return list(number(len(old), kept[0])), list(number(len(new), kept[1]))
+
+    return F.udf(found, "struct<old:array<int>,new:array<int>>", useArrow=True)(old, new)
+
+
+def stand(phrases: Column, said: Column) -> Column:
+    """Whether each of an array of phrases stands in the text `said` by whole words; both with single blanks.
+
+    A phrase is first looked for a little after the one before it. Else an index of the text's runs of
+    up to three words, made once, gives the places of its rarest run, where its words are held
+    against the text's. An empty phrase stands everywhere, null nowhere.
+    """
+    def found(phrases, said):
+        size, reach = 3, 1000
+        whole, at, index, out = f" {said or ''} ", 0, {}, []
+        words = None
+
+        def indexed(ws):
+            n = min(len(ws), size)
+            if n not in index:
+                index[n] = {}
+                for i in range(len(words) - n + 1):
+                    index[n].setdefault(tuple(words[i : i + n]), []).append(i)
+            places, i = min(((index[n].get(tuple(ws[i : i + n]), ()), i) for i in range(len(ws) - n + 1)), key=lambda x: (len(x[0]), x[1]))
+            return any(at >= i and words[at - i : at - i + len(ws)] == ws for at in places)
+
+        for p in phrases or ():
+            if not p:
+                out.append(p == "")
+                continue
+            next_ = whole.find(f" {p} ", at, at + len(p) + reach)
+            if next_ >= 0:
+                at = next_ + len(p) + 1
+            else:
+                words = whole.split() if words is None else words
+            out.append(next_ >= 0 or indexed(p.split(" ")))
+        return out
+
+    return F.udf(found, "array<boolean>", useArrow=True)(phrases, said)
 
-    a, b = numbered(old, "a"), numbered(new, "b")
-    pairs = a.join(b.drop("idx"), ["video_id", "text", "use"]).select("video_id", "a", "b")
-    kept = longest_rising(pairs, "a", "b")
 
-    def regions(c: DataFrame, n: str, side: str) -> DataFrame:
-        j = c.join(kept.select("video_id", n, F.lit(1).alias("k")), ["video_id", n], "left")
-        region = F.coalesce(F.sum("k").over(Window.partitionBy("video_id").orderBy(n)), F.lit(0))
-        return j.select("video_id", region.alias("region"), F.lit(side).alias("side"), F.col(n).alias("n"), "idx", "text", F.col("k").isNotNull().alias("kept"))
+def standing(phrases: DataFrame, texts: DataFrame, order: str = "para_idx") -> DataFrame:
+    """The distinct phrases (video_id, text) whose words stand in a row in the video's texts, read in `order`; see stand."""
+    asked = phrases.distinct().select("video_id", F.lit(0).alias("idx"), "text")
+    rows = versions(asked, asked.limit(0), texts, order)
+    them = F.transform("old", lambda x: x["text"])
+    found = rows.select("video_id", F.explode_outer(F.arrays_zip(them.alias("text"), stand(F.transform(them, folded), F.col("said")).alias("stands"))).alias("x"))
+    return found.where("x.stands").select("video_id", "x.text")
 
-    return regions(a, "a", "old").unionByName(regions(b, "b", "new"))
 
+def open_cues(rows: DataFrame) -> DataFrame:
+    """Rows of `versions` as one row a video: `drifted`, how many unchanged cues are not in its texts in any case, and the changed `cues` (side, region, n, text, there), of which old ones have whether they are."""
+    text, lower = (lambda c: F.transform(c, lambda x: x["text"])), (lambda c: F.transform(c, F.lower))
+    known = rows.withColumn("r", regions(text("old"), text("new"))).withColumn("phrases", F.transform(text("old"), folded))
+    known = known.withColumn("s", stand(F.col("phrases"), F.col("said"))).withColumn("d", stand(lower("phrases"), F.lower("said")))
 
-def standing(phrases: DataFrame, texts: DataFrame, order: str = "para_idx") -> DataFrame:
-    """The distinct phrases (video_id, text) whose words stand in a row in the video's texts, read in `order`.
+    def changed(side: str, there) -> Column:
+        made = F.transform(side, lambda x, i: F.struct(F.lit(side).alias("side"), F.get(F.col(f"r.{side}"), i).cast("long").alias("region"), (i + 1).alias("n"), x["text"].alias("text"), there(i).alias("there")))
+        return F.filter(made, lambda x: x["region"].isNotNull())
 
-    A positional index of the runs of up to three words of the texts: each phrase is looked up by its
-    rarest run, and where that stands, the phrase's other words are held against those around it.
-    An empty phrase stands everywhere.
-    """
-    size = 3
-    wanted = phrases.distinct().withColumn("words", F.filter(F.split("text", BLANKS), lambda w: w != ""))
-    heard = texts.select("video_id", order, F.posexplode(F.split("text", BLANKS)).alias("p", "w")).where("w <> ''")
-    in_order = Window.partitionBy("video_id").orderBy(order, "p")
-    ahead = [F.lead("w", i).over(in_order) for i in range(1, size)]
-    placed = heard.join(wanted.select("video_id").distinct(), "video_id", "left_semi").select("video_id", (F.row_number().over(in_order) - 1).alias("at"), "w", *[x.alias(f"w{i}") for i, x in enumerate(ahead, 1)])
-    runs = [F.array("w", *[f"w{j}" for j in range(1, i)]) for i in range(1, size + 1)]
-    index = placed.select("video_id", "at", F.explode(F.array(*runs)).alias("run")).where("not exists(run, x -> x is null)")
-    own = F.transform(F.sequence(F.lit(0), F.size("words") - F.least(F.size("words"), F.lit(size))), lambda i: F.struct(i.alias("i"), F.slice("words", i + 1, F.least(F.size("words"), F.lit(size))).alias("run")))
-    asked = wanted.where("size(words) > 0").select("video_id", "text", F.explode(own).alias("x")).select("video_id", "text", "x.*")
-    asked_once = asked.select("video_id", "run").distinct()
-    found = index.join(asked_once, ["video_id", "run"])
-    often = found.groupBy("video_id", "run").agg(F.count("*").alias("n"))
-    # a run that is nowhere makes the phrase stand nowhere: its least count is missing
-    rarest = asked.join(often, ["video_id", "run"], "left").groupBy("video_id", "text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "i", "run")).alias("r"))
-    starts = rarest.where("r.n > 0").select("video_id", "text", "r.i", "r.run").join(found, ["video_id", "run"]).select("video_id", "text", (F.col("at") - F.col("i")).alias("start"))
-    spelled = starts.join(wanted, ["video_id", "text"]).select("video_id", "text", "start", F.size("words").alias("n"), F.posexplode("words").alias("j", "w"))
-    equal = spelled.withColumn("at", F.col("start") + F.col("j")).join(placed.select("video_id", "at", "w"), ["video_id", "at", "w"])
-    whole = equal.groupBy("video_id", "text", "start", "n").agg(F.count("*").alias("m")).where("m = n")
-    return whole.select("video_id", "text").distinct().unionByName(wanted.where("size(words) = 0").select("video_id", "text"))
+    drifted = F.size(F.filter(F.transform("r.old", lambda r, i: r.isNull() & ~F.get("d", i)), lambda x: x))
+    both = F.concat(changed("old", lambda i: F.get("s", i)), changed("new", lambda i: F.lit(None).cast("boolean")))
+    return known.where("size(old) + size(new) > 0").select("video_id", drifted.alias("drifted"), both.alias("cues"))
 
 
 def propagate(old: DataFrame, new: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -160,8 +216,8 @@ def propagate(old: DataFrame, new: DataFrame, paragraphs: DataFrame) -> DataFram
     are over half alike pair up, by the pairing of greatest likeness that keeps both orders; old cues
     that are left are removed, new ones inserted.
     """
-    rows = staged(cue_changes(old, new), "cue-changes")
-    open_ = rows.where("not kept")
+    rows = staged(open_cues(versions(old, new, paragraphs)), "open-cues")
+    open_ = rows.select("video_id", F.explode_outer("cues").alias("x")).where("x is not null").select("video_id", "x.*")
     is_old = F.col("side") == "old"
     joined = lambda side: folded(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("n", "text")))), lambda x: x["text"]), " "))
     sizes = open_.groupBy("video_id", "region").agg(F.count_if(is_old).alias("no"), F.count_if(~is_old).alias("nn"), joined("old").alias("x"), joined("new").alias("y"))
@@ -172,23 +228,17 @@ def propagate(old: DataFrame, new: DataFrame, paragraphs: DataFrame) -> DataFram
     cells = alike_blocks(keyed.where("side = 'old'"), keyed.where("side = 'new'"), keys=("video_id", "region"))
     alike = best_pairing(cells, ["video_id", "region"], "old", "new").select("video_id", "region", F.col("old").alias("n"), F.lit(True).alias("paired"))
     alike = staged(alike, "paired-cues")
-    olds = open_.where(is_old).join(sizes, ["video_id", "region"]).join(alike, ["video_id", "region", "n"], "left")
+    olds = open_.where(is_old).select("video_id", "region", "n", "there").join(sizes, ["video_id", "region"]).join(alike, ["video_id", "region", "n"], "left")
     gone = (F.col("kind") == "deleted") | ((F.col("kind") == "mixed") & F.col("paired").isNull())
-    stands = standing(olds.where(gone).select("video_id", "text"), paragraphs).withColumn("stands", F.lit(True))
-    there = F.col("stands").isNotNull()
-    counts = olds.join(stands, ["video_id", "text"], "left").groupBy("video_id").agg(
-        F.count_if((F.col("kind") == "paired") | F.col("paired").isNotNull()).alias("changed"), F.count_if(gone & there).alias("removed"), F.count_if(gone & ~there).alias("skipped"),
+    counts = olds.groupBy("video_id").agg(
+        F.count_if((F.col("kind") == "paired") | F.col("paired").isNotNull()).alias("changed"), F.count_if(gone & F.col("there")).alias("removed"), F.count_if(gone & ~F.col("there")).alias("skipped"),
     )
     matched = alike.groupBy("video_id", "region").agg(F.count("*").alias("m"))
     extra = sizes.join(matched, ["video_id", "region"], "left").groupBy("video_id").agg(
         F.count_if(F.col("kind") == "reblocked").alias("reblocked"),
         F.sum(F.when(F.col("kind") == "inserted", F.col("nn")).when(F.col("kind") == "mixed", F.col("nn") - F.coalesce("m", F.lit(0))).otherwise(0)).alias("inserted"),
     )
-    unchanged = rows.where("kept and side = 'old'").select("video_id", F.lower("text").alias("text"))
-    lower = standing(unchanged, paragraphs.withColumn("text", F.lower("text")))
-    drift = unchanged.join(lower, ["video_id", "text"], "left_anti").groupBy("video_id").agg(F.count("*").alias("drifted"))
-    videos = old.select("video_id").union(new.select("video_id")).distinct()
-    out = videos.join(counts, "video_id", "left").join(extra, "video_id", "left").join(drift, "video_id", "left")
+    out = rows.select("video_id", "drifted").join(counts, "video_id", "left").join(extra, "video_id", "left")
     names = ("changed", "removed", "skipped", "drifted", "reblocked", "inserted")
     return out.select("video_id", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names])
 
