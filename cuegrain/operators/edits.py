@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_word, sentences
+from . import packed as P
 
 # Words before which a long line may break, by preference.
 CONJUNCTIONS = ("and", "but", "or", "so", "because", "that", "which", "und", "et", "y")
@@ -76,10 +77,49 @@ def alike_blocks(old: DataFrame, new: DataFrame, share: int = 50, keys: tuple[st
 
 
 def similar_blocks(old: DataFrame, new: DataFrame, share: int = 50) -> DataFrame:
-    """Old and new blocks of a video that are each other's most similar, by word trigrams shared over all (in percent)."""
-    scored = alike_blocks(old, new, share)
-    best = lambda side, other: F.row_number().over(Window.partitionBy("video_id", side).orderBy(F.desc("score"), other))
-    return scored.withColumn("a", best("old", "new")).withColumn("b", best("new", "old")).where("a = 1 and b = 1").select("video_id", "old", "new", "score")
+    """Old and new blocks of a video that are each other's most similar, by word trigrams shared over all (in percent).
+
+    Of blocks with the same trigrams only the first can be one of them, as its equals tie and it comes
+    first. Sets that both versions have are each other's best. Each other set is looked up by its
+    rarest trigrams, as many as hold one that a set over `share` must share with it, and those found
+    are counted whole.
+    """
+    def matched(old, new):
+        from collections import Counter
+        from itertools import chain
+
+        def firsts(texts):
+            made = {}
+            for i, t in enumerate(texts):
+                if t is not None:
+                    w = t.split(" ")
+                    made.setdefault(frozenset(zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else frozenset([tuple(w)]), i)
+            return made
+
+        def best(open_, others):
+            often, index, found = Counter(chain.from_iterable(others)), {}, {}
+            for g in open_:
+                enough = -(-(share + 1) * len(g) // 100)
+                for x in sorted(g, key=lambda x: (often[x], x))[: len(g) - enough + 1]:
+                    index.setdefault(x, []).append(g)
+            for h, place in others.items():
+                for g in {g for x in index.keys() & h for g in index[x]}:
+                    common = len(g & h)
+                    score = common * 100 // (len(g) + len(h) - common)
+                    if score > share:
+                        found[g] = min(found.get(g, (0, 0, None)), (-score, place, h))
+            return found
+
+        a, b = firsts(old), firsts(new)
+        pairs = [(a[g], b[g], 100) for g in a.keys() & b.keys()] if share < 100 else []
+        ours, theirs = best([g for g in a if g not in b], b), best([g for g in b if g not in a], a)
+        return pairs + [(a[g], place, -score) for g, (score, place, h) in ours.items() if h in theirs and theirs[h][2] == g]
+
+    x, y = P.in_rows(old, "old", "idx", "text"), P.in_rows(new, "new", "idx", "text")
+    words = lambda c: F.transform(c, lambda b: F.array_join(P.normed_words(b["text"]), " "))
+    rows = x.join(y, "video_id").withColumn("pairs", F.udf(matched, "array<struct<a:int,b:int,score:bigint>>", useArrow=True)(words("old"), words("new")))
+    found = let(F.struct("old", "new", "pairs"), lambda r: F.transform(r["pairs"], lambda p: F.struct(F.get(r["old"], p["a"])["idx"].alias("old"), F.get(r["new"], p["b"])["idx"].alias("new"), p["score"].alias("score"))))
+    return rows.select("video_id", F.explode_outer(found).alias("x")).where("x is not null").select("video_id", "x.*")
 
 
 def split_spans(spans: DataFrame, pauses: DataFrame, parts: int | None = 3, margin: int = 200) -> DataFrame:
