@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import align as A
 from ..operators import cues as C
 from ..operators import edits as E
+from ..operators import packed as P
 from ..operators import quality as Q
 from ..operators import talks as Z
 from ..operators import validate as K
@@ -147,10 +148,13 @@ plan("a17_word_alignment_contract", "cues words", """with w as (select video_id,
 
 
 def alignment(s, d):
-    order = Window.partitionBy("video_id", "cue_idx").orderBy("w_pos")
-    w = V.words(V.cues(s, d)).withColumn("back", F.col("start_ms") < F.lag("start_ms").over(order))
-    parts = F.array_sort(F.collect_list(F.struct("w_pos", "word")))
-    by = w.groupBy("video_id", F.col("cue_idx").alias("idx")).agg(F.array_join(F.transform(parts, lambda x: x["word"]), " ").alias("t"), F.min("start_ms").alias("a"), F.max("end_ms").alias("z"), F.bool_or("back").alias("b"))
+    def heard(ws):
+        back = lambda h, i: (i > 0) & (h["start_ms"] < F.get(ws, i - 1)["start_ms"])
+        of = lambda field: F.transform(ws, lambda h: h[field])
+        return F.struct(ws[0]["cue_idx"].alias("idx"), F.array_join(of("word"), " ").alias("t"), F.array_min(of("start_ms")).alias("a"), F.array_max(of("end_ms")).alias("z"), F.exists(F.transform(ws, back), lambda x: x).alias("b"))
+
+    rows = V.spoken(V.cues(s, d)).select("video_id", F.explode_outer(F.transform(P.runs(F.col("heard"), lambda h: h["cue_idx"]), heard)).alias("x"))
+    by = rows.where("x is not null").select("video_id", "x.*")
     j = V.cues(s, d).join(by, ["video_id", "idx"], "left")
     no = lambda c: F.coalesce(c, F.lit(False))
     return j.select("video_id", "idx", F.col("t").isNull().alias("missing"), no(F.col("t") != F.col("text")).alias("text_differs"), no((F.col("a") < F.col("start_ms") - 100) | (F.col("z") > F.col("end_ms") + 100)).alias("outside"), no(F.col("b")).alias("back"))
@@ -204,7 +208,14 @@ def marker_tables(s, d):
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "l"))), lambda x: x["l"]), "\n").alias("file"))
 
 
-plan("k4_export_timing", "words", "select video_id, '[' || string_agg('{' || chr(34) || 'w' || chr(34) || ':' || to_json(word)::varchar || ',' || chr(34) || 's' || chr(34) || ':' || start_ms || ',' || chr(34) || 'e' || chr(34) || ':' || end_ms || '}', ',' order by cue_idx, w_pos) || ']' timing from words group by 1")(lambda s, d: V.words(V.cues(s, d)).groupBy("video_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("cue_idx", "w_pos", F.col("word").alias("w"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e")))), lambda x: F.struct(x["w"].alias("w"), x["s"].alias("s"), x["e"].alias("e")))).alias("timing")))
+plan("k4_export_timing", "words", "select video_id, '[' || string_agg('{' || chr(34) || 'w' || chr(34) || ':' || to_json(word)::varchar || ',' || chr(34) || 's' || chr(34) || ':' || start_ms || ',' || chr(34) || 'e' || chr(34) || ':' || end_ms || '}', ',' order by cue_idx, w_pos) || ']' timing from words group by 1")(lambda s, d: timing(s, d))
+
+
+def timing(s, d):
+    made = F.transform("heard", lambda x: F.struct(x["word"].alias("w"), x["start_ms"].alias("s"), x["end_ms"].alias("e")))
+    return V.spoken(V.cues(s, d)).where("size(heard) > 0").select("video_id", F.to_json(made).alias("timing"))
+
+
 plan("f14_clean_edited", "", f"select doc_id, case when lang = 'en' then {typo(FIELD)} else {FIELD} end as text from documents")(lambda s, d: dirty(s, d).select("doc_id", T.clean_edited(F.col("text"), F.col("lang") == "en").alias("text")))
 #: Values made of pages' addresses, right and wrong ones by what the address ends in.
 NAMES = r"""(select page_id, case page_id % 4 when 0 then '2001-02-03_' || slug when 1 then '2001-2-3_' || slug when 2 then '2001-02-03_' || slug || ' ' else '2001-02-03_' end talk, case page_id % 3 when 0 then slug when 1 then '-' || slug else slug || chr(10) end slug,
