@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from cuegrain.operators import align as A
 from cuegrain.operators import edits as E
 from cuegrain.operators import sync as Y
 
@@ -74,3 +75,12 @@ def test_changed_cues_are_dealt_by_video(spark):
     made = Y.open_cues(Y.versions(make(old), make(new), make(old).withColumnRenamed("idx", "para_idx")))
     assert len(exchanges(made)) == 1 and dealt_by_video(made), exchanges(made)
     assert {r.video_id for r in made.collect()} == {v for v, _, _ in old + new}
+
+
+def test_segments_do_not_carry_the_words_of_their_text(spark):
+    """Before, each segment went through sorts and windows with all words of its video."""
+    segs = spark.createDataFrame([(1, i, 1) for i in range(4)] + [(2, 0, 3)], "video_id long, i long, weight long")
+    texts = spark.createDataFrame([(1, "a b\tc d e"), (2, None)], "video_id long, text string")
+    made = A.proportional_text(segs, texts)
+    assert sorted(map(tuple, made.collect())) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c d"), (1, 3, "e"), (2, 0, "")]
+    assert not re.search(r"size\(words#", made._jdf.queryExecution().optimizedPlan().toString())
