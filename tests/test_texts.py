@@ -3,8 +3,10 @@
 import random
 import re
 
+from cuegrain import views as V
 from cuegrain.operators import align as A
 from cuegrain.operators import quality as Q
+from cuegrain.operators import validate as K
 from cuegrain.plans.all import PLANS
 
 
@@ -41,3 +43,16 @@ def test_stats_shuffle_no_text(spark):
 
 def test_verdicts_deal_no_words(spark, small):
     assert not any(re.search(r"[(, ]pos#", line) for line in shuffles(PLANS["a3_validate_corpus"](spark, small)))
+
+
+def test_missing_ids_make_no_rows_of_cues(spark, small):
+    """Before, all ids of both sides were rows in the memory of a task, sorted by video and hashed by id."""
+    rows = lambda rows: spark.createDataFrame(rows, "video_id long, ids array<int>")
+    made = K.missing_ids(rows([(1, [3, 1, 2]), (2, [1]), (None, [1, 2]), (4, [])]), rows([(1, [2, 9]), (None, [2]), (5, [1])]))
+    assert sorted(map(tuple, made.collect()), key=repr) == [(1, 1), (1, 3), (2, 1), (None, 1)]
+    ids, cues = V.cue_ids(spark, small), V.cues(spark, small)
+    told = lambda df: sorted(map(tuple, df.selectExpr("video_id", "explode(ids)").collect()))
+    assert told(ids) == sorted(map(tuple, cues.select("video_id", "idx").collect())) != []
+    assert told(V.timecode_ids(ids)) == sorted(map(tuple, V.timecodes(cues).select("video_id", "id").collect()))
+    plan = PLANS["u1_missing_ids"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and all("hashpartitioning(video_id#" in line and "idx#" not in line for line in plan.splitlines() if "Exchange" in line), plan
