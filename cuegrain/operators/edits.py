@@ -26,34 +26,45 @@ def strip_phrases(rows: DataFrame, phrases: list[str], text: str = "text") -> Da
 
 
 def paragraph_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Changed paragraphs by position; one row with para_idx null where the counts differ."""
-    counts = old.groupBy("video_id").agg(F.count("*").alias("a")).join(new.groupBy("video_id").agg(F.count("*").alias("b")), "video_id")
-    changed = old.select("video_id", "para_idx", F.col("text").alias("old")).join(new.select("video_id", "para_idx", F.col("text").alias("new")), ["video_id", "para_idx"]).where("old <> new")
-    same = counts.where("a = b").select("video_id")
-    uneven = counts.where("a <> b").select("video_id", F.lit(None).cast("int").alias("para_idx"), F.lit(None).cast("string").alias("old"), F.lit(None).cast("string").alias("new"), F.lit("count").alias("problem"))
-    return changed.join(same, "video_id", "left_semi").withColumn("problem", F.lit(None).cast("string")).unionByName(uneven)
+    """Changed paragraphs by position; one row with para_idx null where the counts differ. Both texts of a video meet in its row, by one shuffle."""
+    part = lambda df, side: df.select("video_id", "para_idx", F.lit(side).alias("side"), "text")
+    rows = P.in_rows(part(old, 0).unionByName(part(new, 1)), "all", "para_idx", "side", "text").where("video_id is not null")
+    of = lambda run, side: F.filter(run, lambda x: x["side"] == side)
+    made = lambda x, y, problem: F.struct(x["para_idx"].alias("para_idx"), x["text"].alias("old"), y["text"].alias("new"), F.lit(problem).cast("string").alias("problem"))
+
+    def changed(run: Column) -> Column:
+        return F.flatten(F.transform(of(run, 0), lambda x: F.transform(F.filter(of(run, 1), lambda y: y["text"] != x["text"]), lambda y: made(x, y, None))))
+
+    runs = F.filter(P.runs(F.col("all"), lambda x: x["para_idx"]), lambda run: run[0]["para_idx"].isNotNull())
+    none = lambda kind: F.lit(None).cast(kind)
+    uneven = F.array(F.struct(none("int").alias("para_idx"), none("string").alias("old"), none("string").alias("new"), F.lit("count").alias("problem")))
+    a, b = F.size(of(F.col("all"), 0)), F.size(of(F.col("all"), 1))
+    found = F.when(a == b, F.flatten(F.transform(runs, changed))).when((a > 0) & (b > 0), uneven)
+    return rows.select("video_id", F.explode_outer(found).alias("x")).where("x is not null").select("video_id", "x.*")
 
 
 def minimal_fragment(old: Column, new: Column) -> Column:
     """The changed middle of two texts, widened on both sides to 3 characters: old, new and its offset."""
-    chars = lambda c: F.split(c, "")
-    first_diff = lambda x, y, n: F.coalesce(F.nullif(F.array_position(F.zip_with(F.slice(x, 1, n), F.slice(y, 1, n), lambda p, q: p == q), False), F.lit(0)) - 1, n.cast("bigint"))
-    least = F.least(F.length(old), F.length(new))
-
-    def with_prefix(p: Column) -> Column:
-        room = (least - p).cast("int")
-        return let(first_diff(F.reverse(chars(old)), F.reverse(chars(new)), room), lambda s: middle(p, s))
-
-    def middle(p: Column, s: Column) -> Column:
-        size = F.length(old) - p - s
-        steps = F.filter(F.sequence(F.lit(0), F.lit(3)), lambda k: size + F.least(k, p) + F.least(k, s) >= 3)
-        return let(F.coalesce(F.get(steps, F.lit(0)), F.lit(3)), lambda k: part(p - F.least(k, p), s - F.least(k, s)))
-
-    def part(p: Column, s: Column) -> Column:
-        take = lambda c: F.substring(c, (p + 1).cast("int"), (F.length(c) - p - s).cast("int"))
-        return F.struct(take(old).alias("old_part"), take(new).alias("new_part"), p.cast("int").alias("at"))
-
-    return let(first_diff(chars(old), chars(new), least.cast("int")), with_prefix)
+    def found(old, new):
+        if old is None or new is None:
+            return None
+
+        def common(x, y, size):
+            """How many first characters two texts share, `size` at most; halving, by whole comparisons."""
+            lo, hi = 0, size
+            while lo < hi:
+                mid = (lo + hi + 1) // 2
+                lo, hi = (mid, hi) if x[lo:mid] == y[lo:mid] else (lo, mid - 1)
+            return lo
+
+        least = min(len(old), len(new))
+        p = common(old, new, least)
+        s = common(old[::-1], new[::-1], least - p)
+        k = next((k for k in range(4) if len(old) - p - s + min(k, p) + min(k, s) >= 3), 3)
+        p, s = p - min(k, p), s - min(k, s)
+        return old[p : len(old) - s], new[p : len(new) - s], p
+
+    return F.udf(found, "struct<old_part:string,new_part:string,at:int>", useArrow=True)(old, new)
 
 
 def block_runs(blocks: DataFrame, cues: DataFrame) -> DataFrame:

@@ -2,35 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import staged
 from . import packed as P
-from .align import interval_join
 from .edits import WIDTH, alike_blocks, let
 from .sequences import best_pairing
 
-SOLID, BLANKS = r"[^ \t\n\x0B\f\r]+", r"[ \t\n\x0B\f\r]+"
-
-
-def count_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(SOLID))
+BLANKS = r"[ \t\n\x0B\f\r]+"
 
 
 def folded(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, BLANKS, " "))
 
 
-def _offset(text: Column, words: Column) -> Column:
-    """Where in a text with single blanks its word number `words` (from 0) begins."""
-    return F.length(F.array_join(F.slice(F.split(text, " "), F.lit(1), words.cast("int")), " ")) + F.least(words, F.lit(1))
+def placed(paragraphs: DataFrame, fragments: DataFrame, cues: DataFrame) -> DataFrame:
+    """One row a video of `fragments`: them as `fragments`, with the `idx` and `offset` of locate_fragments, and its `cues` (idx, text) in order.
+
+    Texts are shuffled once, to the row of their video.
+    """
+    def found(at_paragraph, paragraphs, numbers, cues, fragments):
+        from bisect import bisect_right
+        from itertools import accumulate, chain
+
+        said = lambda texts: [(t or "").encode().split() for t in texts]
+        count = lambda t: len(t.encode().split())
+        solid = lambda c: c != "" and c not in " \t\n\x0b\f\r"
+        nothing = [(None, None)] * len(fragments)
+        if not at_paragraph or not numbers:
+            return nothing
+        ours, theirs = said(paragraphs), said(cues)
+        if list(chain.from_iterable(ours)) != list(chain.from_iterable(theirs)):
+            return nothing
+        begin = dict(zip(at_paragraph, zip(paragraphs, map(len, ours), accumulate(map(len, ours), initial=0)), strict=True))
+        full = [i for i, ws in enumerate(theirs) if ws]
+        starts = list(accumulate((len(theirs[i]) for i in full), initial=0))
+
+        def offset(text, words):
+            """Where in a text with single blanks its word number `words` (from 0) begins; -1 is after the last."""
+            parts = text.split(" ")
+            return len(" ".join(parts[: words if words >= 0 else len(parts) + words + 1])) + min(words, 1)
+
+        def place(f):
+            if f["para_idx"] not in begin or f["at"] is None or f["old_part"] is None:
+                return None, None
+            (text, n, w0), lo = begin[f["para_idx"]], f["at"]
+            hi = lo + len(f["old_part"])
+            t0 = count(text[:lo]) - (lo > 0 and solid(text[lo - 1 : lo]) and solid(text[lo : lo + 1]))
+            t1 = count(text[:hi]) - 1
+            if t1 < t0:
+                t0 = t0 if t0 < n else n - 1
+            first, last = w0 + t0, w0 + max(t0, t1)
+            k = bisect_right(starts, first) - 1
+            if not 0 <= k < len(full) or last >= starts[k + 1]:
+                return None, None
+            return numbers[full[k]], offset(cues[full[k]], first - starts[k]) + lo - offset(text, t0)
+
+        return [place(f) for f in fragments]
+
+    part = lambda df, side, by: df.select("video_id", F.lit(side).alias("side"), F.col(by).cast("long").alias("idx"), "text")
+    # a union of both, not a join: their texts go to the row once, and are sorted in it
+    texts = P.in_rows(part(paragraphs, 0, "para_idx").unionByName(part(cues, 1, "idx")), "all", "side", "idx", "text")
+    columns = [c for c in fragments.columns if c != "video_id"]
+    rows = P.in_rows(fragments, "fragments", *columns).join(texts, "video_id", "left")
+    of = lambda side, field: F.transform(F.filter("all", lambda x: x["side"] == side), lambda x: x[field])
+    asked = F.transform("fragments", lambda x: F.struct(x["para_idx"].cast("long").alias("para_idx"), x["at"].cast("int").alias("at"), x["old_part"].alias("old_part")))
+    made = F.udf(found, "array<struct<idx:bigint,offset:int>>", useArrow=True)(of(0, "idx"), of(0, "text"), of(1, "idx"), of(1, "text"), asked)
+    kind = cues.schema["idx"].dataType
 
+    def with_place(r: Column) -> Column:
+        here = lambda i: F.get(r["places"], i)
+        return F.transform(r["fragments"], lambda x, i: F.struct(*[x[c].alias(c) for c in columns], here(i)["idx"].cast(kind).alias("idx"), here(i)["offset"].alias("offset")))
 
-def whole_text(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """The texts of each video's rows in order, with white space folded."""
-    parts = F.array_sort(F.collect_list(F.struct(order, "text")))
-    return rows.groupBy("video_id").agg(folded(F.array_join(F.transform(parts, lambda x: x["text"]), " ")).alias(name))
+    known = rows.select("video_id", "all", F.struct("fragments", made.alias("places")).alias("r"))
+    ordered = F.transform(F.filter("all", lambda x: x["side"] == 1), lambda x: F.struct(x["idx"].cast(kind).alias("idx"), x["text"].alias("text")))
+    return known.select("video_id", let(F.col("r"), with_place).alias("fragments"), ordered.alias("cues"))
 
 
 def locate_fragments(paragraphs: DataFrame, fragments: DataFrame, cues: DataFrame) -> DataFrame:
@@ -40,24 +87,7 @@ def locate_fragments(paragraphs: DataFrame, fragments: DataFrame, cues: DataFram
     words are counted, and looked up in the cue that holds those numbers. `idx` and `offset` are null
     if the words of the video differ, or the fragment is on more than one cue.
     """
-    same = whole_text(paragraphs, "para_idx", "x").join(whole_text(cues, "idx", "y"), "video_id").where("x = y").select("video_id")
-    before = lambda order: Window.partitionBy("video_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    counted = paragraphs.withColumn("n", count_words(F.col("text"))).withColumn("w0", F.coalesce(F.sum("n").over(before("para_idx")), F.lit(0)))
-    f = fragments.join(counted.select("video_id", "para_idx", "text", "n", "w0"), ["video_id", "para_idx"])
-    lo, hi = F.col("at"), F.col("at") + F.length("old_part")
-    head = lambda upto: F.substring("text", F.lit(1), upto)
-    solid = lambda c: F.coalesce(c.rlike(SOLID), F.lit(False))
-    inside = solid(F.substring("text", lo, F.lit(1))) & solid(F.substring("text", lo + 1, F.lit(1))) & (lo > 0)
-    f = f.withColumn("t0", count_words(head(lo)) - inside.cast("int")).withColumn("t1", count_words(head(hi)) - 1)
-    only_blank = F.when(F.col("t0") < F.col("n"), F.col("t0")).otherwise(F.col("n") - 1)
-    f = f.withColumn("t0", F.when(F.col("t1") < F.col("t0"), only_blank).otherwise(F.col("t0"))).withColumn("t1", F.greatest("t0", "t1"))
-    spans = f.withColumn("start_ms", F.col("w0") + F.col("t0")).withColumn("end_ms", F.col("w0") + F.col("t1")).join(same, "video_id", "left_semi")
-    c = cues.select("video_id", "idx", F.col("text").alias("cue"), count_words(F.col("text")).alias("c"))
-    c = c.withColumn("r_start", F.coalesce(F.sum("c").over(before("idx")), F.lit(0))).withColumn("r_end", F.col("r_start") + F.col("c") - 1).where("c > 0")
-    hit = interval_join(spans, c.select("video_id", "r_start", "r_end", "idx", "cue"), closed=True, bucket_ms=64).where("r_start <= start_ms and end_ms <= r_end")
-    place = _offset(F.col("cue"), F.col("start_ms") - F.col("r_start")) + F.col("at") - _offset(F.col("text"), F.col("t0"))
-    found = hit.select("video_id", "para_idx", "idx", place.cast("int").alias("offset"))
-    return fragments.join(found, ["video_id", "para_idx"], "left")
+    return placed(paragraphs, fragments, cues).select("video_id", F.explode_outer("fragments").alias("x")).select("video_id", "x.*")
 
 
 def holding(fragments: DataFrame, cues: DataFrame) -> DataFrame:
@@ -79,29 +109,54 @@ def holding(fragments: DataFrame, cues: DataFrame) -> DataFrame:
     return fragments.join(met, ["video_id", "para_idx"]).join(cues, ["video_id", "idx"])
 
 
-def apply_edits(located: DataFrame, cues: DataFrame, width: int = WIDTH) -> DataFrame:
-    """What each edit makes of its cue: video_id, para_idx, result, idx, text, over_width.
+def apply_edits(placed: DataFrame, width: int = WIDTH) -> DataFrame:
+    """What each edit of `placed` rows makes of its cue: video_id, para_idx, result, idx, text, over_width.
 
     result is `located` (the fragment stands where it was counted to), `right cue` (elsewhere in that
     cue), `only one` (no place, but one cue of the video holds it), `not found`, `ambiguous`, or
-    `nothing to find`.
+    `nothing to find`. Fragments without a place are looked up by the rarest of their q-grams of three
+    characters, or as many as they have, in an index of the video's cues that is made for such ones only.
     """
-    c = cues.select("video_id", F.col("idx").alias("idx"), F.col("text").alias("cue"))
-    old, new = F.col("old_part"), F.col("new_part")
-    first = lambda text: F.concat(F.substring(text, F.lit(1), F.instr(text, old) - 1), new, F.substring(text, F.instr(text, old) + F.length(old), F.length(text)))
-    j = located.join(c, ["video_id", "idx"], "left")
-    here = (F.col("offset") >= 0) & (F.substring("cue", F.col("offset") + 1, F.length(old)) == old)
-    placed = F.concat(F.substring("cue", F.lit(1), F.col("offset")), new, F.substring("cue", F.col("offset") + 1 + F.length(old), F.length("cue")))
-    result = F.when(old == "", "nothing to find").when(F.coalesce(here, F.lit(False)), "located").when(F.coalesce(F.instr("cue", old) > 0, F.lit(False)), "right cue")
-    j = j.withColumn("result", result)
-    done = j.where("result is not null").withColumn("text", F.when(F.col("result") == "located", placed).when(F.col("result") == "right cue", first(F.col("cue"))))
-    open_ = j.where("result is null").select("video_id", "para_idx", "old_part", "new_part")
-    hits = holding(open_, c).where(F.instr("cue", old) > 0).groupBy("video_id", "para_idx").agg(F.count("*").alias("hits"), F.min(F.struct("idx", "cue")).alias("hit"))
-    searched = open_.join(hits, ["video_id", "para_idx"], "left").withColumn("result", F.when(F.col("hits").isNull(), "not found").when(F.col("hits") > 1, "ambiguous").otherwise("only one"))
-    one = F.col("result") == "only one"
-    searched = searched.withColumn("idx", F.when(one, F.col("hit.idx"))).withColumn("text", F.when(one, first(F.col("hit.cue"))))
-    columns = ["video_id", "para_idx", "result", "idx", "text"]
-    return done.select(*columns).unionByName(searched.select(*columns)).withColumn("over_width", F.coalesce(F.length("text") > width, F.lit(False)))
+    def applied(edits, numbers, cues):
+        numbers, cues = numbers or [], cues or []
+        at, index = {i: t for i, t in zip(numbers, cues, strict=True)}, {}
+
+        def holders(old):
+            q = min(len(old), 3)
+            if q not in index:
+                index[q] = {}
+                for n, text in enumerate(cues):
+                    for g in {text[k : k + q] for k in range(len(text) - q + 1)} if text is not None else ():
+                        index[q].setdefault(g, []).append(n)
+            rarest = min((index[q].get(old[k : k + q], ()) for k in range(len(old) - q + 1)), key=len)
+            return [n for n in rarest if old in cues[n]]
+
+        def first(text, old, new):
+            k = text.index(old)
+            return text[:k] + new + text[k + len(old) :]
+
+        def result(e):
+            old, new, cue, place = e["old_part"], e["new_part"], at.get(e["idx"]), e["offset"]
+            if old == "":
+                return "nothing to find", e["idx"], None
+            if cue is not None and place is not None and place >= 0 and cue[place : place + len(old)] == old:
+                return "located", e["idx"], cue[:place] + new + cue[place + len(old) :]
+            if cue is not None and old in cue:
+                return "right cue", e["idx"], first(cue, old, new)
+            hits = holders(old)
+            if len(hits) == 1:
+                return "only one", numbers[hits[0]], first(cues[hits[0]], old, new)
+            return "ambiguous" if hits else "not found", None, None
+
+        return [result(e) for e in edits]
+
+    asked = F.transform("fragments", lambda x: F.struct(x["old_part"].alias("old_part"), x["new_part"].alias("new_part"), x["idx"].cast("long").alias("idx"), x["offset"].alias("offset")))
+    of = lambda field: F.transform("cues", lambda x: x[field])
+    made = F.udf(applied, "array<struct<result:string,idx:bigint,text:string>>", useArrow=True)(asked, F.transform(of("idx"), lambda i: i.cast("long")), of("text"))
+    rows = placed.select("video_id", F.explode_outer(F.arrays_zip(F.transform("fragments", lambda x: x["para_idx"]).alias("para_idx"), made.alias("made"))).alias("x"))
+    kind = placed.schema["cues"].dataType.elementType["idx"].dataType
+    out = rows.select("video_id", "x.para_idx", "x.made.result", F.col("x.made.idx").cast(kind).alias("idx"), "x.made.text")
+    return out.withColumn("over_width", F.coalesce(F.length("text") > width, F.lit(False)))
 
 
 def versions(old: DataFrame, new: DataFrame, texts: DataFrame, order: str = "para_idx") -> DataFrame:

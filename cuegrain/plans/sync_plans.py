@@ -27,14 +27,14 @@ LOCATE = f"""fr as materialized ({FRAGMENT}), pc as (select *, {CNT('text')} n,
     l2 as (select *, case when k1 < k0 then case when k0 < n then k0 else n - 1 end else k0 end t0 from l1), cc as (select video_id, idx, text cue, {CNT('text')} c, coalesce(sum({CNT('text')}) over (partition by video_id order by idx {BEFORE}), 0)::bigint c0 from cues),
     ht as (select l2.video_id, para_idx, idx, ({OFF('cue', 'w0 + t0 - c0')} + "at" - {OFF('text', 't0')})::int "offset" from l2 join sm using (video_id) join cc on cc.video_id = l2.video_id and c0 <= w0 + t0 and w0 + greatest(t0, k1) <= c0 + c - 1 and c > 0),
     lc as (select fr.*, idx, "offset" from fr left join ht using (video_id, para_idx))"""
-plan("j19_locate_fragment", "paragraphs cues", f"with {LOCATE} select * from lc")(lambda s, d: located(s, d)[0])
+plan("j19_locate_fragment", "paragraphs cues", f"with {LOCATE} select * from lc")(lambda s, d: Y.locate_fragments(*changes(s, d)))
 
 
-def located(s, d, cues=None):
+def changes(s, d, cues=None):
     cues, paragraphs = staged(V.cues(s, d), "cues") if cues is None else cues, V.paragraphs(s, d)
     diffs = E.paragraph_diff(paragraphs, edited_paragraphs(s, d)).where("problem is null")
     fragments = staged(diffs.select("video_id", "para_idx", E.minimal_fragment(F.col("old"), F.col("new")).alias("f")).select("video_id", "para_idx", "f.*"), "fragments")
-    return Y.locate_fragments(paragraphs, fragments, cues), cues
+    return paragraphs, fragments, cues
 
 
 FIRST = lambda t: f"substr({t}, 1, instr({t}, old_part) - 1) || new_part || substr({t}, instr({t}, old_part) + length(old_part))"
@@ -43,7 +43,7 @@ APPLY = f"""{LOCATE}, jc as (select lc.*, cue from lc left join (select video_id
     hc as (select rs.video_id, rs.para_idx, count(*) hits, min({{'idx': c.idx, 'cue': c.text}}) hit from rs join cues c on c.video_id = rs.video_id and instr(c.text, rs.old_part) > 0 where r0 is null group by 1, 2),
     ap as (select video_id, para_idx, coalesce(r0, case when hits is null then 'not found' when hits > 1 then 'ambiguous' else 'only one' end) result, case when r0 is not null then idx when hits = 1 then hit.idx end idx,
     case when r0 = 'located' then substr(cue, 1, "offset") || new_part || substr(cue, "offset" + 1 + length(old_part)) when r0 = 'right cue' then {FIRST('cue')} when r0 is null and hits = 1 then {FIRST('hit.cue')} end as text from rs left join hc using (video_id, para_idx))"""
-plan("j20_apply_text_edit", "paragraphs cues", f"with {APPLY} select *, coalesce(length(text) > 84, false) over_width from ap")(lambda s, d: Y.apply_edits(*located(s, d)))
+plan("j20_apply_text_edit", "paragraphs cues", f"with {APPLY} select *, coalesce(length(text) > 84, false) over_width from ap")(lambda s, d: Y.apply_edits(Y.placed(*changes(s, d))))
 # the best chain that ends at each cell, after the lowest of the best cells before it in both orders
 PRED = "list_max(list_transform(list_filter(range(1, e.k), lambda j: c[j].a < c[e.k].a and c[j].b < c[e.k].b), lambda j: {'v': st.best[j], 'n': -j}))"
 CHAIN = f"""list_reduce(list_transform(range(1, len(c) + 1), lambda k: {{'best': [c[k].s], 'path': [[k]], 'k': k}}), lambda st, e:
@@ -82,7 +82,7 @@ plan("c8_sync_review", "paragraphs cues edited_cues cues_b manifests", f"""with
 
 def reviewed(s, d):
     cues = staged(V.cues(s, d), "cues")
-    return Y.review(changed(s, d, cues), Y.apply_edits(*located(s, d, cues)), propagated(s, d, cues), checked(s, d, cues))
+    return Y.review(changed(s, d, cues), Y.apply_edits(Y.placed(*changes(s, d, cues))), propagated(s, d, cues), checked(s, d, cues))
 
 
 
