@@ -43,6 +43,18 @@ def paragraph_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.select("video_id", F.explode_outer(found).alias("x")).where("x is not null").select("video_id", "x.*")
 
 
+def edited_videos(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Videos with a cue (idx, text) of `old` that `new` has not. Both texts of a video meet in its row, by one shuffle."""
+    part = lambda df, side: df.select("video_id", "idx", "text", F.lit(side).alias("side"))
+    rows = P.in_rows(part(old, 0).unionByName(part(new, 1)), "all", "idx", "text", "side")
+
+    def only_old(x: Column, i: Column) -> Column:
+        after = F.get("all", i + 1)
+        return (x["side"] == 0) & (after.isNull() | ~(after["idx"].eqNullSafe(x["idx"]) & after["text"].eqNullSafe(x["text"])))
+
+    return rows.where(F.exists(F.transform("all", only_old), lambda found: found)).select("video_id")
+
+
 def minimal_fragment(old: Column, new: Column) -> Column:
     """The changed middle of two texts, widened on both sides to 3 characters: old, new and its offset."""
     def found(old, new):

@@ -122,11 +122,12 @@ CHANGED = f"""with {EDITED}, c as (select distinct video_id from (select video_i
 plan("a11_changed_talks", "cues edited_cues paragraphs", CHANGED)(lambda s, d: changed(s, d))
 
 
-def changed(s, d, cues=None):
-    """Videos with edited cues, edited transcripts or both: a union of the two change sets."""
+def changed(s, d, cues=None, edits=None):
+    """Videos with edited cues, edited transcripts or both: a union of the two change sets. `edits` has rows for the edited transcripts, if they are known."""
     cues = staged(V.cues(s, d), "cues") if cues is None else cues
-    c = cues.select("video_id", "idx", "text").exceptAll(V.edited_cues(cues).select("video_id", "idx", "text")).select("video_id", F.lit(True).alias("c"), F.lit(False).alias("t"))
-    t = E.paragraph_diff(V.paragraphs(s, d), edited_paragraphs(s, d)).select("video_id", F.lit(False).alias("c"), F.lit(True).alias("t"))
+    c = E.edited_videos(cues, V.edited_cues(cues)).select("video_id", F.lit(True).alias("c"), F.lit(False).alias("t"))
+    edits = E.paragraph_diff(V.paragraphs(s, d), edited_paragraphs(s, d)) if edits is None else edits
+    t = edits.select("video_id", F.lit(False).alias("c"), F.lit(True).alias("t"))
     return c.unionByName(t).groupBy("video_id").agg(F.bool_or("c").alias("cues_edited"), F.bool_or("t").alias("transcript_edited"))
 
 

@@ -30,11 +30,16 @@ LOCATE = f"""fr as materialized ({FRAGMENT}), pc as (select *, {CNT('text')} n,
 plan("j19_locate_fragment", "paragraphs cues", f"with {LOCATE} select * from lc")(lambda s, d: Y.locate_fragments(*changes(s, d)))
 
 
-def changes(s, d, cues=None):
-    cues, paragraphs = staged(V.cues(s, d), "cues") if cues is None else cues, V.paragraphs(s, d)
-    diffs = E.paragraph_diff(paragraphs, edited_paragraphs(s, d)).where("problem is null")
-    fragments = staged(diffs.select("video_id", "para_idx", E.minimal_fragment(F.col("old"), F.col("new")).alias("f")).select("video_id", "para_idx", "f.*"), "fragments")
-    return paragraphs, fragments, cues
+def edits_of(s, d):
+    """The fragments of edited paragraphs; one row with para_idx null for a video whose paragraphs differ in number."""
+    diffs = E.paragraph_diff(V.paragraphs(s, d), edited_paragraphs(s, d))
+    return staged(diffs.select("video_id", "para_idx", E.minimal_fragment(F.col("old"), F.col("new")).alias("f")).select("video_id", "para_idx", "f.*"), "fragments")
+
+
+def changes(s, d, cues=None, edits=None):
+    cues = staged(V.cues(s, d), "cues") if cues is None else cues
+    edits = edits_of(s, d) if edits is None else edits
+    return V.paragraphs(s, d), edits.where("para_idx is not null"), cues
 
 
 FIRST = lambda t: f"substr({t}, 1, instr({t}, old_part) - 1) || new_part || substr({t}, instr({t}, old_part) + length(old_part))"
@@ -82,7 +87,8 @@ plan("c8_sync_review", "paragraphs cues edited_cues cues_b manifests", f"""with
 
 def reviewed(s, d):
     cues = staged(V.cues(s, d), "cues")
-    return Y.review(changed(s, d, cues), Y.apply_edits(Y.placed(*changes(s, d, cues))), propagated(s, d, cues), checked(s, d, cues))
+    edits = edits_of(s, d)
+    return Y.review(changed(s, d, cues, edits), Y.apply_edits(Y.placed(*changes(s, d, cues, edits))), propagated(s, d, cues), checked(s, d, cues))
 
 
 

@@ -68,3 +68,17 @@ def test_texts_are_dealt_by_video_only(spark, small):
         plan = PLANS[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         lines = [line for line in plan.splitlines() if " Exchange " in line]
         assert "_b#" not in plan and all("hashpartitioning(video_id#" in line and "idx#" not in line.split("ENSURE")[0] for line in lines), plan
+
+
+def test_edited_videos_by_force(spark, small):
+    """Before, all cues of both versions were dealt by their texts, and each query compared the paragraphs twice."""
+    rng = random.Random(11)
+    old = [(v, rng.randrange(4), rng.choice(["a", "b", None])) for v in list(range(60)) + [None] for _ in range(rng.randrange(1, 5))]
+    new = [r for r in old if rng.random() < 0.9] + [(v, 9, "z") for v in range(80)]
+    make = lambda rows: spark.createDataFrame(rows, "video_id long, idx int, text string").repartition(3)
+    got = [r.video_id for r in E.edited_videos(make(old), make(new)).collect()]
+    want = {r[0] for r in set(old) - set(new)}
+    assert len(got) == len(want) and set(got) == want != {r[0] for r in old}
+    for name in ("a11_changed_talks", "c8_sync_review"):
+        plan = PLANS[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert all(" text#" not in line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if " Exchange hashpartitioning" in line), name
