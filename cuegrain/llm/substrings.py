@@ -12,8 +12,9 @@ hold the corpus, so:
 3. Those are cut in two at the windows with half their other bytes before the anchor; such a
    half shares a window with another only if it also shares those half of the bytes, so it is
    grouped by anchor and these. Groups are sorted as suffixes (see suffixes.py), many small
-   groups to one text of about TEXT bytes, windows that are neighbours in suffix order are
-   compared byte by byte, and of equal ones all but the earliest are removed. A group of more
+   groups to one text of about TEXT symbols: bytes, and one symbol for the bytes that a group
+   shares. Windows that are neighbours in suffix order are compared symbol by symbol, and of
+   equal ones all but the earliest are removed. A group of more
    than GROUP halves is dealt over several such texts, and the earliest of each text's equal
    windows are compared again by a 128-bit hash.
 4. Removed windows are gathered by document as intervals and cut from the text.
@@ -48,7 +49,8 @@ from .suffixes import suffix_array
 LENGTH, ANCHOR = 100, 32
 SPAN = LENGTH - ANCHOR + 1
 HALF = (LENGTH - ANCHOR) // 2
-TEXT, GROUP = 48_000, 256
+CORE = ANCHOR + HALF
+BIN, TEXT, GROUP = 48_000, 8_000, 256
 SEGMENT = 1 << 23
 NO_ID = -(1 << 63)
 #: Share of the rows sampled for anchors on many rows, the most rows of that sample, the share of its runs that is many, and tasks for each.
@@ -188,7 +190,7 @@ def compare_runs(found: DataFrame, frequent: DataFrame) -> DataFrame:
 
 
 def halves(docs: DataFrame, varied: DataFrame) -> DataFrame:
-    """key, doc_id, mark, start, piece: both halves of each varied run, keyed by anchor and half the bytes around it."""
+    """key, doc_id, mark, start, at, piece: both halves of each varied run, keyed by the CORE bytes at `at`, its anchor and half the bytes around it, which all its windows hold."""
     by_doc = varied.groupBy("doc_id", "mark").agg(F.collect_set("place").alias("places"))
     joined = docs.join(by_doc, ["doc_id", "mark"]).select("doc_id", "mark", "text", "places")
 
@@ -208,8 +210,8 @@ def halves(docs: DataFrame, varied: DataFrame) -> DataFrame:
                 rolling = Rolling(buf)
                 ids, marks = (batch.column(c).slice(a, b - a).to_numpy()[doc] for c in (0, 1))
                 for side, (some, first, number, left, right) in enumerate((
-                    (early > 0, begin, early, anchor - HALF, anchor + ANCHOR),
-                    (early < count, begin + early, count - early, anchor, anchor + ANCHOR + HALF),
+                    (early > 0, begin, early, anchor - HALF, anchor - HALF + CORE),
+                    (early < count, begin + early, count - early, anchor, anchor + CORE),
                 )):
                     at = np.flatnonzero(some)
                     if not len(at):
@@ -217,11 +219,11 @@ def halves(docs: DataFrame, varied: DataFrame) -> DataFrame:
                     key = rolling.ranges(left[at], right[at]) ^ np.uint64(side)
                     raw = [buf[f : f + c + LENGTH - 1].tobytes() for f, c in zip(first[at].tolist(), number[at].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(ids[at]), pa.array(marks[at]), pa.array((first - edges[doc])[at]), pa.array(raw, pa.binary())],
-                        names=["key", "doc_id", "mark", "start", "piece"],
+                        [pa.array(key.view(np.int64)), pa.array(ids[at]), pa.array(marks[at]), pa.array((first - edges[doc])[at]), pa.array((left - first)[at]), pa.array(raw, pa.binary())],
+                        names=["key", "doc_id", "mark", "start", "at", "piece"],
                     )
 
-    return joined.mapInArrow(cut, "key long, doc_id long, mark long, start long, piece binary")
+    return joined.mapInArrow(cut, "key long, doc_id long, mark long, start long, at long, piece binary")
 
 
 def _merged(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,19 +235,27 @@ def _merged(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[a], start[a], start[z] + LENGTH
 
 
-def sort_windows(pieces_: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Windows of the pieces in suffix order: document (a number in their order), start, class of equal windows, whether earliest, the text of earliest ones."""
+def sort_windows(pieces_: list[bytes], at: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows of the pieces in suffix order: piece, document (a number in their order), start, class of equal windows, whether earliest.
+
+    The CORE bytes that all windows of a piece hold are one symbol of the sorted text, named by their
+    bytes; equal windows hold the same core at the same place, so they are equal symbol by symbol.
+    """
     size = np.array([len(p) for p in pieces_], dtype=np.int64)
     edges = np.concatenate(([0], np.cumsum(size + 1)))
-    text = np.zeros(int(edges[-1]), dtype=np.int64)
     flat = np.frombuffer(b"\x00".join(pieces_) + b"\x00", dtype=np.uint8)
-    text[:] = flat.astype(np.int64) + 1
+    text = flat.astype(np.int64) + 1
     text[edges[1:] - 1] = 0
+    core = (edges[:-1] + at)[:, None] + np.arange(CORE)
+    text[core[:, 0]] = 257 + np.unique(flat[core].view(f"S{CORE}").ravel(), return_inverse=True)[1]
+    kept = np.ones(len(text), dtype=bool)
+    kept[core[:, 1:].ravel()] = False
+    text, edges, width = text[kept], edges - (CORE - 1) * np.arange(len(edges)), LENGTH - CORE + 1
     order = suffix_array(text)
     piece = np.searchsorted(edges, order, side="right") - 1
-    whole = order - edges[piece] <= size[piece] - LENGTH
+    whole = order + width < edges[piece + 1]
     order, piece = order[whole], piece[whole]
-    windows = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)
+    windows = np.lib.stride_tricks.sliding_window_view(text, width)
     same = np.zeros(len(order), dtype=bool)
     for i in range(1, len(order), 16384):
         j = min(len(order), i + 16384)
@@ -253,12 +263,20 @@ def sort_windows(pieces_: list[bytes], doc: np.ndarray, start: np.ndarray) -> tu
     group = np.cumsum(~same)
     d, s = doc[piece], start[piece] + order - edges[piece]
     by = np.lexsort((s, d, group))
-    group, d, s, order = group[by], d[by], s[by], order[by]
+    group, d, s, piece = group[by], d[by], s[by], piece[by]
     head = np.concatenate(([True], group[1:] != group[:-1])) if len(group) else np.empty(0, dtype=bool)
     earliest = np.flatnonzero(head)
-    at = np.repeat(earliest, np.diff(np.append(earliest, len(group))))
-    later = (d > d[at]) | (s > s[at])  # sorted, so never before it
-    return d, s, later, head, [flat[o : o + LENGTH].tobytes() for o in order[head].tolist()]
+    first = np.repeat(earliest, np.diff(np.append(earliest, len(group))))
+    later = (d > d[first]) | (s > s[first])  # sorted, so never before it
+    return piece, d, s, later, head
+
+
+def texts(key: np.ndarray, symbols: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the pieces, by texts of about TEXT symbols, in which a key's pieces are together; small ones are sorted faster a symbol."""
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    text = (np.cumsum(symbols[order]) - symbols[order])[new] // TEXT
+    return np.split(order, np.flatnonzero(new)[1:][text[1:] != text[:-1]])
 
 
 def compare_halves(cut: DataFrame) -> DataFrame:
@@ -266,9 +284,9 @@ def compare_halves(cut: DataFrame) -> DataFrame:
     sizes = staged(cut.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "half-sizes")
     parts = F.when(F.col("c") > GROUP, F.ceil(F.col("c") / GROUP)).otherwise(1)
     dealt = join_hot(cut, sizes, "key", "c").where("c is not null").withColumn("dealt", F.col("c") > GROUP).withColumn("part", F.pmod(F.xxhash64("doc_id", "mark", "start"), parts))
-    dealt = staged(dealt.select("key", "part", "dealt", "doc_id", "mark", "start", "piece"), "halves")
-    total = dealt.agg(F.sum(F.length("piece"))).first()[0] or 0
-    bins = max(1, -(-total // TEXT))
+    dealt = staged(dealt.select("key", "part", "dealt", "doc_id", "mark", "start", "at", "piece"), "halves")
+    total = dealt.agg(F.sum(F.length("piece") - (CORE - 1))).first()[0] or 0
+    bins = max(1, -(-total // BIN))
 
     def sort(key: tuple, table: pa.Table) -> pa.Table:
         ids, marks, start = (table[c].to_numpy() for c in ("doc_id", "mark", "start"))
@@ -278,13 +296,22 @@ def compare_halves(cut: DataFrame) -> DataFrame:
         doc[by] = np.cumsum(new) - 1
         ids, marks = ids[by][new], marks[by][new]
         split = table["dealt"].to_numpy(zero_copy_only=False)
-        d, s, later, head, texts = sort_windows(table["piece"].to_pylist(), doc, start)
+        whole = table["piece"].to_pylist()
+        at, symbols = table["at"].to_numpy(), np.array([len(p) - CORE + 1 for p in whole])
+        found = []
+        for some in texts(table["key"].to_numpy(), symbols):
+            of, *sorted_ = sort_windows([whole[i] for i in some.tolist()], at[some], doc[some], start[some])
+            found.append((some[of], *sorted_))
+        of, d, s, later, head = (np.concatenate(x) for x in zip(*found, strict=True))
         out_doc, out_start, out_stop = _merged(d[later], s[later]) if later.any() else (d[:0], s[:0], s[:0])
         names = ["doc_id", "mark", "start", "stop", "window"]
         rows = pa.table([pa.array(ids[out_doc]), pa.array(marks[out_doc]), pa.array(out_start), pa.array(out_stop), pa.nulls(len(out_doc), pa.binary())], names=names)
-        if split.any():
-            texts_ = pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary())
-            rows = pa.concat_tables([rows, pa.table([pa.array(ids[d[head]]), pa.array(marks[d[head]]), pa.array(s[head]), pa.array(s[head] + LENGTH), texts_], names=names)])
+        open_ = np.flatnonzero(head & split[of])
+        if len(open_):
+            places = zip(of[open_].tolist(), (s[open_] - start[of[open_]]).tolist(), strict=True)
+            hashes = pa.array([hashlib.blake2b(whole[p][o : o + LENGTH], digest_size=16).digest() for p, o in places], pa.binary())
+            d, s = d[open_], s[open_]
+            rows = pa.concat_tables([rows, pa.table([pa.array(ids[d]), pa.array(marks[d]), pa.array(s), pa.array(s + LENGTH), hashes], names=names)])
         return rows
 
     # sorting takes long for its bytes, so the number of tasks is set here, not by their size

@@ -26,25 +26,27 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     for b, c in zip(begins[counts > 0].tolist(), counts[counts > 0].tolist(), strict=True):
         size[b] = c
     prev = [-1] * n
+    group.append(-1)  # of position -1, before the text: lower than all
     end = n
     while end:
         start = group[sa[end - 1]]
         members = sa[start:end]
         members.sort()
-        pointed: dict[int, int] = {}
+        found = []
         for i in members:
             p = i - 1
-            while p >= 0 and group[p] >= start:
+            while group[p] >= start:
                 p = prev[p]
             prev[i] = p
             if p >= 0:
-                pointed[p] = pointed.get(p, 0) + 1
+                found.append(p)
         end = start
-        if not pointed:
-            continue
-        if max(pointed.values()) == 1:
-            levels = [pointed]
+        if len(set(found)) == len(found):
+            levels = [found]
         else:
+            pointed: dict[int, int] = {}
+            for p in found:
+                pointed[p] = pointed.get(p, 0) + 1
             by_count: dict[int, list[int]] = {}
             for p, c in pointed.items():
                 by_count.setdefault(c, []).append(p)
@@ -67,24 +69,18 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
                     size[g] = left
                     new = g + left
                     size[new] = c
-                    for i in range(new, new + c):
-                        group[sa[i]] = new
+                    for p in sa[new : new + c]:
+                        group[p] = new
     out = [-1] * n
     slot = list(range(n))
-    free = [True] * n
-    s = n - 1
-    while s >= 0:
-        g = group[s]
-        out[slot[g]] = s
-        slot[g] += 1
-        free[s] = False
-        s = prev[s]
-    for i in range(n):
-        s = out[i] - 1
-        while s >= 0 and free[s]:
+    free = bytearray(b"\x01") * n + b"\x00"  # nothing stands at -1
+    for i in range(-1, n):
+        s = out[i] - 1 if i >= 0 else n - 1
+        while free[s]:
+            free[s] = 0
             g = group[s]
-            out[slot[g]] = s
-            slot[g] += 1
-            free[s] = False
+            at = slot[g]
+            out[at] = s
+            slot[g] = at + 1
             s = prev[s]
     return np.array(out, dtype=np.int64)

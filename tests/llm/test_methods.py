@@ -200,6 +200,43 @@ def test_substrings_of_shared_ids(spark):
     assert want == sorted((r.doc_id if r.doc_id is not None else -1, r.n_removed, bytes(r.kept)) for r in substrings.dedup(df).collect())
 
 
+def test_sorted_windows_name_their_core(monkeypatch):
+    """The bytes that all windows of a piece hold are one symbol of the sorted text; equal and earliest windows are those of the bytes."""
+    rng = np.random.default_rng(9)
+    pieces, at = [], []
+    for core in rng.integers(0, 2, (5, 34 + substrings.CORE + 34)).astype(np.uint8):
+        for _ in range(30):
+            a, z = rng.integers(17, 35, 2)
+            text = core.copy()
+            if rng.random() < 0.5:
+                text[rng.choice((rng.integers(34), -1 - rng.integers(34)))] = 255
+            pieces.append(text[34 - a : len(text) - 34 + z].tobytes())
+            at.append(int(a))
+    at, doc, start = np.array(at), rng.integers(0, 9, len(pieces)), rng.permutation(len(pieces)) * 200
+    symbols, real = [], substrings.suffix_array
+    monkeypatch.setattr(substrings, "suffix_array", lambda x: (symbols.append(len(x)), real(x))[1])
+    of, d, s, later, head = substrings.sort_windows(pieces, at, doc, start)
+    assert sum(symbols) < sum(map(len, pieces)) / 2
+    want = defaultdict(set)
+    for i, p in enumerate(pieces):
+        for o in range(len(p) - 99):
+            want[p[o : o + 100]].add((i, doc[i], start[i] + o))
+    got = defaultdict(set)
+    for c, *row in zip(np.cumsum(head).tolist(), of, d, s):
+        got[c].add(tuple(row))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and len(want) < len(of)
+    first = {row: min(x[1:] for x in rows) for rows in want.values() for row in rows}
+    assert all(gone == (row[1:] != first[row]) for gone, *row in zip(later, of, d, s) for row in [tuple(row)])
+
+
+def test_small_texts_keep_keys_together():
+    rng = np.random.default_rng(4)
+    key, symbols = rng.integers(-300, 300, 3000), rng.integers(35, 70, 3000)
+    found = substrings.texts(key, symbols)
+    assert sorted(np.concatenate(found).tolist()) == list(range(3000)) and len(found) > 10
+    assert sum(len(set(key[x])) for x in found) == len(set(key)) and max(symbols[x].sum() for x in found) < substrings.TEXT + 2000
+
+
 def test_segments_join(monkeypatch):
     rng = np.random.default_rng(3)
     buf = rng.integers(97, 100, 5000).astype(np.uint8)
