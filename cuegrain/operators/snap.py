@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_word
-from ..staging import staged
+from . import flat as K
 from . import packed as P
-from .cues import LIMITS, Limits, measures, next_start, prev_end, snap_trim, video
+from .cues import LIMITS, Limits, chars
 
 
-def heard_rows(words: DataFrame) -> DataFrame:
-    """One row a video with `heard`, its words in order; words that come so, as from views.spoken, stay as they are."""
-    return words if "heard" in words.columns else P.in_rows(words, "heard", "cue_idx", "w_pos", "word", "start_ms", "end_ms")
+def _in_hearing(cues: DataFrame, columns: str, words: DataFrame, kernel, fields: str, **fixed) -> DataFrame:
+    """The rows (video_id, `fields`) that `kernel` makes of each video's cues, with `columns`, and its heard words.
+
+    Words are rows, or in one row a video: `heard`, as from views.spoken, or `voiced`, as from views.voiced, of which they are made in the kernel.
+    """
+    said = next((c for c in ("heard", "voiced") if c in words.columns), None)
+    if said is None:
+        said, words = "heard", P.in_rows(words, "heard", "cue_idx", "w_pos", "word", "start_ms", "end_ms")
+    of = kernel if said == "heard" else lambda cues, voiced, **fixed: kernel(cues, K.spoken(voiced), **fixed)
+    # a full join puts no filter before either side, so both read one shuffle of texts; videos without cues give no rows
+    rows = P.in_rows(cues, "cues", *columns.split()).join(words, "video_id", "full")
+    made = f"array<struct<idx:{cues.schema['idx'].dataType.simpleString()},{fields}>>"
+    found = rows.select("video_id", F.explode_outer(K.column(of, made, F.col("cues"), F.col(said), **fixed)).alias("x"))
+    return found.where("x is not null").select("video_id", "x.*")
 
 
 def _anchors(rows: DataFrame, written: Column, heard: Column) -> DataFrame:
@@ -32,53 +42,9 @@ def word_anchors(written: DataFrame, heard: DataFrame) -> DataFrame:
     return found.select("video_id", F.col("x.a").alias("j"), F.col("x.b").alias("i"))
 
 
-def _word_times(written: Column, heard: Column, anchors: Column) -> Column:
-    """Each written word's time: its own if anchored, of the word at its share between the anchors around it, or the edge of the outermost one."""
-    def stretch(k: Column) -> Column:
-        return P.let(F.struct(F.get(anchors, k - 1).alias("lo"), F.get(anchors, k).alias("hi")), lambda s: between(s["lo"], s["hi"]))
-
-    def between(lo: Column, hi: Column) -> Column:
-        first, end = F.coalesce(lo["a"], F.lit(0)), F.coalesce(hi["a"], F.size(written).cast("long"))
-        return F.transform(F.filter(F.sequence(first, F.greatest(first, end - 1)), lambda j: j < end), lambda j: word(j, lo, hi))
-
-    def word(j: Column, lo: Column, hi: Column) -> Column:
-        exact = F.coalesce(j == lo["a"], F.lit(False))
-        shared = F.bround(lo["b"] + (hi["b"] - lo["b"]) * ((j - lo["a"]) / (hi["a"] - lo["a"]))).cast("int")
-        i = F.when(exact, lo["b"]).when(lo.isNull(), hi["b"]).when(hi.isNull(), lo["b"]).otherwise(shared)
-        start = lambda h: F.when(hi.isNull() & ~exact, h["end_ms"]).otherwise(h["start_ms"])
-        end = lambda h: F.when(lo.isNull() & ~exact, h["start_ms"]).otherwise(h["end_ms"])
-        return P.let(F.get(heard, i.cast("int")), lambda h: F.struct(F.get(written, j.cast("int"))["v"].alias("idx"), start(h).alias("start_ms"), end(h).alias("end_ms"), exact.alias("exact")))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(anchors)), stretch))
-
-
 def cue_times(cues: DataFrame, words: DataFrame) -> DataFrame:
     """The span of each cue's words as heard; cues without one anchored word are left out."""
-    both = P.in_rows(cues, "cues", "idx", "text").join(heard_rows(words), "video_id")
-    written = P.stream(F.col("cues"), lambda c, p, n: c["idx"])
-    said = F.filter(F.transform("heard", lambda h: F.struct(norm_word(h["word"]).alias("w"), h["start_ms"].alias("start_ms"), h["end_ms"].alias("end_ms"))), lambda h: h["w"] != "")
-    rows = both.select("video_id", written.alias("written"), said.alias("said"))
-    found = _anchors(rows, F.col("written"), F.col("said"))
-    known = F.struct("written", "said", "anchors")
-    times = P.let(known, lambda r: F.when(F.size(r["anchors"]) > 0, _word_times(r["written"], r["said"], r["anchors"])))
-    timed = found.select("video_id", F.explode_outer(times).alias("x")).where("x is not null").select("video_id", F.col("x.idx").cast(cues.schema["idx"].dataType).alias("idx"), "x.start_ms", "x.end_ms", "x.exact")
-    spans = timed.groupBy("video_id", "idx").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.bool_or("exact").alias("exact"))
-    return spans.where("exact").drop("exact")
-
-
-def _edges(heard: Column, pause: int) -> Column:
-    """The times at which words begin and end, sorted, each once: t, and loud unless a pause of at least `pause` ms begins or ends there."""
-    edge = lambda t, loud: F.struct(t.alias("t"), F.lit(loud).alias("loud"))
-
-    def of(words: Column) -> Column:
-        def around(h: Column, i: Column) -> Column:
-            after = F.get(words, i + 1)["start_ms"]
-            own = F.array(edge(h["start_ms"], True), edge(h["end_ms"], True))
-            return F.when(after - h["end_ms"] >= pause, F.concat(own, F.array(edge(h["end_ms"], False), edge(after, False)))).otherwise(own)
-
-        return P.first_of_each(F.filter(F.flatten(F.transform(words, around)), lambda e: e["t"].isNotNull()), "t")
-
-    return P.let(heard, of)
+    return _in_hearing(cues, "idx text", words, K.cue_times, "start_ms:bigint,end_ms:bigint")
 
 
 def pair_boundaries(cues: DataFrame, words: DataFrame, moves: Column | None = None, least: int = 700, pause: int = 150, limits: Limits = LIMITS) -> DataFrame:
@@ -87,29 +53,8 @@ def pair_boundaries(cues: DataFrame, words: DataFrame, moves: Column | None = No
     Edges at pauses come first, then those nearest the place where both would read equally fast. Each
     pair is judged on its own.
     """
-    m = measures(cues).withColumn("_moves", F.lit(True) if moves is None else moves)
-    nxt = lambda c: F.lead(c).over(video())
-    speed = F.when(F.col("dur_ms") > 0, F.col("chars") / (F.col("dur_ms") / 1000)).otherwise(999.0)
-    m = m.select("video_id", "idx", F.col("start_ms").alias("from"), nxt("end_ms").alias("to"), F.col("chars").alias("a"), nxt("chars").alias("b"), speed.alias("speed"), (F.col("_moves") & nxt("_moves")).alias("both"))
-    dense = m.where((F.col("speed") > limits.target_cps) & F.col("both") & (F.col("to") - F.col("from") >= 2 * least))
-    target = F.col("from") + (F.col("to") - F.col("from")) * F.col("a") / (F.col("a") + F.col("b"))
-    spans = dense.withColumn("target", target).withColumn("start_ms", F.col("from") + least).withColumn("end_ms", F.col("to") - least)
-    both = P.in_rows(spans, "spans", "idx", "start_ms", "end_ms", "from", "to", "a", "b", "speed", "target").join(heard_rows(words), "video_id")
-    rows = both.select("video_id", "spans", _edges(F.col("heard"), pause).alias("edges"))
-    limits_ = F.flatten(F.transform("spans", lambda x: F.array(x["start_ms"], x["end_ms"] + 1)))
-    rows = rows.withColumn("places", P.places(limits_, F.transform("edges", lambda e: e["t"])))
-
-    def best(x: Column, i: Column, r: Column) -> Column:
-        begin, end = F.get(r["places"], i * 2), F.get(r["places"], i * 2 + 1)
-        inside = F.slice(r["edges"], begin + 1, F.greatest(end - begin, F.lit(0)))
-        least_ = F.array_min(F.transform(inside, lambda e: F.struct(e["loud"].alias("loud"), F.abs(e["t"] - x["target"]).alias("off"), e["t"].alias("t"))))
-        return F.struct(x["idx"].alias("idx"), x["from"].alias("from"), x["to"].alias("to"), x["a"].alias("a"), x["b"].alias("b"), x["speed"].alias("speed"), least_.alias("o"))
-
-    found = P.let(F.struct("spans", "edges", "places"), lambda r: F.transform(r["spans"], lambda x, i: best(x, i, r)))
-    found = rows.select("video_id", F.explode_outer(found).alias("x")).where("x is not null").select("video_id", "x.*").where("o is not null")
-    t = F.col("o.t")
-    slower = F.greatest(F.col("a") / ((t - F.col("from")) / 1000), F.col("b") / ((F.col("to") - t) / 1000)) < F.col("speed") - 1
-    return found.where(slower).select("video_id", "idx", t.alias("boundary_ms"), (~F.col("o.loud")).alias("at_pause"))
+    judged = cues.withColumns({"chars": chars(), "moves": F.lit(True) if moves is None else moves})
+    return _in_hearing(judged, "idx start_ms end_ms chars moves", words, K.pair_boundaries, "boundary_ms:bigint,at_pause:boolean", least=least, pause=pause, cps=limits.target_cps)
 
 
 def snap_to_speech(cues: DataFrame, words: DataFrame, least: int = 1000, limits: Limits = LIMITS) -> DataFrame:
@@ -117,19 +62,5 @@ def snap_to_speech(cues: DataFrame, words: DataFrame, least: int = 1000, limits:
 
     Cues that no word matches keep their times and do not move; `matched` says which those are.
     """
-    spans = cue_times(cues, words).select("video_id", "idx", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"))
-    snapped = cues.select("video_id", "idx", "text", "start_ms", "end_ms").join(spans, ["video_id", "idx"], "left")
-    snapped = snapped.select("video_id", "idx", "text", F.coalesce("_s", "start_ms").alias("start_ms"), F.coalesce("_e", "end_ms").alias("end_ms"), F.col("_s").isNotNull().alias("matched"))
-    m = measures(snap_trim(snapped, limits.min_gap))
-    lack = F.when(F.col("matched"), F.greatest(F.lit(0), F.expr(f"chars * 1000 div {limits.target_cps}") - F.col("dur_ms"))).otherwise(0)
-    m = m.withColumn("lack", lack).withColumn("free", F.greatest(F.lit(0), F.col("start_ms") - prev_end() - limits.min_gap))
-    m = m.withColumn("early", F.coalesce(F.least("lack", "free"), F.lit(0)))
-    left = F.lead(F.col("free") - F.col("early")).over(video())
-    m = m.withColumn("late", F.when(left.isNull(), 0).otherwise(F.least(F.col("lack") - F.col("early"), left)))
-    shared = m.select("video_id", "idx", "text", "matched", (F.col("start_ms") - F.col("early")).alias("start_ms"), (F.col("end_ms") + F.col("late")).alias("end_ms"))
-    shared = staged(shared, "shared-pauses")
-    proposed = pair_boundaries(shared, words, F.col("matched"), limits=limits).select("video_id", "idx", "boundary_ms")
-    short = least - (F.col("end_ms") - F.col("start_ms"))
-    room = F.coalesce(next_start() - limits.min_gap - F.col("end_ms"), short)
-    grown = F.when(F.col("matched") & (short > 0), F.col("end_ms") + F.greatest(F.lit(0), F.least(short, room))).otherwise(F.col("end_ms"))
-    return shared.withColumn("_e", grown).join(proposed, ["video_id", "idx"], "left").select("video_id", "idx", "start_ms", F.col("_e").alias("end_ms"), "matched", "boundary_ms")
+    fields = "start_ms:bigint,end_ms:bigint,matched:boolean,boundary_ms:bigint"
+    return _in_hearing(cues.withColumn("chars", chars()), "idx text start_ms end_ms chars", words, K.snapped, fields, least=least, gap=limits.min_gap, cps=limits.target_cps, least_part=700, pause=150)

@@ -57,7 +57,7 @@ plan("j16_word_times_for_cues", "edited_cues words", f"with {TIMED} select video
 
 def timed(s, d, made):
     cues = V.cues(s, d)
-    return made(V.edited_cues(cues), V.spoken(cues))
+    return made(V.edited_cues(cues), V.voiced(cues))
 
 
 def boundary(rows: str, moves: str) -> str:
