@@ -11,7 +11,7 @@ from cuegrain.operators import flat as K
 from cuegrain.plans.all import ORACLES, PLANS
 
 WORDS = ["a", "b", "c", "d'", "É", "é", "ΟΔΟΣ", "οδος", "οδοσ", "İx", "ix", "²", "x_y", "日本", "-", "", "\t", "\r", "\x0b", "Mr.", "so,", "and", "of", "end.", "Go!", "longerword", "(w)"]
-ONCE = ["c4_snap_to_speech"]
+ONCE = ["c4_snap_to_speech", "j16_word_times_for_cues"]
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +26,7 @@ def odd(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["c4_snap_to_speech", "j25_pair_boundary"])
+@pytest.mark.parametrize("name", ["c4_snap_to_speech", "j16_word_times_for_cues", "j25_pair_boundary"])
 @pytest.mark.parametrize("size", [1, 8_000_000])
 def test_odd_texts_against_sql(spark, odd, monkeypatch, name, size):
     """Whether a kernel takes one video at a time or all. Before, a capital sigma at a word's end was not the small one that the SQL makes of it."""
