@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_word, sentences
+from . import flat as K
 from . import packed as P
 
 # Words before which a long line may break, by preference.
@@ -182,61 +183,33 @@ def snap_to_pause(targets: DataFrame, pauses: DataFrame, reach: int = 3000, leas
     return targets.join(best, ["video_id", "idx"], "left").select("video_id", "idx", "t", F.coalesce("snapped", "t").alias("snapped"))
 
 
-def split_once(text: Column, width: int = WIDTH) -> Column:
-    """A text over `width` cut in two at its best space: both halves within width if one can, the better break, nearest the middle.
-
-    Words are only looked at where both halves may be within width, in a text of up to 2 * width + 1
-    characters. A longer one is cut at the space nearest its middle, by the last one in its first half
-    and the first in its second, so a text of any length costs its length.
-    """
-    def choose(w: Column) -> Column:
-        ends = F.aggregate(w, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.length(x) + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-1)) + 1)))
-        return let(F.struct(ends.alias("e"), F.length(text).alias("n")), lambda s: best(w, s["e"], s["n"]))
-
-    def best(w: Column, e: Column, n: Column) -> Column:
-        bare = lambda x: F.regexp_replace(F.lower(x), "[.,;:!?]+$", "")
-        rank = lambda i: F.when(w[i].rlike("[.!?]$"), 0).when(w[i].rlike("[,;:—]$"), 1).when(bare(F.get(w, i + 1)).isin(*CONJUNCTIONS), 2).when(bare(F.get(w, i + 1)).isin(*PREPOSITIONS), 3).otherwise(4)
-        fits = lambda i: (e[i] <= width) & (n - e[i] - 1 <= width)
-        off = lambda i: F.abs(2 * e[i] - n)
-        options = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.struct((~fits(i)).cast("int").alias("wide"), F.when(fits(i), rank(i)).otherwise(0).alias("rank"), off(i).alias("off"), e[i].alias("at")))
-        return halves(F.array_min(options)["at"])
+def _cut(text: Column, width: int, once: bool) -> Column:
+    wide = (F.length(text) > width) & (F.instr(text, " ") > 0)
+    breaks = dict.fromkeys(CONJUNCTIONS, 2) | dict.fromkeys(PREPOSITIONS, 3)
+    return F.coalesce(K.column(K.split_to_width, "array<string>", F.when(wide, text), width=width, breaks=breaks, once=once), F.array(text))
 
-    def halves(at: Column) -> Column:
-        return let(at, lambda a: F.array(F.substring(text, F.lit(1), a), F.substring(text, a + 2, F.length(text))))
 
-    def middle(n: Column) -> Column:
-        half = F.floor(n / 2).cast("int")
-        back = F.instr(F.reverse(F.substring(text, F.lit(1), half + 1)), " ")
-        ahead = F.instr(F.substring(text, half + 2, n), " ")
-        spaces = F.struct((half + 1 - back).alias("l"), (back > 0).alias("has"), (half + ahead).alias("r"), (ahead > 0).alias("more"))
-        nearer = lambda s: F.when(~s["more"] | (s["has"] & (F.abs(2 * s["l"] - n) <= F.abs(2 * s["r"] - n))), s["l"]).otherwise(s["r"])
-        return let(spaces, lambda s: halves(nearer(s)))
-
-    def cut(n: Column) -> Column:
-        return F.when((n <= width) | (F.instr(text, " ") == 0), F.array(text)).when(n > 2 * width + 1, middle(n)).otherwise(let(F.split(text, " "), choose))
+def split_once(text: Column, width: int = WIDTH) -> Column:
+    """A text over `width` cut in two at its best space: both halves within width if one can, the better break, nearest the middle; see flat.halves.
 
-    return let(F.length(text), cut)
+    Words are only looked at where both halves may be within width, so a text of any length costs its length.
+    """
+    return _cut(text, width, True)
 
 
 def split_to_width(text: Column, width: int = WIDTH) -> Column:
     """Parts of a text within width, in order; single words stay whole.
 
-    Each round cuts all that is still too wide at the space nearest its middle. Two rounds leave no
-    part with a space longer than two thirds of what it was, also around long words, so n characters
-    take at most 4 * log2(n) rounds; they change nothing once nothing is left to cut.
+    What is too wide is cut at its best space, and so is what that leaves. Two cuts leave no part with
+    a space longer than two thirds of what it was, also around long words.
     """
-    wide = lambda t: (F.length(t) > width) & (F.instr(t, " ") > 0)
-    state = lambda parts: F.struct(parts.alias("parts"), (~F.exists(parts, wide)).alias("done"))
-    def cut(now: Column, _: Column) -> Column:
-        return F.when(now["done"], now).otherwise(let(F.flatten(F.transform(now["parts"], lambda t: split_once(t, width))), state))
-
-    rounds = F.when(wide(text), F.sequence(F.lit(1), F.ceil(F.log2(F.length(text))).cast("int") * 4 + 8)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(rounds, state(F.array(text)), cut, lambda now: now["parts"])
+    return _cut(text, width, False)
 
 
 def blocks(paragraphs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Sentences of paragraphs cut to width, numbered from 1 in each video."""
-    sent = paragraphs.select("video_id", "para_idx", F.posexplode(sentences(F.col("text"))).alias("s", "sentence"))
-    cut = sent.select("video_id", "para_idx", "s", F.posexplode(split_to_width(F.col("sentence"), width)).alias("i", "text"))
+    # the outer form: see views.paragraphs
+    sent = paragraphs.select("video_id", "para_idx", F.posexplode_outer(sentences(F.col("text"))).alias("s", "sentence")).where("sentence is not null")
+    cut = sent.select("video_id", "para_idx", "s", F.posexplode_outer(split_to_width(F.col("sentence"), width)).alias("i", "text"))
     number = F.row_number().over(Window.partitionBy("video_id").orderBy("para_idx", "s", "i"))
     return cut.select("video_id", number.alias("id"), "para_idx", "text")

@@ -86,6 +86,18 @@ def before(values: np.ndarray, owner: np.ndarray, none: int) -> np.ndarray:
     return after(values[::-1], owner[::-1], none)[::-1]
 
 
+def places(owner: np.ndarray, values: np.ndarray, of: np.ndarray, at: np.ndarray, side: str) -> np.ndarray:
+    """Where each `at` of the owner `of` belongs among `values`, which are sorted by owner and value."""
+    if not len(values) or not len(at):
+        return np.zeros(len(at), dtype=np.int64)
+    low, high = min(int(values.min()), int(at.min())), max(int(values.max()), int(at.max()))
+    wide = high - low + 1
+    if (max(int(owner[-1]), int(of.max())) + 1) * wide < 2**62:
+        return np.searchsorted(owner * wide + (values - low), of * wide + (at - low), side)
+    begin, end = np.searchsorted(owner, of), np.searchsorted(owner, of, "right")
+    return np.array([a + np.searchsorted(values[a:z], x, side) for a, z, x in zip(begin, end, at, strict=True)], dtype=np.int64)
+
+
 def coded(keys: np.ndarray | pa.Array) -> tuple[np.ndarray, int]:
     """Equal keys as equal numbers from 0, and how many there are."""
     found = (keys if isinstance(keys, pa.Array) else pa.array(keys)).dictionary_encode()
@@ -266,20 +278,10 @@ def boundaries(video, start, end, chars, moves, heard: pa.Array, least: int, pau
 
     def nearest(of, t):
         """For each pair the place of the time within it that is nearest its target, the earlier of equals; -1 for none."""
-        begin, stop = (np.searchsorted(of, video[pair], side) for side in ("left", "right"))
-        if not len(t):
-            return np.full(len(pair), -1)
-        # times of one video after another, as one rising array
-        low = min(int(t.min()), int(f.min(initial=MOST)))
-        wide = max(int(t.max()), int(to.max(initial=LEAST))) - low + 2
-        if (int(of[-1]) + 2) * wide < 2**53:
-            at = lambda x, side: np.searchsorted(of * wide + (t - low), video[pair] * wide + (x - low), side)
-        else:
-            at = lambda x, side: np.array([p + np.searchsorted(t[p:q], v, side) for p, q, v in zip(begin, stop, x, strict=True)], dtype=np.int64)
-        lo, hi = np.maximum(at(f + least, "left"), begin), np.minimum(at(to - least, "right"), stop)
-        mid = np.clip(at(np.floor(target).astype(np.int64), "right"), lo, np.maximum(lo, hi))
-        left, right = np.maximum(mid - 1, 0), np.minimum(mid, len(t) - 1)
-        off = lambda k: np.abs(t[k] - target)
+        lo, hi = places(of, t, video[pair], f + least, "left"), places(of, t, video[pair], to - least, "right")
+        mid = np.clip(places(of, t, video[pair], np.floor(target).astype(np.int64), "right"), lo, np.maximum(lo, hi))
+        left, right = np.maximum(mid - 1, 0), np.minimum(mid, max(len(t) - 1, 0))
+        off = lambda k: np.abs(t[k] - target) if len(t) else target
         earlier = (mid > lo) & ((mid >= hi) | (off(left) <= off(right)))
         return np.where(lo < hi, np.where(earlier, left, right), -1)
 
@@ -330,3 +332,178 @@ def snapped(cues: pa.Array, heard: pa.Array, least: int, gap: int, cps: int, lea
     room = np.where(last, short, after(start, video, 0) - gap - end)
     end = np.where(matched & (short > 0), end + np.maximum(0, np.minimum(short, room)), end)
     return lists(struct(idx=rows.field("idx"), start_ms=start, end_ms=end, matched=matched, boundary_ms=times(boundary)), video, len(cues))
+
+
+def lineage(old: pa.Array, of_old: np.ndarray, new: pa.Array, of_new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of new and of old texts that share a triple of words which both sides of a video have once; each pair once, in order."""
+    mine, of_mine = split(new)
+    theirs, of_theirs = split(old)
+    x, y = numbers(mine, theirs)
+    of_mine, x, of_theirs, y = of_mine[x >= 0], x[x >= 0], of_theirs[y >= 0], y[y >= 0]
+    i, j = shared(x, of_new[of_mine], y, of_old[of_theirs])
+    pairs = np.unique(of_mine[i] * len(old) + of_theirs[j])
+    return pairs // max(len(old), 1), pairs % max(len(old), 1)
+
+
+def pauses(heard: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The silences of at least `least` ms between neighbouring words: video, begin and end, sorted."""
+    said, video = items(heard)
+    end, next_ = ints(said.field("end_ms"), MOST), after(ints(said.field("start_ms"), MOST), video, MOST)
+    some = (end != MOST) & (next_ != MOST)
+    some[some] = next_[some] - end[some] >= least
+    video, end, next_ = video[some], end[some], next_[some]
+    order = np.lexsort((next_, end, video))
+    return video[order], end[order], next_[order]
+
+
+def cut(of: np.ndarray, start: np.ndarray, end: np.ndarray, parts: np.ndarray, silent: tuple, margin: int):
+    """Spans cut into `parts` at their longest inner pauses, evenly where there are too few: ends and begins of the parts around each cut, span by span, and whether by pauses."""
+    video, a, z = silent
+    lo = places(video, a, of, start + margin, "left")
+    n = np.maximum(places(video, a, of, end - margin, "right") - lo, 0)
+    span = np.repeat(np.arange(len(of)), n)
+    pause = ranks(span) + lo[span]
+    inner = (z[pause] <= end[span] - margin) & (z[pause] > start[span]) & (a[pause] < end[span])
+    span, pause = span[inner], pause[inner]
+    longest = np.lexsort((a[pause], a[pause] - z[pause], span))
+    span, pause = span[longest], pause[longest]
+    some = ranks(span) < parts[span] - 1
+    span, pause = span[some], pause[some]
+    by_pause = np.bincount(span, minlength=len(of)) == parts - 1
+    order = np.lexsort((a[pause], span))
+    pause = pause[order][by_pause[span[order]]]
+    each = np.repeat(np.arange(len(of)), parts - 1)
+    even = start[each] + div(end - start, parts)[each] * (ranks(each) + 1)
+    ends, starts = even, even.copy()
+    ends[by_pause[each]], starts[by_pause[each]] = a[pause], z[pause]
+    return ends, starts, by_pause
+
+
+def carried(old: pa.Array, new: pa.Array, heard: pa.Array, least: int, margin: int) -> dict:
+    """Timing of cues (idx, text, from_ms, to_ms) carried over to blocks (id, text); see carry.carry_timing."""
+    cues, of_old = items(old)
+    blocks, of_new = items(new)
+    n, o = lineage(cues.field("text"), of_old, blocks.field("text"), of_new)
+    begin, end = ints(cues.field("from_ms"), MOST), ints(cues.field("to_ms"), MOST)
+    has_time = (begin != MOST) & (end != MOST)
+    block, cue = n[has_time[o]], o[has_time[o]]
+    run = begins(block)
+    timed_, first, last = block[run], *((f.reduceat(t[cue], run) if len(run) else t[:0]) for f, t in ((np.minimum, begin), (np.maximum, end)))
+    # blocks of one source; those that share it split it
+    single = np.bincount(n, minlength=len(blocks))[n] == 1
+    mine, source = n[single], o[single]
+    parts = np.bincount(source, minlength=len(cues))
+    span = np.flatnonzero((parts > 1) & has_time)
+    number = np.full(len(cues), -1)
+    number[span] = np.arange(len(span))
+    parts = parts[span]
+    ends, starts, by_pause = cut(of_old[span], begin[span], end[span], parts, pauses(heard, least), margin)
+    order = np.argsort(source, kind="stable")
+    mine, source = mine[order], source[order]
+    part, at = ranks(source), number[source]
+    mine, part, at = mine[at >= 0], part[at >= 0], at[at >= 0]
+    if len(span):
+        here = np.cumsum(parts - 1)[at] - (parts - 1)[at] + part
+        place = np.searchsorted(timed_, mine)
+        first[place] = np.where(part == 0, begin[span][at], starts[np.maximum(here - 1, 0)])
+        last[place] = np.where(part == parts[at] - 1, end[span][at], ends[np.minimum(here, len(ends) - 1)])
+    return {"cues": cues, "of_old": of_old, "blocks": blocks, "of_new": of_new, "sources": np.unique(o), "timed": timed_, "start": first, "end": last, "of_span": of_old[span], "parts": parts, "by_pause": by_pause}
+
+
+def carry_timing(old: pa.Array, new: pa.Array, heard: pa.Array, **limits) -> pa.Array:
+    """The blocks with a timed source, numbered anew: (id, start_ms, end_ms, text)."""
+    r = carried(old, new, heard, **limits)
+    of = r["of_new"][r["timed"]]
+    text = r["blocks"].field("text").take(pa.array(r["timed"]))
+    return lists(struct(id=(ranks(of) + 1).astype(np.int32), start_ms=r["start"], end_ms=r["end"], text=text), of, len(new))
+
+
+def carry_counts(old: pa.Array, new: pa.Array, heard: pa.Array, **limits) -> pa.Array:
+    """For each video with cues one entry (before, after, dropped, splits, even)."""
+    r = carried(old, new, heard, **limits)
+    count = lambda of, weights=None: np.bincount(of, weights, minlength=len(old)).astype(np.int64)
+    n = count(r["of_old"])
+    made = struct(before=n, after=count(r["of_new"][r["timed"]]), dropped=n - count(r["of_old"][r["sources"]]), splits=count(r["of_span"], r["parts"] - 1), even=count(r["of_span"], ~r["by_pause"]))
+    return lists(made.filter(pa.array(n > 0)), np.flatnonzero(n), len(old))
+
+
+def halves(text: str, width: int, breaks: dict[str, int]) -> tuple[str, str]:
+    """A text with a blank cut at one: where both halves are within width, after the best mark or before the best of `breaks`, else anywhere; of equal ones the nearest to the middle."""
+    n = len(text)
+    best, at = None, text.find(" ", max(0, n - 1 - width), width + 1)
+    while at >= 0:
+        end, stop = text[at - 1 : at], text.find(" ", at + 1)
+        if end and end in ".!?":
+            rank = 0
+        elif end and end in ",;:—":
+            rank = 1
+        else:
+            rank = breaks.get(text[at + 1 : stop if stop >= 0 else n].replace("İ", "i").lower().rstrip(".,;:!?"), 4)
+        if best is None or (rank, abs(2 * at - n), at) < best:
+            best = rank, abs(2 * at - n), at
+        at = stop if stop <= width else -1
+    if best is None:
+        left, right = text.rfind(" ", 0, n // 2 + 1), text.find(" ", n // 2 + 1)
+        at = left if right < 0 or (left >= 0 and abs(2 * left - n) <= abs(2 * right - n)) else right
+    else:
+        at = best[2]
+    return text[:at], text[at + 1 :]
+
+
+def split_to_width(texts: pa.Array, width: int, breaks: dict[str, int], once: bool = False) -> pa.Array:
+    """Each text's parts within width in order, or its halves if `once`; single words stay whole, null stays."""
+    def parts(text):
+        out, rest = [], [text]
+        while rest:
+            t = rest.pop()
+            if len(t) <= width or " " not in t:
+                out.append(t)
+            elif once:
+                return list(halves(t, width, breaks))
+            else:
+                rest += reversed(halves(t, width, breaks))
+        return out
+
+    return pa.array([None if t is None else parts(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
+def aligned(segments: pa.Array, paragraphs: pa.Array) -> pa.Array:
+    """Words of paragraphs (para_idx, text) timed by segments (seg_id, start_ms, end_ms, weight), both in order: (seg_id, p, word, start_ms, end_ms); see carry.align_translation."""
+    rows, video = items(segments)
+    texts, of_text = items(paragraphs)
+    start, end, weight = (ints(rows.field(c)) for c in ("start_ms", "end_ms", "weight"))
+    first = ranks(video) == 0
+    gap = np.where(first, 0, start - before(end, video, 0))
+    # the longest gaps cut, of equal ones the later
+    order = np.lexsort((-np.arange(len(video)), -gap, first, video))
+    rank = np.empty(len(video), dtype=np.int64)
+    rank[order] = ranks(video[order])
+    begin = first | (rank < np.bincount(of_text, minlength=len(segments))[video] - 1)
+    group = np.cumsum(begin) - 1
+    n_groups = int(begin.sum())
+    # paragraphs by place, those too many to the last group
+    groups = np.bincount(video[begin], minlength=len(segments))
+    of_group = np.cumsum(groups)[of_text] - groups[of_text] + np.minimum(ranks(of_text), groups[of_text] - 1)
+    words, text = split(pc.replace_substring(pc.replace_substring(texts.field("text"), "\t", " "), "\n", " "))
+    some = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    words, text = words.filter(pa.array(some)), text[some]
+    has = groups[of_text[text]] > 0
+    words, text = words.filter(pa.array(has)), text[has]
+    count = np.bincount(of_group[text], minlength=n_groups)
+    n, i = count[group], ranks(group)
+    total = np.concatenate(([0], np.cumsum(weight)))
+    at = begins(group)
+    base, whole = total[:-1][at][group], np.diff(np.append(total[:-1][at], total[-1]))[group]
+    target = np.rint(n * ((total[1:] - base) / np.maximum(whole, 1))).astype(np.int64)
+    # at least one word each: i and the running maximum of target less i
+    far = 2 * (int(n.max(initial=0)) + int(i.max(initial=0)) + 1)
+    most = np.maximum.accumulate(target - i + group * far) - group * far if len(group) else group
+    stop = np.where(after(group, video, -1) != group, n, i + np.maximum(1, most))
+    from_ = before(stop, group, 0)
+    size = np.maximum(np.minimum(stop, n) - from_, 0)
+    seg = np.repeat(np.arange(len(rows)), size)
+    p, k = ranks(seg), size[seg]
+    place = (np.cumsum(count) - count)[group[seg]] + from_[seg] + p
+    time = lambda q: div(start[seg] + div(q * (end - start)[seg], k) + 5, 10) * 10
+    made = struct(seg_id=rows.field("seg_id").take(pa.array(seg)), p=p.astype(np.int32), word=words.take(pa.array(place)), start_ms=time(p), end_ms=time(p + 1))
+    return lists(made, video[seg], len(segments))

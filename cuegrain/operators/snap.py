@@ -10,20 +10,23 @@ from . import packed as P
 from .cues import LIMITS, Limits, chars
 
 
-def _in_hearing(cues: DataFrame, columns: str, words: DataFrame, kernel, fields: str, **fixed) -> DataFrame:
-    """The rows (video_id, `fields`) that `kernel` makes of each video's cues, with `columns`, and its heard words.
+def in_hearing(rows: DataFrame, words: DataFrame, kernel, fields: str, **fixed) -> DataFrame:
+    """The rows (video_id, `fields`) that `kernel` makes of each video's arrays in `rows` and its heard words.
 
     Words are rows, or in one row a video: `heard`, as from views.spoken, or `voiced`, as from views.voiced, of which they are made in the kernel.
     """
-    said = next((c for c in ("heard", "voiced") if c in words.columns), None)
+    arrays = [F.col(c) for c in rows.columns if c != "video_id"]
+    said, spoken = next((c for c in ("heard", "voiced") if c in words.columns), None), K.spoken
     if said is None:
         said, words = "heard", P.in_rows(words, "heard", "cue_idx", "w_pos", "word", "start_ms", "end_ms")
-    of = kernel if said == "heard" else lambda cues, voiced, **fixed: kernel(cues, K.spoken(voiced), **fixed)
-    # a full join puts no filter before either side, so both read one shuffle of texts; videos without cues give no rows
-    rows = P.in_rows(cues, "cues", *columns.split()).join(words, "video_id", "full")
-    made = f"array<struct<idx:{cues.schema['idx'].dataType.simpleString()},{fields}>>"
-    found = rows.select("video_id", F.explode_outer(K.column(of, made, F.col("cues"), F.col(said), **fixed)).alias("x"))
-    return found.where("x is not null").select("video_id", "x.*")
+    of = kernel if said == "heard" else lambda *arrays, **fixed: kernel(*arrays[:-1], spoken(arrays[-1]), **fixed)
+    # a full join puts no filter before either side, so both read one shuffle of texts; videos that only have words give no rows
+    return P.rows_of(rows.join(words, "video_id", "full"), K.column(of, f"array<struct<{fields}>>", *arrays, F.col(said), **fixed))
+
+
+def _cues(cues: DataFrame, *columns: str) -> tuple[DataFrame, str]:
+    """Cues in one row a video with these columns beside idx, and the field of its type."""
+    return P.in_rows(cues, "cues", "idx", *columns), f"idx:{cues.schema['idx'].dataType.simpleString()}"
 
 
 def _anchors(rows: DataFrame, written: Column, heard: Column) -> DataFrame:
@@ -44,7 +47,8 @@ def word_anchors(written: DataFrame, heard: DataFrame) -> DataFrame:
 
 def cue_times(cues: DataFrame, words: DataFrame) -> DataFrame:
     """The span of each cue's words as heard; cues without one anchored word are left out."""
-    return _in_hearing(cues, "idx text", words, K.cue_times, "start_ms:bigint,end_ms:bigint")
+    rows, idx = _cues(cues, "text")
+    return in_hearing(rows, words, K.cue_times, f"{idx},start_ms:bigint,end_ms:bigint")
 
 
 def pair_boundaries(cues: DataFrame, words: DataFrame, moves: Column | None = None, least: int = 700, pause: int = 150, limits: Limits = LIMITS) -> DataFrame:
@@ -54,7 +58,8 @@ def pair_boundaries(cues: DataFrame, words: DataFrame, moves: Column | None = No
     pair is judged on its own.
     """
     judged = cues.withColumns({"chars": chars(), "moves": F.lit(True) if moves is None else moves})
-    return _in_hearing(judged, "idx start_ms end_ms chars moves", words, K.pair_boundaries, "boundary_ms:bigint,at_pause:boolean", least=least, pause=pause, cps=limits.target_cps)
+    rows, idx = _cues(judged, "start_ms", "end_ms", "chars", "moves")
+    return in_hearing(rows, words, K.pair_boundaries, f"{idx},boundary_ms:bigint,at_pause:boolean", least=least, pause=pause, cps=limits.target_cps)
 
 
 def snap_to_speech(cues: DataFrame, words: DataFrame, least: int = 1000, limits: Limits = LIMITS) -> DataFrame:
@@ -62,5 +67,6 @@ def snap_to_speech(cues: DataFrame, words: DataFrame, least: int = 1000, limits:
 
     Cues that no word matches keep their times and do not move; `matched` says which those are.
     """
-    fields = "start_ms:bigint,end_ms:bigint,matched:boolean,boundary_ms:bigint"
-    return _in_hearing(cues.withColumn("chars", chars()), "idx text start_ms end_ms chars", words, K.snapped, fields, least=least, gap=limits.min_gap, cps=limits.target_cps, least_part=700, pause=150)
+    rows, idx = _cues(cues.withColumn("chars", chars()), "text", "start_ms", "end_ms", "chars")
+    fields = f"{idx},start_ms:bigint,end_ms:bigint,matched:boolean,boundary_ms:bigint"
+    return in_hearing(rows, words, K.snapped, fields, least=least, gap=limits.min_gap, cps=limits.target_cps, least_part=700, pause=150)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import views as V
-from ..operators import align as A
 from ..operators import carry as R
 from ..operators import edits as E
 from ..operators import sync as Y
@@ -107,10 +106,7 @@ plan("c7_carry_counts", "sentences cues timecodes words", "with " + CARRY + """
 
 
 def carried(s, d):
-    cues = staged(V.cues(s, d), "cues")
-    new = staged(E.blocks(V.paragraphs(s, d)).select("video_id", "id", "text", F.lit(0).alias("start_ms"), F.lit(0).alias("end_ms")), "blocks")
-    gaps = A.pauses(V.spoken(cues)).select("video_id", F.col("ends").alias("r_start"), (F.col("ends") + F.col("pause_ms")).alias("r_end"))
-    return cues, V.timecodes(cues), new, gaps
+    return V.timecoded(V.cues(s, d)), E.blocks(V.paragraphs(s, d)).select("video_id", "id", "text")
 
 
 plan("c5_align_translation", "segments paragraphs", r"""with np as (select video_id, count(*) groups from paragraphs group by 1), g as (select s.*, groups, start_ms - lag(end_ms) over (partition by s.video_id order by seg_id) gap from segments s join np on np.video_id = s.video_id),
@@ -120,5 +116,5 @@ plan("c5_align_translation", "segments paragraphs", r"""with np as (select video
     tg as (select *, round_even(n * (sum(n_cues) over o::double / greatest(sum(n_cues) over a, 1)), 0)::int target, max(i) over a last_i from s window o as (partition by video_id, grp order by i), a as (partition by video_id, grp)),
     e as (select *, case when i = last_i then n else i + greatest(1, max(target - i) over (partition by video_id, grp order by i)) end e from tg), b as (select *, coalesce(lag(e) over (partition by video_id, grp order by i), 0) b from e), t as (select video_id, seg_id, start_ms, end_ms, w[b + 1:e] ws from b where len(w[b + 1:e]) > 0)
     select video_id, seg_id, (p - 1)::int p, word, ((start_ms + ((p - 1) * (end_ms - start_ms)) // n + 5) // 10) * 10 start_ms, ((start_ms + (p * (end_ms - start_ms)) // n + 5) // 10) * 10 end_ms from (select *, len(ws) n, unnest(ws) word, generate_subscripts(ws, 1) p from t)""")(
-    lambda s, d: R.align_translation(V.segments(staged(V.cues(s, d), "cues")).withColumnRenamed("n_cues", "weight"), V.paragraphs(s, d))
+    lambda s, d: R.align_translation(V.segments(V.cues(s, d)).withColumnRenamed("n_cues", "weight"), V.paragraphs(s, d))
 )

@@ -7,11 +7,15 @@ import numpy as np
 import pytest
 from oracle import compare, connect
 
+from cuegrain import views as V
+from cuegrain.operators import carry as R
+from cuegrain.operators import edits as E
 from cuegrain.operators import flat as K
+from cuegrain.operators import snap as N
 from cuegrain.plans.all import ORACLES, PLANS
 
 WORDS = ["a", "b", "c", "d'", "É", "é", "ΟΔΟΣ", "οδος", "οδοσ", "İx", "ix", "²", "x_y", "日本", "-", "", "\t", "\r", "\x0b", "Mr.", "so,", "and", "of", "end.", "Go!", "longerword", "(w)"]
-ONCE = ["c4_snap_to_speech", "j16_word_times_for_cues"]
+ONCE = {"c4_snap_to_speech": 1, "j16_word_times_for_cues": 1, "c7_carry_timing": 2}
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +30,7 @@ def odd(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["c4_snap_to_speech", "j16_word_times_for_cues", "j25_pair_boundary"])
+@pytest.mark.parametrize("name", [*ONCE, "j25_pair_boundary", "w31_blocks_from_paragraphs", "f9_split_to_width"])
 @pytest.mark.parametrize("size", [1, 8_000_000])
 def test_odd_texts_against_sql(spark, odd, monkeypatch, name, size):
     """Whether a kernel takes one video at a time or all. Before, a capital sigma at a word's end was not the small one that the SQL makes of it."""
@@ -34,14 +38,14 @@ def test_odd_texts_against_sql(spark, odd, monkeypatch, name, size):
     assert compare(PLANS[name](spark, odd), connect(odd), ORACLES[name]) > 0
 
 
-@pytest.mark.parametrize("name", ONCE)
+@pytest.mark.parametrize("name", sorted(ONCE))
 def test_texts_are_shuffled_once(spark, small, name):
-    """Before, words went through functions that are interpreted word by word, and cues were dealt by video and number."""
+    """Texts of cues, and of blocks or paragraphs beside them. Before, words went through functions that are interpreted word by word, and cues were dealt by video and number."""
     df = PLANS[name](spark, small)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     dealt = [line for line in plan.splitlines() if "- Exchange " in line]
-    assert len(dealt) == 1 and "hashpartitioning(video_id#" in dealt[0] and "idx#" not in dealt[0].split("ENSURE")[0] and "ReusedExchange" in plan, plan
+    assert len(dealt) == ONCE[name] and all("hashpartitioning(video_id#" in line and "idx#" not in line.split("ENSURE")[0] for line in dealt), plan
     assert "ArrowEvalPython" in plan and "lambda w_" not in plan, plan
 
 
@@ -70,3 +74,18 @@ def test_rising_by_force():
         kept = list(itertools.compress(own, keep[of == v]))
         most = max(n for n in range(1, len(own) + 1) for c in itertools.combinations(own, n) if all(a < b for a, b in itertools.pairwise(c)))
         assert len(kept) == most and all(a < b for a, b in itertools.pairwise(kept))
+
+
+def test_words_given_in_any_way(spark, odd):
+    cues = V.cues(spark, odd)
+    old, new = V.timecoded(cues), E.blocks(V.paragraphs(spark, odd)).select("video_id", "id", "text")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for made in (R.carry_timing,):
+        want = rows(made(old, new))
+        assert want and all(rows(made(old, new, said)) == want for said in (V.words(cues), V.spoken(cues), V.voiced(cues)))
+    want = rows(N.snap_to_speech(V.edited_cues(cues), V.words(cues)))
+    assert want and all(rows(N.snap_to_speech(V.edited_cues(cues), said)) == want for said in (V.spoken(cues), V.voiced(cues)))
+    # without words or blocks cues stay, and none is carried
+    none = V.words(cues).limit(0)
+    assert {r.matched for r in N.snap_to_speech(cues, none).collect()} == {False}
+    assert R.carry_timing(old, new.limit(0)).count() == 0
