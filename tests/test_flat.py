@@ -15,7 +15,7 @@ from cuegrain.operators import snap as N
 from cuegrain.plans.all import ORACLES, PLANS
 
 WORDS = ["a", "b", "c", "d'", "É", "é", "ΟΔΟΣ", "οδος", "οδοσ", "İx", "ix", "²", "x_y", "日本", "-", "", "\t", "\r", "\x0b", "Mr.", "so,", "and", "of", "end.", "Go!", "longerword", "(w)"]
-ONCE = {"c4_snap_to_speech": 1, "j16_word_times_for_cues": 1, "c7_carry_timing": 2}
+ONCE = {"c4_snap_to_speech": 1, "j16_word_times_for_cues": 1, "c7_carry_timing": 2, "c7_carry_counts": 2}
 
 
 @pytest.fixture(scope="module")
@@ -80,7 +80,7 @@ def test_words_given_in_any_way(spark, odd):
     cues = V.cues(spark, odd)
     old, new = V.timecoded(cues), E.blocks(V.paragraphs(spark, odd)).select("video_id", "id", "text")
     rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
-    for made in (R.carry_timing,):
+    for made in (R.carry_timing, R.carry_counts):
         want = rows(made(old, new))
         assert want and all(rows(made(old, new, said)) == want for said in (V.words(cues), V.spoken(cues), V.voiced(cues)))
     want = rows(N.snap_to_speech(V.edited_cues(cues), V.words(cues)))
@@ -88,4 +88,4 @@ def test_words_given_in_any_way(spark, odd):
     # without words or blocks cues stay, and none is carried
     none = V.words(cues).limit(0)
     assert {r.matched for r in N.snap_to_speech(cues, none).collect()} == {False}
-    assert R.carry_timing(old, new.limit(0)).count() == 0
+    assert {(r.after, r.splits, r.dropped - r.before) for r in R.carry_counts(old, new.limit(0)).collect()} == {(0, 0, 0)} and R.carry_timing(old, new.limit(0)).count() == 0
