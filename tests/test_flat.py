@@ -15,7 +15,7 @@ from cuegrain.operators import snap as N
 from cuegrain.plans.all import ORACLES, PLANS
 
 WORDS = ["a", "b", "c", "d'", "É", "é", "ΟΔΟΣ", "οδος", "οδοσ", "İx", "ix", "²", "x_y", "日本", "-", "", "\t", "\r", "\x0b", "Mr.", "so,", "and", "of", "end.", "Go!", "longerword", "(w)"]
-ONCE = {"c4_snap_to_speech": 1, "j16_word_times_for_cues": 1, "c7_carry_timing": 2, "c7_carry_counts": 2}
+ONCE = {"c4_snap_to_speech": 1, "j16_word_times_for_cues": 1, "c7_carry_timing": 2, "c7_carry_counts": 2, "c5_align_translation": 2}
 
 
 @pytest.fixture(scope="module")
